@@ -24,7 +24,7 @@ from rankforge.llm.common import PLAIN, byte_alphabet, only, text_batches
 class TrieBpe:
     """Encoder for a tokenizer file whose model is plain BPE (no dropout, no byte fallback)."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -186,7 +186,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         bpe = trie_bpe(tokenizer)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for part in text_batches(texts):
+            for part in text_batches(texts, 2_000_000):
                 got = bpe.encode(texts[part])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=[id_col, "token_ids", "decoded"])
 

@@ -66,7 +66,7 @@ class PieceEncoder:
     table of pieces is emptied when it has `most` entries.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -138,7 +138,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def text_batches(texts: Sequence[str | None], most_chars: int = 8_000_000) -> Iterable[slice]:
+def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:
     """Slices of a batch that hold a bounded number of characters each (a longer text is a slice of its own)."""
     start, held = 0, 0
     for i, t in enumerate(texts):

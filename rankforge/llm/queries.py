@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import arrow_output, bpe_trie, packing, token_counts
+from rankforge.llm import arrow_output, bpe_trie, imatch, jaccard_join, packing, token_counts
 from rankforge.llm.common import fresh_path, tokenizer_path
 
 LIMIT = 2048
@@ -28,11 +28,19 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(bpe_trie.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "arrow-shards")
     manifest = arrow_output.write_sequences(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), LIMIT)
     return arrow_output.read_documents(spark, manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_bpe_trie, op9_arrow_output)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_bpe_trie, op5_jaccard_join, op9_arrow_output, op10_imatch)}
+ORACLE_SQL: dict[str, str] = {"op10_imatch": imatch.imatch_sql()}
