@@ -2,5 +2,398 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankforge.functions import features
+from rankforge.operators import aggregate, elo, metrics, pertask, portfolio, stability, subset
+from rankforge.sources.derived import RESULTS_SQL, SCORES_SQL, TASKS_SQL, WIDE_SQL, results, scores, table, tasks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Methods that comparisons are made against.
+BASELINE, RIVAL = "Brand#11", "Brand#22"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Floats to nine places: sums of floats differ in the last bits by their order."""
+    return df.select(*[F.round(c, 9).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
+    """Registers a query under its name; `sql` is a SELECT over the named views."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {', '.join(views)} {sql}" if views else sql
+        return f
+
+    return register
+
+
+RANKED_SQL = """base AS (SELECT *, min(metric_error) OVER t AS lo, max(metric_error) OVER t AS hi, count(*) OVER (PARTITION BY dataset, fold, metric_error) AS ties,
+    rank() OVER (PARTITION BY dataset, fold ORDER BY metric_error) AS r FROM results WINDOW t AS (PARTITION BY dataset, fold)),
+  ranked AS (SELECT *, r + (ties - 1) / 2.0::DOUBLE AS rank, CASE WHEN metric_error = 0 THEN 0.0::DOUBLE ELSE 1 - lo / metric_error END AS improvability,
+    coalesce((metric_error - lo) / nullif(hi - lo, 0), 0.0::DOUBLE) AS loss_rescaled FROM base)"""
+RIVAL_SQL = """rivals AS (SELECT a.method, a.dataset, a.fold, a.metric_error AS e, min(b.metric_error) AS o FROM results a LEFT JOIN results b ON a.dataset = b.dataset AND a.fold = b.fold AND a.method <> b.method GROUP BY ALL),
+  frontier AS (SELECT method, dataset, fold, coalesce((o - e) / nullif(greatest(o, e), 0), 0.0::DOUBLE) AS frontier_advantage FROM rivals)"""
+PAIRS_SQL = "pairs AS (SELECT a.dataset, a.fold, a.method AS method_1, b.method AS method_2, a.metric_error AS e1, b.metric_error AS e2 FROM results a JOIN results b USING (dataset, fold) WHERE a.method <> b.method)"
+MATRIX_SQL = """inner_ AS (SELECT p.dataset, method_1, method_2, sum(CASE WHEN e1 < e2 THEN 1.0::DOUBLE WHEN e1 = e2 THEN 0.5::DOUBLE ELSE 0 END) / max(k) AS won, count(*)::DOUBLE / max(k) AS n
+    FROM pairs p JOIN (SELECT dataset, count(DISTINCT fold) AS k FROM results GROUP BY 1) USING (dataset) GROUP BY 1, 2, 3),
+  matrix AS (SELECT method_1, method_2, sum(won) / sum(n) AS winrate FROM inner_ GROUP BY 1, 2)"""
+BATTLES_SQL = """battles AS (SELECT method_1, method_2, dataset, fold, CASE WHEN e1 < e2 THEN '1' WHEN e1 > e2 THEN '2' ELSE 'tie' END AS winner, 1.0::DOUBLE / k AS weight
+    FROM pairs JOIN (SELECT dataset, count(DISTINCT fold) AS k FROM results GROUP BY 1) USING (dataset) WHERE method_1 < method_2)"""
+
+
+def mean_sql(value: str, source: str = "ranked", name: str = "") -> str:
+    return f"SELECT method, round(avg(v), 9) AS {name or value} FROM (SELECT method, dataset, avg({value}) AS v FROM {source} GROUP BY 1, 2) GROUP BY 1"
+
+
+# --- sources and validation ---------------------------------------------------------------------------------------
+
+
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error, round(time_train_s, 9) AS time_train_s, round(time_infer_s, 9) AS time_infer_s, n FROM results", RESULTS_SQL)
+def results_view(spark, d):
+    return results(spark, d)
+
+
+@query("SELECT dataset, problem_type, n_train, n_features FROM tasks", TASKS_SQL)
+def task_grid(spark, d):
+    return tasks(spark, d)
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT method) AS n_methods, count(DISTINCT dataset) AS n_datasets, count(*) FILTER (WHERE metric_error IS NULL) AS null_errors, count(*) FILTER (WHERE metric_error < 0) AS negative_errors, count(*) - count(DISTINCT (method, dataset, fold)) AS repeated FROM results", RESULTS_SQL)
+def validate_summary(spark, d):
+    e = F.col("metric_error")
+    return results(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("method").alias("n_methods"), F.count_distinct("dataset").alias("n_datasets"), F.count_if(e.isNull()).alias("null_errors"), F.count_if(e < 0).alias("negative_errors"), (F.count(F.lit(1)) - F.count_distinct(F.struct("method", "dataset", "fold"))).alias("repeated"))
+
+
+def thinned(spark, d):
+    """Results without some cells, for what deals with gaps."""
+    return results(spark, d).where("n % 7 <> 0")
+
+
+THIN_SQL = "full_ AS (SELECT * FROM results), thin AS (SELECT * FROM full_ WHERE n % 7 <> 0)"
+GAPS_SQL = "gaps AS (SELECT m.method, t.dataset, t.fold FROM (SELECT DISTINCT method FROM thin) m CROSS JOIN (SELECT DISTINCT dataset, fold FROM thin) t ANTI JOIN thin x ON x.method = m.method AND x.dataset = t.dataset AND x.fold = t.fold)"
+
+
+@query("SELECT method, dataset, fold FROM gaps", RESULTS_SQL, THIN_SQL, GAPS_SQL)
+def missing_cells(spark, d):
+    return subset.missing_cells(thinned(spark, d))
+
+
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error, false AS imputed FROM thin UNION ALL SELECT g.method, g.dataset, g.fold, round(w.e, 9), true FROM gaps g JOIN (SELECT dataset, fold, max(metric_error) AS e FROM thin GROUP BY 1, 2) w USING (dataset, fold)", RESULTS_SQL, THIN_SQL, GAPS_SQL)
+def impute_worst(spark, d):
+    return subset.impute(thinned(spark, d))
+
+
+@query(f"SELECT method, dataset, fold, round(metric_error, 9) AS metric_error, false AS imputed FROM thin UNION ALL SELECT g.method, g.dataset, g.fold, round(w.e, 9), true FROM gaps g JOIN (SELECT dataset, fold, max(metric_error) FILTER (WHERE method = '{BASELINE}') AS e FROM thin GROUP BY 1, 2) w USING (dataset, fold)", RESULTS_SQL, THIN_SQL, GAPS_SQL)
+def impute_named(spark, d):
+    return subset.impute(thinned(spark, d), BASELINE)
+
+
+@query("SELECT dataset, count(*) AS imputed_methods FROM (SELECT DISTINCT dataset, method FROM gaps) GROUP BY 1", RESULTS_SQL, THIN_SQL, GAPS_SQL)
+def imputed_counts(spark, d):
+    return subset.missing_cells(thinned(spark, d)).groupBy("dataset").agg(F.count_distinct("method").alias("imputed_methods"))
+
+
+# --- measures within a task -----------------------------------------------------------------------------------------
+
+
+@query("SELECT method, dataset, fold, round(rank, 9) AS rank, round(improvability, 9) AS improvability, round(loss_rescaled, 9) AS loss_rescaled, round(frontier_advantage, 9) AS frontier_advantage FROM ranked JOIN frontier USING (method, dataset, fold)", RESULTS_SQL, RANKED_SQL, RIVAL_SQL)
+def per_task_measures(spark, d):
+    return pertask.per_task(results(spark, d)).select("method", "dataset", "fold", "rank", "improvability", "loss_rescaled", "frontier_advantage")
+
+
+BASE_SQL = f"against AS (SELECT r.*, b.e AS b FROM results r JOIN (SELECT dataset, fold, metric_error AS e FROM results WHERE method = '{BASELINE}') b USING (dataset, fold))"
+
+
+@query(mean_sql("coalesce((b - metric_error) / nullif(greatest(b, metric_error), 0), 0.0::DOUBLE)", "against", "baseline_advantage"), RESULTS_SQL, BASE_SQL)
+def baseline_advantage(spark, d):
+    return aggregate.equal_task_mean(pertask.against_baseline(results(spark, d), BASELINE), "baseline_advantage")
+
+
+@query("SELECT method, round(avg(r), 9) AS relative_error_mean, round(exp(avg(ln(r))), 9) AS relative_error_gmean, round(1 - exp(avg(ln(r))), 9) AS skill_score FROM (SELECT method, dataset, avg(metric_error / b) AS r FROM against GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL, BASE_SQL)
+def relative_error_and_skill(spark, d):
+    return aggregate.skill_score(pertask.against_baseline(results(spark, d), BASELINE))
+
+
+@query("SELECT method, round(sum(a), 9) AS rank_1, round(sum(b), 9) AS rank_2, round(sum(c), 9) AS rank_3, round(sum(1 - a - b - c), 9) AS rank_more FROM (SELECT method, dataset, avg(CASE WHEN r <= 1 AND r + ties > 1 THEN 1.0::DOUBLE / ties ELSE 0 END) AS a, avg(CASE WHEN r <= 2 AND r + ties > 2 THEN 1.0::DOUBLE / ties ELSE 0 END) AS b, avg(CASE WHEN r <= 3 AND r + ties > 3 THEN 1.0::DOUBLE / ties ELSE 0 END) AS c FROM ranked GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL, RANKED_SQL)
+def rank_counts(spark, d):
+    return pertask.rank_counts(pertask.per_task(results(spark, d)))
+
+
+@query(mean_sql("1.0::DOUBLE / rank", "ranked", "mrr"), RESULTS_SQL, RANKED_SQL)
+def mrr(spark, d):
+    return aggregate.equal_task_mean(pertask.per_task(results(spark, d)).withColumn("mrr", F.lit(1.0) / F.col("rank")), "mrr")
+
+
+@query("SELECT method, dataset, fold, round(least(greatest((metric_error - lo) / greatest(mid - lo, 1e-5::DOUBLE), 0), 1), 9) AS normalized_error FROM results JOIN (SELECT dataset, fold, min(metric_error) AS lo, median(metric_error) AS mid FROM results GROUP BY 1, 2) USING (dataset, fold)", RESULTS_SQL)
+def normalized_error(spark, d):
+    return pertask.normalised_error(results(spark, d)).select("method", "dataset", "fold", "normalized_error")
+
+
+@query("SELECT dataset, method, round(avg(rank), 9) AS rank, round(avg(improvability) * 100, 9) AS improvability_percent FROM ranked GROUP BY 1, 2", RESULTS_SQL, RANKED_SQL)
+def per_dataset_points(spark, d):
+    return pertask.per_task(results(spark, d)).groupBy("dataset", "method").agg(F.avg("rank").alias("rank"), (F.avg("improvability") * 100).alias("improvability_percent"))
+
+
+# --- aggregates, win rates, leaderboards ----------------------------------------------------------------------------
+
+
+@query("SELECT method, round(avg(e), 9) AS metric_error, round(avg(t), 9) AS time_train_s, round(median(e), 9) AS median_metric_error, round(median(t), 9) AS median_time_train_s FROM (SELECT method, dataset, avg(metric_error) AS e, avg(time_train_s) AS t FROM results GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL)
+def aggregate_mean_median(spark, d):
+    return aggregate.mean_and_median(results(spark, d), "metric_error", "time_train_s")
+
+
+@query("SELECT method_1, method_2, round(winrate, 9) AS winrate FROM matrix", RESULTS_SQL, PAIRS_SQL, MATRIX_SQL)
+def winrate_matrix(spark, d):
+    return aggregate.winrate_matrix(results(spark, d))
+
+
+@query("SELECT method_1 AS method, round(avg(winrate), 9) AS winrate FROM matrix GROUP BY 1", RESULTS_SQL, PAIRS_SQL, MATRIX_SQL)
+def winrate(spark, d):
+    return aggregate.winrate(results(spark, d))
+
+
+@query("SELECT method_1 AS method, round(avg(winrate), 9) AS winrate FROM matrix GROUP BY 1", RESULTS_SQL, PAIRS_SQL, MATRIX_SQL)
+def winrate_fast(spark, d):
+    return aggregate.winrate_from_ranks(pertask.per_task(results(spark, d)))
+
+
+@query("SELECT method_1, method_2, dataset, fold, winner, round(weight, 9) AS weight FROM battles", RESULTS_SQL, PAIRS_SQL, BATTLES_SQL)
+def battles(spark, d):
+    return aggregate.battles(results(spark, d))
+
+
+@query("SELECT method, count(*) AS battles, round(avg(w), 9) AS winrate FROM (SELECT method_1 AS method, CASE winner WHEN '1' THEN 1.0::DOUBLE WHEN 'tie' THEN 0.5 ELSE 0 END AS w FROM battles UNION ALL SELECT method_2, CASE winner WHEN '2' THEN 1.0::DOUBLE WHEN 'tie' THEN 0.5 ELSE 0 END FROM battles) GROUP BY 1", RESULTS_SQL, PAIRS_SQL, BATTLES_SQL)
+def battle_winrate(spark, d):
+    return aggregate.battle_winrate(aggregate.battles(results(spark, d)))
+
+
+@query("SELECT method_1, method_2, round(sum(CASE winner WHEN '1' THEN weight WHEN 'tie' THEN weight / 2 ELSE 0 END), 9) AS s1, round(sum(CASE winner WHEN '2' THEN weight WHEN 'tie' THEN weight / 2 ELSE 0 END), 9) AS s2 FROM battles GROUP BY 1, 2", RESULTS_SQL, PAIRS_SQL, BATTLES_SQL)
+def pair_sufficient_stats(spark, d):
+    return aggregate.pair_statistics(aggregate.battles(results(spark, d)))
+
+
+@query()
+def elo_ratings(spark, d):
+    return elo.elo(aggregate.battles(results(spark, d)))
+
+
+@query()
+def elo_bootstrap(spark, d):
+    return elo.elo_bootstrap(aggregate.battles(results(spark, d, wide=True)))
+
+
+@query("""SELECT a.method, round(a.rank, 9) AS rank, round(a.improvability, 9) AS improvability, round(a.loss_rescaled, 9) AS loss_rescaled, round(a.fa, 9) AS frontier_advantage, round(a.mrr, 9) AS mrr, round(a.metric_error, 9) AS metric_error, round(w.winrate, 9) AS winrate, round(c.r1, 9) AS rank_1, round(c.r2, 9) AS rank_2, round(c.r3, 9) AS rank_3, round(c.rm, 9) AS rank_more
+  FROM (SELECT method, avg(rank) AS rank, avg(improvability) AS improvability, avg(loss_rescaled) AS loss_rescaled, avg(fa) AS fa, avg(mrr) AS mrr, avg(metric_error) AS metric_error FROM (SELECT method, dataset, avg(rank) AS rank, avg(improvability) AS improvability, avg(loss_rescaled) AS loss_rescaled, avg(frontier_advantage) AS fa, avg(1.0::DOUBLE / rank) AS mrr, avg(metric_error) AS metric_error FROM ranked JOIN frontier USING (method, dataset, fold) GROUP BY 1, 2) GROUP BY 1) a
+  JOIN (SELECT method_1 AS method, avg(winrate) AS winrate FROM matrix GROUP BY 1) w USING (method)
+  JOIN (SELECT method, sum(a) AS r1, sum(b) AS r2, sum(c) AS r3, sum(1 - a - b - c) AS rm FROM (SELECT method, dataset, avg(CASE WHEN r <= 1 AND r + ties > 1 THEN 1.0::DOUBLE / ties ELSE 0 END) AS a, avg(CASE WHEN r <= 2 AND r + ties > 2 THEN 1.0::DOUBLE / ties ELSE 0 END) AS b, avg(CASE WHEN r <= 3 AND r + ties > 3 THEN 1.0::DOUBLE / ties ELSE 0 END) AS c FROM ranked GROUP BY 1, 2) GROUP BY 1) c USING (method)""", RESULTS_SQL, RANKED_SQL, RIVAL_SQL, PAIRS_SQL, MATRIX_SQL)
+def leaderboard_full(spark, d):
+    return aggregate.leaderboard(results(spark, d))
+
+
+# --- subsets, dense tables, unions ----------------------------------------------------------------------------------
+
+
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error FROM wide WHERE dataset IN (SELECT dataset FROM tasks WHERE (problem_type = 'binary' OR n_train <= 2000) AND NOT (n_features > 50))", WIDE_SQL, TASKS_SQL)
+def subset_semijoin(spark, d):
+    return subset.subset_results(results(spark, d, wide=True), tasks(spark, d), ["binary|tiny", "!high_features"]).select("method", "dataset", "fold", "metric_error")
+
+
+@query("SELECT dataset FROM tasks WHERE problem_type <> 'regression' OR n_train > 10000 AND n_train <= 100000", TASKS_SQL)
+def subset_union_negate(spark, d):
+    return subset.subset(tasks(spark, d), "!regression|medium").select("dataset")
+
+
+@query("SELECT dataset, array_to_string(list_sort(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN problem_type = 'binary' THEN 'binary' END, CASE WHEN problem_type IN ('binary', 'multiclass') THEN 'classification' END, CASE WHEN n_features > 50 THEN 'high_features' END, CASE WHEN n_features <= 50 THEN 'low_features' END, CASE WHEN n_train > 10000 AND n_train <= 100000 THEN 'medium' END, CASE WHEN problem_type = 'multiclass' THEN 'multiclass' END, CASE WHEN problem_type = 'regression' THEN 'regression' END, CASE WHEN n_train <= 10000 THEN 'small' END, CASE WHEN n_train <= 2000 THEN 'tiny' END], lambda x: x IS NOT NULL)), ',') AS subsets FROM tasks", TASKS_SQL)
+def subsets_per_dataset(spark, d):
+    return subset.predicates_per_dataset(tasks(spark, d))
+
+
+@query("SELECT method, dataset, fold FROM thin JOIN (SELECT method, dataset, count(DISTINCT fold) AS k FROM thin GROUP BY 1, 2) USING (method, dataset) JOIN (SELECT dataset, count(DISTINCT fold) AS k FROM thin GROUP BY 1) USING (dataset, k)", RESULTS_SQL, THIN_SQL)
+def full_fold_coverage(spark, d):
+    return subset.full_coverage(thinned(spark, d)).select("method", "dataset", "fold")
+
+
+@query("SELECT method, dataset, fold FROM thin WHERE (dataset, fold) IN (SELECT (dataset, fold) FROM thin GROUP BY dataset, fold HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM thin))", RESULTS_SQL, "full_ AS (SELECT * FROM results), thin AS (SELECT * FROM full_ WHERE n % 97 <> 0)")
+def densify_tasks(spark, d):
+    return subset.tasks_with_all_methods(results(spark, d).where("n % 97 <> 0")).select("method", "dataset", "fold")
+
+
+@query("SELECT method, dataset, fold FROM thin WHERE method IN (SELECT method FROM thin GROUP BY method HAVING count(*) = (SELECT count(DISTINCT (dataset, fold)) FROM thin))", RESULTS_SQL, "full_ AS (SELECT * FROM results), thin AS (SELECT * FROM full_ WHERE n % 31 <> 0)")
+def densify_methods(spark, d):
+    return subset.methods_with_all_tasks(results(spark, d).where("n % 31 <> 0")).select("method", "dataset", "fold")
+
+
+def _overlap(spark, d, keep):
+    r = results(spark, d).select("method", "dataset", "fold", "metric_error")
+    return subset.overlay(r.where("fold < 2"), r.where("fold > 0").withColumn("metric_error", F.col("metric_error") + 1), keep)
+
+
+@query("SELECT method, dataset, fold, round(CASE WHEN fold < 2 THEN metric_error ELSE metric_error + 1 END, 9) AS metric_error FROM results", RESULTS_SQL)
+def overlap_first(spark, d):
+    return _overlap(spark, d, "first")
+
+
+@query("SELECT method, dataset, fold, round(CASE WHEN fold > 0 THEN metric_error + 1 ELSE metric_error END, 9) AS metric_error FROM results", RESULTS_SQL)
+def overlap_last(spark, d):
+    return _overlap(spark, d, "last")
+
+
+@query("SELECT coalesce(a.dataset, b.dataset) AS dataset, coalesce(a.problem_type, b.problem_type) AS problem_type, a.n_train, b.n_features FROM (SELECT dataset, CASE WHEN n_features % 2 = 0 THEN problem_type END AS problem_type, n_train FROM tasks WHERE n_train % 3 <> 0) a FULL JOIN (SELECT dataset, problem_type, n_features FROM tasks WHERE n_train % 3 <> 1) b ON a.dataset = b.dataset", TASKS_SQL)
+def metadata_coalesce(spark, d):
+    t = tasks(spark, d)
+    left = t.where("n_train % 3 <> 0").select("dataset", F.when(F.col("n_features") % 2 == 0, F.col("problem_type")).alias("problem_type"), "n_train")
+    return subset.coalesced(left, t.where("n_train % 3 <> 1").select("dataset", "problem_type", "n_features"), "dataset").select("dataset", "problem_type", "n_train", "n_features")
+
+
+# --- stability ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT a.dataset, a.fold AS fold_1, b.fold AS fold_2, round(corr(a.metric_error, b.metric_error), 6) AS similarity FROM results a JOIN results b ON a.dataset = b.dataset AND a.method = b.method AND a.fold < b.fold GROUP BY 1, 2, 3", RESULTS_SQL)
+def fold_similarity_pearson(spark, d):
+    return stability.fold_similarity(results(spark, d), "metric_error").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT a.dataset, a.fold AS fold_1, b.fold AS fold_2, round(corr(a.rank, b.rank), 6) AS similarity FROM ranked a JOIN ranked b ON a.dataset = b.dataset AND a.method = b.method AND a.fold < b.fold GROUP BY 1, 2, 3", RESULTS_SQL, RANKED_SQL)
+def fold_similarity_spearman(spark, d):
+    return stability.fold_similarity(results(spark, d), "metric_error", spearman=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT dataset, round(rho, 6) AS rho, k AS folds, round(k * greatest(rho, 0.01::DOUBLE) / (1 + (k - 1) * greatest(rho, 0.01::DOUBLE)), 6) AS reliability, least(greatest(ceil(0.95::DOUBLE * (1 - greatest(rho, 0.01::DOUBLE)) / (greatest(rho, 0.01::DOUBLE) * (1 - 0.95::DOUBLE))), 1), 200)::BIGINT AS folds_needed FROM (SELECT dataset, avg(s) AS rho FROM (SELECT a.dataset, a.fold, b.fold, corr(a.rank, b.rank) AS s FROM ranked a JOIN ranked b ON a.dataset = b.dataset AND a.method = b.method AND a.fold < b.fold GROUP BY 1, 2, 3) GROUP BY 1) JOIN (SELECT dataset, count(DISTINCT fold) AS k FROM results GROUP BY 1) USING (dataset)", RESULTS_SQL, RANKED_SQL)
+def fold_stability(spark, d):
+    r = results(spark, d)
+    out = stability.fold_stability(stability.fold_similarity(r, "metric_error", spearman=True), r)
+    return out.withColumn("rho", F.round("rho", 6)).withColumn("reliability", F.round("reliability", 6))
+
+
+@query("SELECT dataset, round(avg(abs(s - m)), 9) AS jitter FROM (SELECT dataset, method, s, avg(s) OVER (PARTITION BY dataset, method) AS m FROM (SELECT dataset, method, fold, 1 - (rank - 1) / (count(*) OVER (PARTITION BY dataset, fold) - 1) AS s FROM ranked)) GROUP BY 1", RESULTS_SQL, RANKED_SQL)
+def dataset_jitter(spark, d):
+    return stability.jitter(pertask.per_task(results(spark, d)))
+
+
+@query("SELECT dataset, round(corr(x, y), 6) AS representativeness FROM (SELECT dataset, x, (sum(x) OVER (PARTITION BY method) - x) / (count(*) OVER (PARTITION BY method) - 1) AS y FROM (SELECT dataset, method, avg(metric_error) AS x FROM wide GROUP BY 1, 2)) GROUP BY 1", WIDE_SQL)
+def dataset_representativeness(spark, d):
+    return stability.representativeness(results(spark, d, wide=True), "metric_error").withColumn("representativeness", F.round("representativeness", 6))
+
+
+AGREE_SQL = "sums AS (SELECT dataset, method_1, method_2, sum((e1 < e2)::INT)::DOUBLE AS w, sum((e1 = e2)::INT)::DOUBLE AS t, count(*) AS n FROM pairs WHERE method_1 < method_2 GROUP BY 1, 2, 3)"
+
+
+@query("SELECT dataset, round(avg(greatest((w + t / 2) / n, 1 - (w + t / 2) / n)), 9) AS agreement FROM sums GROUP BY 1", RESULTS_SQL, PAIRS_SQL, AGREE_SQL)
+def split_agreement_half(spark, d):
+    return stability.split_agreement(results(spark, d), "half")
+
+
+@query("SELECT dataset, round(avg(CASE WHEN n > t THEN greatest(w / (n - t), 1 - w / (n - t)) END), 9) AS agreement FROM sums GROUP BY 1", RESULTS_SQL, PAIRS_SQL, AGREE_SQL)
+def split_agreement_ignore(spark, d):
+    return stability.split_agreement(results(spark, d), "ignore")
+
+
+@query(f"SELECT dataset, count(*) AS folds, round(avg(a - b), 9) AS mean_difference, sum((a < b)::INT)::BIGINT AS wins_first, sum((a > b)::INT)::BIGINT AS wins_second, round(CASE WHEN stddev_samp(a - b) > 1e-12 THEN avg(a - b) * sqrt(count(*)) / stddev_samp(a - b) END, 6) AS z FROM (SELECT x.dataset, x.metric_error AS a, y.metric_error AS b FROM results x JOIN results y USING (dataset, fold) WHERE x.method = '{BASELINE}' AND y.method = '{RIVAL}') GROUP BY 1", RESULTS_SQL)
+def method_pair_comparison(spark, d):
+    return stability.compare_methods(results(spark, d), BASELINE, RIVAL).withColumn("z", F.round("z", 6))
+
+
+# --- metrics, ensembles, portfolios ---------------------------------------------------------------------------------
+
+
+@query("SELECT lang, round(CASE WHEN p * n > 0 THEN (s - p * (p + 1) / 2.0::DOUBLE) / (p * n) END, 9) AS auc FROM (SELECT lang, sum(y) AS p, sum(1 - y) AS n, sum(CASE WHEN y = 1 THEN r END) AS s FROM (SELECT lang, y, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0::DOUBLE AS r FROM scores) GROUP BY 1)", SCORES_SQL)
+def auc(spark, d):
+    return metrics.auc(scores(spark, d), "lang")
+
+
+@query("SELECT lang, round(-avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END), 9) AS log_loss, round(sqrt(avg((y - score) * (y - score))), 9) AS rmse FROM (SELECT *, least(greatest(score, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS q FROM scores) GROUP BY 1", SCORES_SQL)
+def log_loss_and_rmse(spark, d):
+    return scores(spark, d).groupBy("lang").agg(metrics.log_loss("y", "score").alias("log_loss"), metrics.rmse("y", "score").alias("rmse"))
+
+
+@query()
+def amex(spark, d):
+    return metrics.capture_and_gini(scores(spark, d), "lang", "doc_id")
+
+
+@query("SELECT lang, round(sqrt(avg((y - (0.5 * score + 0.3 * other + 0.2 * third)::DOUBLE) * (y - (0.5 * score + 0.3 * other + 0.2 * third)::DOUBLE))), 9) AS rmse FROM scores GROUP BY 1", SCORES_SQL)
+def fixed_weight_ensemble(spark, d):
+    mixed = scores(spark, d).withColumn("p", 0.5 * F.col("score") + 0.3 * F.col("other") + 0.2 * F.col("third"))
+    return mixed.groupBy("lang").agg(metrics.rmse("y", "p").alias("rmse"))
+
+
+@query()
+def greedy_ensemble(spark, d):
+    return portfolio.greedy_ensemble(portfolio.long_scores(scores(spark, d), "score", "other", "third"))
+
+
+@query()
+def greedy_portfolio(spark, d):
+    return portfolio.greedy_portfolio(results(spark, d))
+
+
+@query()
+def portfolio_leave_one_out(spark, d):
+    return portfolio.leave_one_dataset_out(results(spark, d, wide=True))
+
+
+CONFIGS_SQL = "configs AS (SELECT dataset, fold, method AS config, method[1:7] AS family, metric_error, time_infer_s AS metric_error_val, time_train_s FROM results)"
+
+
+def configs(spark, d):
+    """Results as hyperparameter configurations: brands that share their first digit are a family."""
+    return results(spark, d).select("dataset", "fold", F.col("method").alias("config"), F.substring("method", 1, 7).alias("family"), "metric_error", F.col("time_infer_s").alias("metric_error_val"), "time_train_s")
+
+
+@query("SELECT dataset, fold, config, round(metric_error, 9) AS metric_error FROM configs QUALIFY row_number() OVER (PARTITION BY dataset, fold ORDER BY metric_error_val, config) = 1", RESULTS_SQL, CONFIGS_SQL)
+def single_best_by_val(spark, d):
+    return metrics.single_best(configs(spark, d))
+
+
+@query("SELECT dataset, fold, config, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY dataset, fold ORDER BY metric_error_val, config) AS place FROM (SELECT * FROM configs QUALIFY row_number() OVER (PARTITION BY dataset, fold, family ORDER BY metric_error_val, config) <= 2)) WHERE place <= 6", RESULTS_SQL, CONFIGS_SQL)
+def top_configs_per_type(spark, d):
+    return metrics.top_per_family(configs(spark, d), 2, 6)
+
+
+@query("SELECT dataset, fold, config, round(c, 9) AS cumulative_time FROM (SELECT *, sum(time_train_s) OVER (PARTITION BY dataset, fold ORDER BY config) AS c FROM configs) WHERE c < 20000", RESULTS_SQL, CONFIGS_SQL)
+def runtime_prefix_filter(spark, d):
+    return metrics.within_runtime(configs(spark, d), 20000)
+
+
+@query("SELECT config, round(quantile_cont(t, 0.95), 9) AS runtime FROM (SELECT config, dataset, avg(time_train_s) AS t FROM configs GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL, CONFIGS_SQL)
+def runtime_quantile_filter(spark, d):
+    return metrics.runtime_quantile(configs(spark, d), 0.95)
+
+
+@query("SELECT method, round(t, 9) AS t, round(s, 9) AS s FROM points p WHERE NOT EXISTS (SELECT 1 FROM points q WHERE q.t <= p.t AND q.s > p.s)", RESULTS_SQL, "points AS (SELECT method, avg(time_train_s) AS t, round(-avg(metric_error), 9) AS s FROM results GROUP BY 1)")
+def pareto_frontier(spark, d):
+    points = results(spark, d).groupBy("method").agg(F.avg("time_train_s").alias("t"), F.round(-F.avg("metric_error"), 9).alias("s"))
+    return metrics.pareto(points, "t", "s")
+
+
+# --- features -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, round(avg(value), 9) AS value_mean, round(stddev_samp(value), 9) AS value_std, round(min(value), 9) AS value_min, round(max(value), 9) AS value_max, round(max_by(value, (ts, value)), 9) AS value_last, count(event_type) AS event_type_count, count(DISTINCT event_type) AS event_type_nunique FROM events GROUP BY 1")
+def group_agg_features(spark, d):
+    out = features.group_features(table(spark, d, "events"), "user_id", "value", "event_type", "ts")
+    return out.select("user_id", *[F.round(c, 9).alias(c) for c in out.columns if c.startswith("value_")], "event_type_count", "event_type_nunique")
+
+
+@query("SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, (isodow(ts) - 1)::INT AS weekday, hour(ts)::INT AS hour, minute(ts)::INT AS minute FROM events")
+def datetime_features(spark, d):
+    return features.calendar(table(spark, d, "events"), "ts", "event_id")
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '[^ -~]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
+def text_sanitize_ascii(spark, d):
+    return features.ascii_text(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("SELECT floor(coalesce(c, 0) * 5 / t)::INT AS interval, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, sum(n)::BIGINT AS rows FROM (SELECT day, n, sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c, sum(n) OVER () AS t FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)) GROUP BY 1")
+def temporal_intervals(spark, d):
+    out = features.time_intervals(table(spark, d, "events"), "ts", 5)
+    return out.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
