@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import text_batches
 
 #: Bounds of the model: documents it is fitted on, n-grams a language, languages, slots, hash functions.
-SAMPLE_DOCS, GRAMS, LANGUAGES, SLOTS, HASHES, N = 20_000, 12_000, 64, 1 << 18, 3, 4
+SAMPLE_DOCS, GRAMS, LANGUAGES, SLOTS, HASHES, N = 20_000, 30_000, 64, 1 << 20, 3, 4
+#: How much rarer than in its most typical language an n-gram of a language may be.
+RARER = 0.2
 NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -43,6 +45,8 @@ class Filters:
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
+    #: Share of a language's own n-grams that its filter holds.
+    coverage: np.ndarray
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         """The languages that contain each n-gram, a bit each."""
@@ -51,19 +55,20 @@ class Filters:
             out = out & self.slots[positions(h, k)]
         return out
 
-    def decide(self, h: np.ndarray) -> tuple[str, float]:
+    def decide(self, h: np.ndarray) -> tuple[str, float, float]:
+        """(language, score, share): score is its weight among all languages, share how many of its expected n-grams are there."""
         if not len(h) or not self.languages:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         masks = self.masks(h)
         hits = np.array([np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.languages))]) / len(h)
-        share = np.maximum((hits - self.false_rate) / (1 - self.false_rate), 1e-6)
+        share = np.maximum((hits - self.false_rate) / (1 - self.false_rate), 1e-6) / self.coverage
         weight = (share / share.max()) ** 6
         best = int(weight.argmax())
-        return self.languages[best], float(weight[best] / weight.sum())
+        return self.languages[best], float(weight[best] / weight.sum()), float(share[best])
 
 
 def positions(h: np.ndarray, k: int) -> np.ndarray:
-    return ((h >> np.uint64(21 * k)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return ((h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def fit(docs: DataFrame) -> Filters:
@@ -83,8 +88,12 @@ def fit(docs: DataFrame) -> Filters:
 
     counts = some.select("text", "lang").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     # A language's n-grams in a bounded sample are a bounded group.
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("r") <= GRAMS)
-    rows = top.select("lang", "h", "n").toPandas()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
+    # An n-gram far rarer than in another language comes from quotations and belongs to that one only.
+    own = rates.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= RARER * F.col("most"))
+    top = own.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("r") <= GRAMS)
+    rows = top.select("lang", "h", "n", "all").toPandas()
     languages = rows.groupby("lang")["n"].sum().sort_values(ascending=False).index.tolist()[:LANGUAGES]
     slots = np.zeros(SLOTS, np.uint64)
     for b, lang in enumerate(languages):
@@ -93,7 +102,8 @@ def fit(docs: DataFrame) -> Filters:
             at = positions(h, k)
             slots[at] |= np.uint64(1 << b)
     fill = np.array([np.count_nonzero(slots & np.uint64(1 << b)) / SLOTS for b in range(len(languages))])
-    return Filters(languages, slots, fill**HASHES)
+    own = rows.groupby("lang").agg(n=("n", "sum"), all=("all", "max"))
+    return Filters(languages, slots, fill**HASHES, np.array([own.loc[lang, "n"] / own.loc[lang, "all"] for lang in languages]))
 
 
 def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
@@ -128,15 +138,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, filters, "doc_id").select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of docs, whole, whose language is told with a score of `least` or more; learned from all rows with a language."""
+def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """The rows of docs, whole, that hold at least this share of the n-grams expected of some language; learned from all rows."""
     filters = fit(docs.select("text", "lang"))
     known = docs.sparkSession.sparkContext.broadcast(filters)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            keep = [s >= least and lang != "und" for lang, s in (known.value.decide(grams(t)) for t in texts)]
+            keep = [share >= least for _, _, share in (known.value.decide(grams(t)) for t in texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
