@@ -24,33 +24,40 @@ def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), nullable=False), length))])
+def sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
+    """Ids in the smallest unsigned type that holds the vocabulary, and a bit each for the mask."""
+    return pa.schema([("ids", pa.list_(pa.field("item", kind, nullable=False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), nullable=False), length))])
+
+
+def id_type(vocabulary: int) -> pa.DataType:
+    return pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
 
 
 def document_schema(kind: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def sequences(ids: np.ndarray, length: int) -> pa.RecordBatch:
-    """Rows of `length` ids; the last is filled with zeros that its mask marks with 0."""
-    n = -(-len(ids) // length)
-    padded, mask = np.zeros(n * length, np.uint32), np.zeros(n * length, np.uint8)
-    padded[: len(ids)], mask[: len(ids)] = ids, 1
-    schema = sequence_schema(length)
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), type=schema.field(k).type) for k, x in enumerate((padded, mask))], schema=schema)
+def sequences(ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of the schema's length of ids; the last is filled with zeros, where its mask is false."""
+    length = schema.field("ids").type.list_size
+    n = -(-len(ids) // length) * length
+    padded = np.zeros(n, schema.field("ids").type.value_type.to_pandas_dtype())
+    padded[: len(ids)] = ids
+    flat = [pa.array(padded), pa.array(np.arange(n) < len(ids))]
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(x, type=schema.field(k).type) for k, x in enumerate(flat)], schema=schema)
 
 
 class Shard:
     """One shard: sequences in batches of a bounded size, and beside them where each document lies."""
 
-    def __init__(self, folder: str, number: int, length: int, rows: int, kind: pa.DataType):
+    def __init__(self, folder: str, number: int, schema: pa.Schema, rows: int, kind: pa.DataType):
         self.fs, root = file_system(folder)
         self.final = f"{root}/shard-{number:06d}"
         self.temp = f"{root}/.shard-{number:06d}-{uuid.uuid4().hex}"
         self.fs.create_dir(root, recursive=True)
         self.files = [self.fs.open_output_stream(f"{self.temp}.{x}") for x in ("arrow", "docs.arrow")]
-        self.out = pa.ipc.new_file(self.files[0], sequence_schema(length))
+        self.schema, length = schema, schema.field("ids").type.list_size
+        self.out = pa.ipc.new_file(self.files[0], schema)
         self.index = pa.ipc.new_file(self.files[1], document_schema(kind))
         self.length, self.most, self.kind = length, rows * length, kind
         self.held: list[bytes] = []
@@ -70,7 +77,7 @@ class Shard:
     def flush(self, n: int) -> None:
         all_ids = np.frombuffer(b"".join(self.held), "<u4")
         for k in range(0, n, self.most):
-            self.out.write_batch(sequences(all_ids[k : min(n, k + self.most)], self.length))
+            self.out.write_batch(sequences(all_ids[k : min(n, k + self.most)], self.schema))
         self.held, self.n_held = [all_ids[n:].tobytes()], len(all_ids) - n
 
     def close(self) -> None:
@@ -101,7 +108,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
         for b in batches:
             if not b.num_rows:
                 continue
-            shard = shard or Shard(folder, number, length, batch_rows, b.schema.field(0).type)
+            schema = sequence_schema(length, id_type(encoder.tok.get_vocab_size()))
+            shard = shard or Shard(folder, number, schema, batch_rows, b.schema.field(0).type)
             texts = b.column(1).to_pylist()
             for part in text_batches(texts):
                 shard.add(b.column(0).slice(part.start, part.stop - part.start), [x + end for x in encoder.encode(texts[part])])
@@ -131,18 +139,20 @@ class ShardReader:
             self.documents = pa.ipc.open_file(f).read_all()
         self.length = self.file.schema.field("ids").type.list_size
         sizes = [self.file.get_batch(i).num_rows * self.length for i in range(self.file.num_record_batches)]
-        self.ends = np.cumsum(sizes)
+        self.ends, self.held, self.arrays = np.cumsum(sizes), -1, None
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.file.get_batch(k)
-        return b.column("ids").flatten().to_numpy(zero_copy_only=True), b.column("mask").flatten().to_numpy(zero_copy_only=True)
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if k != self.held:
+            b = self.file.get_batch(k)
+            self.held, self.arrays = k, (b.column("ids").flatten().to_numpy(zero_copy_only=True), b.column("mask").flatten())
+        return self.arrays
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence."""
         k = int(np.searchsorted(self.ends, row * self.length, "right"))
         at = row * self.length - (int(self.ends[k - 1]) if k else 0)
         ids, mask = self.batch(k)
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from `start` on, as views of one or more batches."""
@@ -166,7 +176,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame, folder: str, id_typ
                     for start, n in zip(part.column("start").to_pylist(), part.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for ids in reader.span(start, n):
-                            crc = zlib.crc32(ids.astype("<u4", copy=False), crc)
+                            crc = zlib.crc32(ids.astype("<u4"), crc)
                         crcs.append(crc)
                     starts = pa.array(np.asarray(part.column("start")) + base)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), starts, part.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -51,6 +51,9 @@ PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
+FORMATS = [struct.Struct(f"<{n}I") for n in range(64)]
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,11 +65,11 @@ class PieceEncoder:
     """Token ids of whole texts by the tokenizers library, which sees each distinct piece once per worker.
 
     The two pre-tokenizers never match across the piece boundaries used here, so the ids of a text are those of its pieces
-    in order. Texts with special strings or rare white space go to the library whole. The memory is bounded: the
-    table of pieces is emptied when it has `most` entries.
+    in order. Texts with special strings, or rare white space that matters, go to the library whole. The memory is bounded: when the
+    table of pieces has more than `most` entries, only those of the texts at hand stay.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -76,14 +79,20 @@ class PieceEncoder:
         self.table: dict = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        assert all("<" in a for a in added), "special strings are looked for behind a <"
         #: With a white-space-dropping normaliser the pieces are plain runs between ASCII white space.
         self.drops_space = "Replace" in str(self.tok.normalizer or "")
         self.bytes = byte_alphabet()
         self.tails: dict[str, bytes] = {"": b""}
 
     def model_ids(self, symbols: str) -> bytes:
-        ids = [t.id for t in self.tok.model.tokenize(symbols.encode().decode("latin-1").translate(self.bytes))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not symbols.isascii():
+            symbols = symbols.encode().decode("latin-1").translate(self.bytes)
+        elif symbols[:1] == " ":
+            symbols = self.bytes[32] + symbols[1:]
+        ids = [t.id for t in self.tok.model.tokenize(symbols)]
+        n = len(ids)
+        return (FORMATS[n] if n < len(FORMATS) else struct.Struct(f"<{n}I")).pack(*ids)
 
     def fresh(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that are not in the table. Plain ones go straight to the library's model, which is faster."""
@@ -108,18 +117,21 @@ class PieceEncoder:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def pieces(self, text: str) -> list | None:
-        if ODD_SPACE.search(text) or (self.special and self.special.search(text)):
+        if self.special and "<" in text and self.special.search(text):
             return None
-        return text.encode("utf-8", "surrogatepass").split() if self.drops_space else PIECES.findall(text)
+        if self.drops_space:
+            return text.encode("utf-8", "surrogatepass").split()
+        return None if ODD_SPACE.search(text) else PIECES.findall(text)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
         parts = [self.pieces(t) if t else [] for t in texts]
         odd = [i for i, p in enumerate(parts) if p is None]
-        table = self.table
+        table, seen = self.table, set().union(*(p for p in parts if p))
         if len(table) > self.most:
-            table.clear()
-        new = list(set().union(*(p for p in parts if p)).difference(table))
+            # What occurs just now are mostly the frequent pieces; they stay.
+            table = self.table = {p: table[p] for p in seen if p in table}
+        new = list(seen.difference(table))
         if new:
             for k in range(0, len(new), 20_000):
                 some = new[k : k + 20_000]

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.llm.common import materialise, text_batches
@@ -22,9 +22,11 @@ from rankforge.llm.components import components
 
 #: Sets that one task joins at once; pivots a region; levels of Voronoi regions.
 LEAF, PIVOTS, LEVELS = 96, 4, 3
+#: Documents whose ids may be broadcast to fetch their texts; more are joined by a shuffle.
+MOST_IDS = 1_000_000
 #: Documents whose shingles tell which ones are frequent, how often one must occur there, and how many are kept. They only order
 #: the shingles of a set; the result is the same for any order.
-SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 20_000, 3, 500_000
+SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 12_000, 3, 500_000
 
 
 class WordHashes(dict):
@@ -85,7 +87,10 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, rare, prefix): the size and digest of each set, its shingles that aren't frequent, and its prefix."""
+    """(doc_id, n, digest, rare, last, prefix) of each set: size, digest, shingles that aren't frequent, and the prefix.
+
+    last is how frequent the last shingle of the prefix is; with its hash it says how far the prefix reaches in the common order.
+    """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
 
@@ -94,7 +99,7 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for part in text_batches(texts):
-                n, digest, rare, prefix = [], [], [], []
+                n, digest, rare, last, prefix = [], [], [], [], []
                 for t in texts[part]:
                     s = shingle_set(t, width)
                     n.append(len(s))
@@ -104,12 +109,14 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         often = np.where(keys[at] == s, counts[at], 0)
                     rare.append(int((often == 0).sum()))
-                    prefix.append(s[np.argsort(often, kind="stable")[: prefix_size(len(s), percent)]])
+                    first = np.argsort(often, kind="stable")[: prefix_size(len(s), percent)]
+                    prefix.append(s[first])
+                    last.append(int(often[first[-1]]) if len(first) else 0)
                 flat = pa.array(np.concatenate([np.empty(0, np.int64), *prefix]))
                 offsets = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "digest", "rare", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, pa.int64()), pa.array(last, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "digest", "rare", "last", "prefix"])
 
-    return docs.mapInArrow(each, "doc_id long, n long, digest binary, rare long, prefix array<long>")
+    return docs.mapInArrow(each, "doc_id long, n long, digest binary, rare long, last long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -121,14 +128,53 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for part in text_batches(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array([shingle_set(t, width).tobytes() for t in texts[part]], pa.binary())], names=["cid", "set"])
 
-    rows = docs.join(wanted.select(F.col("cid").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    return rows.select("doc_id", "text").mapInArrow(each, "cid long, set binary").dropDuplicates(["cid"])
+    ids = wanted.select(F.col("cid").alias("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("shuffle_hash")
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "cid long, set binary")
 
 
 def similar(inter: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * union
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a leaf, a bounded number of them."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    keep = counts[inverse] > 1
+    columns, owners, width = column[inverse[keep]], owner[keep], int((counts > 1).sum())
+    inter = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, width, 16_384):
+        here = (columns >= k) & (columns < k + 16_384)
+        m = np.zeros((len(sets), min(16_384, width - k)), np.float32)
+        m[owners[here], columns[here] - k] = 1
+        inter += m @ m.T
+    return inter + np.diag(n - np.diag(inter))
+
+
+def leaf_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(cid, p): pairs of small regions whose prefixes leave room for enough common shingles. rows: g, cid, n, last, prefix.
+
+    Of two prefixes the one that ends first in the common order holds all common shingles up to there; beyond it there are at most
+    as many as its set has left. What passes is nearly what is similar.
+    """
+
+    def join(table: pa.Table) -> pa.Table:
+        cid, n, last = (table.column(c).to_numpy() for c in ("cid", "n", "last"))
+        sets = [np.asarray(x.values) for x in table.column("prefix")]
+        end = np.array([s[-1] for s in sets])
+        left = n - np.array([len(s) for s in sets])
+        sooner = (last[:, None] < last[None, :]) | ((last[:, None] == last[None, :]) & (end[:, None] <= end[None, :]))
+        most = overlaps(sets) + np.where(sooner, left[:, None], left[None, :])
+        fits = (100 + percent) * most >= percent * (n[:, None] + n[None, :])
+        a, b = np.nonzero(fits & (cid[:, None] < cid[None, :]))
+        return pa.table({"cid": pa.array(cid[b], pa.int64()), "p": pa.array(cid[a], pa.int64())})
+
+    return rows.select("g", "cid", "n", "last", "prefix").groupBy("g").applyInArrow(join, "cid long, p long").distinct()
+
+
 def leaf_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(a, b) of all similar pairs in each region. rows: keys, cid, side, set.
 
@@ -139,19 +185,7 @@ def leaf_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         cid = table.column("cid").to_numpy()
         side = table.column("side").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.int64) for x in table.column("set")]
-        n = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), n)
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(counts > 1) - 1
-        keep = counts[inverse] > 1
-        width = int((counts > 1).sum())
-        inter = np.zeros((len(sets), len(sets)), np.float32)
-        columns, owners = shared[inverse[keep]], owner[keep]
-        for k in range(0, width, 16_384):
-            here = (columns >= k) & (columns < k + 16_384)
-            m = np.zeros((len(sets), min(16_384, width - k)), np.float32)
-            m[owners[here], columns[here] - k] = 1
-            inter += m @ m.T
+        n, inter = np.array([len(s) for s in sets]), overlaps(sets)
         union = n[:, None] + n[None, :] - inter
         wanted = ((side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5)) & (cid[:, None] < cid[None, :])
         a, b = np.nonzero(wanted & similar(inter, union, percent))
@@ -161,7 +195,13 @@ def leaf_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, cid, p, d, linked) of each member and each pivot of its region; the sets travel once a pair, never a region whole."""
+    """(g, cid, p, d, linked) of each member and each pivot of its region."""
+    pairs = members.join(pivots, "g").select("g", "cid", "p")
+    return measured(pairs, sets, percent)
+
+
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, cid, p, d, linked) of pairs (g, cid, p); the sets travel once a pair, never a region whole."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +214,6 @@ def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, perc
             inter, union = np.array(inter, np.int64), np.array(union, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent), pa.bool_())], names=["g", "cid", "p", "d", "linked"])
 
-    pairs = members.join(pivots, "g").select("g", "cid", "p")
     both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("p"), F.col("set").alias("pivot_set")), "p")
     return both.select("g", "cid", "p", "set", "pivot_set").mapInArrow(measure, "g long, cid long, p long, d double, linked boolean")
 
@@ -199,27 +238,47 @@ def block_rows(cells: DataFrame, percent: int) -> DataFrame:
     sizes = x.groupBy("g", "r").agg(F.ceil(F.sum((~F.col("linked")).cast("int")) / LEAF).alias("bi"), F.ceil(F.count(F.lit(1)) / LEAF).alias("n")).where("bi > 0")
     near = x.groupBy("g", "r").agg(F.count(F.lit(1)).alias("m"))
     rings = sizes.select("g", F.col("r").alias("r0"), "bi").join(near, "g").where(F.abs(F.col("r") - F.col("r0")) <= 1).groupBy("g", "r0").agg(F.first("bi").alias("bi"), F.ceil(F.sum("m") / LEAF).alias("bj"))
-    left = x.where(~F.col("linked")).join(rings, (rings["g"] == x["g"]) & (rings["r0"] == x["r"])).select(x["g"], "r0", "cid", F.pmod(F.xxhash64("cid"), "bi").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"), F.lit(3).alias("side"))
-    right = x.withColumn("r0", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1))).join(rings, ["g", "r0"]).select("g", "r0", "cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"), F.pmod(F.xxhash64("cid"), "bj").alias("j"), F.lit(2).alias("side"))
+    alone = x.where(~F.col("linked")).withColumnRenamed("r", "r0").join(rings, ["g", "r0"])
+    left = alone.select("g", "r0", "cid", F.pmod(F.xxhash64("cid"), "bi").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"), F.lit(3).alias("side"))
+    every = x.withColumn("r0", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1))).join(rings, ["g", "r0"])
+    right = every.select("g", "r0", "cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"), F.pmod(F.xxhash64("cid"), "bj").alias("j"), F.lit(2).alias("side"))
     return left.unionByName(right)
 
 
+def one_of_equal(members: DataFrame) -> DataFrame:
+    """The members of one of all regions that have the same members. members: g, cid, ..."""
+    same = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    return members.join(same.groupBy("c", "s", "lo", "hi").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
+
+
+def size_windows(members: DataFrame, percent: int) -> DataFrame:
+    """(g, cid): small regions cut where sizes in order are too far apart for any pair across the cut to be similar."""
+    order = Window.partitionBy("g").orderBy("n", "cid")
+    apart = F.coalesce(100 * F.lag("n").over(order) < percent * F.col("n"), F.lit(False)).cast("int")
+    cut = members.withColumn("far", apart).withColumn("part", F.sum("far").over(order))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("g", "part"))
+    cut = cut.withColumn("k", alone).where("k > 1").select(F.xxhash64("g", "part").alias("g"), "cid")
+    return one_of_equal(cut)
+
+
 def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, links): one class a distinct set (digest, cid, n, rare), and links (a, b) between classes.
 
     The links hold every similar pair of different sets, but for pairs that are both linked to one pivot: those are connected by it.
     """
-    classes = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix")).alias("c"))
-    classes = materialise(classes.select("digest", F.col("c.doc_id").alias("cid"), "c.n", "c.rare", "c.prefix"), "classes")
+    classes = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "last", "prefix")).alias("c"))
+    classes = materialise(classes.select("digest", F.col("c.doc_id").alias("cid"), "c.n", "c.rare", "c.last", "c.prefix"), "classes")
     rows = classes.select("cid", "n", F.explode("prefix").alias("g"))
-    regions = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min("n").alias("n0"), F.max("n").alias("n1")).where(F.col("k") > 1)
-    # Two sets whose sizes are too far apart can't be similar; regions of the same members are one.
-    regions = regions.where((F.col("k") > 2) | (100 * F.col("n0") >= percent * F.col("n1"))).groupBy("k", "s", "lo", "hi").agg(F.min("g").alias("g"))
-    members = materialise(rows.join(regions.select("g", "k"), "g").select("g", "k", "cid"), "members")
-    sets = materialise(sets_of(docs, members.select("cid").distinct(), width), "sets")
-    small = members.where(F.col("k") <= LEAF).withColumn("side", F.lit(1))
-    links = [leaf_links(small.join(sets, "cid"), ["g"], percent)]
+    regions = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = materialise(rows.join(regions, "g"), "members")
+    small = size_windows(members.where(F.col("k") <= LEAF).select("g", "cid", "n"), percent)
     large = members.where(F.col("k") > LEAF).join(classes.select("cid", "rare"), "cid").select("g", "cid", "rare", "k")
+    near = small.join(classes.select("cid", "n", "last", "prefix"), "cid")
+    near = materialise(leaf_candidates(near, percent).select(F.lit(0).cast("long").alias("g"), "cid", "p"), "candidates")
+    large = materialise(one_of_equal(large), "large")
+    wanted = near.select("cid").union(near.select(F.col("p").alias("cid"))).union(large.select("cid")).distinct()
+    sets = materialise(sets_of(docs, wanted, width), "sets")
+    links = [measured(near, sets, percent).where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))]
     for level in range(LEVELS):
         if large.isEmpty():
             break
@@ -244,7 +303,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """(doc_id, n_shingles, component_id) of every row: the size of its shingle set and the smallest doc_id that links reach.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts and texts without words have no shingles and are alone.
-    Rows with a null doc_id join the component of an equal set, if it has one, and are null otherwise. Repeated rows stay.
+    Rows with a null doc_id join the component of an equal set, if it has one, and are null otherwise. Repeated rows stay; an id
+    names one text (of rows that give it several, any may stand for it).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(describe(docs, width, percent), "described")
