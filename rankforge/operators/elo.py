@@ -74,3 +74,9 @@ def elo_bootstrap(fights: DataFrame, rounds: int = 100, seed: int = 0) -> DataFr
     every = spark.range(rounds + 1).repartition(min(rounds + 1, 16)).mapInPandas(resample, "round long, method string, elo double")
     low, high = (F.percentile(F.when(F.col("round") > 0, F.col("elo")), q) for q in (0.025, 0.975))
     return every.groupBy("method").agg(F.max(F.when(F.col("round") == 0, F.col("elo"))).alias("elo"), low.alias("elo_low"), high.alias("elo_high"))
+
+
+def expected(rated: DataFrame) -> DataFrame:
+    """(method_1, method_2, expected): expected score of one method against another from their ratings; methods x methods rows."""
+    a, b = rated.select(F.col("method").alias("method_1"), F.col("elo").alias("e1")), rated.select(F.col("method").alias("method_2"), F.col("elo").alias("e2"))
+    return a.join(b, F.col("method_1") != F.col("method_2")).select("method_1", "method_2", (1 / (1 + F.pow(F.lit(BASE), (F.col("e2") - F.col("e1")) / SCALE))).alias("expected"))

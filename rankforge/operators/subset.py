@@ -107,3 +107,9 @@ def predicates_per_dataset(tasks: DataFrame) -> DataFrame:
 def admitted(methods: DataFrame, allowed: list[str]) -> DataFrame:
     """Methods whose tags are all allowed; untagged ones always are."""
     return methods.where(F.size(F.array_except(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))) == 0)
+
+
+def methods_of_all_datasets(results: DataFrame) -> DataFrame:
+    """(method) of the methods that occur in every dataset."""
+    total = results.select(F.count_distinct("dataset").alias("k"))
+    return results.groupBy("method").agg(F.count_distinct("dataset").alias("k")).join(F.broadcast(total), "k").select("method")

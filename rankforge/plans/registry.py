@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions import features
-from rankforge.operators import aggregate, elo, metrics, pertask, portfolio, stability, subset
+from rankforge.operators import aggregate, elo, jobs, metrics, pertask, portfolio, scoring, stability, subset
+from rankforge.streaming import incremental
 from rankforge.sources.derived import RESULTS_SQL, SCORES_SQL, TASKS_SQL, WIDE_SQL, results, scores, table, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,3 +398,151 @@ def text_sanitize_ascii(spark, d):
 def temporal_intervals(spark, d):
     out = features.time_intervals(table(spark, d, "events"), "ts", 5)
     return out.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
+
+
+# --- places, removals, significance ---------------------------------------------------------------------------------
+
+
+@query("""SELECT method, dataset, fold, round(less + same / 2.0::DOUBLE + CASE WHEN same > 0 OR e <= 0 THEN 0 WHEN nxt IS NOT NULL THEN least(0.5::DOUBLE, (e - coalesce(prv, 0)) / (nxt - coalesce(prv, 0)) / 2) ELSE least(coalesce((e - worst) / nullif(worst, 0), 1), 1) / 2 END, 9) AS place
+  FROM (SELECT c.method, c.dataset, c.fold, c.metric_error AS e, count(*) FILTER (WHERE r.metric_error < c.metric_error) AS less, count(*) FILTER (WHERE r.metric_error = c.metric_error) AS same, max(r.metric_error) FILTER (WHERE r.metric_error < c.metric_error) AS prv, min(r.metric_error) FILTER (WHERE r.metric_error > c.metric_error) AS nxt, max(r.metric_error) AS worst
+  FROM results c JOIN results r USING (dataset, fold) WHERE c.method >= 'Brand#3' AND r.method < 'Brand#3' GROUP BY ALL)""", RESULTS_SQL)
+def rank_scorer_partial(spark, d):
+    r = results(spark, d).select("method", "dataset", "fold", "metric_error")
+    return scoring.place_among(r.where("method >= 'Brand#3'"), r.where("method < 'Brand#3'"))
+
+
+@query(f"SELECT removed, round(avg(r), 9) AS rank FROM (SELECT m.removed, o.dataset, avg(o.rank - CASE WHEN x.metric_error IS NULL THEN 0 WHEN x.metric_error < o.metric_error THEN 1.0::DOUBLE WHEN x.metric_error = o.metric_error THEN 0.5 ELSE 0 END) AS r FROM (SELECT * FROM ranked WHERE method = '{BASELINE}') o CROSS JOIN (SELECT DISTINCT method AS removed FROM results WHERE method <> '{BASELINE}') m LEFT JOIN results x ON x.method = m.removed AND x.dataset = o.dataset AND x.fold = o.fold GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL, RANKED_SQL)
+def rank_if_removed(spark, d):
+    return scoring.rank_without_each(pertask.per_task(results(spark, d)), BASELINE)
+
+
+@query()
+def significance_vs_best(spark, d):
+    return scoring.significance(results(spark, d, wide=True))
+
+
+@query("SELECT method, round(p, 9) AS p_value, round(least(1.0::DOUBLE, p * (count(*) OVER () - row_number() OVER (ORDER BY p, method) + 1)), 9) AS p_holm FROM (SELECT method, avg(metric_error) AS p FROM results GROUP BY 1)", RESULTS_SQL)
+def holm_correction(spark, d):
+    return scoring.holm(results(spark, d).groupBy("method").agg(F.avg("metric_error").alias("p_value")))
+
+
+@query()
+def temperature_calibration(spark, d):
+    return scoring.temperature(scores(spark, d).withColumn("p", F.col("score")), "lang")
+
+
+@query()
+def hill_climbing_ensemble(spark, d):
+    return scoring.hill_climb(portfolio.long_scores(scores(spark, d), "score", "other", "third"))
+
+
+@query("SELECT method_1, method_2, round((sum((winner = '1')::INT) + sum((winner = 'tie')::INT) / 2.0::DOUBLE) / count(*), 9) AS win_fraction FROM battles GROUP BY 1, 2", RESULTS_SQL, PAIRS_SQL, BATTLES_SQL)
+def pairwise_win_fraction(spark, d):
+    fights = aggregate.battles(results(spark, d))
+    won = F.when(F.col("winner") == "1", 1.0).when(F.col("winner") == "tie", 0.5).otherwise(0.0)
+    return fights.groupBy("method_1", "method_2").agg(F.avg(won).alias("win_fraction"))
+
+
+@query("SELECT a.method AS method_1, b.method AS method_2, round(1 / (1 + pow(10.0::DOUBLE, (b.e - a.e) / 400)), 9) AS expected FROM (SELECT method, 1400 - 4000 * avg(metric_error) AS e FROM results GROUP BY 1) a JOIN (SELECT method, 1400 - 4000 * avg(metric_error) AS e FROM results GROUP BY 1) b ON a.method <> b.method", RESULTS_SQL)
+def elo_expected_matrix(spark, d):
+    rated = results(spark, d).groupBy("method").agg((1400 - 4000 * F.avg("metric_error")).alias("elo"))
+    return elo.expected(rated)
+
+
+# --- jobs, splits, tuning -------------------------------------------------------------------------------------------
+
+
+@query("SELECT dataset, (s // 3)::INT AS repeat, (s % 3)::INT AS fold, s::INT AS split, 'r' || (s // 3) || 'f' || (s % 3) AS label FROM tasks CROSS JOIN range(0, 6) t(s)", TASKS_SQL)
+def task_grid_explode(spark, d):
+    return jobs.split_grid(tasks(spark, d), 3, 2)
+
+
+@query("SELECT experiment, dataset FROM tasks CROSS JOIN (VALUES ('small', 28000, NULL, false), ('wide', NULL, 60, true), ('any', NULL, NULL, true)) e(experiment, max_rows, max_features, regression) WHERE n_train <= coalesce(max_rows, n_train) AND n_features <= coalesce(max_features, n_features) AND (regression OR problem_type <> 'regression')", TASKS_SQL)
+def job_grid_constraints(spark, d):
+    e = spark.createDataFrame([("small", 28000, None, False), ("wide", None, 60, True), ("any", None, None, True)], "experiment string, max_rows long, max_features long, regression boolean")
+    return jobs.jobs(e, tasks(spark, d))
+
+
+@query("SELECT doc_id, y, ((row_number() OVER (PARTITION BY y ORDER BY md5(doc_id::VARCHAR)) - 1) % 5)::INT AS fold FROM scores", SCORES_SQL)
+def stratified_folds(spark, d):
+    return jobs.stratified_folds(scores(spark, d).select("doc_id", "y"), "doc_id", "y", 5)
+
+
+@query("SELECT event_id, user_id, (('0x' || md5(user_id::VARCHAR)[1:8])::BIGINT % 5)::INT AS fold FROM events")
+def group_disjoint_folds(spark, d):
+    return jobs.group_folds(table(spark, d, "events").select("event_id", "user_id"), "user_id", 5)
+
+
+@query("SELECT event_id, later <= 0.2::DOUBLE * total AS held_out FROM events JOIN (SELECT day, sum(n) OVER (ORDER BY day DESC) AS later, sum(n) OVER () AS total FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)) ON ts::DATE = day")
+def temporal_holdout(spark, d):
+    return jobs.temporal_holdout(table(spark, d, "events").select("event_id", "ts"), "ts").select("event_id", "held_out")
+
+
+@query("SELECT n_configs, family, round(avg(e), 9) AS metric_error FROM (SELECT n_configs, family, dataset, avg(e) AS e FROM (SELECT s.n_configs, family, dataset, fold, arg_min(metric_error, (metric_error_val, config)) AS e FROM (SELECT *, row_number() OVER (PARTITION BY dataset, fold, family ORDER BY config) AS n FROM configs) c JOIN (VALUES (1), (2), (5)) s(n_configs) ON n <= s.n_configs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2", RESULTS_SQL, CONFIGS_SQL)
+def tuning_trajectory(spark, d):
+    return jobs.tuning_trajectory(configs(spark, d), [1, 2, 5])
+
+
+LONG_SQL = "longs AS (SELECT lang AS key, doc_id AS row_id, y::DOUBLE AS y, unnest(['score', 'other', 'third']) AS config, unnest([score, other, third]) AS p FROM scores)"
+
+
+@query("SELECT key, round(sqrt(avg((m - y) * (m - y))), 9) AS rmse FROM (SELECT key, row_id, avg(p) AS m, any_value(y) AS y FROM longs JOIN (SELECT key, config FROM (SELECT key, config, avg((p - y) * (p - y)) AS e FROM longs GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY key ORDER BY e, config) <= 2) USING (key, config) GROUP BY 1, 2) GROUP BY 1", SCORES_SQL, LONG_SQL)
+def topk_ensemble(spark, d):
+    return jobs.top_k_average(portfolio.long_scores(scores(spark, d), "score", "other", "third"), 2)
+
+
+@query("SELECT config, round(median(t), 9) AS runtime FROM (SELECT config, dataset, avg(time_train_s) AS t FROM configs GROUP BY 1, 2) GROUP BY 1", RESULTS_SQL, CONFIGS_SQL)
+def sort_by_runtime(spark, d):
+    return metrics.runtime_quantile(configs(spark, d), 0.5).orderBy("runtime")
+
+
+@query("SELECT DISTINCT method FROM thin", RESULTS_SQL, THIN_SQL)
+def configs_union(spark, d):
+    return thinned(spark, d).select("method").distinct()
+
+
+@query("SELECT method FROM thin GROUP BY 1 HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM thin)", RESULTS_SQL, "full_ AS (SELECT * FROM results), thin AS (SELECT * FROM full_ WHERE n % 7 > 2)")
+def configs_intersection(spark, d):
+    return subset.methods_of_all_datasets(results(spark, d).where("n % 7 > 2"))
+
+
+@query("SELECT problem_type, CASE WHEN n_train <= 28000 THEN 'small' ELSE 'large' END AS size, count(*) AS n FROM tasks GROUP BY ROLLUP (1, 2)", TASKS_SQL)
+def subset_grid_counts(spark, d):
+    sized = tasks(spark, d).withColumn("size", F.when(F.col("n_train") <= 28000, "small").otherwise("large"))
+    return sized.rollup("problem_type", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT method, round(avg(CASE WHEN k = 'binary' THEN r END), 9) AS rank_binary, round(avg(CASE WHEN k = 'multiclass' THEN r END), 9) AS rank_multiclass, round(avg(CASE WHEN k = 'regression' THEN r END), 9) AS rank_regression FROM (SELECT method, dataset, any_value(problem_type) AS k, avg(rank) AS r FROM ranked JOIN tasks USING (dataset) GROUP BY 1, 2) GROUP BY 1", WIDE_SQL, "results AS (SELECT * FROM wide)", RANKED_SQL, TASKS_SQL)
+def composite_leaderboard(spark, d):
+    ranked = pertask.per_task(results(spark, d, wide=True)).join(tasks(spark, d).select("dataset", "problem_type"), "dataset")
+    inner = ranked.groupBy("method", "dataset", "problem_type").agg(F.avg("rank").alias("r"))
+    kinds = ["binary", "multiclass", "regression"]
+    wide = inner.groupBy("method").pivot("problem_type", kinds).agg(F.avg("r"))
+    return wide.select("method", *[F.col(k).alias(f"rank_{k}") for k in kinds])
+
+
+@query("SELECT method FROM (SELECT p_brand AS method, list_distinct(list(p_type)) AS tags FROM part WHERE p_size < 6 GROUP BY 1) WHERE len(list_filter(tags, lambda t: t NOT IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL'))) = 0")
+def entrant_pool(spark, d):
+    tagged = table(spark, d, "part").where("p_size < 6").groupBy(F.col("p_brand").alias("method")).agg(F.collect_set("p_type").alias("tags"))
+    return subset.admitted(tagged, ["ECONOMY", "STANDARD", "PROMO", "SMALL"]).select("method")
+
+
+@query("SELECT family, config, round(sum(t) OVER (PARTITION BY family ORDER BY t, config), 9) AS cumulative FROM (SELECT family, config, sum(time_train_s) AS t FROM configs GROUP BY 1, 2)", RESULTS_SQL, CONFIGS_SQL)
+def cumulative_runtime(spark, d):
+    from pyspark.sql import Window
+
+    total = configs(spark, d).groupBy("family", "config").agg(F.sum("time_train_s").alias("t"))
+    w = Window.partitionBy("family").orderBy("t", "config").rowsBetween(Window.unboundedPreceding, 0)
+    return total.select("family", "config", F.sum("t").over(w).alias("cumulative"))
+
+
+@query("SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1")
+def json_properties(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+
+
+@query("SELECT CAST(CAST(ts::DATE AS TIMESTAMP) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_counts(spark, d):
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    daily = incremental.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day")
+    return incremental.drained(daily, "daily").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
