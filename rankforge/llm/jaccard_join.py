@@ -1,15 +1,18 @@
 """Exact self-join of word-shingle sets by Jaccard similarity, as a join in the metric space of Jaccard distance.
 
-Sets that agree share one of their rarest shingles (the prefix principle), so such a shingle opens a first region. A region of up to
-LEAF sets is joined at once. In a larger one pivots are chosen and every set goes to the Voronoi region of its nearest pivot; by the
-triangle inequality a pair within distance r meets if each set is also copied to the regions whose pivot is at most 2r farther
-than its nearest. Regions are joined recursively. Where pivots no longer divide a region, what is not linked to the pivot is joined
-with the rest in blocks, within rings of distance to the pivot that are one r wide. All comparisons are exact.
+Sets that agree share one of their rarest shingles (the prefix principle), so such a shingle opens a first region. Regions of up to
+LEAF sets are joined at once, on prefixes. In a larger one pivots are chosen and every set goes to the Voronoi region of its nearest
+pivot; by the triangle inequality a pair within distance r meets if each set is also copied to the regions whose pivot is at most
+2r farther than its nearest. Regions are joined recursively. Where pivots no longer divide a region, what is not linked to the
+pivot is joined with the rest in blocks, within rings of distance to the pivot that are one r wide. What may be similar by its
+prefix is compared exactly: each set with the hub of its candidates first, then all that the links found and the triangle
+inequality leave open.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import materialise, text_batches
 from rankforge.llm.components import components
 
-#: Sets that one task joins at once; pivots a region; levels of Voronoi regions.
-LEAF, PIVOTS, LEVELS = 96, 4, 3
+#: Sets whose prefixes one task compares at once; pivots a region; levels of Voronoi regions; rounds of linking to hubs.
+LEAF, PIVOTS, LEVELS, ROUNDS = 1024, 4, 3, 2
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 #: Documents whose shingles tell which ones are frequent, how often one must occur there, and how many are kept. They only order
@@ -154,68 +157,51 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return inter + np.diag(n - np.diag(inter))
 
 
-def leaf_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(cid, p): pairs of small regions whose prefixes leave room for enough common shingles. rows: g, cid, n, last, prefix.
+def leaf_candidates(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """(cid, p): pairs of small regions whose prefixes leave room for enough common shingles.
 
+    rows: keys, cid, side, n, last, prefix. side 1 is compared with all; side 2 only with 1 and 3; side 3 only with 2.
     Of two prefixes the one that ends first in the common order holds all common shingles up to there; beyond it there are at most
     as many as its set has left. What passes is nearly what is similar.
     """
 
     def join(table: pa.Table) -> pa.Table:
-        cid, n, last = (table.column(c).to_numpy() for c in ("cid", "n", "last"))
+        cid, n, last, side = (table.column(c).to_numpy() for c in ("cid", "n", "last", "side"))
         sets = [np.asarray(x.values) for x in table.column("prefix")]
         end = np.array([s[-1] for s in sets])
         left = n - np.array([len(s) for s in sets])
         sooner = (last[:, None] < last[None, :]) | ((last[:, None] == last[None, :]) & (end[:, None] <= end[None, :]))
         most = overlaps(sets) + np.where(sooner, left[:, None], left[None, :])
         fits = (100 + percent) * most >= percent * (n[:, None] + n[None, :])
-        a, b = np.nonzero(fits & (cid[:, None] < cid[None, :]))
+        wanted = (side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5)
+        a, b = np.nonzero(fits & wanted & (cid[:, None] < cid[None, :]))
         return pa.table({"cid": pa.array(cid[b], pa.int64()), "p": pa.array(cid[a], pa.int64())})
 
-    return rows.select("g", "cid", "n", "last", "prefix").groupBy("g").applyInArrow(join, "cid long, p long").distinct()
-
-
-def leaf_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(a, b) of all similar pairs in each region. rows: keys, cid, side, set.
-
-    side 1 is compared with all; side 2 only with 1 and 3; side 3 only with 2.
-    """
-
-    def join(table: pa.Table) -> pa.Table:
-        cid = table.column("cid").to_numpy()
-        side = table.column("side").to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.int64) for x in table.column("set")]
-        n, inter = np.array([len(s) for s in sets]), overlaps(sets)
-        union = n[:, None] + n[None, :] - inter
-        wanted = ((side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5)) & (cid[:, None] < cid[None, :])
-        a, b = np.nonzero(wanted & similar(inter, union, percent))
-        return pa.table({"a": pa.array(cid[a], pa.int64()), "b": pa.array(cid[b], pa.int64())})
-
-    return rows.select(*keys, "cid", "side", "set").groupBy(*keys).applyInArrow(join, "a long, b long")
+    return rows.select(*keys, "cid", "side", "n", "last", "prefix").groupBy(*keys).applyInArrow(join, "cid long, p long")
 
 
 def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, cid, p, d, linked) of each member and each pivot of its region."""
-    pairs = members.join(pivots, "g").select("g", "cid", "p")
-    return measured(pairs, sets, percent)
+    """(g, cid, p, d, linked) of each member and each pivot of its region; regions that overlap share pivots and measurements."""
+    near = members.join(pivots, "g").select("g", "cid", "p")
+    return near.join(measured(near.select("cid", "p").distinct(), sets, percent), ["cid", "p"])
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, cid, p, d, linked) of pairs (g, cid, p); the sets travel once a pair, never a region whole."""
+    """(cid, p, d, linked) of pairs (cid, p); the sets travel once a pair, never a region whole."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             inter, union = [], []
-            for x, p in zip(b.column(3), b.column(4), strict=True):
+            for x, p in zip(b.column(2), b.column(3), strict=True):
                 x, p = np.frombuffer(x.as_py(), np.int64), np.frombuffer(p.as_py(), np.int64)
                 at = np.minimum(np.searchsorted(p, x), len(p) - 1)
                 inter.append(int((p[at] == x).sum()))
                 union.append(len(x) + len(p) - inter[-1])
             inter, union = np.array(inter, np.int64), np.array(union, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent), pa.bool_())], names=["g", "cid", "p", "d", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent), pa.bool_())], names=["cid", "p", "d", "linked"])
 
     both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("p"), F.col("set").alias("pivot_set")), "p")
-    return both.select("g", "cid", "p", "set", "pivot_set").mapInArrow(measure, "g long, cid long, p long, d double, linked boolean")
+    return both.select("cid", "p", "set", "pivot_set").mapInArrow(measure, "cid long, p long, d double, linked boolean")
 
 
 def divide(members: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +209,7 @@ def divide(members: DataFrame, sets: DataFrame, percent: int, level: int) -> tup
     first = F.min_by("cid", F.struct("rare", F.xxhash64("cid", F.lit(level))))
     more = [F.min_by("cid", F.xxhash64("cid", F.lit(100 * level + i))) for i in range(1, PIVOTS)]
     pivots = members.groupBy("g").agg(F.array(first, *more).alias("p")).select("g", F.explode(F.array_distinct("p")).alias("p"))
-    near = materialise(pivot_distances(members, pivots, sets, percent), "distances")
+    near = materialise(pivot_distances(members, materialise(pivots, "pivots"), sets, percent).select("g", "cid", "p", "d", "linked"), "distances")
     reach = 2 * (1 - percent / 100) + 1e-9
     nearest = near.groupBy("g", "cid").agg(F.min("d").alias("least"))
     cells = near.join(nearest, ["g", "cid"]).where(F.col("d") <= F.col("least") + reach)
@@ -233,11 +219,11 @@ def divide(members: DataFrame, sets: DataFrame, percent: int, level: int) -> tup
 
 def block_rows(cells: DataFrame, percent: int) -> DataFrame:
     """Blocks (g, r, i, j) of what isn't linked to a pivot against all of its region, within rings of the distance to the pivot."""
-    ring = 1 - percent / 100 + 1e-9
+    ring, most = 1 - percent / 100 + 1e-9, max(1, LEAF // 2)
     x = cells.withColumn("r", F.floor(F.col("d") / ring).cast("int"))
-    sizes = x.groupBy("g", "r").agg(F.ceil(F.sum((~F.col("linked")).cast("int")) / LEAF).alias("bi"), F.ceil(F.count(F.lit(1)) / LEAF).alias("n")).where("bi > 0")
+    sizes = x.groupBy("g", "r").agg(F.ceil(F.sum((~F.col("linked")).cast("int")) / most).alias("bi"), F.ceil(F.count(F.lit(1)) / most).alias("n")).where("bi > 0")
     near = x.groupBy("g", "r").agg(F.count(F.lit(1)).alias("m"))
-    rings = sizes.select("g", F.col("r").alias("r0"), "bi").join(near, "g").where(F.abs(F.col("r") - F.col("r0")) <= 1).groupBy("g", "r0").agg(F.first("bi").alias("bi"), F.ceil(F.sum("m") / LEAF).alias("bj"))
+    rings = sizes.select("g", F.col("r").alias("r0"), "bi").join(near, "g").where(F.abs(F.col("r") - F.col("r0")) <= 1).groupBy("g", "r0").agg(F.first("bi").alias("bi"), F.ceil(F.sum("m") / most).alias("bj"))
     alone = x.where(~F.col("linked")).withColumnRenamed("r", "r0").join(rings, ["g", "r0"])
     left = alone.select("g", "r0", "cid", F.pmod(F.xxhash64("cid"), "bi").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"), F.lit(3).alias("side"))
     every = x.withColumn("r0", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1))).join(rings, ["g", "r0"])
@@ -264,7 +250,7 @@ def size_windows(members: DataFrame, percent: int) -> DataFrame:
 def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(classes, links): one class a distinct set (digest, cid, n, rare), and links (a, b) between classes.
 
-    The links hold every similar pair of different sets, but for pairs that are both linked to one pivot: those are connected by it.
+    The links connect whatever similar pairs of different sets connect; pairs that links connect already aren't compared.
     """
     classes = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "last", "prefix")).alias("c"))
     classes = materialise(classes.select("digest", F.col("c.doc_id").alias("cid"), "c.n", "c.rare", "c.last", "c.prefix"), "classes")
@@ -273,30 +259,61 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
     members = materialise(rows.join(regions, "g"), "members")
     small = size_windows(members.where(F.col("k") <= LEAF).select("g", "cid", "n"), percent)
     large = members.where(F.col("k") > LEAF).join(classes.select("cid", "rare"), "cid").select("g", "cid", "rare", "k")
-    near = small.join(classes.select("cid", "n", "last", "prefix"), "cid")
-    near = materialise(leaf_candidates(near, percent).select(F.lit(0).cast("long").alias("g"), "cid", "p"), "candidates")
+    prefixes = classes.select("cid", "n", "last", "prefix")
     large = materialise(one_of_equal(large), "large")
-    wanted = near.select("cid").union(near.select(F.col("p").alias("cid"))).union(large.select("cid")).distinct()
-    sets = materialise(sets_of(docs, wanted, width), "sets")
-    links = [measured(near, sets, percent).where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))]
+    open_pairs = [leaf_candidates(small.withColumn("side", F.lit(1)).join(prefixes, "cid"), ["g"], percent)]
+    links = [docs.sparkSession.createDataFrame([], "a long, b long")]
+    sets = None
     for level in range(LEVELS):
         if large.isEmpty():
             break
+        sets = sets or materialise(sets_of(docs, large.select("cid").distinct(), width), "pivot-sets")
         found, cells = divide(large.select("g", "cid", "rare"), sets, percent, level)
         links.append(found)
         cells = materialise(cells.join(large.select("g", "cid", "rare", F.col("k").alias("was")), ["g", "cid"]), "cells")
         size = cells.groupBy("g2").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("done")).where("not done and k > 1")
-        cells = materialise(cells.drop("g").join(size, "g2").withColumnRenamed("g2", "g"), "cells")
+        cells = materialise(one_of_equal(cells.drop("g").join(size, "g2").withColumnRenamed("g2", "g")), "cells")
         leaf = cells.where(F.col("k") <= LEAF).select("g", "cid", F.when(F.col("linked"), 2).otherwise(1).alias("side"))
-        links.append(leaf_links(leaf.join(sets, "cid"), ["g"], percent))
+        open_pairs.append(leaf_candidates(leaf.join(prefixes, "cid"), ["g"], percent))
         stuck = (F.col("k") > LEAF) & ((F.col("k") > 0.7 * F.col("was")) | F.lit(level == LEVELS - 1))
         blocks = block_rows(cells.where(stuck), percent)
-        links.append(leaf_links(blocks.join(sets, "cid"), ["g", "r0", "i", "j"], percent))
+        open_pairs.append(leaf_candidates(blocks.join(prefixes, "cid"), ["g", "r0", "i", "j"], percent))
         large = cells.where((F.col("k") > LEAF) & ~stuck).select("g", "cid", "rare", "k")
-    all_links = links[0]
-    for more in links[1:]:
-        all_links = all_links.union(more)
-    return classes, materialise(all_links.distinct(), "links")
+    candidates = materialise(reduce(DataFrame.union, open_pairs).distinct(), "candidates")
+    return classes, resolve(docs, candidates, materialise(reduce(DataFrame.union, links).distinct(), "links"), width, percent)
+
+
+def resolve(docs: DataFrame, pairs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b), found ones included, that connect what the candidate pairs (cid, p) connect.
+
+    In each round every set is compared with its candidate of most candidates, a hub. Pairs within one component, and pairs whose
+    distances to a common hub differ by more than r, need no comparison any more. What is left in the end is compared.
+    """
+    nodes = pairs.select("cid").union(pairs.select(F.col("p").alias("cid"))).distinct()
+    sets = materialise(sets_of(docs, nodes, width), "sets")
+    reach = 1 - percent / 100 + 1e-9
+    for _ in range(ROUNDS):
+        of = materialise(components(links), "parts")
+        one, two = of.select(F.col("node").alias("cid"), F.col("component").alias("c1")), of.select(F.col("node").alias("p"), F.col("component").alias("c2"))
+        apart = pairs.join(one, "cid", "left").join(two, "p", "left").where("c1 is null or c2 is null or c1 <> c2").select("cid", "p")
+        both = apart.union(apart.select("p", "cid"))
+        degree = both.groupBy("cid").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("cid", "p")
+        hub = both.join(degree, "p").groupBy("cid").agg(F.max(F.struct("degree", (-F.col("p")).alias("q"))).alias("h")).select("cid", (-F.col("h.q")).alias("hub"))
+        hub = materialise(hub, "hubs")
+        tried = materialise(measured(hub.select(F.greatest("cid", "hub").alias("cid"), F.least("cid", "hub").alias("p")).distinct(), sets, percent), "tried")
+        links = materialise(links.union(tried.where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))).distinct(), "links")
+        far = tried.select("cid", F.col("p").alias("hub"), "d").union(tried.select(F.col("p"), F.col("cid"), "d"))
+        far = hub.join(far, ["cid", "hub"])
+        left = apart.join(tried.select("cid", "p"), ["cid", "p"], "left_anti")
+        left = left.join(far.select("cid", F.col("hub").alias("h1"), F.col("d").alias("d1")), "cid", "left").join(far.select(F.col("cid").alias("p"), F.col("hub").alias("h2"), F.col("d").alias("d2")), "p", "left")
+        # A null means that a side has no hub; then nothing is known of the pair.
+        ruled_out = F.coalesce((F.col("h1") == F.col("h2")) & (F.abs(F.col("d1") - F.col("d2")) > reach), F.lit(False))
+        pairs = materialise(left.where(~ruled_out).select("cid", "p"), "left")
+    of = components(links)
+    one, two = of.select(F.col("node").alias("cid"), F.col("component").alias("c1")), of.select(F.col("node").alias("p"), F.col("component").alias("c2"))
+    apart = pairs.join(one, "cid", "left").join(two, "p", "left").where("c1 is null or c2 is null or c1 <> c2").select("cid", "p")
+    last = measured(apart, sets, percent).where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))
+    return materialise(links.union(last), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
