@@ -31,12 +31,14 @@ def place_among(candidates: DataFrame, reference: DataFrame) -> DataFrame:
 def rank_without_each(ranked: DataFrame, method: str) -> DataFrame:
     """(removed, rank): the method's equal-task mean rank if another one were not there, from its rank and one comparison a task."""
     own = ranked.where(F.col("method") == method).select("dataset", "fold", F.col("metric_error").alias("e"), F.col("rank").alias("own"))
+    per = own.groupBy("dataset").agg(F.avg("own").alias("own"), F.count(F.lit(1)).alias("folds"))
+    whole = per.agg(F.avg("own").alias("whole"), F.count(F.lit(1)).alias("datasets"))
     others = ranked.where(F.col("method") != method).select("dataset", "fold", F.col("method").alias("removed"), F.col("metric_error").alias("r"))
     less = F.when(F.col("r") < F.col("e"), 1.0).when(F.col("r") == F.col("e"), 0.5).otherwise(0.0)
-    names = others.select("removed").distinct()
-    # Tasks that the removed method lacks keep the rank; there are as many rows as methods times tasks.
-    rows = own.crossJoin(F.broadcast(names)).join(others, ["dataset", "fold", "removed"], "left").select("dataset", "removed", (F.col("own") - F.when(F.col("r").isNull(), 0.0).otherwise(less)).alias("rank"))
-    return rows.groupBy("removed", "dataset").agg(F.avg("rank").alias("rank")).groupBy("removed").agg(F.avg("rank").alias("rank"))
+    met = others.join(own, ["dataset", "fold"]).groupBy("removed", "dataset").agg(F.sum(less).alias("less"))
+    lost = met.join(per, "dataset").groupBy("removed").agg(F.sum(F.col("less") / F.col("folds")).alias("lost"))
+    # One row of totals; methods that share no task with this one change nothing and have no row.
+    return lost.join(F.broadcast(whole)).select("removed", (F.col("whole") - F.col("lost") / F.col("datasets")).alias("rank"))
 
 
 def wilcoxon(differences: np.ndarray) -> float:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import features
 from rankforge.operators import aggregate, elo, jobs, metrics, pertask, portfolio, scoring, stability, subset
-from rankforge.streaming import incremental
+from rankforge.sources.catalog import Repository
 from rankforge.sources.derived import RESULTS_SQL, SCORES_SQL, TASKS_SQL, WIDE_SQL, results, scores, table, tasks
+from rankforge.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -546,3 +547,12 @@ def stream_daily_counts(spark, d):
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     daily = incremental.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day")
     return incremental.drained(daily, "daily").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error FROM wide WHERE fold = 0 AND dataset IN (SELECT dataset FROM tasks WHERE problem_type = 'binary')", WIDE_SQL, TASKS_SQL)
+def repository_roundtrip(spark, d):
+    import uuid
+
+    path = f"{incremental.shared_folder(spark)}/repository-{uuid.uuid4().hex}"
+    Repository(results(spark, d, wide=True), tasks(spark, d)).save(path)
+    return Repository.load(spark, path).subset(folds=[0], expressions="binary").results.select("method", "dataset", "fold", "metric_error")

@@ -71,3 +71,21 @@ def test_portfolio_leaves_one_out(spark):
     rows = [(m, f"d{d}", 0, float(e)) for d in range(3) for m, e in (("good", 1), ("bad", 2))]
     got = portfolio.leave_one_dataset_out(spark.createDataFrame(rows, SCHEMA), 1).collect()
     assert {(r.dataset, r.method) for r in got} == {(f"d{d}", "good") for d in range(3)}
+
+
+def test_repository(spark, tmp_path):
+    from rankforge.sources.catalog import Repository, metric_name
+
+    results = spark.createDataFrame([("m", "d", 0, 1.0), ("n", "e", 0, 2.0)], SCHEMA)
+    tasks = spark.createDataFrame([("d", "binary", 5), ("e", "regression", 7)], "dataset string, problem_type string, n_train long")
+    repo = Repository(results, tasks)
+    repo.save(str(tmp_path))
+    Repository(results.where("dataset = 'd'").selectExpr("method", "dataset", "fold", "metric_error + 1 as metric_error"), tasks).replace_datasets(str(tmp_path))
+    back = Repository.load(spark, str(tmp_path))
+    assert {(r.method, r.metric_error) for r in back.results.collect()} == {("m", 2.0), ("n", 2.0)}
+    assert [r.method for r in back.subset(expressions="binary").results.collect()] == ["m"] and back.subset(datasets=["e"]).results.count() == 1
+    with pytest.raises(ValueError):
+        repo.join(repo)
+    assert repo.join(repo, "first").results.count() == 2
+    names = spark.createDataFrame([("auc",), ("other",)], "metric string").select(metric_name("metric").alias("m"))
+    assert [r.m for r in names.collect()] == ["roc_auc", "other"]
