@@ -334,5 +334,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component: the smallest doc_id of each. Null ids stay."""
-    keep = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+    keep = materialise(jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    keep = F.broadcast(keep) if keep.count() <= MOST_IDS else keep.hint("shuffle_hash")
     return docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi"))
