@@ -57,7 +57,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.int64)
-    if len(WORDS) > 1_000_000:
+    if len(WORDS) > 300_000:
         WORDS.clear()
     h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
@@ -131,9 +131,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for part in text_batches(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array([shingle_set(t, width).tobytes() for t in texts[part]], pa.binary())], names=["cid", "set"])
 
-    ids = wanted.select(F.col("cid").alias("doc_id"))
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("shuffle_hash")
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "cid long, set binary")
+    ids = materialise(wanted.select(F.col("cid").alias("doc_id")), "wanted")
+    return docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "cid long, set binary")
 
 
 def similar(inter: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
@@ -149,9 +148,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     keep = counts[inverse] > 1
     columns, owners, width = column[inverse[keep]], owner[keep], int((counts > 1).sum())
     inter = np.zeros((len(sets), len(sets)), np.float32)
-    for k in range(0, width, 16_384):
-        here = (columns >= k) & (columns < k + 16_384)
-        m = np.zeros((len(sets), min(16_384, width - k)), np.float32)
+    for k in range(0, width, 4_096):
+        here = (columns >= k) & (columns < k + 4_096)
+        m = np.zeros((len(sets), min(4_096, width - k)), np.float32)
         m[owners[here], columns[here] - k] = 1
         inter += m @ m.T
     return inter + np.diag(n - np.diag(inter))
@@ -186,6 +185,11 @@ def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, perc
     return near.join(measured(near.select("cid", "p").distinct(), sets, percent), ["cid", "p"])
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of ids, to be broadcast while there are few of them."""
+    return F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+
+
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(cid, p, d, linked) of pairs (cid, p); the sets travel once a pair, never a region whole."""
 
@@ -200,7 +204,11 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             inter, union = np.array(inter, np.int64), np.array(union, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent), pa.bool_())], names=["cid", "p", "d", "linked"])
 
-    both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("p"), F.col("set").alias("pivot_set")), "p")
+    pairs = materialise(pairs, "pairs")
+    ends = few(pairs.select(F.col("p").alias("cid")).distinct())
+    pivot_sets = sets.join(ends, "cid", "left_semi").select(F.col("cid").alias("p"), F.col("set").alias("pivot_set"))
+    # Few pairs are broadcast to the sets; then only what each pair needs is shuffled, once.
+    both = sets.join(few(pairs), "cid").join(pivot_sets, "p")
     return both.select("cid", "p", "set", "pivot_set").mapInArrow(measure, "cid long, p long, d double, linked boolean")
 
 
@@ -335,5 +343,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component: the smallest doc_id of each. Null ids stay."""
     keep = materialise(jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    keep = F.broadcast(keep) if keep.count() <= MOST_IDS else keep.hint("shuffle_hash")
-    return docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi"))
+    return docs.where("doc_id is null").unionByName(docs.join(few(keep), "doc_id", "left_semi"))
