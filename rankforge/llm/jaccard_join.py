@@ -5,8 +5,8 @@ LEAF sets are joined at once, on prefixes. In a larger one pivots are chosen and
 pivot; by the triangle inequality a pair within distance r meets if each set is also copied to the regions whose pivot is at most
 2r farther than its nearest. Regions are joined recursively. Where pivots no longer divide a region, what is not linked to the
 pivot is joined with the rest in blocks, within rings of distance to the pivot that are one r wide. What may be similar by its
-prefix is compared exactly: each set with the hub of its candidates first, then all that the links found and the triangle
-inequality leave open.
+prefix is compared exactly: each set with the hub of its candidates first, then, in rounds, with whatever the links found so far
+leave apart.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from rankforge.llm.common import materialise, text_batches
 from rankforge.llm.components import components
 
-#: Sets whose prefixes one task compares at once; pivots a region; levels of Voronoi regions; rounds of linking to hubs.
-LEAF, PIVOTS, LEVELS, ROUNDS = 1024, 4, 3, 2
+#: Sets whose prefixes one task compares at once; pivots a region; levels of Voronoi regions.
+LEAF, PIVOTS, LEVELS = 1024, 4, 3
+#: How many candidates a set is compared with in each round; in the last one with all that are left.
+TRIES = (1, 4, 16, 64, 256, None)
 #: Documents whose ids may be broadcast to fetch their texts; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 #: Documents whose shingles tell which ones are frequent, how often one must occur there, and how many are kept. They only order
@@ -156,27 +158,33 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return inter + np.diag(n - np.diag(inter))
 
 
-def leaf_candidates(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(cid, p): pairs of small regions whose prefixes leave room for enough common shingles.
+def leaf_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(g, cid, side, p): for each set up to `most` (None: all) sets of its leaf whose prefixes leave room for enough common shingles.
 
-    rows: keys, cid, side, n, last, prefix. side 1 is compared with all; side 2 only with 1 and 3; side 3 only with 2.
-    Of two prefixes the one that ends first in the common order holds all common shingles up to there; beyond it there are at most
-    as many as its set has left. What passes is nearly what is similar.
+    rows: g, cid, side, part, n, last, prefix. Sets of one part are connected already and no pair. side 1 is compared with all;
+    side 2 only with 1 and 3; side 3 only with 2. Of two prefixes the one that ends first in the common order holds all common
+    shingles up to there; beyond it there are at most as many as its set has left. What passes is nearly what is similar. If there
+    is one choice a set takes its hub, the candidate of most candidates, else the first ones in an order that is the same in all
+    rounds. So a leaf of k alike sets gives k rows, not all its pairs.
     """
 
     def join(table: pa.Table) -> pa.Table:
-        cid, n, last, side = (table.column(c).to_numpy() for c in ("cid", "n", "last", "side"))
+        cid, n, last, side, part = (table.column(c).to_numpy() for c in ("cid", "n", "last", "side", "part"))
         sets = [np.asarray(x.values) for x in table.column("prefix")]
         end = np.array([s[-1] for s in sets])
         left = n - np.array([len(s) for s in sets])
         sooner = (last[:, None] < last[None, :]) | ((last[:, None] == last[None, :]) & (end[:, None] <= end[None, :]))
-        most = overlaps(sets) + np.where(sooner, left[:, None], left[None, :])
-        fits = (100 + percent) * most >= percent * (n[:, None] + n[None, :])
-        wanted = (side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5)
-        a, b = np.nonzero(fits & wanted & (cid[:, None] < cid[None, :]))
-        return pa.table({"cid": pa.array(cid[b], pa.int64()), "p": pa.array(cid[a], pa.int64())})
+        reach = overlaps(sets) + np.where(sooner, left[:, None], left[None, :])
+        fits = (100 + percent) * reach >= percent * (n[:, None] + n[None, :])
+        fits &= fits.T & ((side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5))
+        order = np.lexsort((cid, -fits.sum(axis=0))) if most == 1 else np.argsort(mixed(cid.view(np.uint64)), kind="stable")
+        tries = (fits & (part[:, None] != part[None, :]))[:, order]
+        if most is not None:
+            tries &= np.cumsum(tries, axis=1) <= most
+        a, b = np.nonzero(tries)
+        return pa.table({"g": table.column("g").take(pa.array(a)), "cid": pa.array(cid[a], pa.int64()), "side": pa.array(side[a], pa.int32()), "p": pa.array(cid[order[b]], pa.int64())})
 
-    return rows.select(*keys, "cid", "side", "n", "last", "prefix").groupBy(*keys).applyInArrow(join, "cid long, p long")
+    return rows.select("g", "cid", "side", "part", "n", "last", "prefix").groupBy("g").applyInArrow(join, "g long, cid long, side int, p long")
 
 
 def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +277,7 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
     large = members.where(F.col("k") > LEAF).join(classes.select("cid", "rare"), "cid").select("g", "cid", "rare", "k")
     prefixes = classes.select("cid", "n", "last", "prefix")
     large = materialise(one_of_equal(large), "large")
-    open_pairs = [leaf_candidates(small.withColumn("side", F.lit(1)).join(prefixes, "cid"), ["g"], percent)]
+    leaves = [small.select("g", "cid", F.lit(1).alias("side"))]
     links = [docs.sparkSession.createDataFrame([], "a long, b long")]
     sets = None
     for level in range(LEVELS):
@@ -281,47 +289,37 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
         cells = materialise(cells.join(large.select("g", "cid", "rare", F.col("k").alias("was")), ["g", "cid"]), "cells")
         size = cells.groupBy("g2").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("done")).where("not done and k > 1")
         cells = materialise(one_of_equal(cells.drop("g").join(size, "g2").withColumnRenamed("g2", "g")), "cells")
-        leaf = cells.where(F.col("k") <= LEAF).select("g", "cid", F.when(F.col("linked"), 2).otherwise(1).alias("side"))
-        open_pairs.append(leaf_candidates(leaf.join(prefixes, "cid"), ["g"], percent))
+        leaves.append(cells.where(F.col("k") <= LEAF).select("g", "cid", F.when(F.col("linked"), 2).otherwise(1).alias("side")))
         stuck = (F.col("k") > LEAF) & ((F.col("k") > 0.7 * F.col("was")) | F.lit(level == LEVELS - 1))
-        blocks = block_rows(cells.where(stuck), percent)
-        open_pairs.append(leaf_candidates(blocks.join(prefixes, "cid"), ["g", "r0", "i", "j"], percent))
+        leaves.append(block_rows(cells.where(stuck), percent).select(F.xxhash64("g", "r0", "i", "j").alias("g"), "cid", "side"))
         large = cells.where((F.col("k") > LEAF) & ~stuck).select("g", "cid", "rare", "k")
-    candidates = materialise(reduce(DataFrame.union, open_pairs).distinct(), "candidates")
-    return classes, resolve(docs, candidates, materialise(reduce(DataFrame.union, links).distinct(), "links"), width, percent)
+    links = materialise(reduce(DataFrame.union, links).distinct(), "links")
+    return classes, resolve(docs, materialise(reduce(DataFrame.union, leaves), "leaves"), prefixes, links, width, percent)
 
 
-def resolve(docs: DataFrame, pairs: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links (a, b), found ones included, that connect what the candidate pairs (cid, p) connect.
+def resolve(docs: DataFrame, leaves: DataFrame, prefixes: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b), found ones included, that connect what the similar pairs within leaves (g, cid, side) connect.
 
-    In each round every set is compared with its candidate of most candidates, a hub. Pairs within one component, and pairs whose
-    distances to a common hub differ by more than r, need no comparison any more. What is left in the end is compared.
+    In each round every set is compared with some of its candidates of other components, more of them each round and in the last
+    one with all that are left. Leaves within one component, and sets without a candidate, leave the join.
     """
-    nodes = pairs.select("cid").union(pairs.select(F.col("p").alias("cid"))).distinct()
-    sets = materialise(sets_of(docs, nodes, width), "sets")
-    reach = 1 - percent / 100 + 1e-9
-    for _ in range(ROUNDS):
-        of = materialise(components(links), "parts")
-        one, two = of.select(F.col("node").alias("cid"), F.col("component").alias("c1")), of.select(F.col("node").alias("p"), F.col("component").alias("c2"))
-        apart = pairs.join(one, "cid", "left").join(two, "p", "left").where("c1 is null or c2 is null or c1 <> c2").select("cid", "p")
-        both = apart.union(apart.select("p", "cid"))
-        degree = both.groupBy("cid").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("cid", "p")
-        hub = both.join(degree, "p").groupBy("cid").agg(F.max(F.struct("degree", (-F.col("p")).alias("q"))).alias("h")).select("cid", (-F.col("h.q")).alias("hub"))
-        hub = materialise(hub, "hubs")
-        tried = materialise(measured(hub.select(F.greatest("cid", "hub").alias("cid"), F.least("cid", "hub").alias("p")).distinct(), sets, percent), "tried")
-        links = materialise(links.union(tried.where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))).distinct(), "links")
-        far = tried.select("cid", F.col("p").alias("hub"), "d").union(tried.select(F.col("p"), F.col("cid"), "d"))
-        far = hub.join(far, ["cid", "hub"])
-        left = apart.join(tried.select("cid", "p"), ["cid", "p"], "left_anti")
-        left = left.join(far.select("cid", F.col("hub").alias("h1"), F.col("d").alias("d1")), "cid", "left").join(far.select(F.col("cid").alias("p"), F.col("hub").alias("h2"), F.col("d").alias("d2")), "p", "left")
-        # A null means that a side has no hub; then nothing is known of the pair.
-        ruled_out = F.coalesce((F.col("h1") == F.col("h2")) & (F.abs(F.col("d1") - F.col("d2")) > reach), F.lit(False))
-        pairs = materialise(left.where(~ruled_out).select("cid", "p"), "left")
-    of = components(links)
-    one, two = of.select(F.col("node").alias("cid"), F.col("component").alias("c1")), of.select(F.col("node").alias("p"), F.col("component").alias("c2"))
-    apart = pairs.join(one, "cid", "left").join(two, "p", "left").where("c1 is null or c2 is null or c1 <> c2").select("cid", "p")
-    last = measured(apart, sets, percent).where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))
-    return materialise(links.union(last), "links")
+    sets = tried = None
+    for most in TRIES:
+        of = components(links).select(F.col("node").alias("cid"), "component")
+        live = leaves.join(of, "cid", "left").select("g", "cid", "side", F.coalesce("component", "cid").alias("part"))
+        apart = live.groupBy("g").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("g")
+        found = materialise(leaf_pairs(live.join(apart, "g", "left_semi").join(prefixes, "cid"), percent, most), "candidates")
+        if found.isEmpty():
+            break
+        # A candidate's candidate is the set itself, so the first round names all sets that are ever compared.
+        sets = sets or materialise(sets_of(docs, found.select("cid").distinct(), width), "sets")
+        pairs = found.select(F.greatest("cid", "p").alias("cid"), F.least("cid", "p").alias("p")).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["cid", "p"], "left_anti")
+        now = materialise(measured(pairs, sets, percent), "tried")
+        links = materialise(links.union(now.where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))), "links")
+        tried = now.select("cid", "p") if tried is None else tried.union(now.select("cid", "p"))
+        leaves = found.select("g", "cid", "side").distinct()
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
