@@ -3,7 +3,7 @@
 Every block of a page has the path of tags from the root to it. Text length and punctuation are summed over the blocks of a path,
 the two ratios per block are smoothed over neighbouring paths and fused, and paths above a threshold hold content. The article is
 the smallest element with nearly all of that content; the blocks in it, short headings too, are the text, but for elements that
-their names mark as something else.
+their names mark as something else; a name in doubt is decided by the paths below it.
 """
 
 from __future__ import annotations
@@ -31,6 +31,16 @@ NOT_TEXT = frozenset("head nav footer aside form button select dialog menu optio
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 NOT_NAMES = frozenset("nav navbar navigation menu footer foot sidebar sidenav aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion feedback share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager toolbar widget widgets copyright legal disclaimer form search skip hidden masthead topbar".split())
 IS_NAMES = frozenset("content article main post body entry story text page".split())
+#: Names that say by themselves that an element isn't article text; the second set only as a class, the third only outside an article.
+SURE_NAMES = frozenset("navbar sidenav sidebar footer ad ads advert adverts advertisement sponsored comment comments commentlist disqus share sharing breadcrumb breadcrumbs newsletter subscribe signup pager pagination toolbar widget widgets popup modal masthead topbar".split())
+SURE_CLASSES = SURE_NAMES | frozenset("nav notice notices alert promo banner hidden overlay login related recommended copyright disclaimer".split())
+SURE_OUTSIDE = SURE_CLASSES | frozenset("navigation menu foot advertising sponsor promotion cookie cookies consent gdpr notification subscription reply replies respond recommendations aside".split())
+#: Words that may stand beside a sure name in a class or id and change nothing.
+NEUTRAL = frozenset("box bar wrap wrapper container inner outer list item items block area section panel group row column col site page main post posts entry article story content body text top bottom left right primary secondary global button buttons link links slot unit form js sticky fixed mobile desktop".split())
+#: Elements whose id is an anchor of the text, never the name of a part of the page.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre li dt dd td th tr figcaption caption".split())
+#: Whether an element is article text: it may be, it may only if the paths of its text hold content, it isn't.
+NO, PERHAPS, YES = 0, 1, 2
 WHOLE = frozenset("html body article main".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -47,7 +57,7 @@ class Element:
     tag: str
     label: str
     parent: int
-    other: bool
+    other: int
     inner: bool
 
 
@@ -57,30 +67,41 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
-def names_other(tag: str, attributes: str, inner: bool) -> bool:
-    """Whether a tag, its role, class or id say that this isn't part of the article. A header within an article is its title."""
+def names_other(tag: str, attributes: str, inner: bool) -> int:
+    """Whether a tag, its role, class or id say that this isn't part of the article: NO, PERHAPS or YES.
+
+    A header within an article is its title. A class or id counts there only as a whole and if it means nothing else; outside, a name
+    that has a part of NOT_NAMES beside other words, or an ambiguous one, makes it PERHAPS.
+    """
     if tag in NOT_TEXT or (tag == "header" and not inner):
-        return True
+        return YES
     if not attributes or tag in WHOLE:
-        return False
+        return NO
     known = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     bare = ATTRIBUTE.sub("", attributes).lower().split()
     if "hidden" in bare or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "").lower():
-        return True
+        return YES
     if known.get("role", "").lower() in NOT_ROLES:
-        return True
-    for name in (known.get("class", "") + " " + known.get("id", "")).split():
-        parts = {p.lower() for p in NAME_PARTS.findall(name)}
-        if (parts & NOT_NAMES or ("header" in parts and not inner)) and not parts & IS_NAMES:
-            return True
-        if parts & NOT_NAMES & {"comment", "comments", "sidebar", "footer", "nav", "menu", "ad", "ads"} and not parts & {"with", "has", "no"} and name.lower() not in IS_NAMES:
-            return True
-    return False
+        return YES
+    anchored, other = tag in ANCHORED, NO
+    for kind in ("class",) if anchored else ("class", "id"):
+        sure = SURE_OUTSIDE if not inner and not anchored else SURE_CLASSES if kind == "class" else SURE_NAMES
+        for name in known.get(kind, "").split():
+            parts = {p.lower() for p in NAME_PARTS.findall(name)}
+            if parts & sure and parts <= NOT_NAMES | NEUTRAL:
+                return YES
+            if inner or anchored or parts & {"with", "has", "no"}:
+                continue
+            if "header" in parts and parts <= {"header", "site", "top", "global", "masthead", "nav"}:
+                return YES
+            if parts & NOT_NAMES and not parts & IS_NAMES:
+                other = PERHAPS
+    return other
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements and text blocks of a page in order; unclosed and stray tags are taken as browsers take them, roughly."""
-    elements, blocks = [Element("", "", -1, False, False)], []
+    elements, blocks = [Element("", "", -1, NO, False)], []
     stack, at, n = [0], 0, len(page)
     block: Block | None = None
 
@@ -147,7 +168,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             del stack[next((k for k, e in enumerate(stack) if elements[e].tag == "head"), len(stack)) :]
         parent = elements[stack[-1]]
         inner = parent.inner or tag in ("article", "main")
-        other = parent.other or names_other(tag, m[3], parent.inner)
+        other = YES if parent.other == YES else max(parent.other, names_other(tag, m[3], parent.inner))
         elements.append(Element(tag, tag, stack[-1], other, inner))
         if not m[3].endswith("/") or tag not in INLINE:
             stack.append(len(elements) - 1)
@@ -178,6 +199,13 @@ def path_scores(paths: list[str], lengths: list[int], marks: list[int]) -> dict[
     return dict(zip(order, fused.tolist(), strict=True))
 
 
+def content_paths(paths: list[str], found: list[tuple[int, str]]) -> tuple[dict[str, float], list[bool]]:
+    """Scores of the paths, and whether the path of each block holds content."""
+    scores = path_scores(paths, [len(t) for _, t in found], [len(PUNCTUATION.findall(t)) for _, t in found])
+    least = THRESHOLD * max(scores.values())
+    return scores, [scores[p] >= least for p in paths]
+
+
 def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
     """(text, [(path, fused ratio)]) of a page."""
     if not page:
@@ -186,7 +214,7 @@ def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
     found = []
     for b in blocks:
         text = " ".join(html.unescape("".join(b.parts)).split())
-        if text and not elements[b.element].other:
+        if text and elements[b.element].other != YES:
             found.append((b.element, text))
     if not found:
         return "", []
@@ -198,9 +226,17 @@ def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
         return ancestors[e]
 
     paths = ["/".join(elements[k].tag for k in line(e)[1:]) for e, _ in found]
-    scores = path_scores(paths, [len(t) for _, t in found], [len(PUNCTUATION.findall(t)) for _, t in found])
-    least = THRESHOLD * max(scores.values())
-    content = [scores[p] >= least for p in paths]
+    scores, content = content_paths(paths, found)
+    # What may be no article text stays whole if the paths of at least half of its text hold content, and goes whole otherwise; a page
+    # of nothing else stays.
+    doubted: dict[int, int] = {}
+    roots = [next((k for k in line(e) if elements[k].other == PERHAPS), 0) for e, _ in found]
+    for k, (_, t), c in zip(roots, found, content, strict=True):
+        doubted[k] = doubted.get(k, 0) + (len(t) if c else -len(t))
+    stays = [not k or doubted[k] >= 0 for k in roots]
+    if any(stays) and not all(stays):
+        found, paths = ([x for x, s in zip(xs, stays, strict=True) if s] for xs in (found, paths))
+        content = content_paths(paths, found)[1]
     weight: dict[int, int] = {}
     for (e, t), c in zip(found, content, strict=True):
         if c:

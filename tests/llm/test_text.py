@@ -33,6 +33,19 @@ def test_plain_and_div_pages():
     assert html_extract.main_text(page)[0] == "One, two. Three.\nFour, five. Six, seven."
 
 
+def test_named_parts_of_an_article_stay():
+    """Expected texts are written by hand: names of topics stay, names of page furniture go, inside an article and in plain divs."""
+    long = "A sentence of some length, with a comma. Another one, which is as long as that."
+    parts = f"""<h1 id="social">Title</h1><p id="ad">{long}</p><section id="discussion"><h2 id="search">Search</h2><p>{long} 1</p></section><div id="legal-history"><p>{long} 2</p>
+    <h3 id="feedback">Feedback</h3><p class="related">Go, now.</p></div><div class="social-policy"><p>{long} 3</p></div>
+    <div class="ad">Buy, now.</div><div class="share-buttons">Share it.</div><section class="comments"><p>I, {long}</p></section><div class="newsletter-signup"><p>Mail, please.</p></div>"""
+    want = ["Title", long, "Search", f"{long} 1", f"{long} 2", "Feedback", f"{long} 3"]
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<html><body><div class='site-menu-top'><a>Home</a></div><{tag}>{parts}</{tag}></body></html>")[0].split("\n") == want
+    page = f"<html><body><div id='my-menu'><ul><li>Home</li><li>About</li></ul></div><div id='legal-history'><h2 id='search'>Search</h2><p>{long}</p></div><div class='cookie-notice'><p>{long}</p></div></body></html>"
+    assert html_extract.main_text(page)[0] == f"Search\n{long}"
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = html_extract.extract(pages).collect()
