@@ -2,7 +2,8 @@
 
 Every block of a page has the path of tags from the root to it. Text length and punctuation are summed over the blocks of a path,
 the two ratios per block are smoothed over neighbouring paths and fused, and paths above a threshold hold content. The article is
-the smallest element with nearly all of that content; the blocks in it, short headings too, are the text, but for elements that
+the outermost <article> or <main> around nearly all of that content; in pages without one, the smallest element with all of it, widened
+to its ancestors up to the menus, headers and footers of the page. The blocks in it, short headings too, are the text, but for elements that
 their names mark as something else; a name in doubt is decided by the paths below it.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,8 @@ SURE_OUTSIDE = SURE_CLASSES | frozenset("navigation menu foot advertising sponso
 NEUTRAL = frozenset("box bar wrap wrapper container inner outer list item items block area section panel group row column col site page main post posts entry article story content body text top bottom left right primary secondary global button buttons link links slot unit form js sticky fixed mobile desktop".split())
 #: Elements whose id is an anchor of the text, never the name of a part of the page.
 ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre li dt dd td th tr figcaption caption".split())
+#: Tags, roles and parts of names of what surrounds the article of a page.
+FURNITURE = frozenset("nav navbar sidenav navigation menu menubar header footer foot banner contentinfo masthead topbar sidebar".split())
 #: Whether an element is article text: it may be, it may only if the paths of its text hold content, it isn't.
 NO, PERHAPS, YES = 0, 1, 2
 WHOLE = frozenset("html body article main".split())
@@ -59,11 +62,13 @@ class Element:
     parent: int
     other: int
     inner: bool
+    furniture: bool = False
 
 
 @dataclass
 class Block:
     element: int
+    linked: int = 0
     parts: list[str] = field(default_factory=list)
 
 
@@ -99,6 +104,13 @@ def names_other(tag: str, attributes: str, inner: bool) -> int:
     return other
 
 
+def names_furniture(tag: str, attributes: str) -> bool:
+    """Whether an element that isn't article text is a menu, header or footer of the page."""
+    known = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    names = " ".join(known.get(k, "") for k in ("class", "id", "role"))
+    return tag in FURNITURE or any(p.lower() in FURNITURE for p in NAME_PARTS.findall(names))
+
+
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements and text blocks of a page in order; unclosed and stray tags are taken as browsers take them, roughly."""
     elements, blocks = [Element("", "", -1, NO, False)], []
@@ -116,6 +128,8 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             block = Block(stack[k])
             blocks.append(block)
         block.parts.append(raw)
+        if any(elements[k].tag == "a" for k in stack[-3:]):
+            block.linked += len(raw.strip())
 
     while at < n:
         less = page.find("<", at)
@@ -169,7 +183,7 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         parent = elements[stack[-1]]
         inner = parent.inner or tag in ("article", "main")
         other = YES if parent.other == YES else max(parent.other, names_other(tag, m[3], parent.inner))
-        elements.append(Element(tag, tag, stack[-1], other, inner))
+        elements.append(Element(tag, tag, stack[-1], other, inner, other > parent.other and names_furniture(tag, m[3])))
         if not m[3].endswith("/") or tag not in INLINE:
             stack.append(len(elements) - 1)
     return elements, blocks
@@ -206,6 +220,29 @@ def content_paths(paths: list[str], found: list[tuple[int, str]]) -> tuple[dict[
     return scores, [scores[p] >= least for p in paths]
 
 
+def widened(elements: list[Element], blocks: list[Block], line: Callable[[int], list[int]], content: list[int]) -> tuple[int, set[int]]:
+    """(article, menus): the smallest element around all content, widened to its ancestors until one would add furniture of the page.
+
+    Adverts, comments and the like beside the text are left out by their names and don't end it; nor do menus, which are elements
+    outside that smallest one with several blocks of nothing but links.
+    """
+    common = line(content[0])
+    for e in content[1:]:
+        common = [k for k, x in zip(common, line(e)) if k == x]  # noqa: B905
+    around = set(common)
+    ends = {max(around.intersection(line(k))) for k, e in enumerate(elements) if e.furniture}
+    sums: dict[int, np.ndarray] = {}
+    for b in blocks:
+        if elements[b.element].other != YES:
+            n = sum(len(x.strip()) for x in b.parts)
+            for k in line(b.element):
+                sums[k] = sums.get(k, 0) + np.array([n, b.linked, n > 0])
+    menus = {k for k, (n, linked, count) in sums.items() if count > 1 and linked >= 0.9 * n and common[-1] not in line(k)}
+    while len(common) > 1 and common[-2] not in ends:
+        common.pop()
+    return common[-1], menus
+
+
 def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
     """(text, [(path, fused ratio)]) of a page."""
     if not page:
@@ -242,13 +279,12 @@ def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
         if c:
             for k in line(e):
                 weight[k] = weight.get(k, 0) + len(t)
-    # The deepest element that holds enough; a single block's own element widens to its parent.
+    # The deepest element that holds enough lies in an article element, or the blocks themselves say how far the article reaches.
     article = max((k for k, w in weight.items() if w >= HELD * weight[0]), key=lambda k: (len(line(k)), k))
-    blocks_in = sum(1 for e, _ in found if article in line(e))
-    if blocks_in == 1 and article and not elements[article].tag in WHOLE:
-        article = elements[article].parent
-    held = next((k for k in line(article) if elements[k].tag in ("article", "main")), article)
-    kept = [t for (e, t), c in zip(found, content, strict=True) if held in line(e) or c]
+    held, menus = next((k for k in line(article) if elements[k].tag in ("article", "main")), None), set()
+    if held is None:
+        held, menus = widened(elements, blocks, line, [e for (e, _), c in zip(found, content, strict=True) if c])
+    kept = [t for (e, t), c in zip(found, content, strict=True) if c or (held in line(e) and not menus.intersection(line(e)))]
     return "\n".join(kept), list(scores.items())
 
 

@@ -44,6 +44,21 @@ def test_named_parts_of_an_article_stay():
         assert html_extract.main_text(f"<html><body><div class='site-menu-top'><a>Home</a></div><{tag}>{parts}</{tag}></body></html>")[0].split("\n") == want
     page = f"<html><body><div id='my-menu'><ul><li>Home</li><li>About</li></ul></div><div id='legal-history'><h2 id='search'>Search</h2><p>{long}</p></div><div class='cookie-notice'><p>{long}</p></div></body></html>"
     assert html_extract.main_text(page)[0] == f"Search\n{long}"
+    mixed = f"<div id='my-menu'><p>{long}</p><ul>{'<li>One more of many entries</li>' * 9}</ul></div>"
+    assert html_extract.main_text(f"<body>{mixed}<h3>Left</h3></body>")[0] == "Left" and long in html_extract.main_text(f"<body>{mixed}</body>")[0]
+
+
+@pytest.mark.parametrize("title", ["", "<h1>Title</h1>"])
+@pytest.mark.parametrize("rest", ["", "<ul><li>short</li><li>list</li></ul>", "<div><p>Caption</p></div>", "<div class='share'>Share it.</div><h3>Sub</h3>"])
+@pytest.mark.parametrize("above", ["", "<div id='menu'><a>Home</a></div>", "<nav>Home</nav>", "<ul><li><a>Home</a></li><li><a>About</a></li></ul>"])
+@pytest.mark.parametrize("deep", [0, 1, 2])
+def test_div_pages_keep_what_surrounds_the_text(title, rest, above, deep):
+    """Titles, lists and captions beside the element of the text stay, menus and footers go."""
+    long = "A sentence of some length, with a comma; and more. Another one, which is longer, even, than that."
+    inner = f"{title}<div><p>{long}</p><p>{long}</p></div>{rest}"
+    page = f"<html><body>{above}{'<div>' * deep}<div>{inner}</div>{'</div>' * deep}<div class='footer'>Legal, all of it.</div></body></html>"
+    after = {"": [], "<u": ["short", "list"], "<d": ["Caption"]}[rest[:2]] if "share" not in rest else ["Sub"]
+    assert html_extract.main_text(page)[0].split("\n") == [*(["Title"] if title else []), long, long, *after]
 
 
 def test_pages(spark):
