@@ -28,19 +28,31 @@ def rmse(y: str, p: str) -> Column:
 
 
 def capture_and_gini(rows: DataFrame, key: str, tie: str, y: str = "y", score: str = "score") -> DataFrame:
-    """(key, amex): half the share of positives in the top 4 % of weight plus half the normalised weighted Gini; negatives weigh 20."""
-    def gini(order: list[Column], name: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(key)
-        weight = F.when(F.col(y) == 1, 1.0).otherwise(20.0)
-        r = rows.select(key, F.col(y).alias("_y"), weight.alias("_w"), F.sum(weight).over(w).alias("_cw"), F.sum(weight).over(whole).alias("_tw"), F.sum(F.col(y).cast("double")).over(w).alias("_cy"), F.sum(F.col(y).cast("double")).over(whole).alias("_ty"))
-        lorentz = F.try_divide(F.col("_cy"), F.when(F.col("_ty") > 0, F.col("_ty")))
-        top = F.sum(F.when((F.col("_cw") <= F.floor(0.04 * F.col("_tw"))) & (F.col("_y") == 1), 1.0).otherwise(0.0))
-        return r.groupBy(key).agg(F.sum((lorentz - F.col("_cw") / F.col("_tw")) * F.col("_w")).alias(name), F.try_divide(top, F.when(F.max("_ty") > 0, F.max("_ty"))).alias(f"{name}_top"))
-
-    ours = gini([F.desc(score), F.col(tie)], "g")
-    best = gini([F.desc(y), F.col(tie)], "b").select(key, "b")
-    return ours.join(best, key).select(key, (F.lit(0.5) * (F.try_divide(F.col("g"), F.when(F.col("b") != 0, F.col("b"))) + F.col("g_top"))).alias("amex"))
+    """(key, amex): half the share of positives in the top 4 % of weight plus half the normalised weighted Gini; negatives weigh 20.
+
+    Rows are dealt to ranges of (key, score, tie), pinned on the executors so that both readings see the same ones. Running sums start
+    anew in each range, and a range is offset by the totals of those before it; no task holds a key whole. The best order, all
+    positives first, needs their counts only.
+    """
+    order = [F.desc("_s"), F.col("_t")]
+    weight = F.when(F.col(y) == 1, 1.0).otherwise(20.0)
+    ranged = rows.select(F.col(key).alias("_k"), F.col(score).alias("_s"), F.col(tie).alias("_t"), F.col(y).cast("double").alias("_y"), weight.alias("_w"))
+    ranged = ranged.repartitionByRange("_k", *order).withColumn("_r", F.spark_partition_id()).localCheckpoint()
+    sums = ranged.groupBy("_k", "_r").agg(F.sum("_w").alias("_rw"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_ry"), F.count_if(F.col("_y") == 1).alias("_rp"), F.count(F.lit(1)).alias("_rn"))
+    before, whole = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_k")
+    totals = {"_tw": "_rw", "_ty": "_ry", "_p": "_rp", "_n": "_rn"}
+    offsets = sums.select("_k", "_r", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(n) for n, c in (("_bw", "_rw"), ("_by", "_ry"))], *[F.sum(c).over(whole).alias(n) for n, c in totals.items()])
+    w = Window.partitionBy("_k", "_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("_k", "_r", "_y", "_w", F.sum("_w").over(w).alias("_lw"), F.coalesce(F.sum("_y").over(w), F.lit(0.0)).alias("_ly"))
+    r = local.join(F.broadcast(offsets), ["_k", "_r"]).select("*", (F.col("_bw") + F.col("_lw")).alias("_cw"), (F.col("_by") + F.col("_ly")).alias("_cy"))
+    lorentz = F.try_divide(F.col("_cy"), F.when(F.col("_ty") > 0, F.col("_ty")))
+    top = F.sum(F.when((F.col("_cw") <= F.floor(0.04 * F.col("_tw"))) & (F.col("_y") == 1), 1.0).otherwise(0.0))
+    ours = r.groupBy("_k").agg(F.sum((lorentz - F.col("_cw") / F.col("_tw")) * F.col("_w")).alias("_g"), top.alias("_top"), *[F.first(c).alias(c) for c in totals])
+    # Over the best order: positives, of weight 1, then negatives, of weight 20, after which the share of positives is 1.
+    p, n, tw = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double"), F.col("_tw")
+    best = F.when(p > 0, p * (p + 1) / 2 * (1 / p - 1 / tw) + 20 * (n - (p * n + 10 * n * (n + 1)) / tw))
+    share = F.try_divide(F.col("_top"), F.when(F.col("_ty") > 0, F.col("_ty")))
+    return ours.where("_k is not null").select(F.col("_k").alias(key), (F.lit(0.5) * (F.try_divide(F.col("_g"), F.when(best != 0, best)) + share)).alias("amex"))
 
 
 def single_best(configs: DataFrame) -> DataFrame:

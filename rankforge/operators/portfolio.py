@@ -49,28 +49,73 @@ def leave_one_dataset_out(results: DataFrame, size: int = 5) -> DataFrame:
     return results.select("dataset").distinct().mapInPandas(each, "dataset string, place int, method string")
 
 
+def residual_products(predictions: DataFrame) -> DataFrame:
+    """(key, a, b, e, n): for each two configs a <= b of a key the mean product of their residuals p - y, over its n rows.
+
+    The squared error of any blend whose weights sum to 1 is a quadratic form of these. A row's predictions meet in one task, which sums
+    the products of all its rows; a key then has as many rows as it has pairs of configs, whatever its length. Rows without y can't be
+    measured, rows without a config can't be named; both are left out; configs that have no prediction of some row of their key are no candidates; a row with two predictions
+    of a config is an error.
+    """
+    rows = predictions.where(F.col("config").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    p = F.col("p").cast("double") - F.col("y").cast("double")
+    by_row = rows.groupBy("key", "row_id").agg(F.sort_array(F.collect_list(F.struct("config", p.alias("d")))).alias("r")).select(
+        F.col("key").cast("string").alias("key"), F.transform("r", lambda x: x["config"].cast("string")).alias("configs"), F.transform("r", lambda x: x["d"]).alias("d")
+    )
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups: dict = {}
+            for k, configs, d in zip(batch["key"], batch["configs"], batch["d"], strict=True):
+                groups.setdefault((k, tuple(configs)), []).append(d)
+            for (k, configs), d in groups.items():
+                if len(set(configs)) < len(configs):
+                    raise ValueError(f"a row of {k} has two predictions of a config")
+                x = np.array(d, float)
+                i, j = np.triu_indices(len(configs))
+                names = np.array(configs, object)
+                yield pd.DataFrame({"key": k, "a": names[i], "b": names[j], "e": (x.T @ x)[i, j], "n": len(x)})
+
+    sums = by_row.mapInPandas(partial, "key string, a string, b string, e double, n long").groupBy("key", "a", "b").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+    total = by_row.groupBy("key").agg(F.count(F.lit(1)).alias("total"))
+    whole = sums.alias("s").join(total.alias("t"), F.col("s.key").eqNullSafe(F.col("t.key"))).where("n = total and not isnan(e)")
+    return whole.select("s.key", "a", "b", (F.col("e") / F.col("n")).alias("e"), "n")
+
+
+def products_matrix(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Configs in order of their names and the symmetric matrix of their mean products, of those that are complete."""
+    wide = pdf.pivot(index="a", columns="b", values="e")
+    names = sorted(set(pdf.loc[pdf["a"] == pdf["b"], "a"]))
+    upper = wide.reindex(index=names, columns=names).to_numpy(float)
+    return names, np.where(np.isnan(upper), upper.T, upper)
+
+
+def first_least(errors: np.ndarray) -> int:
+    """Place of the first of the least errors; those that differ by less than sums of floats do count as equal."""
+    return int(np.argmax(errors.ravel() <= errors.min() * (1 + 1e-12) + 1e-15))
+
+
 def greedy_ensemble(predictions: DataFrame, iterations: int = 40) -> DataFrame:
-    """(key, config, weight): forward selection with repeats of configs by the squared error of the mean prediction, a task a key.
+    """(key, config, weight): forward selection with repeats of configs by the squared error of the mean prediction.
 
-    predictions: key, row_id, config, p, y. Each key's predictions, bounded by its task, are one group.
+    predictions: key, row_id, config, p, y. The search of a key runs in one task, on its matrix of configs x configs.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="row_id", columns="config", values="p").sort_index().sort_index(axis=1)
-        y = pdf.drop_duplicates("row_id").set_index("row_id")["y"].reindex(wide.index).to_numpy(float)
-        p, total, used, best = wide.to_numpy(float), np.zeros(len(wide)), [], (np.inf, 0)
+        names, e = products_matrix(pdf)
+        counts, used, best = np.zeros(len(names)), [], (np.inf, 0)
         for k in range(1, iterations + 1):
-            errors = (((total[:, None] + p) / k - y[:, None]) ** 2).mean(axis=0)
-            j = int(errors.argmin())
+            errors = (counts @ e @ counts + 2 * (e @ counts) + np.diag(e)) / k**2
+            j = first_least(errors)
             used.append(j)
-            total = total + p[:, j]
+            counts[j] += 1
             if errors[j] < best[0] - 1e-15:
                 best = (errors[j], k)
-        counts = np.bincount(used[: best[1]], minlength=p.shape[1])
-        keep = np.flatnonzero(counts)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "config": [str(wide.columns[i]) for i in keep], "weight": counts[keep] / best[1]})
+        kept = np.bincount(used[: best[1]], minlength=len(names))
+        keep = np.flatnonzero(kept)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "config": [names[i] for i in keep], "weight": kept[keep] / best[1]})
 
-    return predictions.select("key", "row_id", "config", "p", "y").groupBy("key").applyInPandas(fit, "key string, config string, weight double")
+    return residual_products(predictions).groupBy("key").applyInPandas(fit, "key string, config string, weight double")
 
 
 def long_scores(scores: DataFrame, *configs: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.operators.portfolio import first_least, products_matrix, residual_products
 
 def place_among(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     """(method, dataset, fold, place): where an error falls among a task's reference errors, ties half, with partial credit.
@@ -83,39 +84,49 @@ def holm(tested: DataFrame) -> DataFrame:
 
 
 def temperature(rows: DataFrame, key: str, steps: int = 30) -> DataFrame:
-    """(key, temperature): the inverse temperature of binary scores p that minimises the log loss of y, by bisection on its log."""
+    """(key, temperature): the inverse temperature of binary scores p that minimises the log loss of y, by bisection on its log.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, y = np.clip(pdf["p"].to_numpy(float), 1e-12, 1 - 1e-12), pdf["y"].to_numpy(float)
-        z = np.log(p) - np.log1p(-p)
-        low, high = -16.0, 16.0
-        for _ in range(steps):
-            u = (low + high) / 2
-            q = 1 / (1 + np.exp(-np.clip(np.exp(u) * z, -500, 500)))
-            low, high = (low, u) if ((q - y) * z).sum() > 0 else (u, high)
-        return pd.DataFrame({"key": [str(pdf["key"].iloc[0])], "temperature": [float(np.exp((low + high) / 2))]})
-
-    return rows.select(F.col(key).cast("string").alias("key"), "p", "y").groupBy("key").applyInPandas(fit, "key string, temperature double")
+    Equal scores and labels of a key are counted once. A round sums the gradient at the inner points of 32 parts of the interval, which
+    is five steps of the bisection; the rows stay where they are and a key has one row of sums. Rows without p or y count nothing.
+    """
+    p = F.least(F.greatest(F.nanvl(F.col("p").cast("double"), F.lit(None)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    z = F.when(F.col("p").isNotNull(), F.log(p) - F.log1p(-p))
+    counts = rows.groupBy(F.col(key).cast("string").alias("key"), "p", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("key", z.alias("z"), F.nanvl(F.col("y").cast("double"), F.lit(None)).alias("y"), "n")
+    found = counts.select("key").distinct().withColumn("low", F.lit(-16.0))
+    width, done = 32.0, 0
+    while done < steps:
+        bits = min(5, steps - done)
+        parts = 2**bits
+        at = F.col("low") + F.col("i") * (width / parts)
+        q = 1 / (1 + F.exp(-F.least(F.greatest(F.exp(at) * F.col("z"), F.lit(-500.0)), F.lit(500.0))))
+        met = counts.alias("c").join(F.broadcast(found.alias("f")), F.col("c.key").eqNullSafe(F.col("f.key"))).select("c.key", "z", "y", "n", "low")
+        slopes = met.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(parts - 1)))).groupBy("key", "low", "i").agg(F.sum((q - F.col("y")) * F.col("z") * F.col("n")).alias("slope"))
+        # The gradient grows with the temperature, so the points where it isn't positive come first.
+        passed = F.count_if(F.coalesce(F.col("slope") <= 0, F.lit(True)))
+        found = slopes.groupBy("key", "low").agg(passed.alias("passed")).select("key", (F.col("low") + F.col("passed") * (width / parts)).alias("low"))
+        width, done = width / parts, done + bits
+    return found.select("key", F.exp(F.col("low") + width / 2).alias("temperature"))
 
 
 def hill_climb(predictions: DataFrame, precision: float = 0.05, rounds: int = 100) -> DataFrame:
-    """(key, config, weight): convex blending by the squared error: the best config and share are mixed in while the error drops."""
+    """(key, config, weight): convex blending by the squared error: the best config and share are mixed in while the error drops.
+
+    The search of a key runs in one task, on its matrix of configs x configs.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="row_id", columns="config", values="p").sort_index().sort_index(axis=1)
-        y = pdf.drop_duplicates("row_id").set_index("row_id")["y"].reindex(wide.index).to_numpy(float)
-        p = wide.to_numpy(float)
-        weights = np.eye(p.shape[1])[int(((p - y[:, None]) ** 2).mean(axis=0).argmin())]
-        error = ((p @ weights - y) ** 2).mean()
+        names, e = products_matrix(pdf)
+        weights = np.eye(len(names))[first_least(np.diag(e))]
+        error = weights @ e @ weights
         for _ in range(rounds):
-            shares = np.append(np.arange(1, round(1 / precision) + 1) * precision, 1 / ((weights > 0).sum() + 1))
-            mixed = (1 - shares)[None, :, None] * (p @ weights)[:, None, None] + shares[None, :, None] * p[:, None, :]
-            errors = ((mixed - y[:, None, None]) ** 2).mean(axis=0)
-            k, j = np.unravel_index(int(errors.argmin()), errors.shape)
+            shares = np.append(np.arange(1, round(1 / precision) + 1) * precision, 1 / ((weights > 0).sum() + 1))[:, None]
+            errors = (1 - shares) ** 2 * (weights @ e @ weights) + 2 * shares * (1 - shares) * (e @ weights)[None, :] + shares**2 * np.diag(e)[None, :]
+            k, j = np.unravel_index(first_least(errors), errors.shape)
             if errors[k, j] >= error - 1e-15:
                 break
-            weights, error = (1 - shares[k]) * weights + shares[k] * np.eye(p.shape[1])[j], errors[k, j]
+            weights, error = (1 - shares[k, 0]) * weights + shares[k, 0] * np.eye(len(names))[j], errors[k, j]
         keep = np.flatnonzero(weights > 1e-12)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "config": [str(wide.columns[i]) for i in keep], "weight": weights[keep] / weights[keep].sum()})
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "config": [names[i] for i in keep], "weight": weights[keep] / weights[keep].sum()})
 
-    return predictions.select("key", "row_id", "config", "p", "y").groupBy("key").applyInPandas(fit, "key string, config string, weight double")
+    return residual_products(predictions).groupBy("key").applyInPandas(fit, "key string, config string, weight double")

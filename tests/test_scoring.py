@@ -3,7 +3,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from rankforge.operators import jobs, pertask, portfolio, scoring, subset
+from rankforge.operators import jobs, metrics, pertask, portfolio, scoring, subset
 
 SCHEMA = "method string, dataset string, fold int, metric_error double"
 
@@ -47,6 +47,75 @@ def test_temperature_and_hill_climbing(spark):
     assert weights == pytest.approx({"a": 0.5, "b": 0.5})
 
 
+def brute_weights(p, y, iterations=40):
+    """Both searches over the rows themselves: greedy selection and hill climbing."""
+    total, used, best = np.zeros(len(p)), [], (np.inf, 0)
+    for k in range(1, iterations + 1):
+        errors = (((total[:, None] + p) / k - y[:, None]) ** 2).mean(axis=0)
+        used.append(int(errors.argmin()))
+        total = total + p[:, used[-1]]
+        if errors.min() < best[0] - 1e-15:
+            best = (errors.min(), k)
+    greedy = np.bincount(used[: best[1]], minlength=p.shape[1]) / best[1]
+    w = np.eye(p.shape[1])[int(((p - y[:, None]) ** 2).mean(axis=0).argmin())]
+    for _ in range(100):
+        shares = [*np.arange(1, 21) * 0.05, 1 / ((w > 0).sum() + 1)]
+        error, s, j = min((((((1 - s) * (p @ w) + s * p[:, j]) - y) ** 2).mean(), s, j) for s in shares for j in range(p.shape[1]))
+        if error >= ((p @ w - y) ** 2).mean() - 1e-15:
+            break
+        w = (1 - s) * w + s * np.eye(p.shape[1])[j]
+    return greedy, w
+
+
+def test_blends_of_one_hot_key(spark):
+    """Nearly all rows have one key; a search sees pairs of configs only, and configs or rows that lack a value do no harm."""
+    rng = np.random.default_rng(7)
+    y = (rng.random(600) < 0.4).astype(float)
+    p = np.clip(y[:, None] * rng.random(4) * 0.6 + rng.random((600, 4)) * 0.7, 0, 1)
+    rows = [("hot", i, f"c{j}", float(p[i, j]), float(y[i])) for i in range(600) for j in range(4)]
+    rows += [("hot", 1, "part", 1.0, float(y[1])), ("hot", 700, "c0", 0.5, None), ("cold", 1, "c0", 0.5, 1.0), (None, 1, "c1", 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "key string, row_id int, config string, p double, y double").repartition(8)
+    products = portfolio.residual_products(df).where("key = 'hot'").collect()
+    assert len(products) == 10 and {r.n for r in products} == {600}
+    for got, want in zip((portfolio.greedy_ensemble(df), scoring.hill_climb(df)), brute_weights(p, y), strict=True):
+        weights = {(r.key, r.config): r.weight for r in got.collect()}
+        assert weights == pytest.approx({("cold", "c0"): 1.0, (None, "c1"): 1.0} | {("hot", f"c{j}"): w for j, w in enumerate(want) if w > 1e-12})
+
+
+def test_temperature_by_counts(spark):
+    """As a bisection over the rows; no task holds the rows of a key."""
+    rng = np.random.default_rng(8)
+    p = rng.random(500).round(2)
+    y = (rng.random(500) < p**2).astype(float)
+    got = scoring.temperature(spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(p, y, strict=True)] + [("k", None, 1.0), (None, 0.5, 1.0)], "key string, p double, y double"), "key")
+    c = np.clip(p, 1e-12, 1 - 1e-12)
+    z, low, high = np.log(c) - np.log1p(-c), -16.0, 16.0
+    for _ in range(30):
+        u = (low + high) / 2
+        low, high = (low, u) if ((1 / (1 + np.exp(-np.clip(np.exp(u) * z, -500, 500))) - y) * z).sum() > 0 else (u, high)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {r.key: r.temperature for r in got.collect()} == pytest.approx({"k": np.exp((low + high) / 2), None: np.exp(16.0)})
+
+
+def test_amex_of_one_hot_key(spark):
+    """As a running sum over all rows in order, though a key is dealt to several tasks; ties of a score are cut, too."""
+    rng = np.random.default_rng(9)
+    rows = [("hot", i, int(rng.random() < 0.3), float(rng.integers(0, 4))) for i in range(2000)] + [("cold", i, i % 2, 0.5) for i in range(10)]
+    df = spark.createDataFrame(rows, "key string, id int, y int, score double")
+    got = metrics.capture_and_gini(df, "key", "id")
+    assert "hashpartitioning(_k#" in (plan := got._jdf.queryExecution().toString()) and ", _r#" in plan
+
+    def gini(some):
+        y = np.array([r[2] for r in some], float)
+        w = np.where(y == 1, 1.0, 20.0)
+        return ((y.cumsum() / y.sum() - w.cumsum() / w.sum()) * w).sum(), y[w.cumsum() <= np.floor(0.04 * w.sum())].sum() / y.sum()
+
+    for r in got.collect():
+        mine = [x for x in rows if x[0] == r.key]
+        (g, top), (b, _) = gini(sorted(mine, key=lambda x: (-x[3], x[1]))), gini(sorted(mine, key=lambda x: (-x[2], x[1])))
+        assert r.amex == pytest.approx((g / b + top) / 2)
+
+
 def test_folds(spark):
     rows = spark.range(103).selectExpr("id", "cast(id % 3 = 0 as int) as y", "id div 7 as g")
     counts = {(r.y, r.fold): r["count"] for r in jobs.stratified_folds(rows, "id", "y", 4).groupBy("y", "fold").count().collect()}
