@@ -339,6 +339,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: the smallest doc_id of each. Null ids stay."""
-    keep = materialise(jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.where("doc_id is null").unionByName(docs.join(few(keep), "doc_id", "left_semi"))
+    """One row of docs, with all its columns, of each component: the smallest doc_id of it, a null one only if there is no other.
+
+    Rows are keyed one by one, so rows with a null doc_id and repeated rows are compared as all others are. Rows without words are
+    alone; of those that have one doc_id (or none) and one text, one stays.
+    """
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+    parts = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).withColumnRenamed("doc_id", "_row")
+    blank = F.when(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text"))
+    named = keyed.select("_row", F.col("doc_id").alias("_id"), blank.alias("_blank")).join(parts, "_row")
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), *[F.when(F.col("n_shingles") == 0, F.col(c)) for c in ("_id", "_blank")]]
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row")
+    keep = materialise(named.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(first.alias("_row")).select("_row"), "kept-rows")
+    return keyed.join(few(keep), "_row", "left_semi").select(*docs.columns)

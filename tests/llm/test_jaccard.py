@@ -66,6 +66,19 @@ def test_edges(spark):
     assert sorted(r.lang for r in kept.collect()) == ["k", "m"]
 
 
+def test_one_row_of_each_component(spark):
+    """Rows with null ids, and rows repeated as a whole, are copies as others are."""
+    long = [f"w{i}" for i in range(60)]
+    near = " ".join([*long[:-1], "other"])
+    long = " ".join(long)
+    rows = [(1, "a b c", "k"), (1, "a b c", "k"), (None, "a b c", "l"), (None, "x y", "m"), (None, "x y", "n"), (None, long, "o"), (9, near, "p"), (None, near, "q"), (8, near, "r"), (7, " ".join([near, *(f"z{i}" for i in range(40))]), "s")]
+    rows += [(None, "", "t"), (None, "", "t"), (None, None, "u"), (None, None, "u"), (5, " ", "v"), (5, " ", "v"), (6, " ", "w"), (-4, "x y z", "x")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = sorted((str(r.doc_id), r.lang) for r in kept.collect())
+    assert [g for g in got if g[1] not in "mn"] == sorted([("1", "k"), ("8", "r"), ("7", "s"), ("None", "t"), ("None", "u"), ("5", "v"), ("6", "w"), ("-4", "x")])
+    assert len([g for g in got if g[1] in "mn"]) == 1 and kept.columns == ["doc_id", "text", "lang"]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
