@@ -47,6 +47,14 @@ def test_turned_image_keeps_its_descriptors():
     assert (bits.min(axis=1) < 40).mean() > 0.5
 
 
+def test_halved_copy_is_found(spark):
+    """A copy of half the size has levels near the image's; the old two levels had none."""
+    image = media.resized(media.drawn(list(np.random.default_rng(4).normal(size=64))).astype(float), 2)
+    sides = [spark.createDataFrame([(1, *map(float, f[:4]), *map(int, f[4:])) for f in media.describe(x)], f"id long, {media.FEATURES}") for x in (media.resized(image, 0.5), image)]
+    got = media.copies(*sides).first()
+    assert got is not None and abs(got.log_scale - 1) <= 0.5
+
+
 @pytest.fixture()
 def corpus(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.01/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
