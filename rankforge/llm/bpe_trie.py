@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import PLAIN, byte_alphabet, only, text_batches
+from rankforge.llm.common import CACHES, PLAIN, byte_alphabet, only, own_worker, text_batches
 
 
 class TrieBpe:
@@ -41,6 +41,8 @@ class TrieBpe:
         self.plain = self.end and "'s|" in json.dumps(spec["pre_tokenizer"]) and "Lowercase" in json.dumps(spec["normalizer"])
         self.most = most
         self.follows: dict[tuple[str, str], bool] = {}
+        #: Bytes of the id of each token; the empty string has none.
+        self.packed = {k: struct.pack("<I", v) for k, v in self.vocab.items()} | {"": b""}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -72,58 +74,53 @@ class TrieBpe:
             self.follows[key] = known
         return known
 
-    def last_token(self, word: str, states: list[str], end: str) -> str:
-        """The last token of `word`, whose shorter prefixes have the last tokens `states` (the empty prefix first).
+    def last_token(self, word: str, n: int, states: list[str], end: str) -> tuple[int, str]:
+        """(where it begins, last token) of word[:n], whose shorter prefixes have the last tokens `states` (the empty prefix first).
 
-        A symbol that the vocabulary lacks has no token: the empty string stands for it, as the library drops it.
+        Exactly one token may end a prefix, so the likely ones are tried first: the last one made longer, then a new one. A symbol that
+        the vocabulary lacks has no token: the empty string stands for it, as the library drops it.
         """
-        n, vocab, follows = len(word), self.vocab, self.follows
-        for k in range(max(0, n - self.longest), n):
-            token = word[k:] + end
+        vocab, follows = self.vocab, self.follows
+        likely = n - 1 - len(states[n - 1])
+        for k in (likely, *range(n - 1, max(0, n - self.longest) - 1, -1)):
+            token = word[k:n] + end
             if token in vocab:
                 known = follows.get((states[k], token))
                 if known or known is None and self.may_follow(states[k], token):
-                    return token
-        return ""
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of distinct words (already in the model's alphabet): one trie, one depth-first pass."""
-        trie: dict = {}
-        for w in words:
-            node = trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        out: dict[str, list[int]] = {}
-        states: list[str] = [""]
-        path: list[str] = []
-        stack: list[Iterator] = [iter(trie.items())]
-        while stack:
-            for c, child in stack[-1]:
-                if c == "":
-                    last = self.last_token(child, states[:-1], self.end) if self.end else states[-1]
-                    out[child] = self.walk_back(child, states, last)
-                    continue
-                path.append(c)
-                states.append(self.last_token("".join(path), states, ""))
-                stack.append(iter(child.items()))
-                break
+                    return k, token
+        return n - 1, ""
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct words (already in the model's alphabet), as little-endian unsigned 32-bit integers.
+
+        Words in order are their trie in depth-first order: the path to a word is its predecessor's up to the prefix they share, and the
+        states and encodings of the nodes on it stand on the stack. Each node below is computed once, from the nodes above it.
+        """
+        out: dict[str, bytes] = {}
+        states, codes = [""], [b""]
+        before, end, packed = "", self.end, self.packed
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del states[shared + 1 :], codes[shared + 1 :]
+            # With a mark of the word's end the last symbol is told from the same one inside a word, so its node is only made for longer words.
+            inner = len(word) - 1 if end else len(word)
+            for n in range(shared + 1, inner + 1):
+                k, token = self.last_token(word, n, states, "")
+                states.append(token)
+                codes.append(codes[k] + packed[token])
+            if end:
+                k, token = self.last_token(word, len(word), states, end)
+                out[word] = codes[k] + packed[token]
+                before = word[: max(shared, inner)]
             else:
-                stack.pop()
-                if path:
-                    path.pop()
-                    states.pop()
+                out[word] = codes[len(word)]
+                before = word
         return out
 
-    def walk_back(self, word: str, states: list[str], last: str) -> list[int]:
-        ids, n, token = [], len(word), last
-        while n > 0:
-            if token:
-                ids.append(self.vocab[token])
-            n -= max(1, len(token) - (len(self.end) if self.end and token.endswith(self.end) else 0))
-            token = states[n]
-        return ids[::-1]
-
     def decode(self, ids: Iterable[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
         if self.tok.decoder is None:
@@ -149,20 +146,23 @@ class TrieBpe:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text.
 
         Where the tokenizer drops white space and joins decoded tokens by a space, whatever stands between white space is encoded
-        once per worker (the table is emptied at `most` entries); otherwise a text is one unit.
+        once per worker (of more than `most` entries only those at hand stay); otherwise a text is one unit.
         """
         by_chunk = self.tok.decoder is None and "Replace" in str(self.tok.normalizer or "")
         parts = [((t.encode("utf-8", "surrogatepass").split() if by_chunk else [t.encode("utf-8", "surrogatepass")]) if t else []) for t in texts]
+        seen = set().union(*parts) if parts else set()
         if len(self.chunks) > self.most:
-            self.chunks.clear()
+            self.chunks = {c: self.chunks[c] for c in seen if c in self.chunks}
         table = self.chunks if by_chunk else {}
-        new = list(set().union(*parts).difference(table)) if parts else []
+        new = list(seen.difference(table))
         if new:
             split = [self.split(c.decode("utf-8", "surrogatepass")) for c in new]
-            words = self.encode_words({w for s in split for w, special in s if not special})
+            words = self.encode_words({w for s in split for w, special in s if not special and w})
+            names = self.name
             for c, s in zip(new, split, strict=True):
-                ids = [i for w, special in s for i in ([self.special[w]] if special else words[w])]
-                table[c] = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+                code = b"".join([struct.pack("<I", self.special[w]) if special else words.get(w, b"") for w, special in s])
+                ids = struct.unpack(f"<{len(code) // 4}I", code)
+                table[c] = code, " ".join([names[i] for i in ids]) if self.tok.decoder is None else self.decode(ids)
         out = []
         for p in parts:
             got = [table[c] for c in p]
@@ -175,6 +175,8 @@ def trie_bpe(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+CACHES.append(trie_bpe.cache_clear)
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids binary of little-endian unsigned 32-bit integers, decoded string) of every row.
 
@@ -183,10 +185,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("trie")
         bpe = trie_bpe(tokenizer)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for part in text_batches(texts, 2_000_000):
+            for part in text_batches(texts, 6_000_000):
                 got = bpe.encode(texts[part])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], names=[id_col, "token_ids", "decoded"])
 
