@@ -20,8 +20,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(known or 'file:///tmp/checkpoints/rankforge').rstrip('/')}/rankforge"
 
 
@@ -150,6 +152,16 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+OWNER = [""]
+
+
+def own_worker(name: str) -> None:
+    """Called as a task of an operator starts: tables that another operator left in this reused Python worker go."""
+    if OWNER[0] != name:
+        OWNER[0] = name
+        piece_encoder.cache_clear()
+
+
 def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:
     """Slices of a batch that hold a bounded number of characters each (a longer text is a slice of its own)."""
     start, held = 0, 0

@@ -1,16 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
 Every block of a page has the path of tags from the root to it. Text length and punctuation are summed over the blocks of a path,
-the two ratios per block are smoothed over neighbouring paths and fused, and paths above a threshold hold content. The article is
-the outermost <article> or <main> around nearly all of that content; in pages without one, the smallest element with all of it, widened
-to its ancestors up to the menus, headers and footers of the page. The blocks in it, short headings too, are the text, but for elements that
-their names mark as something else; a name in doubt is decided by the paths below it.
+the two ratios per block are smoothed over neighbouring paths and fused; what the tags, roles and names of a path say against it is one
+more factor. Paths above a threshold hold content. The article is the outermost <article> or <main> around nearly all of that content; in
+pages without one, the smallest element with all of it, widened to its ancestors up to the menus, headers and footers of the page. A second,
+low threshold decides which other blocks of the article, such as headings and lists, are its text. A name in doubt is decided by the paths
+below it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,13 +48,15 @@ FURNITURE = frozenset("nav navbar sidenav navigation menu menubar header footer
 NO, PERHAPS, YES = 0, 1, 2
 WHOLE = frozenset("html body article main".split())
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Smoothing over neighbouring paths, share of the best path that content has at least, share of content that the article holds.
-KERNEL, THRESHOLD, HELD = np.array([0.1, 0.8, 0.1]), 0.15, 0.8
+#: Smoothing over neighbouring paths, share of the best path that content has at least, content outside the
+#: article, and other text of the article; share of content
+#: that the article holds; factor of paths that their tags or names mark as something else.
+KERNEL, THRESHOLD, OUTSIDE, LOW, HELD, MARKED = np.array([0.1, 0.8, 0.1]), 0.15, 0.5, 0.0005, 0.8, 1e-6
 
 
 @dataclass
@@ -111,11 +115,24 @@ def names_furniture(tag: str, attributes: str) -> bool:
     return tag in FURNITURE or any(p.lower() in FURNITURE for p in NAME_PARTS.findall(names))
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at `at`, quoted values aside; -1 if a quote or the tag is never closed."""
+    while m := QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements and text blocks of a page in order; unclosed and stray tags are taken as browsers take them, roughly."""
     elements, blocks = [Element("", "", -1, NO, False)], []
     stack, at, n = [0], 0, len(page)
     block: Block | None = None
+    last_end, open_, unclosed, failed = page.rfind(">"), Counter(), set(), 0
 
     def text(raw: str) -> None:
         nonlocal block
@@ -146,12 +163,20 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             end = page.find(">", less)
             at = n if end < 0 else end + 1
             continue
-        m = TAG.match(page, less) or LOOSE_TAG.match(page, less)
+        if less > last_end:
+            text(page[less:])
+            break
+        m = NAME.match(page, less)
         if not m:
             text("<")
             at = less + 1
             continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
+        # Tags with quotes that are never closed end at the next >; after many of them all tags do, so time stays linear.
+        end = tag_end(page, m.end()) if failed <= 4 * n else -1
+        if end < 0:
+            failed += n - less
+            end = page.find(">", m.end())
+        at, closing, tag, attributes = end + 1, m[1], m[2].lower(), page[m.end() : end]
         if tag == "br" or (tag in VOID and tag in INLINE):
             text(" ")
             continue
@@ -161,131 +186,166 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if tag not in INLINE:
             block = None
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if elements[stack[k]].tag == tag:
-                    del stack[k:]
+                    cut(stack, k, elements, open_)
                     break
                 if tag in INLINE and elements[stack[k]].tag not in INLINE:
                     break
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(page, at)
+            end = None if tag in unclosed else re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(page, at)
+            if end is None:
+                unclosed.add(tag)
             at = end.end() if end else n if tag in ("script", "style") else at
             continue
-        for old in ("p",) if tag in CLOSES_P else ():
-            close_open(stack, elements, {old}, SCOPES["p"])
+        if tag in CLOSES_P:
+            close_open(stack, elements, open_, {"p"}, SCOPES["p"])
         if tag in SIBLINGS and tag != "p":
-            close_open(stack, elements, SIBLINGS[tag], SCOPES[tag])
-        if tag in ("body", "html") and any(elements[k].tag == tag for k in stack):
+            close_open(stack, elements, open_, SIBLINGS[tag], SCOPES[tag])
+        if tag in ("body", "html") and open_[tag]:
             continue
-        if tag == "body":
-            del stack[next((k for k, e in enumerate(stack) if elements[e].tag == "head"), len(stack)) :]
+        if tag == "body" and open_["head"]:
+            cut(stack, next(k for k, e in enumerate(stack) if elements[e].tag == "head"), elements, open_)
         parent = elements[stack[-1]]
         inner = parent.inner or tag in ("article", "main")
-        other = YES if parent.other == YES else max(parent.other, names_other(tag, m[3], parent.inner))
-        elements.append(Element(tag, tag, stack[-1], other, inner, other > parent.other and names_furniture(tag, m[3])))
-        if not m[3].endswith("/") or tag not in INLINE:
+        other = YES if parent.other == YES else max(parent.other, names_other(tag, attributes, parent.inner))
+        elements.append(Element(tag, tag, stack[-1], other, inner, other > parent.other and names_furniture(tag, attributes)))
+        if not attributes.endswith("/") or tag not in INLINE:
             stack.append(len(elements) - 1)
+            open_[tag] += 1
     return elements, blocks
 
 
-def close_open(stack: list[int], elements: list[Element], tags: set[str], scope: set[str]) -> None:
+def cut(stack: list[int], k: int, elements: list[Element], open_: Counter) -> None:
+    """Closes the open elements from the k-th on."""
+    for e in stack[k:]:
+        open_[elements[e].tag] -= 1
+    del stack[k:]
+
+
+def close_open(stack: list[int], elements: list[Element], open_: Counter, tags: set[str], scope: set[str]) -> None:
     """Closes the innermost open element of these tags, unless one of `scope` stands between."""
+    if not any(open_[t] for t in tags):
+        return
     for k in range(len(stack) - 1, 0, -1):
         tag = elements[stack[k]].tag
         if tag in tags:
-            del stack[k:]
+            cut(stack, k, elements, open_)
             return
         if tag in scope:
             return
 
 
-def path_scores(paths: list[str], lengths: list[int], marks: list[int]) -> dict[str, float]:
-    """Fused ratio of each path: mean text length and mean punctuation a block, each smoothed over neighbouring paths."""
-    order = list(dict.fromkeys(paths))
-    place = {p: i for i, p in enumerate(order)}
-    sums = np.zeros((3, len(order)))
-    for p, n, k in zip(paths, lengths, marks, strict=True):
-        sums[:, place[p]] += n, k, 1
+def path_scores(paths: list[int], lengths: list[int], marks: list[int], factors: list[float]) -> np.ndarray:
+    """The fused score of the path of each block: mean text length and mean punctuation a block, each smoothed over neighbouring paths,
+    times the path's factor."""
+    _, first, place = np.unique(np.array(paths), return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))
+    place = rank[place]
+    sums = np.array([np.bincount(place, w, len(first)) for w in (lengths, marks, np.ones(len(paths)))])
     ratios = sums[:2] / sums[2]
     smooth = np.array([np.convolve(np.pad(r, 1, "edge"), KERNEL, "valid") for r in ratios])
     fused = smooth[0] * (1 + smooth[1])
-    return dict(zip(order, fused.tolist(), strict=True))
+    factor = np.ones(len(first))
+    factor[place] = factors
+    return (fused * factor)[place]
+
+
+def scored(elements: list[Element], paths: list[int], found: list[tuple[int, str]]) -> np.ndarray:
+    """Scores of blocks as shares of the highest one."""
+    factors = [MARKED if elements[e].other == YES else 1.0 for e, _ in found]
+    scores = path_scores(paths, [len(t) for _, t in found], [len(PUNCTUATION.findall(t)) for _, t in found], factors)
+    return scores / scores.max()
 
 
-def content_paths(paths: list[str], found: list[tuple[int, str]]) -> tuple[dict[str, float], list[bool]]:
-    """Scores of the paths, and whether the path of each block holds content."""
-    scores = path_scores(paths, [len(t) for _, t in found], [len(PUNCTUATION.findall(t)) for _, t in found])
-    least = THRESHOLD * max(scores.values())
-    return scores, [scores[p] >= least for p in paths]
+def inherited(elements: list[Element], own: Callable[[int, int], int]) -> list[int]:
+    """A value of each element from its own index and its parent's value, parents first."""
+    out: list[int] = []
+    for k, e in enumerate(elements):
+        out.append(own(k, out[e.parent] if e.parent >= 0 else 0))
+    return out
 
 
-def widened(elements: list[Element], blocks: list[Block], line: Callable[[int], list[int]], content: list[int]) -> tuple[int, set[int]]:
-    """(article, menus): the smallest element around all content, widened to its ancestors until one would add furniture of the page.
+def gathered(elements: list[Element], values: np.ndarray) -> np.ndarray:
+    """Sums over each element and all below it."""
+    out = values.copy()
+    for k in range(len(elements) - 1, 0, -1):
+        out[elements[k].parent] += out[k]
+    return out
 
-    Adverts, comments and the like beside the text are left out by their names and don't end it; nor do menus, which are elements
-    outside that smallest one with several blocks of nothing but links.
+
+def widened(elements: list[Element], blocks: list[Block], around: int) -> tuple[int, list[int]]:
+    """(article, whether each element lies in a menu): the element around all content, widened to its ancestors until one would add
+    furniture of the page.
+
+    Adverts, comments and the like beside the text are left out by their scores and don't end it; nor do menus, which are elements
+    outside that element with several blocks of nothing but links.
     """
-    common = line(content[0])
-    for e in content[1:]:
-        common = [k for k, x in zip(common, line(e)) if k == x]  # noqa: B905
-    around = set(common)
-    ends = {max(around.intersection(line(k))) for k, e in enumerate(elements) if e.furniture}
-    sums: dict[int, np.ndarray] = {}
+    chain = [around]
+    while elements[chain[-1]].parent >= 0:
+        chain.append(elements[chain[-1]].parent)
+    on = set(chain)
+    nearest = inherited(elements, lambda k, above: k if k in on else above)
+    ends = {nearest[k] for k, e in enumerate(elements) if e.furniture}
+    values = np.zeros((len(elements), 3))
     for b in blocks:
         if elements[b.element].other != YES:
             n = sum(len(x.strip()) for x in b.parts)
-            for k in line(b.element):
-                sums[k] = sums.get(k, 0) + np.array([n, b.linked, n > 0])
-    menus = {k for k, (n, linked, count) in sums.items() if count > 1 and linked >= 0.9 * n and common[-1] not in line(k)}
-    while len(common) > 1 and common[-2] not in ends:
-        common.pop()
-    return common[-1], menus
-
-
-def main_text(page: str | None) -> tuple[str, list[tuple[str, float]]]:
-    """(text, [(path, fused ratio)]) of a page."""
+            values[b.element] += n, b.linked, n > 0
+    n, linked, count = gathered(elements, values).T
+    inside = inherited(elements, lambda k, above: int(above or k == around))
+    menus = inherited(elements, lambda k, above: int(above or (count[k] > 1 and linked[k] >= 0.9 * n[k] and not inside[k] and k not in on)))
+    top = 0
+    while top + 1 < len(chain) and chain[top + 1] not in ends:
+        top += 1
+    return chain[top], menus
+
+
+def main_text(page: str | None) -> tuple[str, int]:
+    """(text, number of tag paths) of a page."""
     if not page:
-        return "", []
+        return "", 0
     elements, blocks = parse(page)
     found = []
     for b in blocks:
         text = " ".join(html.unescape("".join(b.parts)).split())
-        if text and elements[b.element].other != YES:
+        if text:
             found.append((b.element, text))
-    if not found:
-        return "", []
-    ancestors = {}
-
-    def line(e: int) -> list[int]:
-        if e not in ancestors:
-            ancestors[e] = [e] if elements[e].parent < 0 else [*line(elements[e].parent), e]
-        return ancestors[e]
-
-    paths = ["/".join(elements[k].tag for k in line(e)[1:]) for e, _ in found]
-    scores, content = content_paths(paths, found)
+    if not any(elements[e].other != YES for e, _ in found):
+        return "", 0
+    # A path is numbered by its parent's number, its tag, and what its names say.
+    numbers: dict[tuple[int, str, bool], int] = {}
+    path = inherited(elements, lambda k, above: numbers.setdefault((above, elements[k].tag, elements[k].other == YES), len(numbers) + 1))
+    doubt = inherited(elements, lambda k, above: above or (k if elements[k].other == PERHAPS else 0))
+    paths, count = [path[e] for e, _ in found], len({path[e] for e, _ in found})
+    score = scored(elements, paths, found)
     # What may be no article text stays whole if the paths of at least half of its text hold content, and goes whole otherwise; a page
     # of nothing else stays.
     doubted: dict[int, int] = {}
-    roots = [next((k for k in line(e) if elements[k].other == PERHAPS), 0) for e, _ in found]
-    for k, (_, t), c in zip(roots, found, content, strict=True):
-        doubted[k] = doubted.get(k, 0) + (len(t) if c else -len(t))
-    stays = [not k or doubted[k] >= 0 for k in roots]
-    if any(stays) and not all(stays):
+    for (e, t), x in zip(found, score, strict=True):
+        if elements[e].other != YES:
+            doubted[doubt[e]] = doubted.get(doubt[e], 0) + (len(t) if x >= THRESHOLD else -len(t))
+    stays = [elements[e].other == YES or not doubt[e] or doubted[doubt[e]] >= 0 for e, _ in found]
+    if not all(stays) and any(s and elements[e].other != YES for (e, _), s in zip(found, stays, strict=True)):
         found, paths = ([x for x, s in zip(xs, stays, strict=True) if s] for xs in (found, paths))
-        content = content_paths(paths, found)[1]
-    weight: dict[int, int] = {}
-    for (e, t), c in zip(found, content, strict=True):
-        if c:
-            for k in line(e):
-                weight[k] = weight.get(k, 0) + len(t)
+        score = scored(elements, paths, found)
+    content, total = np.zeros(len(elements)), 0
+    for (e, t), x in zip(found, score, strict=True):
+        if x >= THRESHOLD:
+            content[e] += len(t)
+            total += len(t)
+    weight, depth = gathered(elements, content), inherited(elements, lambda k, above: above + 1)
     # The deepest element that holds enough lies in an article element, or the blocks themselves say how far the article reaches.
-    article = max((k for k, w in weight.items() if w >= HELD * weight[0]), key=lambda k: (len(line(k)), k))
-    held, menus = next((k for k in line(article) if elements[k].tag in ("article", "main")), None), set()
+    article = max((k for k in np.nonzero(weight >= HELD * total)[0].tolist()), key=lambda k: (depth[k], k))
+    held, menus, k = None, [0] * len(elements), article
+    while k >= 0:
+        held, k = (k if elements[k].tag in ("article", "main") else held), elements[k].parent
     if held is None:
-        held, menus = widened(elements, blocks, line, [e for (e, _), c in zip(found, content, strict=True) if c])
-    kept = [t for (e, t), c in zip(found, content, strict=True) if c or (held in line(e) and not menus.intersection(line(e)))]
-    return "\n".join(kept), list(scores.items())
+        around = max((k for k in np.nonzero(weight >= total)[0].tolist()), key=lambda k: (depth[k], k))
+        held, menus = widened(elements, blocks, around)
+    inside = inherited(elements, lambda k, above: int(above or k == held))
+    return "\n".join(t for (e, t), x in zip(found, score, strict=True) if x >= OUTSIDE or (inside[e] and x >= (THRESHOLD if menus[e] else LOW))), count
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -301,7 +361,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for part in text_batches(texts):
                 got = [main_text(t) for t in texts[part]]
                 here = b.slice(part.start, len(got))
-                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([len(p) for _, p in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_paths"])
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_paths"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(each, "page_id long, url string, text string, n_chars long, n_paths long")

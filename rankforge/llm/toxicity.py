@@ -2,8 +2,9 @@
 
 Words are read as symbols: insult, threat, target, negation, report or other. Transducers rewrite the stream of a clause's symbols:
 an insult near a target becomes an aimed insult, one in the scope of a negation a negated one, one in that of reported speech a
-reported one, and a threat needs a target. The transducers are composed into one automaton. A clause scores by what it emits, never
-by a word alone, and a logistic model, fitted on labels, weighs what the clauses of a text emit.
+reported one, and a threat needs a target. The transducers are composed into one automaton, whose arcs carry weights. A clause scores
+the weight of its path; clauses whose emissions are all negated or reported are deflected and score nothing. A logistic model, fitted
+on labels, weighs what the clauses of a text score; deflected clauses can't raise it.
 """
 
 from __future__ import annotations
@@ -15,27 +16,33 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import text_batches
+from rankforge.llm.common import materialise, own_worker, text_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 #: What a clause emits: insult, aimed insult, threat, negated and reported ones.
 PLAIN, AIMED, THREATENED, NEGATED, REPORTED = range(5)
 
-# Seeds of the symbol classes. Insults and threats are completed from labels.
+# Seeds of the symbol classes in four languages. Insults are completed from labels.
 SEEDS = {
-    INSULT: "idiot idiots moron morons scum loser losers clown clowns trash worthless pathetic stupid disgusting dumb imbecile vermin filth pig coward liar fool ugly",
-    THREAT: "kill hurt destroy beat punch shoot stab burn hunt crush hang",
-    TARGET: "you your yours youre he she they them him her his their this that these those everyone people all",
-    NEGATION: "not no never isnt arent wasnt dont doesnt didnt without nicht kein keine ne pas jamais nunca sin",
-    REPORT: "said says say called calls wrote writes claimed claims quoted quote reported alleged according",
+    INSULT: "idiot idiots moron morons scum loser losers clown clowns trash worthless pathetic stupid disgusting dumb imbecile vermin filth coward liar "
+    "dumm dummkopf trottel abschaum versager idiote imbécile crétin ordure minable idiota imbécil estúpido basura patético",
+    THREAT: "kill hurt destroy beat punch shoot stab crush töten vernichten erschießen tuer frapper détruire matar golpear destruir",
+    TARGET: "you your yours youre he she they them him her his their everyone people du dich dir ihr euch sie vous toi tu ils elles tú usted ustedes ellos ellas",
+    NEGATION: "not no never isnt arent wasnt dont doesnt didnt without nicht kein keine keinen ohne ne pas jamais sans nunca sin jamás",
+    REPORT: "said says say called calls wrote writes claimed claims quoted reported alleged according sagte sagt nannte schrieb dit disait écrit appelé dijo dice escribió llamó",
 }
-#: Bounds: labelled documents that the model is fitted on, learned terms; least documents of a term; least lower bound of log odds.
-SAMPLE_DOCS, MOST_TERMS, LEAST_DOCS, LEAST_ODDS = 20_000, 50_000, 4, math.log(5)
+#: Bounds: labelled documents that the model is fitted on, learned terms; least documents of a term and least share of the toxic ones;
+#: least lower bound of log odds; pieces that a task remembers; times that a term counts in a text.
+SAMPLE_DOCS, MOST_TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MOST_PIECES, MOST_TIMES = 20_000, 50_000, 4, 0.005, math.log(8), 200_000, 5
 SCOPE = {TARGET: 3, NEGATION: 3, REPORT: 6}
+#: How the grammar weighs an emission: insult, aimed insult, threat; negated and reported ones weigh nothing.
+ARC = (1.0, 1.5, 1.5, 0.0, 0.0)
+STEMS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_ENDS = re.compile(r"[.!?;:]$")
 
@@ -77,7 +84,7 @@ START = (0, 0, 0)
 
 
 class Reader(dict):
-    """Symbol and weight of each piece between white space: (symbol, weight, ends a clause); read once a worker, bounded."""
+    """Symbol and weight of each piece between white space: (symbol, weight, ends a clause); read once a task, bounded."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -85,7 +92,7 @@ class Reader(dict):
         self.seeds = {w: k for k, words in SEEDS.items() for w in words.split()}
 
     def __missing__(self, piece: str) -> tuple[int, float, bool]:
-        if len(self) > 500_000:
+        if len(self) > MOST_PIECES:
             self.clear()
         best = (OTHER, 0.0)
         for w in WORD.findall(piece.replace("'", "").lower()):
@@ -101,27 +108,44 @@ class Reader(dict):
 
 def term_forms(word: str) -> list[str]:
     """A word and its beginnings, so that inflected forms of a learned stem are known too."""
-    return [word] + [f"{word[:k]}*" for k in (4, 5) if len(word) >= k]
+    return [word] + [f"{word[:k]}*" for k in STEMS if len(word) >= k]
+
+
+def clause_scores(text: str | None, reader: Reader) -> tuple[list[tuple[float, int, int]], int]:
+    """([(path weight, direct emissions, deflected emissions)] of each clause that emits something, number of clauses)."""
+    found: list[tuple[float, int, int]] = []
+    read = list(map(reader.__getitem__, text.split())) if text else []
+    count = sum(r[2] for r in read) + bool(read and not read[-1][2])
+    if not any(r[1] > 0 for r in read):
+        return found, count
+    state, weight, direct, deflected = START, 0.0, 0, 0
+    for symbol, w, ends in [*read, (OTHER, 0.0, True)]:
+        state, out = GRAMMAR[state, symbol]
+        kind = out - 10 if out >= 10 else PLAIN if out == INSULT else -1
+        if kind >= NEGATED:
+            deflected += 1
+        elif kind >= 0:
+            direct += 1
+            weight += ARC[kind] * w
+        if ends:
+            if direct or deflected:
+                found.append((weight, direct, deflected))
+            state, weight, direct, deflected = START, 0.0, 0, 0
+    return found, count
+
+
+#: Features of a text, all of its clauses: direct ones, their path weights, the heaviest path, direct ones with several emissions, all clauses,
+#: deflected ones.
+FEATURES = 6
 
 
 def features(text: str | None, reader: Reader) -> list[float]:
-    """What the clauses of a text emit: counts by kind, the sum and the highest of their weights."""
-    emitted, total, highest = [0] * 5, 0.0, 0.0
-    if text:
-        read = list(map(reader.__getitem__, text.split()))
-        if any(r[1] > 0 for r in read):
-            state = START
-            for symbol, weight, ends in read:
-                state, out = GRAMMAR[state, symbol]
-                kind = out - 10 if out >= 10 else PLAIN if out == INSULT else -1
-                if kind >= 0:
-                    emitted[kind] += 1
-                    if kind < NEGATED:
-                        total += weight
-                        highest = max(highest, weight)
-                if ends:
-                    state = START
-    return [*map(math.log1p, emitted), math.log1p(total), highest, float(min(2, sum(emitted[:3])) == 2)]
+    """What the clauses of a text score."""
+    found, count = clause_scores(text, reader)
+    hits = [c for c in found if c[1]]
+    total = sum(min(c[0], 10.0) for c in hits)
+    numbers = len(hits), total, max((c[0] for c in hits), default=0.0), sum(c[1] > 1 for c in hits), count, len(found) - len(hits)
+    return [math.log1p(x) for x in numbers]
 
 
 @dataclass
@@ -133,7 +157,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
+def newton(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     """Weights and bias of an L2-penalised logistic model, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -148,29 +172,51 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     return w
 
 
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
+    """The weights, where direct clauses never lower a score and deflected ones never raise it: weights of the wrong sign are left out."""
+    free, signs = list(range(FEATURES)), [1, 1, 1, 1, 0, -1]
+    while True:
+        w = newton(x[:, free], y, penalty)
+        wrong = [k for i, k in enumerate(free) if signs[k] * w[i] < 0]
+        if not wrong:
+            out = np.zeros(FEATURES + 1)
+            out[[*free, FEATURES]] = w
+            return out
+        free = [k for k in free if k not in wrong]
+
+
 def learned_terms(labelled: DataFrame) -> dict[str, float]:
-    """Terms far likelier in toxic texts, with their log odds; labelled: text, toxic, a bounded sample."""
+    """Terms far likelier in toxic texts, with their log odds; labelled: text, toxic, a bounded sample.
+
+    A term counts up to MOST_TIMES a text, against the words of all texts of a label, so what a long clean text holds once weighs little.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pos, neg = Counter(), Counter()
+            times, docs = (Counter(), Counter()), (Counter(), Counter())
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall((t or "").replace("'", "").lower()))
-                (pos if y else neg).update({f for w in words for f in term_forms(w)})
-            names = list(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[t] for t in names], pa.int64()), pa.array([neg[t] for t in names], pa.int64())], names=["term", "pos", "neg"])
-            others = [t for t in neg if t not in pos]
-            yield pa.RecordBatch.from_arrays([pa.array(others, pa.string()), pa.array([0] * len(others), pa.int64()), pa.array([neg[t] for t in others], pa.int64())], names=["term", "pos", "neg"])
-
-    by = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = by.get(1, 0), by.get(0, 0)
-    if not n1 or not n0:
+                words = Counter(WORD.findall((t or "").replace("'", "").lower()))
+                forms = Counter()
+                for w, n in words.items():
+                    for f in term_forms(w):
+                        forms[f] += n
+                times[bool(y)].update({f: min(n, MOST_TIMES) for f, n in forms.items()})
+                times[bool(y)][""] += words.total()
+                docs[bool(y)].update(forms.keys())
+            names = list(times[0].keys() | times[1].keys())
+            columns = [[c[t] for t in names] for c in (times[1], times[0], docs[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["term", "pos", "neg", "texts"])
+
+    counts = labelled.select("text", "toxic").mapInArrow(count, "term string, pos long, neg long, texts long")
+    counts = materialise(counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("texts").alias("texts")), "toxic-terms")
+    words = counts.where("term = ''").first()
+    toxic = labelled.where("toxic = 1").count()
+    if not words or not words["pos"] or not words["neg"]:
         return {}
-    counts = labelled.select("text", "toxic").mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
-    odds = F.log(p / (n1 + 1)) - F.log(q / (n0 + 1))
-    spread = F.sqrt(1 / p + 1 / q)
-    terms = counts.where(F.col("pos") >= LEAST_DOCS).select("term", (odds - spread).alias("w")).where(F.col("w") >= LEAST_ODDS)
+    odds = F.log(p / words["pos"]) - F.log(q / words["neg"])
+    spread = F.sqrt(1 / F.col("texts") + 1 / q)
+    terms = counts.where(F.col("texts") >= max(LEAST_DOCS, LEAST_SHARE * toxic)).where("term <> ''").select("term", (odds - spread).alias("w")).where(F.col("w") >= LEAST_ODDS)
     return {r["term"]: float(r["w"]) for r in terms.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()}
 
 
@@ -181,13 +227,14 @@ def measured(rows: DataFrame, lexicon: dict[str, float], weights: np.ndarray | N
     column = "features array<double>" if weights is None else "score double"
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         lexicon, weights = shared.value
         reader = Reader(lexicon)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for part in text_batches(texts):
                 x = [features(t, reader) for t in texts[part]]
-                out = pa.array(x, pa.list_(pa.float64())) if weights is None else pa.array(Model(lexicon, weights).score(np.array(x)))
+                out = pa.array(x, pa.list_(pa.float64())) if weights is None else pa.array(Model(lexicon, weights).score(np.array(x, float).reshape(len(x), FEATURES)))
                 here = b.slice(part.start, len(x))
                 yield pa.RecordBatch.from_arrays([*here.columns[:-1], out], names=[*keep, column.split()[0]])
 
@@ -211,10 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
     lexicon = learned_terms(rows.where(fold(F.col("doc_id"), 5).isin(1, 2)))
     seen = measured(rows.where(fold(F.col("doc_id"), 5).isin(3, 4)), lexicon, None, "toxic").toPandas()
-    x = np.array(seen["features"].tolist(), float).reshape(len(seen), 8)
+    x = np.array(seen["features"].tolist(), float).reshape(len(seen), FEATURES)
     y = seen["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, np.array([0, 0, 0, 0, 0, 0, 0, 6.0, -3.0]))
+        return Model(lexicon, np.array([1.0, 2.0, 0.0, 0.0, -0.5, 0.0, -2.0]))
     return Model(lexicon, logistic(x, y))
 
 
@@ -230,16 +277,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, whole, that score below `least`."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, whole and with all their columns, that score below `least`.
 
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null and empty texts score as texts without a match and stay; rows with null ids and repeated rows are scored as all others are; an
+    empty table gives no rows; without labels of both kinds fixed weights are used. Only texts go to Python.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_worker("toxicity")
         model = shared.value
         reader = Reader(model.lexicon)
-        for b in batches:
-            if b.num_rows:
-                x = np.array([features(t, reader) for t in b.column("text").to_pylist()])
-                yield b.filter(pa.array(model.score(x) < least))
+        for t in texts:
+            yield pd.Series(model.score(np.array([features(x, reader) for x in t], float).reshape(len(t), FEATURES)))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.where(score(F.col("text")) < least)
