@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,13 +153,16 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 
 OWNER = [""]
+#: What empties the tables that operators keep in a Python worker between tasks.
+CACHES: list[Callable[[], None]] = [piece_encoder.cache_clear]
 
 
 def own_worker(name: str) -> None:
     """Called as a task of an operator starts: tables that another operator left in this reused Python worker go."""
     if OWNER[0] != name:
         OWNER[0] = name
-        piece_encoder.cache_clear()
+        for clear in CACHES:
+            clear()
 
 
 def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:

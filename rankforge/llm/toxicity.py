@@ -42,6 +42,8 @@ SAMPLE_DOCS, MOST_TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MOST_PIECES, MOST_
 SCOPE = {TARGET: 3, NEGATION: 3, REPORT: 6}
 #: How the grammar weighs an emission: insult, aimed insult, threat; negated and reported ones weigh nothing.
 ARC = (1.0, 1.5, 1.5, 0.0, 0.0)
+#: Weight of a threat, also where its target emits it.
+THREAT_WEIGHT = 2.0
 STEMS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_ENDS = re.compile(r"[.!?;:]$")
@@ -58,14 +60,29 @@ def scope_rule(trigger: int, rewrites: dict[int, int], reach: int):
     return step
 
 
+def threat_rule(reach: int):
+    """The transducer of a threat that its target follows within `reach` words: the target emits it."""
+
+    def step(state: int, symbol: int) -> tuple[int, int]:
+        if symbol == TARGET and state:
+            return 0, 10 + THREATENED
+        return (reach if symbol == THREAT else max(0, state - 1)), symbol
+
+    return step
+
+
+START = (0, 0, 0, 0)
+
+
 def composed() -> dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], int]]:
     """The composition of the transducers, as one table over (states, symbol). Symbols 10 + x are emissions x."""
     rules = [
         scope_rule(TARGET, {INSULT: 10 + AIMED, THREAT: 10 + THREATENED}, SCOPE[TARGET]),
+        threat_rule(SCOPE[TARGET]),
         scope_rule(NEGATION, {INSULT: 10 + NEGATED, 10 + AIMED: 10 + NEGATED, 10 + THREATENED: 10 + NEGATED}, SCOPE[NEGATION]),
         scope_rule(REPORT, {INSULT: 10 + REPORTED, 10 + AIMED: 10 + REPORTED, 10 + THREATENED: 10 + REPORTED, 10 + NEGATED: 10 + REPORTED}, SCOPE[REPORT]),
     ]
-    table, todo = {}, [(0, 0, 0)]
+    table, todo = {}, [START]
     while todo:
         states = todo.pop()
         for symbol in range(6):
@@ -80,7 +97,6 @@ def composed() -> dict[tuple[tuple[int, ...], int], tuple[tuple[int, ...], int]]
 
 
 GRAMMAR = composed()
-START = (0, 0, 0)
 
 
 class Reader(dict):
@@ -101,7 +117,7 @@ class Reader(dict):
             if kind == INSULT or (kind == OTHER and weight > 0):
                 best = max(best, (INSULT, max(weight, 2.0 if kind == INSULT else 0.0)), key=lambda x: x[1])
             elif kind and not best[1]:
-                best = (kind, 2.0 if kind == THREAT else 0.0)
+                best = (kind, THREAT_WEIGHT if kind == THREAT else 0.0)
         self[piece] = out = (*best, bool(CLAUSE_ENDS.search(piece)))
         return out
 
@@ -126,7 +142,7 @@ def clause_scores(text: str | None, reader: Reader) -> tuple[list[tuple[float, i
             deflected += 1
         elif kind >= 0:
             direct += 1
-            weight += ARC[kind] * w
+            weight += ARC[kind] * (w or THREAT_WEIGHT)
         if ends:
             if direct or deflected:
                 found.append((weight, direct, deflected))
