@@ -1,7 +1,8 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
 Each language's Bloom filter holds its most frequent n-grams. All filters share their hash functions, and slot i of one array holds
-bit i of every filter, a bit a language: the AND of an n-gram's slots is the set of languages that contain it. A text's languages
+bit i of every filter, a bit a language (64 to a word, as many words as there are languages for): the AND of an n-gram's slots is the set
+of languages that contain it. A text's languages
 are counted bit by bit over its n-grams, each count is corrected for the filter's false positives, and the highest decides.
 """
 
@@ -12,14 +13,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import text_batches
+from rankforge.llm.common import own_worker, text_batches
 
-#: Bounds of the model: documents it is fitted on, n-grams a language, languages, slots, hash functions.
-SAMPLE_DOCS, GRAMS, LANGUAGES, SLOTS, HASHES, N = 20_000, 30_000, 64, 1 << 20, 3, 4
+#: Bounds of the model: documents that it is fitted on, a language and in all; n-grams a language, slots, hash functions. The slots take
+#: one bit a language each, 128 KB a language.
+LANGUAGE_DOCS, SAMPLE_DOCS, GRAMS, SLOTS, HASHES, N = 5_000, 20_000, 30_000, 1 << 20, 3, 4
 #: How much rarer than in its most typical language an n-gram of a language may be.
 RARER = 0.2
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -43,16 +46,17 @@ def grams(text: str | None) -> np.ndarray:
 @dataclass
 class Filters:
     languages: list[str]
+    #: (words, SLOTS): word w holds the bits of languages 64 w to 64 w + 63.
     slots: np.ndarray
     false_rate: np.ndarray
     #: Share of a language's own n-grams that its filter holds.
     coverage: np.ndarray
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, a bit each."""
-        out = self.slots[positions(h, 0)]
+        """The languages that contain each n-gram, a bit each: (words, n-grams)."""
+        out = self.slots[:, positions(h, 0)]
         for k in range(1, HASHES):
-            out = out & self.slots[positions(h, k)]
+            out = out & self.slots[:, positions(h, k)]
         return out
 
     def decide(self, h: np.ndarray) -> tuple[str, float, float]:
@@ -60,7 +64,7 @@ class Filters:
         if not len(h) or not self.languages:
             return "und", 0.0, 0.0
         masks = self.masks(h)
-        hits = np.array([np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.languages))]) / len(h)
+        hits = np.array([np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) for b in range(len(self.languages))]) / len(h)
         share = np.maximum((hits - self.false_rate) / (1 - self.false_rate), 1e-6) / self.coverage
         weight = (share / share.max()) ** 6
         best = int(weight.argmax())
@@ -72,10 +76,14 @@ def positions(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> Filters:
-    """Filters from rows (text, lang) with a known language: a bounded sample, spread by a hash of the text."""
+    """Filters from rows (doc_id, text, lang) with a known language: a bounded sample of each language, drawn by a hash of the id."""
     known = docs.where("lang is not null and text is not null")
-    share = min(1.0, SAMPLE_DOCS / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).withColumn("langs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    # A row a language: as many as the model has bits a slot. Rare languages are drawn whole, frequent ones up to their share of the bound.
+    most = F.least(F.lit(float(LANGUAGE_DOCS)), F.greatest(F.lit(SAMPLE_DOCS) / F.col("langs"), F.lit(50.0)))
+    sizes = sizes.select("lang", (most / F.col("docs")).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(11)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    some = known.join(F.broadcast(sizes), "lang").where(draw < F.col("share"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,14 +102,13 @@ def fit(docs: DataFrame) -> Filters:
     own = rates.withColumn("most", F.max("rate").over(Window.partitionBy("h"))).where(F.col("rate") >= RARER * F.col("most"))
     top = own.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).where(F.col("r") <= GRAMS)
     rows = top.select("lang", "h", "n", "all").toPandas()
-    languages = rows.groupby("lang")["n"].sum().sort_values(ascending=False).index.tolist()[:LANGUAGES]
-    slots = np.zeros(SLOTS, np.uint64)
+    languages = rows.groupby("lang")["n"].sum().sort_values(ascending=False).index.tolist()
+    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), np.uint64)
+    by = {lang: part["h"].to_numpy(np.int64).view(np.uint64) for lang, part in rows.groupby("lang")}
     for b, lang in enumerate(languages):
-        h = rows.loc[rows["lang"] == lang, "h"].to_numpy(np.int64).view(np.uint64)
         for k in range(HASHES):
-            at = positions(h, k)
-            slots[at] |= np.uint64(1 << b)
-    fill = np.array([np.count_nonzero(slots & np.uint64(1 << b)) / SLOTS for b in range(len(languages))])
+            slots[b // 64, positions(by[lang], k)] |= np.uint64(1 << b % 64)
+    fill = np.array([np.count_nonzero(slots[b // 64] & np.uint64(1 << b % 64)) / SLOTS for b in range(len(languages))])
     own = rows.groupby("lang").agg(n=("n", "sum"), all=("all", "max"))
     return Filters(languages, slots, fill**HASHES, np.array([own.loc[lang, "n"] / own.loc[lang, "all"] for lang in languages]))
 
@@ -113,6 +120,7 @@ def predict(docs: DataFrame, filters: Filters, *keep: str) -> DataFrame:
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("language")
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for part in text_batches(texts):
@@ -134,19 +142,27 @@ def identify(docs: DataFrame) -> DataFrame:
     are ignored. Without any known language every prediction is `und`.
     """
     part = fold(F.col("doc_id"), 4)
-    filters = fit(docs.where(part != 2).select("text", "lang"))
+    filters = fit(docs.where(part != 2).select("doc_id", "text", "lang"))
     return predict(docs, filters, "doc_id").select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of docs, whole, that hold at least this share of the n-grams expected of some language; learned from all rows."""
-    filters = fit(docs.select("text", "lang"))
-    known = docs.sparkSession.sparkContext.broadcast(filters)
+    """The rows of docs, whole and with all their columns, that hold at least this share of the n-grams expected of some language.
 
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            keep = [share >= least for _, _, share in (known.value.decide(grams(t)) for t in texts)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(each, docs.schema)
+    Learned from all rows with a known lang. Null texts, and texts without a letter, go: they have no language. Rows with null ids and
+    repeated rows are judged as all others are; an empty table gives no rows. Where no row has a lang nothing is known, and all rows with a
+    letter stay. Only texts go to Python.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
+
+    @F.pandas_udf("double")
+    def share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_worker("language")
+        filters = known.value
+        for t in texts:
+            if filters.languages:
+                yield pd.Series([filters.decide(grams(x))[2] for x in t], dtype=float)
+            else:
+                yield pd.Series([float(len(grams(x)) > 0) for x in t], dtype=float)
+
+    return docs.where(share(F.col("text")) >= least)
