@@ -1,37 +1,39 @@
 """Exact self-join of word-shingle sets by Jaccard similarity, as a join in the metric space of Jaccard distance.
 
-Sets that agree share one of their rarest shingles (the prefix principle), so such a shingle opens a first region. Regions of up to
-LEAF sets are joined at once, on prefixes. In a larger one pivots are chosen and every set goes to the Voronoi region of its nearest
-pivot; by the triangle inequality a pair within distance r meets if each set is also copied to the regions whose pivot is at most
-2r farther than its nearest. Regions are joined recursively. Where pivots no longer divide a region, what is not linked to the
-pivot is joined with the rest in blocks, within rings of distance to the pivot that are one r wide. What may be similar by its
-prefix is compared exactly: each set with the hub of its candidates first, then, in rounds, with whatever the links found so far
-leave apart.
+A set with more shingles of its own, which no other set has, than a similar set may lack is alone and leaves first. Pivots are then
+drawn from all other sets, thinned to lie apart, and every set is measured to them. A set within BALL of a pivot belongs to the Voronoi
+region of its nearest one; by the triangle inequality whatever is within distance r of it is at most BALL + r from that pivot and at most
+2r farther from it than from its own nearest one, so boundary sets are copied to the regions within that window and no pair is lost.
+Sets that no pivot is near meet in outer regions, which hold whatever rare shingles connect (sets that agree share one of their rarest
+shingles). Regions are joined recursively: a small one in one task, pivot by pivot; a large one is divided by pivots of its own, at last in
+blocks within rings of distance that are one r wide. Only what links don't connect yet is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import materialise, text_batches
+from rankforge.llm.common import CACHES, materialise, own_worker, text_batches
 from rankforge.llm.components import components
 
-#: Sets whose prefixes one task compares at once; pivots a region; levels of Voronoi regions.
-LEAF, PIVOTS, LEVELS = 1024, 4, 3
-#: How many candidates a set is compared with in each round; in the last one with all that are left.
-TRIES = (1, 4, 16, 64, 256, None)
-#: Documents whose ids may be broadcast to fetch their texts; more are joined by a shuffle.
-MOST_IDS = 1_000_000
-#: Documents whose shingles tell which ones are frequent, how often one must occur there, and how many are kept. They only order
-#: the shingles of a set; the result is the same for any order.
-SAMPLE_DOCS, SAMPLE_COUNT, MOST_FREQUENT = 12_000, 3, 500_000
+#: Sets and shingles of a region that one task joins; radius of a pivot's ball; levels of division and pivots a divided region.
+LEAF_SETS, LEAF_SHINGLES, BALL, LEVELS, PIVOTS = 1024, 1_500_000, 0.7, 3, 8
+#: Bounds of the first level: sets drawn as pivots, and their shingles, which are broadcast.
+MOST_PIVOTS, PIVOT_SHINGLES = 2048, 1_500_000
+#: A level of division that leaves more than this share of what the one before it left in large regions is the last one.
+DIVIDES = 0.8
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
+MOST_IDS = 200_000
+#: Shingles are counted in a share of their hash range, so many times the share of shingles that similar sets may lack.
+RATE = 1.6
 
 
 class WordHashes(dict):
@@ -69,257 +71,382 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """Sets of similarity percent/100 or more share one of that many first shingles, in any common order."""
-    return n - -(-n * percent // 100) + 1 if n else 0
+CACHES.append(WORDS.clear)
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles in ascending order, and their counts in a bounded sample of documents."""
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+def lacks(n: int, percent: int) -> int:
+    """How many shingles of a set of n a similar one may lack."""
+    return n - -(-n * percent // 100)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = some.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_COUNT)
-    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+def counted(s: np.ndarray, percent: int) -> np.ndarray:
+    """Whether shingles lie in the part of the hash range where they are counted."""
+    return s.view(np.uint64) < np.uint64(min(2**64 - 1, int(RATE * (1 - percent / 100) * 2**64)))
+
+
+def digest_of(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Arrow batches of few rows, for rows that hold sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of ids, to be broadcast while there are few of them."""
+    return F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+
 
+def as_sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int64) for x in column]
 
-def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, rare, last, prefix) of each set: size, digest, shingles that aren't frequent, and the prefix.
 
-    last is how frequent the last shingle of the prefix is; with its hash it says how far the prefix reaches in the common order.
+def described_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, digest, k, counted) of each document: size and digest of its set, 64 bits of the digest, and the shingles to be counted.
+
+    Equal sets of a batch hold them once. 48 bits of a shingle are enough: two that fall together only make a set look less alone.
     """
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
+        own_worker("jaccard")
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, texts, seen = b.column(0), b.column(1).to_pylist(), set()
             for part in text_batches(texts):
-                n, digest, rare, last, prefix = [], [], [], [], []
+                n, digests, some = [], [], []
                 for t in texts[part]:
                     s = shingle_set(t, width)
                     n.append(len(s))
-                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    often = np.zeros(len(s), np.int64)
-                    if len(keys) and len(s):
-                        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                        often = np.where(keys[at] == s, counts[at], 0)
-                    rare.append(int((often == 0).sum()))
-                    first = np.argsort(often, kind="stable")[: prefix_size(len(s), percent)]
-                    prefix.append(s[first])
-                    last.append(int(often[first[-1]]) if len(first) else 0)
-                flat = pa.array(np.concatenate([np.empty(0, np.int64), *prefix]))
-                offsets = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(rare, pa.int64()), pa.array(last, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "digest", "rare", "last", "prefix"])
+                    digests.append(digest_of(s))
+                    some.append(s[:0] if digests[-1] in seen else s[counted(s, percent)] >> 16)
+                    seen.add(digests[-1])
+                flat = pa.array(np.concatenate([np.empty(0, np.int64), *some]))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), flat)
+                k = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(k), lists], names=["doc_id", "n", "digest", "k", "counted"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, digest binary, k long, counted array<long>")
 
-    return docs.mapInArrow(each, "doc_id long, n long, digest binary, rare long, last long, prefix array<long>")
 
+def own_shingles(rows: DataFrame) -> DataFrame:
+    """(k, own): how many of the shingles in rows (s, k) no other set k has."""
+    once = rows.groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("last")).where("k = last")
+    return once.groupBy("k").agg(F.count(F.lit(1)).alias("own"))
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, set binary) of the documents whose ids are wanted."""
+
+def not_alone(members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """The members (cid, n, ...) that don't have more shingles of their own among all members than a similar set may lack."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in text_batches(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, part.stop - part.start), pa.array([shingle_set(t, width).tobytes() for t in texts[part]], pa.binary())], names=["cid", "set"])
+            sets = as_sets(b.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), pa.array(np.repeat(b.column(0).to_numpy(), [len(s) for s in sets]))], names=["s", "k"])
+
+    wanted = materialise(members.select("cid").distinct(), "large-ids")
+    with small_batches(placed.sparkSession):
+        own = own_shingles(placed.join(few(wanted), "cid", "left_semi").select("cid", "set").mapInArrow(each, "s long, k long"))
+        own = materialise(own.withColumnRenamed("k", "cid"), "own")
+    return members.join(few(own), "cid", "left").where(F.coalesce("own", F.lit(0)) <= may_lack(percent)).drop("own")
+
 
-    ids = materialise(wanted.select(F.col("cid").alias("doc_id")), "wanted")
-    return docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "cid long, set binary")
+def may_lack(percent: int):
+    return F.expr(f"n - (n * {percent} + 99) div 100")
 
 
 def similar(inter: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * union
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of a leaf, a bounded number of them."""
-    n = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    keep = counts[inverse] > 1
-    columns, owners, width = column[inverse[keep]], owner[keep], int((counts > 1).sum())
-    inter = np.zeros((len(sets), len(sets)), np.float32)
-    for k in range(0, width, 4_096):
-        here = (columns >= k) & (columns < k + 4_096)
-        m = np.zeros((len(sets), min(4_096, width - k)), np.float32)
-        m[owners[here], columns[here] - k] = 1
-        inter += m @ m.T
-    return inter + np.diag(n - np.diag(inter))
-
-
-def leaf_pairs(rows: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(g, cid, side, p): for each set up to `most` (None: all) sets of its leaf whose prefixes leave room for enough common shingles.
-
-    rows: g, cid, side, part, n, last, prefix. Sets of one part are connected already and no pair. side 1 is compared with all;
-    side 2 only with 1 and 3; side 3 only with 2. Of two prefixes the one that ends first in the common order holds all common
-    shingles up to there; beyond it there are at most as many as its set has left. What passes is nearly what is similar. If there
-    is one choice a set takes its hub, the candidate of most candidates, else the first ones in an order that is the same in all
-    rounds. So a leaf of k alike sets gives k rows, not all its pairs.
+class PivotIndex:
+    """Distances from a set to all pivots that it shares a shingle with."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order].astype(np.int32)
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def measure(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pivots, common shingles, sizes of the unions)."""
+        if not len(self.keys) or not len(s):
+            return (np.empty(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        at = at[self.keys[at] == s]
+        count = self.first[at + 1] - self.first[at]
+        spread = np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        p, inter = np.unique(self.owners[spread], return_counts=True)
+        return p, inter, len(s) + self.sizes[p] - inter
+
+
+def apart(ids: list[int], sets: list[np.ndarray]) -> PivotIndex:
+    """Of the drawn sets those that lie more than BALL from the ones before them."""
+    index, taken = PivotIndex(ids, sets), np.zeros(len(ids), bool)
+    for i, s in enumerate(sets):
+        p, inter, union = index.measure(s)
+        taken[i] = not (taken[p] & (inter >= (1 - BALL) * union)).any()
+    keep = np.nonzero(taken)[0]
+    return PivotIndex([ids[i] for i in keep], [sets[i] for i in keep])
+
+
+def cells_of(ids: np.ndarray, d: np.ndarray, r: float) -> tuple[np.ndarray, bool]:
+    """(which of the pivots' regions a set belongs to, whether it is an outer set), from its distances."""
+    if not len(ids):
+        return np.zeros(0, bool), True
+    nearest = d.min()
+    within = d <= min(BALL + r, nearest + 2 * r) + 1e-9
+    return within, bool(nearest > BALL)
+
+
+def place(docs: DataFrame, index: PivotIndex, width: int, percent: int) -> DataFrame:
+    """(cid, n, set, outer, cells array<struct<g, d, linked>>) of each document: the regions it belongs to."""
+    known = docs.sparkSession.sparkContext.broadcast(index)
+    r = 1 - percent / 100
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("jaccard")
+        index = known.value
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for part in text_batches(texts, 1_000_000):
+                sets = [shingle_set(t, width) for t in texts[part]]
+                outer, g, d, linked, size = [], [], [], [], [0]
+                for s in sets:
+                    p, inter, union = index.measure(s)
+                    away = 1 - inter / np.maximum(union, 1)
+                    within, out = cells_of(p, away, r)
+                    outer.append(out)
+                    g.append(index.ids[p[within]])
+                    d.append(away[within])
+                    linked.append(similar(inter, union, percent)[within])
+                    size.append(len(g[-1]))
+                cell = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *g])), pa.array(np.concatenate([np.empty(0), *d])), pa.array(np.concatenate([np.empty(0, bool), *linked]))], names=["g", "d", "linked"])
+                cells = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), cell)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(outer), cells], names=["cid", "n", "set", "outer", "cells"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "cid long, n long, set binary, outer boolean, cells array<struct<g: long, d: double, linked: boolean>>")
+
+
+def outer_groups(placed: DataFrame, percent: int) -> DataFrame:
+    """(cid, g): outer sets, grouped by whatever shared shingles of their prefixes connect; sets that share none are alone.
+
+    The common order of shingles is: those in the counted part of the hash range by the number of outer sets that have them, then the
+    others by hash. A prefix holds one shingle more than a similar set may lack.
     """
 
-    def join(table: pa.Table) -> pa.Table:
-        cid, n, last, side, part = (table.column(c).to_numpy() for c in ("cid", "n", "last", "side", "part"))
-        sets = [np.asarray(x.values) for x in table.column("prefix")]
-        end = np.array([s[-1] for s in sets])
-        left = n - np.array([len(s) for s in sets])
-        sooner = (last[:, None] < last[None, :]) | ((last[:, None] == last[None, :]) & (end[:, None] <= end[None, :]))
-        reach = overlaps(sets) + np.where(sooner, left[:, None], left[None, :])
-        fits = (100 + percent) * reach >= percent * (n[:, None] + n[None, :])
-        fits &= fits.T & ((side[:, None] == 1) | (side[None, :] == 1) | (side[:, None] + side[None, :] == 5))
-        order = np.lexsort((cid, -fits.sum(axis=0))) if most == 1 else np.argsort(mixed(cid.view(np.uint64)), kind="stable")
-        tries = (fits & (part[:, None] != part[None, :]))[:, order]
-        if most is not None:
-            tries &= np.cumsum(tries, axis=1) <= most
-        a, b = np.nonzero(tries)
-        return pa.table({"g": table.column("g").take(pa.array(a)), "cid": pa.array(cid[a], pa.int64()), "side": pa.array(side[a], pa.int32()), "p": pa.array(cid[order[b]], pa.int64())})
-
-    return rows.select("g", "cid", "side", "part", "n", "last", "prefix").groupBy("g").applyInArrow(join, "g long, cid long, side int, p long")
-
-
-def pivot_distances(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(g, cid, p, d, linked) of each member and each pivot of its region; regions that overlap share pivots and measurements."""
-    near = members.join(pivots, "g").select("g", "cid", "p")
-    return near.join(measured(near.select("cid", "p").distinct(), sets, percent), ["cid", "p"])
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shingles, late, spare = [], [], []
+            for s in as_sets(b.column(1)):
+                first, more = s[counted(s, percent)], lacks(len(s), percent) + 1
+                rest = s[~counted(s, percent)][: max(0, more - len(first))]
+                shingles.append(np.concatenate([first, rest]))
+                late.append(np.repeat([False, True], [len(first), len(rest)]))
+                spare.append(more - len(shingles[-1]))
+            k = [len(x) for x in shingles]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), k)), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(late)), pa.array(np.repeat(spare, k).astype(np.int64))], names=["cid", "s", "late", "spare"])
+
+    rows = placed.where("outer").select("cid", "set").mapInArrow(each, "cid long, s long, late boolean, spare long")
+    with small_batches(placed.sparkSession):
+        often = materialise(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
+        shared = rows.join(few(often), "s").groupBy("cid").agg(F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("late", "df", "s"))).alias("x"))
+        prefix = shared.select("cid", F.explode(F.slice("x", 1, F.greatest(F.lit(0), F.col("spare") + F.size("x")).cast("int"))).alias("x")).select("cid", "x.s")
+        prefix = materialise(prefix, "prefixes")
+    owners = prefix.groupBy("s").agg(F.min("cid").alias("owner"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "owner")
+    edges = prefix.join(few(materialise(owners, "owners")), "s").where("cid <> owner").select(F.col("cid").alias("a"), F.col("owner").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("cid"), F.xxhash64("component", F.lit("outer")).alias("g"))
+
+
+def region_links(cid: np.ndarray, part: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs of a region connect, sets of one part being connected already.
+
+    Only pairs with a set that asks count. Sets that share too few shingles with all others leave at once. Then one set after the other is
+    the pivot and is measured to all others, those of small parts first, until all that are left belong to one part.
+    """
+    n = np.array([len(s) for s in sets])
+    least = -(-n * percent // 100)
+    owner, flat = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    alive = np.ones(len(sets), bool)
+    for _ in range(4):
+        shared = (times > 1)[column] & alive[owner]
+        now = alive & (np.bincount(owner[shared], minlength=len(sets)) >= least)
+        if (now == alive).all():
+            break
+        alive = now
+        times = np.bincount(column[alive[owner]], minlength=len(times))
+    here = alive[owner] & (times > 1)[column]
+    owner, column = owner[here], column[here]
+    start = np.searchsorted(owner, np.arange(len(sets) + 1))
+    label = np.unique(part, return_inverse=True)[1]
+    out, left = [], alive.copy()
+    while True:
+        ready = np.nonzero(left & asks)[0]
+        labels = np.bincount(label[left], minlength=1) if left.any() else np.zeros(1, int)
+        if not len(ready) or (labels > 0).sum() < 2:
+            return out
+        p = ready[labels[label[ready]].argmin()]
+        mark = np.zeros(len(times), bool)
+        mark[column[start[p] : start[p + 1]]] = True
+        inter = np.bincount(owner, mark[column], len(sets)).astype(np.int64)
+        found = np.nonzero(left & similar(inter, n + n[p] - inter, percent) & (label != label[p]))[0]
+        _, one = np.unique(label[found], return_index=True)
+        for x in found[one]:
+            out.append((int(cid[p]), int(cid[x])))
+            label[label == label[x]] = label[p]
+        left[p] = False
+
+
+def join_regions(members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within regions (g, cid, part, asks) that one task can hold."""
 
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("cid", "ascending"), ("asks", "descending")])
+        cid = table.column("cid").to_numpy()
+        first = np.append(True, cid[1:] != cid[:-1])
+        table, cid = table.filter(pa.array(first)), cid[first]
+        links = region_links(cid, table.column("part").to_numpy(), table.column("asks").to_numpy(), as_sets(table.column("set")), percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-def few(rows: DataFrame) -> DataFrame:
-    """Rows of ids, to be broadcast while there are few of them."""
-    return F.broadcast(rows) if rows.count() <= MOST_IDS else rows
+    rows = placed.select("cid", "set").join(few(materialise(members.select("g", "cid", "part", "asks"), "leaves")), "cid")
+    return rows.groupBy("g").applyInArrow(join, "a long, b long")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, p, d, linked) of pairs (cid, p); the sets travel once a pair, never a region whole."""
+def measured(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(g, cid, p, d, linked) of pairs (g, cid, p), the pivots p being few a region."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            inter, union = [], []
-            for x, p in zip(b.column(2), b.column(3), strict=True):
-                x, p = np.frombuffer(x.as_py(), np.int64), np.frombuffer(p.as_py(), np.int64)
-                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
-                inter.append(int((p[at] == x).sum()))
-                union.append(len(x) + len(p) - inter[-1])
-            inter, union = np.array(inter, np.int64), np.array(union, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent), pa.bool_())], names=["cid", "p", "d", "linked"])
+            x, p = as_sets(b.column(3)), as_sets(b.column(4))
+            inter = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, p, strict=True)], np.int64)
+            union = np.array([len(s) + len(t) for s, t in zip(x, p, strict=True)], np.int64) - inter
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(1 - inter / np.maximum(union, 1)), pa.array(similar(inter, union, percent))], names=["g", "cid", "p", "d", "linked"])
 
     pairs = materialise(pairs, "pairs")
-    ends = few(pairs.select(F.col("p").alias("cid")).distinct())
-    pivot_sets = sets.join(ends, "cid", "left_semi").select(F.col("cid").alias("p"), F.col("set").alias("pivot_set"))
-    # Few pairs are broadcast to the sets; then only what each pair needs is shuffled, once.
-    both = sets.join(few(pairs), "cid").join(pivot_sets, "p")
-    return both.select("cid", "p", "set", "pivot_set").mapInArrow(measure, "cid long, p long, d double, linked boolean")
-
-
-def divide(members: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, members of the Voronoi regions with their windows). members: g, cid, rare."""
-    first = F.min_by("cid", F.struct("rare", F.xxhash64("cid", F.lit(level))))
-    more = [F.min_by("cid", F.xxhash64("cid", F.lit(100 * level + i))) for i in range(1, PIVOTS)]
-    pivots = members.groupBy("g").agg(F.array(first, *more).alias("p")).select("g", F.explode(F.array_distinct("p")).alias("p"))
-    near = materialise(pivot_distances(members, materialise(pivots, "pivots"), sets, percent).select("g", "cid", "p", "d", "linked"), "distances")
-    reach = 2 * (1 - percent / 100) + 1e-9
-    nearest = near.groupBy("g", "cid").agg(F.min("d").alias("least"))
-    cells = near.join(nearest, ["g", "cid"]).where(F.col("d") <= F.col("least") + reach)
-    cells = cells.select(F.xxhash64("g", "p", F.lit(level)).alias("g2"), "g", "cid", "d", "linked")
-    return near.where("linked and cid <> p").select(F.col("cid").alias("a"), F.col("p").alias("b")), cells
-
-
-def block_rows(cells: DataFrame, percent: int) -> DataFrame:
-    """Blocks (g, r, i, j) of what isn't linked to a pivot against all of its region, within rings of the distance to the pivot."""
-    ring, most = 1 - percent / 100 + 1e-9, max(1, LEAF // 2)
-    x = cells.withColumn("r", F.floor(F.col("d") / ring).cast("int"))
-    sizes = x.groupBy("g", "r").agg(F.ceil(F.sum((~F.col("linked")).cast("int")) / most).alias("bi"), F.ceil(F.count(F.lit(1)) / most).alias("n")).where("bi > 0")
-    near = x.groupBy("g", "r").agg(F.count(F.lit(1)).alias("m"))
-    rings = sizes.select("g", F.col("r").alias("r0"), "bi").join(near, "g").where(F.abs(F.col("r") - F.col("r0")) <= 1).groupBy("g", "r0").agg(F.first("bi").alias("bi"), F.ceil(F.sum("m") / most).alias("bj"))
-    alone = x.where(~F.col("linked")).withColumnRenamed("r", "r0").join(rings, ["g", "r0"])
-    left = alone.select("g", "r0", "cid", F.pmod(F.xxhash64("cid"), "bi").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"), F.lit(3).alias("side"))
-    every = x.withColumn("r0", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1))).join(rings, ["g", "r0"])
-    right = every.select("g", "r0", "cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"), F.pmod(F.xxhash64("cid"), "bj").alias("j"), F.lit(2).alias("side"))
-    return left.unionByName(right)
-
-
-def one_of_equal(members: DataFrame) -> DataFrame:
-    """The members of one of all regions that have the same members. members: g, cid, ..."""
-    same = members.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    return members.join(same.groupBy("c", "s", "lo", "hi").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
-
-
-def size_windows(members: DataFrame, percent: int) -> DataFrame:
-    """(g, cid): small regions cut where sizes in order are too far apart for any pair across the cut to be similar."""
-    order = Window.partitionBy("g").orderBy("n", "cid")
-    apart = F.coalesce(100 * F.lag("n").over(order) < percent * F.col("n"), F.lit(False)).cast("int")
-    cut = members.withColumn("far", apart).withColumn("part", F.sum("far").over(order))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("g", "part"))
-    cut = cut.withColumn("k", alone).where("k > 1").select(F.xxhash64("g", "part").alias("g"), "cid")
-    return one_of_equal(cut)
+    pivots = placed.join(few(pairs.select(F.col("p").alias("cid")).distinct()), "cid", "left_semi").select(F.col("cid").alias("p"), F.col("set").alias("pivot_set"))
+    pivots = materialise(pivots, "pivot-sets")
+    near = F.broadcast(pivots) if pivots.agg(F.sum(F.length("pivot_set"))).first()[0] <= 8 * PIVOT_SHINGLES else pivots
+    both = placed.select("cid", "set").join(few(pairs), "cid").join(near, "p").select("g", "cid", "p", "set", "pivot_set")
+    with small_batches(placed.sparkSession):
+        return materialise(both.mapInArrow(measure, "g long, cid long, p long, d double, linked boolean"), "distances")
+
+
+def divide(large: DataFrame, placed: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """(links to pivots, members (g, cid, n, d) of the regions within large ones). large: g, cid, n, part, asks.
+
+    Pivots are drawn from sets outside the largest part of their region; those near another one open no region of their own.
+    """
+    drawn = [F.min_by("cid", F.xxhash64("cid", F.lit(100 * level + i))) for i in range(PIVOTS)]
+    pivots = materialise(large.where("asks").groupBy("g").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("g", F.explode("p").alias("p")), "pivots")
+    near = measured(large.select("g", "cid").join(few(pivots), "g"), placed, percent)
+    close = near.join(few(pivots.select("g", F.col("p").alias("cid"))), ["g", "cid"]).where((F.col("p") < F.col("cid")) & (F.col("d") <= BALL))
+    heads = pivots.join(close.select("g", F.col("cid").alias("p")).distinct(), ["g", "p"], "left_anti")
+    r = 1 - percent / 100
+    kept = materialise(near.join(few(heads), ["g", "p"]), "heads")
+    least = kept.groupBy("g", "cid").agg(F.min("d").alias("least"))
+    cells = kept.join(least, ["g", "cid"]).where((F.col("d") <= F.col("least") + 2 * r + 1e-9) & (F.col("d") <= BALL + r + 1e-9))
+    inner = cells.select(F.xxhash64("g", "p", F.lit(level)).alias("g"), "cid", "d")
+    outer = least.where(F.col("least") > BALL).select(F.xxhash64("g", F.lit(f"outer {level}")).alias("g"), "cid", F.lit(0.0).alias("d"))
+    return near.where("linked and cid <> p").select(F.col("cid").alias("a"), F.col("p").alias("b")), inner.union(outer)
+
+
+def blocks(large: DataFrame, percent: int) -> DataFrame:
+    """(g, cid, part, asks): what asks in a region against all of it, in blocks within rings of the distance to its pivot."""
+    ring = 1 - percent / 100 + 1e-9
+    x = large.withColumn("r", F.floor(F.col("d") / ring).cast("int"))
+
+    def pieces(count, size):
+        return F.greatest(F.ceil(2 * count / LEAF_SETS), F.ceil(2 * size / LEAF_SHINGLES), F.lit(1)).cast("long")
+
+    asked = x.where("asks").groupBy("g", "r").agg(pieces(F.count(F.lit(1)), F.sum("n")).alias("bi"))
+    near = x.withColumn("r", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)))
+    rings = materialise(near.groupBy("g", "r").agg(pieces(F.count(F.lit(1)), F.sum("n")).alias("bj")).join(asked, ["g", "r"]), "rings")
+    i, j = F.pmod(F.xxhash64("cid"), "bi"), F.pmod(F.xxhash64("cid", F.lit(1)), "bj")
+    left = x.where("asks").join(few(rings), ["g", "r"]).select("g", "r", "cid", "part", "asks", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1)).alias("j"))
+    right = near.join(few(rings), ["g", "r"]).select("g", "r", "cid", "part", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"), j.alias("j"))
+    return left.union(right).select(F.xxhash64("g", "r", "i", "j").alias("g"), "cid", "part", "asks")
 
 
 def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): one class a distinct set (digest, cid, n, rare), and links (a, b) between classes.
+    """(classes, links): one class a distinct set (digest, cid, n), and links (a, b) between classes.
 
     The links connect whatever similar pairs of different sets connect; pairs that links connect already aren't compared.
     """
-    classes = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "last", "prefix")).alias("c"))
-    classes = materialise(classes.select("digest", F.col("c.doc_id").alias("cid"), "c.n", "c.rare", "c.last", "c.prefix"), "classes")
-    rows = classes.select("cid", "n", F.explode("prefix").alias("g"))
-    regions = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = materialise(rows.join(regions, "g"), "members")
-    small = size_windows(members.where(F.col("k") <= LEAF).select("g", "cid", "n"), percent)
-    large = members.where(F.col("k") > LEAF).join(classes.select("cid", "rare"), "cid").select("g", "cid", "rare", "k")
-    prefixes = classes.select("cid", "n", "last", "prefix")
-    large = materialise(one_of_equal(large), "large")
-    leaves = [small.select("g", "cid", F.lit(1).alias("side"))]
-    links = [docs.sparkSession.createDataFrame([], "a long, b long")]
-    sets = None
-    for level in range(LEVELS):
-        if large.isEmpty():
-            break
-        sets = sets or materialise(sets_of(docs, large.select("cid").distinct(), width), "pivot-sets")
-        found, cells = divide(large.select("g", "cid", "rare"), sets, percent, level)
-        links.append(found)
-        cells = materialise(cells.join(large.select("g", "cid", "rare", F.col("k").alias("was")), ["g", "cid"]), "cells")
-        size = cells.groupBy("g2").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("done")).where("not done and k > 1")
-        cells = materialise(one_of_equal(cells.drop("g").join(size, "g2").withColumnRenamed("g2", "g")), "cells")
-        leaves.append(cells.where(F.col("k") <= LEAF).select("g", "cid", F.when(F.col("linked"), 2).otherwise(1).alias("side")))
-        stuck = (F.col("k") > LEAF) & ((F.col("k") > 0.7 * F.col("was")) | F.lit(level == LEVELS - 1))
-        leaves.append(block_rows(cells.where(stuck), percent).select(F.xxhash64("g", "r0", "i", "j").alias("g"), "cid", "side"))
-        large = cells.where((F.col("k") > LEAF) & ~stuck).select("g", "cid", "rare", "k")
-    links = materialise(reduce(DataFrame.union, links).distinct(), "links")
-    return classes, resolve(docs, materialise(reduce(DataFrame.union, leaves), "leaves"), prefixes, links, width, percent)
-
-
-def resolve(docs: DataFrame, leaves: DataFrame, prefixes: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links (a, b), found ones included, that connect what the similar pairs within leaves (g, cid, side) connect.
-
-    In each round every set is compared with some of its candidates of other components, more of them each round and in the last
-    one with all that are left. Leaves within one component, and sets without a candidate, leave the join.
+    spark = docs.sparkSession
+    classes = described.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "k")).alias("c"))
+    classes = materialise(classes.select("digest", F.col("c.doc_id").alias("cid"), "c.n", "c.k"), "classes")
+    own = own_shingles(described.select(F.explode("counted").alias("s"), "k"))
+    some = materialise(classes.join(own, "k", "left").where(F.coalesce("own", F.lit(0)) <= may_lack(percent)).select("cid", "n"), "candidates")
+    if described.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        texts = docs
+    else:
+        texts = docs.join(few(some.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = texts.join(few(some.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
+    index = draw_pivots(texts, some, width)
+    placed = materialise(place(texts, index, width, percent), "placed")
+    # Counted in full, among those left, shingles tell more sets that are alone.
+    near = materialise(not_alone(placed.select("cid", "n"), placed, percent).select("cid"), "near")
+    near = placed.join(few(near), "cid", "left_semi")
+    cells = near.select("cid", "n", F.explode("cells").alias("c")).select("c.g", "cid", "n", "c.d", "c.linked")
+    links = materialise(cells.where("linked and cid <> g").select(F.col("cid").alias("a"), F.col("g").alias("b")), "links")
+    outer = outer_groups(near, percent).join(some, "cid").select("g", "cid", "n", F.lit(0.0).alias("d"))
+    members = materialise(cells.select("g", "cid", "n", "d").union(outer), "members")
+    level, before = 0, float("inf")
+    while True:
+        of = components(links)
+        small, large = with_parts(members, of)
+        found = [join_regions(small, placed, percent)]
+        count = large.count()
+        if count:
+            # What is alone among all sets of large regions needs no comparison; that may make regions small.
+            small, large = with_parts(not_alone(large.select("g", "cid", "n", "d"), placed, percent), of)
+            found.append(join_regions(small, placed, percent))
+            count = large.count()
+        divided = count and level < LEVELS and count <= DIVIDES * before
+        if divided:
+            more, members = divide(large, placed, percent, level)
+            members = materialise(members.join(some, "cid").select("g", "cid", "n", "d"), "members")
+            found.append(more)
+        elif count:
+            found.append(join_regions(blocks(large, percent), placed, percent))
+        links = materialise(reduce(DataFrame.union, [links, *found]), "links")
+        if not divided:
+            return classes, links
+        level, before = level + 1, count
+
+
+def draw_pivots(texts: DataFrame, some: DataFrame, width: int) -> PivotIndex:
+    """Pivots of the first level: a bounded draw from all sets, thinned."""
+    ids = some.orderBy(F.xxhash64("cid", F.lit(3)), "cid").limit(MOST_PIVOTS).toPandas()
+    ids = ids[(ids["n"].cumsum() - ids["n"]) < PIVOT_SHINGLES]
+    wanted = texts.sparkSession.createDataFrame([(int(i),) for i in ids["cid"]], "doc_id long")
+    # At most MOST_PIVOTS texts, of at most PIVOT_SHINGLES shingles but for the last one.
+    rows = texts.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").collect()
+    known = {r.doc_id: r.text for r in rows}
+    order = [int(i) for i in ids["cid"] if int(i) in known]
+    return apart(order, [shingle_set(known[i], width) for i in order])
+
+
+def with_parts(members: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of regions that one task holds, members of larger ones): g, cid, n, d, part, asks; regions within one part are left out.
+
+    of: components (node, component) of the links so far. Sets outside the largest part of their region ask.
     """
-    sets = tried = None
-    for most in TRIES:
-        of = components(links).select(F.col("node").alias("cid"), "component")
-        live = leaves.join(of, "cid", "left").select("g", "cid", "side", F.coalesce("component", "cid").alias("part"))
-        apart = live.groupBy("g").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("g")
-        found = materialise(leaf_pairs(live.join(apart, "g", "left_semi").join(prefixes, "cid"), percent, most), "candidates")
-        if found.isEmpty():
-            break
-        # A candidate's candidate is the set itself, so the first round names all sets that are ever compared.
-        sets = sets or materialise(sets_of(docs, found.select("cid").distinct(), width), "sets")
-        pairs = found.select(F.greatest("cid", "p").alias("cid"), F.least("cid", "p").alias("p")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["cid", "p"], "left_anti")
-        now = materialise(measured(pairs, sets, percent), "tried")
-        links = materialise(links.union(now.where("linked").select(F.col("cid").alias("a"), F.col("p").alias("b"))), "links")
-        tried = now.select("cid", "p") if tried is None else tried.union(now.select("cid", "p"))
-        leaves = found.select("g", "cid", "side").distinct()
-    return links
+    of = of.select(F.col("node").alias("cid"), "component")
+    live = materialise(members.join(few(of), "cid", "left").select("g", "cid", "n", "d", F.coalesce("component", "cid").alias("part")), "parts")
+    sizes = live.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), (F.min("part") < F.max("part")).alias("apart")).where("apart")
+    parts = live.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("part", F.struct("m", "part")).alias("most"))
+    sizes = materialise(sizes.join(parts, "g").select("g", "most", ((F.col("k") <= LEAF_SETS) & (F.col("size") <= LEAF_SHINGLES)).alias("small")), "sizes")
+    live = live.join(few(sizes), "g").withColumn("asks", F.col("part") != F.col("most"))
+    return live.where("small").drop("small", "most"), materialise(live.where("not small").drop("small", "most"), "large")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -327,14 +454,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     docs: doc_id, text; other columns are ignored. Null and empty texts and texts without words have no shingles and are alone.
     Rows with a null doc_id join the component of an equal set, if it has one, and are null otherwise. Repeated rows stay; an id
-    names one text (of rows that give it several, any may stand for it).
+    names one text (of rows that give it several, any may stand for it). Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialise(describe(docs, width, percent), "described")
+    described = materialise(described_sets(docs, width, percent), "described")
     classes, links = similar_links(docs, described, width, percent)
     reach = components(links)
-    by_digest = classes.select("digest", "cid").join(reach, F.col("cid") == F.col("node"), "left").select("digest", F.coalesce("component", "cid").alias("component"))
-    out = described.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
+    by_digest = materialise(classes.select("digest", "cid").join(few(reach), F.col("cid") == F.col("node"), "left").select("digest", F.coalesce("component", "cid").alias("component")), "by-digest")
+    out = described.select("doc_id", "n", "digest").join(few(by_digest), "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rankforge.llm import jaccard_join
@@ -44,18 +45,56 @@ def varied(seed, n, edits):
     return out
 
 
-@pytest.mark.parametrize(("leaf", "sample"), [(96, 12_000), (8, 12_000), (8, 1)])
-def test_against_brute_force(spark, monkeypatch, leaf, sample):
-    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
-    monkeypatch.setattr(jaccard_join, "SAMPLE_DOCS", sample)
+def some_rows():
     texts = varied(1, 60, 8) + varied(2, 15, 3) + ["a b c d e"] * 30 + ["short one", "SHORT one", "short\tone", "x", "", None, "  \n", "a b c d"]
     texts += [f"u{i} v{i} w{i} common passage of words here z{i}" for i in range(25)]
-    rows = list(enumerate(texts))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("leaf", "pivots", "levels"), [(1024, 2048, 3), (8, 2048, 3), (8, 3, 1), (8, 3, 0), (1024, 0, 3)])
+def test_against_brute_force(spark, monkeypatch, leaf, pivots, levels):
+    monkeypatch.setattr(jaccard_join, "LEAF_SETS", leaf)
+    monkeypatch.setattr(jaccard_join, "MOST_PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    rows = some_rows()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
     assert got == brute(rows, 4, 85)
 
 
+def test_regions_carry_the_join(spark, monkeypatch):
+    """Without the regions of pivots links of sf0.01 are lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == want
+    monkeypatch.setattr(jaccard_join, "cells_of", lambda ids, d, r: (np.zeros(len(ids), bool), not len(ids) or bool(d.min() > jaccard_join.BALL)))
+    none = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    lost = {i for i in want if none[i] != want[i]}
+    # All links between different sets of sf0.01 come from the regions of pivots.
+    assert lost and {none[i][1] for i in lost} == lost
+
+
+def test_windows_at_borders(spark, monkeypatch):
+    """Chains of edits run from one pivot to another; sets in between lie in the region of one and the window of the other."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([f"x{k}" if k < i else w for k, w in enumerate(base)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 1
+    whole = jaccard_join.cells_of
+
+    def home_only(ids, d, r):
+        within, outer = whole(ids, d, r)
+        return within & (np.arange(len(d)) == (d.argmin() if len(d) else 0)) & (not outer), outer
+
+    monkeypatch.setattr(jaccard_join, "cells_of", home_only)
+    cut = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert len(set(cut.values())) > 1
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(none).count() == 0
