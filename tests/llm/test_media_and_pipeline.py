@@ -55,6 +55,36 @@ def test_halved_copy_is_found(spark):
     assert got is not None and abs(got.log_scale - 1) <= 0.5
 
 
+def test_recall_by_edit(spark):
+    """Shares of edited copies that are found among other images, and no other image is."""
+    rng = np.random.default_rng(8)
+    images = [media.drawn(list(v)) for v in rng.normal(size=(24, 64))]
+    edits = {
+        "crop": lambda x: media.edited(x),
+        "noise": lambda x: np.clip(x + rng.normal(0, 3, x.shape), 0, 255).astype(np.uint8),
+        "turn": lambda x: np.rot90(x).copy(),
+        "brighter": lambda x: np.clip(x * 0.9 + 25, 0, 255).astype(np.uint8),
+    }
+
+    def frame(pictures):
+        rows = [(i, *map(float, f[:4]), *map(int, f[4:])) for i, x in enumerate(pictures) for f in media.describe(x)]
+        return spark.createDataFrame(rows, f"id long, {media.FEATURES}")
+
+    corpus = materialise(frame(images), "test-corners")
+    recall = {}
+    for name, edit in edits.items():
+        asked = frame([edit(x) for x in images]).collect()
+        asked = materialise(spark.createDataFrame(asked, f"id long, {media.FEATURES}"), "test-queries")
+        rows = media.copies(asked, corpus).collect()
+        found = [(r.query_id, r.match_id) for r in rows]
+        assert all(a == b for a, b in found)
+        recall[name] = len(found) / len(images)
+        pictures = spark.createDataFrame([(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate(images)], "id long, height int, width int, pixels binary")
+        assert sorted(tuple(r) for r in media.copies_in(pictures, media.tables_of(asked)).collect()) == sorted(tuple(r) for r in rows)
+    print("recall by edit", recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
 @pytest.fixture()
 def corpus(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.01/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
