@@ -50,8 +50,16 @@ def winrate(results: DataFrame) -> DataFrame:
     return winrate_matrix(results).groupBy(F.col("method_1").alias("method")).agg(F.avg("winrate").alias("winrate"))
 
 
+def dense(results: DataFrame) -> bool:
+    """Whether every method has every task: as many rows as methods times tasks, none of them twice."""
+    n, methods, tasks, cells = results.agg(F.count(F.lit(1)), F.count_distinct("method"), F.count_distinct("dataset", "fold"), F.count_distinct("method", "dataset", "fold")).first()
+    return n == cells == methods * tasks
+
+
 def winrate_from_ranks(ranked: DataFrame) -> DataFrame:
-    """The same on dense results without any pair: 1 - (mean rank - 1) / (methods - 1)."""
+    """The same without any pair, 1 - (mean rank - 1) / (methods - 1), which holds on dense results; others go by pairs."""
+    if not dense(ranked):
+        return winrate(ranked)
     sizes = ranked.groupBy("dataset", "fold").agg(F.count(F.lit(1)).alias("m"))
     share = ranked.join(sizes, ["dataset", "fold"]).select("method", "dataset", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("m") - 1), F.lit(0.5)).alias("lost"))
     return equal_task_mean(share, "lost").select("method", (1 - F.col("lost")).alias("winrate"))

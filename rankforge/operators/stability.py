@@ -36,11 +36,15 @@ def fold_stability(similar: DataFrame, folds: DataFrame, target: float = 0.95, c
 
 
 def jitter(ranked: DataFrame) -> DataFrame:
-    """(dataset, jitter): mean absolute deviation of a method's fold score, 1 - (rank - 1) / (methods - 1), from its mean."""
-    m = F.count(F.lit(1)).over(Window.partitionBy("dataset", "fold"))
-    scored = ranked.select("dataset", "fold", "method", (1 - F.try_divide(F.col("rank") - 1, m - 1)).alias("s"))
-    full = scored.groupBy("dataset").agg(F.count_distinct("fold").alias("all_folds"))
-    scored = scored.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("dataset", "method"))).join(full, "dataset").where("k = all_folds")
+    """(dataset, jitter): mean absolute deviation of a method's fold score, 1 - (rank - 1) / (methods - 1), from its mean.
+
+    Methods that lack a fold of a dataset are dropped first; methods counts those that are left.
+    """
+    rows = ranked.select("dataset", "fold", "method", "rank")
+    folds = rows.groupBy("dataset").agg(F.count_distinct("fold").alias("k"))
+    whole = rows.groupBy("dataset", "method").agg(F.count_distinct("fold").alias("k")).join(folds, ["dataset", "k"]).select("dataset", "method")
+    sizes = whole.groupBy("dataset").agg(F.count(F.lit(1)).alias("m"))
+    scored = rows.join(whole, ["dataset", "method"]).join(sizes, "dataset").withColumn("s", 1 - F.try_divide(F.col("rank") - 1, F.col("m") - 1))
     spread = scored.withColumn("d", F.abs(F.col("s") - F.avg("s").over(Window.partitionBy("dataset", "method"))))
     return spread.groupBy("dataset").agg(F.avg("d").alias("jitter"))
 

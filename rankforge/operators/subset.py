@@ -18,8 +18,8 @@ PREDICATES: dict[str, Column | str] = {
     "tiny": "n_train <= 2000",
     "small": "n_train <= 10000",
     "medium": "n_train > 10000 and n_train <= 100000",
-    "low_features": "n_features <= 50",
-    "high_features": "n_features > 50",
+    "low_features": "n_features <= 500",
+    "high_features": "n_features > 500",
 }
 
 

@@ -203,7 +203,7 @@ def leaderboard_full(spark, d):
 # --- subsets, dense tables, unions ----------------------------------------------------------------------------------
 
 
-@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error FROM wide WHERE dataset IN (SELECT dataset FROM tasks WHERE (problem_type = 'binary' OR n_train <= 2000) AND NOT (n_features > 50))", WIDE_SQL, TASKS_SQL)
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error FROM wide WHERE dataset IN (SELECT dataset FROM tasks WHERE (problem_type = 'binary' OR n_train <= 2000) AND NOT (n_features > 500))", WIDE_SQL, TASKS_SQL)
 def subset_semijoin(spark, d):
     return subset.subset_results(results(spark, d, wide=True), tasks(spark, d), ["binary|tiny", "!high_features"]).select("method", "dataset", "fold", "metric_error")
 
@@ -213,7 +213,7 @@ def subset_union_negate(spark, d):
     return subset.subset(tasks(spark, d), "!regression|medium").select("dataset")
 
 
-@query("SELECT dataset, array_to_string(list_sort(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN problem_type = 'binary' THEN 'binary' END, CASE WHEN problem_type IN ('binary', 'multiclass') THEN 'classification' END, CASE WHEN n_features > 50 THEN 'high_features' END, CASE WHEN n_features <= 50 THEN 'low_features' END, CASE WHEN n_train > 10000 AND n_train <= 100000 THEN 'medium' END, CASE WHEN problem_type = 'multiclass' THEN 'multiclass' END, CASE WHEN problem_type = 'regression' THEN 'regression' END, CASE WHEN n_train <= 10000 THEN 'small' END, CASE WHEN n_train <= 2000 THEN 'tiny' END], lambda x: x IS NOT NULL)), ',') AS subsets FROM tasks", TASKS_SQL)
+@query("SELECT dataset, array_to_string(list_sort(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN problem_type = 'binary' THEN 'binary' END, CASE WHEN problem_type IN ('binary', 'multiclass') THEN 'classification' END, CASE WHEN n_features > 500 THEN 'high_features' END, CASE WHEN n_features <= 500 THEN 'low_features' END, CASE WHEN n_train > 10000 AND n_train <= 100000 THEN 'medium' END, CASE WHEN problem_type = 'multiclass' THEN 'multiclass' END, CASE WHEN problem_type = 'regression' THEN 'regression' END, CASE WHEN n_train <= 10000 THEN 'small' END, CASE WHEN n_train <= 2000 THEN 'tiny' END], lambda x: x IS NOT NULL)), ',') AS subsets FROM tasks", TASKS_SQL)
 def subsets_per_dataset(spark, d):
     return subset.predicates_per_dataset(tasks(spark, d))
 
@@ -275,7 +275,10 @@ def fold_stability(spark, d):
     return out.withColumn("rho", F.round("rho", 6)).withColumn("reliability", F.round("reliability", 6))
 
 
-@query("SELECT dataset, round(avg(abs(s - m)), 9) AS jitter FROM (SELECT dataset, method, s, avg(s) OVER (PARTITION BY dataset, method) AS m FROM (SELECT dataset, method, fold, 1 - (rank - 1) / (count(*) OVER (PARTITION BY dataset, fold) - 1) AS s FROM ranked)) GROUP BY 1", RESULTS_SQL, RANKED_SQL)
+WHOLE_SQL = "whole AS (SELECT dataset, method, count(*) OVER (PARTITION BY dataset) AS m FROM (SELECT dataset, method, count(DISTINCT fold) AS k FROM results GROUP BY 1, 2) JOIN (SELECT dataset, count(DISTINCT fold) AS k FROM results GROUP BY 1) USING (dataset, k))"
+
+
+@query("SELECT dataset, round(avg(abs(s - a)), 9) AS jitter FROM (SELECT dataset, s, avg(s) OVER (PARTITION BY dataset, method) AS a FROM (SELECT dataset, method, 1 - (rank - 1) / (m - 1) AS s FROM ranked JOIN whole USING (dataset, method))) GROUP BY 1", RESULTS_SQL, RANKED_SQL, WHOLE_SQL)
 def dataset_jitter(spark, d):
     return stability.jitter(pertask.per_task(results(spark, d)))
 
@@ -556,3 +559,7 @@ def repository_roundtrip(spark, d):
     path = f"{incremental.shared_folder(spark)}/repository-{uuid.uuid4().hex}"
     Repository(results(spark, d, wide=True), tasks(spark, d)).save(path)
     return Repository.load(spark, path).subset(folds=[0], expressions="binary").results.select("method", "dataset", "fold", "metric_error")
+
+
+# Further queries register themselves here.
+from rankforge.plans import names  # noqa: E402, F401
