@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +167,21 @@ def own_worker(name: str) -> None:
         OWNER[0] = name
         for clear in CACHES:
             clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows of an Arrow batch that hold whole texts.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python at most BATCH_ROWS rows at a time, so a worker holds little of its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:

@@ -1,8 +1,8 @@
 """Exact self-join of word-shingle sets by Jaccard similarity, as a join in the metric space of Jaccard distance.
 
 A set with more shingles of its own, which no other set has, than a similar set may lack is alone and leaves first. Pivots are then
-drawn from all other sets, thinned to lie apart, and every set is measured to them. A set within BALL of a pivot belongs to the Voronoi
-region of its nearest one; by the triangle inequality whatever is within distance r of it is at most BALL + r from that pivot and at most
+drawn from all other sets, thinned to lie apart, and every set is measured to them. A set in the ball of a pivot belongs to the Voronoi
+region of its nearest one; by the triangle inequality whatever is within distance r of it is at most r outside that ball and at most
 2r farther from it than from its own nearest one, so boundary sets are copied to the regions within that window and no pair is lost.
 Sets that no pivot is near meet in outer regions, which hold whatever rare shingles connect (sets that agree share one of their rarest
 shingles). Regions are joined recursively: a small one in one task, pivot by pivot; a large one is divided by pivots of its own, at last in
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import CACHES, materialise, own_worker, text_batches
+from rankforge.llm.common import CACHES, bounded_batches, materialise, own_worker, text_batches
 from rankforge.llm.components import components
 
-#: Sets and shingles of a region that one task joins; radius of a pivot's ball; levels of division and pivots a divided region.
-LEAF_SETS, LEAF_SHINGLES, BALL, LEVELS, PIVOTS = 1024, 1_500_000, 0.7, 3, 8
+#: Sets and shingles of a region that one task joins; how far a region with its windows reaches from its pivot; levels of division and pivots a divided region.
+LEAF_SETS, LEAF_SHINGLES, REACH, LEVELS, PIVOTS = 1024, 1_500_000, 0.85, 3, 8
 #: Bounds of the first level: sets drawn as pivots, and their shingles, which are broadcast.
 MOST_PIVOTS, PIVOT_SHINGLES = 2048, 1_500_000
 #: A level of division that leaves more than this share of what the one before it left in large regions is the last one.
@@ -61,7 +61,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.int64)
-    if len(WORDS) > 300_000:
+    if len(WORDS) > 150_000:
         WORDS.clear()
     h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
@@ -74,6 +74,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 CACHES.append(WORDS.clear)
 
 
+def ball(percent: int) -> float:
+    """The radius within which a set belongs to a pivot."""
+    return REACH - (1 - percent / 100)
+
+
 def lacks(n: int, percent: int) -> int:
     """How many shingles of a set of n a similar one may lack."""
     return n - -(-n * percent // 100)
@@ -187,29 +192,28 @@ class PivotIndex:
         return p, inter, len(s) + self.sizes[p] - inter
 
 
-def apart(ids: list[int], sets: list[np.ndarray]) -> PivotIndex:
-    """Of the drawn sets those that lie more than BALL from the ones before them."""
+def apart(ids: list[int], sets: list[np.ndarray], percent: int) -> PivotIndex:
+    """Of the drawn sets those that lie outside the balls of the ones before them."""
     index, taken = PivotIndex(ids, sets), np.zeros(len(ids), bool)
     for i, s in enumerate(sets):
         p, inter, union = index.measure(s)
-        taken[i] = not (taken[p] & (inter >= (1 - BALL) * union)).any()
+        taken[i] = not (taken[p] & (inter >= (1 - ball(percent)) * union)).any()
     keep = np.nonzero(taken)[0]
     return PivotIndex([ids[i] for i in keep], [sets[i] for i in keep])
 
 
-def cells_of(ids: np.ndarray, d: np.ndarray, r: float) -> tuple[np.ndarray, bool]:
+def cells_of(ids: np.ndarray, d: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
     """(which of the pivots' regions a set belongs to, whether it is an outer set), from its distances."""
     if not len(ids):
         return np.zeros(0, bool), True
-    nearest = d.min()
-    within = d <= min(BALL + r, nearest + 2 * r) + 1e-9
-    return within, bool(nearest > BALL)
+    nearest, r = d.min(), 1 - percent / 100
+    within = d <= min(REACH, nearest + 2 * r) + 1e-9
+    return within, bool(nearest > ball(percent))
 
 
 def place(docs: DataFrame, index: PivotIndex, width: int, percent: int) -> DataFrame:
     """(cid, n, set, outer, cells array<struct<g, d, linked>>) of each document: the regions it belongs to."""
     known = docs.sparkSession.sparkContext.broadcast(index)
-    r = 1 - percent / 100
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("jaccard")
@@ -222,7 +226,7 @@ def place(docs: DataFrame, index: PivotIndex, width: int, percent: int) -> DataF
                 for s in sets:
                     p, inter, union = index.measure(s)
                     away = 1 - inter / np.maximum(union, 1)
-                    within, out = cells_of(p, away, r)
+                    within, out = cells_of(p, away, percent)
                     outer.append(out)
                     g.append(index.ids[p[within]])
                     d.append(away[within])
@@ -347,14 +351,14 @@ def divide(large: DataFrame, placed: DataFrame, percent: int, level: int) -> tup
     drawn = [F.min_by("cid", F.xxhash64("cid", F.lit(100 * level + i))) for i in range(PIVOTS)]
     pivots = materialise(large.where("asks").groupBy("g").agg(F.array_distinct(F.array(*drawn)).alias("p")).select("g", F.explode("p").alias("p")), "pivots")
     near = measured(large.select("g", "cid").join(few(pivots), "g"), placed, percent)
-    close = near.join(few(pivots.select("g", F.col("p").alias("cid"))), ["g", "cid"]).where((F.col("p") < F.col("cid")) & (F.col("d") <= BALL))
+    close = near.join(few(pivots.select("g", F.col("p").alias("cid"))), ["g", "cid"]).where((F.col("p") < F.col("cid")) & (F.col("d") <= ball(percent)))
     heads = pivots.join(close.select("g", F.col("cid").alias("p")).distinct(), ["g", "p"], "left_anti")
     r = 1 - percent / 100
     kept = materialise(near.join(few(heads), ["g", "p"]), "heads")
     least = kept.groupBy("g", "cid").agg(F.min("d").alias("least"))
-    cells = kept.join(least, ["g", "cid"]).where((F.col("d") <= F.col("least") + 2 * r + 1e-9) & (F.col("d") <= BALL + r + 1e-9))
+    cells = kept.join(least, ["g", "cid"]).where((F.col("d") <= F.col("least") + 2 * r + 1e-9) & (F.col("d") <= REACH + 1e-9))
     inner = cells.select(F.xxhash64("g", "p", F.lit(level)).alias("g"), "cid", "d")
-    outer = least.where(F.col("least") > BALL).select(F.xxhash64("g", F.lit(f"outer {level}")).alias("g"), "cid", F.lit(0.0).alias("d"))
+    outer = least.where(F.col("least") > ball(percent)).select(F.xxhash64("g", F.lit(f"outer {level}")).alias("g"), "cid", F.lit(0.0).alias("d"))
     return near.where("linked and cid <> p").select(F.col("cid").alias("a"), F.col("p").alias("b")), inner.union(outer)
 
 
@@ -390,7 +394,7 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
     else:
         texts = docs.join(few(some.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     texts = texts.join(few(some.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi")
-    index = draw_pivots(texts, some, width)
+    index = draw_pivots(texts, some, width, percent)
     placed = materialise(place(texts, index, width, percent), "placed")
     # Counted in full, among those left, shingles tell more sets that are alone.
     near = materialise(not_alone(placed.select("cid", "n"), placed, percent).select("cid"), "near")
@@ -423,7 +427,7 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
         level, before = level + 1, count
 
 
-def draw_pivots(texts: DataFrame, some: DataFrame, width: int) -> PivotIndex:
+def draw_pivots(texts: DataFrame, some: DataFrame, width: int, percent: int) -> PivotIndex:
     """Pivots of the first level: a bounded draw from all sets, thinned."""
     ids = some.orderBy(F.xxhash64("cid", F.lit(3)), "cid").limit(MOST_PIVOTS).toPandas()
     ids = ids[(ids["n"].cumsum() - ids["n"]) < PIVOT_SHINGLES]
@@ -432,7 +436,7 @@ def draw_pivots(texts: DataFrame, some: DataFrame, width: int) -> PivotIndex:
     rows = texts.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").collect()
     known = {r.doc_id: r.text for r in rows}
     order = [int(i) for i in ids["cid"] if int(i) in known]
-    return apart(order, [shingle_set(known[i], width) for i in order])
+    return apart(order, [shingle_set(known[i], width) for i in order], percent)
 
 
 def with_parts(members: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -471,6 +475,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows are keyed one by one, so rows with a null doc_id and repeated rows are compared as all others are. Rows without words are
     alone; of those that have one doc_id (or none) and one text, one stays.
     """
+    bounded_batches(docs.sparkSession)
     keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
     parts = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).withColumnRenamed("doc_id", "_row")
     blank = F.when(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text"))
@@ -478,4 +483,6 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), *[F.when(F.col("n_shingles") == 0, F.col(c)) for c in ("_id", "_blank")]]
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row")
     keep = materialise(named.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(first.alias("_row")).select("_row"), "kept-rows")
-    return keyed.join(few(keep), "_row", "left_semi").select(*docs.columns)
+    # What goes is less than what stays, as a rule.
+    gone = materialise(keyed.select("_row").join(keep, "_row", "left_anti"), "gone-rows")
+    return keyed.join(few(gone), "_row", "left_anti").select(*docs.columns)

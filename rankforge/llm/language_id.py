@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import own_worker, text_batches
+from rankforge.llm.common import bounded_batches, own_worker, text_batches
 
 #: Bounds of the model: documents that it is fitted on, a language and in all; n-grams a language, slots, hash functions. The slots take
 #: one bit a language each, 128 KB a language.
@@ -153,6 +153,7 @@ def recognised(docs: DataFrame, least: float = 0.1) -> DataFrame:
     repeated rows are judged as all others are; an empty table gives no rows. Where no row has a lang nothing is known, and all rows with a
     letter stay. Only texts go to Python.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
 
     @F.pandas_udf("double")

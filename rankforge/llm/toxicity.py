@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import materialise, own_worker, text_batches
+from rankforge.llm.common import bounded_batches, materialise, own_worker, text_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 #: What a clause emits: insult, aimed insult, threat, negated and reported ones.
@@ -298,6 +298,7 @@ def clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     Null and empty texts score as texts without a match and stay; rows with null ids and repeated rows are scored as all others are; an
     empty table gives no rows; without labels of both kinds fixed weights are used. Only texts go to Python.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf("double")

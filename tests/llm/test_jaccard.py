@@ -69,7 +69,7 @@ def test_regions_carry_the_join(spark, monkeypatch):
     want = brute(rows, 4, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
     assert got == want
-    monkeypatch.setattr(jaccard_join, "cells_of", lambda ids, d, r: (np.zeros(len(ids), bool), not len(ids) or bool(d.min() > jaccard_join.BALL)))
+    monkeypatch.setattr(jaccard_join, "cells_of", lambda ids, d, percent: (np.zeros(len(ids), bool), not len(ids) or bool(d.min() > 0.7)))
     none = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
     lost = {i for i in want if none[i] != want[i]}
     # All links between different sets of sf0.01 come from the regions of pivots.
@@ -86,8 +86,8 @@ def test_windows_at_borders(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 1
     whole = jaccard_join.cells_of
 
-    def home_only(ids, d, r):
-        within, outer = whole(ids, d, r)
+    def home_only(ids, d, percent):
+        within, outer = whole(ids, d, percent)
         return within & (np.arange(len(d)) == (d.argmin() if len(d) else 0)) & (not outer), outer
 
     monkeypatch.setattr(jaccard_join, "cells_of", home_only)
