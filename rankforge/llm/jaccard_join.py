@@ -149,11 +149,12 @@ def not_alone(members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
             sets = as_sets(b.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), pa.array(np.repeat(b.column(0).to_numpy(), [len(s) for s in sets]))], names=["s", "k"])
 
-    wanted = materialise(members.select("cid").distinct(), "large-ids")
+    wanted = materialise(members.select("cid", "n").distinct(), "large-ids")
     with small_batches(placed.sparkSession):
         own = own_shingles(placed.join(few(wanted), "cid", "left_semi").select("cid", "set").mapInArrow(each, "s long, k long"))
         own = materialise(own.withColumnRenamed("k", "cid"), "own")
-    return members.join(few(own), "cid", "left").where(F.coalesce("own", F.lit(0)) <= may_lack(percent)).drop("own")
+    alone = materialise(own.join(wanted, "cid").where(F.col("own") > may_lack(percent)).select("cid"), "alone")
+    return members.join(few(alone), "cid", "left_anti")
 
 
 def may_lack(percent: int):
@@ -401,12 +402,12 @@ def similar_links(docs: DataFrame, described: DataFrame, width: int, percent: in
     level, before = 0, float("inf")
     while True:
         of = components(links)
-        small, large = with_parts(members, of)
+        small, large = by_size(with_parts(members, of))
         found = [join_regions(small, placed, percent)]
         count = large.count()
         if count:
             # What is alone among all sets of large regions needs no comparison; that may make regions small.
-            small, large = with_parts(not_alone(large.select("g", "cid", "n", "d"), placed, percent), of)
+            small, large = by_size(not_alone(large, placed, percent))
             found.append(join_regions(small, placed, percent))
             count = large.count()
         divided = count and level < LEVELS and count <= DIVIDES * before
@@ -434,13 +435,17 @@ def draw_pivots(texts: DataFrame, some: DataFrame, width: int, percent: int) ->
     return apart(order, [shingle_set(known[i], width) for i in order], percent)
 
 
-def with_parts(members: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of regions that one task holds, members of larger ones): g, cid, n, d, part, asks; regions within one part are left out.
+def with_parts(members: DataFrame, of: DataFrame) -> DataFrame:
+    """Members (g, cid, n, d) of regions with `part`, their component (of: node, component) of the links so far."""
+    of = of.select(F.col("node").alias("cid"), "component")
+    return materialise(members.join(few(of), "cid", "left").select("g", "cid", "n", "d", F.coalesce("component", "cid").alias("part")), "parts")
+
 
-    of: components (node, component) of the links so far. Sets outside the largest part of their region ask.
+def by_size(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of regions that one task holds, members of larger ones), with `asks`: whether a set is outside the largest part of its region.
+
+    Regions within one part are left out. live: g, cid, n, d, part.
     """
-    of = of.select(F.col("node").alias("cid"), "component")
-    live = materialise(members.join(few(of), "cid", "left").select("g", "cid", "n", "d", F.coalesce("component", "cid").alias("part")), "parts")
     sizes = live.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), (F.min("part") < F.max("part")).alias("apart")).where("apart")
     parts = live.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("part", F.struct("m", "part")).alias("most"))
     sizes = materialise(sizes.join(parts, "g").select("g", "most", ((F.col("k") <= LEAF_SETS) & (F.col("size") <= LEAF_SHINGLES)).alias("small")), "sizes")
