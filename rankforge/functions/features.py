@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def group_features(rows: DataFrame, key: str, value: str, category: str, order: str) -> DataFrame:
@@ -30,6 +35,36 @@ def ascii_text(rows: DataFrame, text: str, key: str) -> DataFrame:
     return rows.select(key, F.trim(F.regexp_replace(plain, " +", " ")).alias("clean"))
 
 
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Unicode normal form KC, which no built-in function gives."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def clean_text(rows: DataFrame, text: str, key: str, missing: str = "Missing Data") -> DataFrame:
+    """(key, clean): form KC, no control characters, trimmed, runs of white space as one space, lower case; nulls are `missing`.
+
+    Texts of printable ASCII are in form KC as they are; only others go to Python.
+    """
+    t = F.coalesce(F.col(text), F.lit(missing))
+    whole = F.when(t.rlike(r"[^\x00-\x7F]"), compatible(t)).otherwise(t)
+    plain = F.regexp_replace(whole, r"[\x00-\x08\x0e-\x1f\x7f]", "")
+    spaced = F.regexp_replace(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return rows.select(key, F.lower(spaced).alias("clean"))
+
+
+#: Calendar parts and how many units their circle has.
+CIRCLES = {"month": 12, "day": 30, "weekday": 7, "hour": 24}
+
+
+def circular_calendar(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """(key, year, total_seconds, month, day, weekday and hour as points on circles): weekday 1 is Monday; nulls stay null."""
+    t = F.col(ts)
+    parts = {"month": F.month(t), "day": F.dayofmonth(t), "weekday": F.weekday(t) + 1, "hour": F.hour(t)}
+    points = [f(2 * math.pi * parts[c] / F.lit(float(n))).alias(f"{c}_{i}") for c, n in CIRCLES.items() for i, f in enumerate((F.sin, F.cos))]
+    return rows.select(key, F.year(t).cast("int").alias("year"), (F.unix_micros(t.cast("timestamp")) / F.lit(1e6)).alias("total_seconds"), *points)
+
+
 def time_intervals(rows: DataFrame, ts: str, parts: int) -> DataFrame:
     """(interval, first, last, rows): contiguous intervals of about equal size; rows of one instant stay together.
 

@@ -562,4 +562,4 @@ def repository_roundtrip(spark, d):
 
 
 # Further queries register themselves here.
-from rankforge.plans import names  # noqa: E402, F401
+from rankforge.plans import names, tables  # noqa: E402, F401
