@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import arrow_output, bpe_trie, html_extract, imatch, jaccard_join, language_id, media, packing, token_counts, toxicity
+from rankforge.llm import arrow_output, bpe_trie, html_extract, imatch, jaccard_join, language_id, media, packing, resampling, token_counts, toxicity
 from rankforge.llm.common import fresh_path, tokenizer_path
 
 LIMIT = 2048
@@ -59,6 +59,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.imatch(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_packing, op4_bpe_trie, op5_jaccard_join, op6_toxicity, op7_language_id, op8_media, op9_arrow_output, op10_imatch)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_packing, op4_bpe_trie, op5_jaccard_join, op6_toxicity, op7_language_id, op8_media, op9_arrow_output, op10_imatch, op11_resampling)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op10_imatch": imatch.imatch_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_imatch": imatch.imatch_sql(), "op11_resampling": resampling.resample_sql()}
