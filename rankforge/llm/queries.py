@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm import arrow_output, bpe_trie, collocations, html_extract, imatch, jaccard_join, language_id, media, packing, resampling, token_counts, toxicity
+from rankforge.llm import arrow_output, bpe_trie, collocations, html_extract, imatch, jaccard_join, language_id, media, packing, resampling, token_counts, toxicity, url_filter
 from rankforge.llm.common import fresh_path, tokenizer_path
 
 LIMIT = 2048
@@ -67,6 +67,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_packing, op4_bpe_trie, op5_jaccard_join, op6_toxicity, op7_language_id, op8_media, op9_arrow_output, op10_imatch, op11_resampling, op12_collocations)}
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_packing, op4_bpe_trie, op5_jaccard_join, op6_toxicity, op7_language_id, op8_media, op9_arrow_output, op10_imatch, op11_resampling, op12_collocations, op13_url_filter)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {"op10_imatch": imatch.imatch_sql(), "op11_resampling": resampling.resample_sql(), "op12_collocations": collocations.collocations_sql()}
