@@ -1,7 +1,7 @@
 """Phrase collocation mining with pivot partitions.
 
 Every phrase belongs to its rarest word, the pivot. Each occurrence of a word that is frequent enough sends the fragment around it to
-that word's partition: the neighbours that are more frequent, as far as a phrase can reach. Phrases are counted there, locally, and only
+that word's partition: the neighbours that are more frequent, as far as a phrase can reach and no pair of neighbours is rare. Phrases are counted there, locally, and only
 those that the pivot owns: those that hold no rarer word, counted at the pivot's first occurrence in them. The fragments of hot pivots
 are dealt to several partitions, and their counts are added up afterwards.
 """
@@ -27,6 +27,8 @@ PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"...
 MOST_WORDS = 200_000
 #: Occurrences of a pivot that one partition gets, about.
 PIVOT_ROWS = 200_000
+#: Pairs of neighbouring words are told by that many bits.
+SLOT_BITS = 27
 #: Distinct words or fragments that a task holds before it sends them on.
 HELD = 300_000
 #: The mark of a word that the broadcast order lacks, and the first place behind all that it has.
@@ -93,83 +95,140 @@ def rarity(words: DataFrame, most_words: int) -> tuple[dict[str, dict[bytes, int
     return known, least
 
 
-class Fragments:
-    """The fragments of texts around every pivot, counted. A word beyond the broadcast order is rarer than all in it; such words are
-    ordered by a checksum, as any order that all tasks share gives the same phrases."""
+class Places:
+    """The order of words by rarity that all tasks share. A word beyond the broadcast is rarer than all in it; such words are ordered by
+    a checksum, as any order that all tasks share gives the same phrases."""
 
-    def __init__(self, known: dict[str, dict[bytes, int]], least: int | None, longest: int):
-        self.known, self.least, self.reach = known, least, longest - 1
-        self.places: dict[str, dict[bytes, int]] = {}
+    def __init__(self, known: dict[str, dict[bytes, int]], least: int | None):
+        self.known, self.least = known, least
+        self.orders: dict[str, dict[bytes, int]] = {}
 
-    def place(self, lang: str) -> dict[bytes, int]:
-        if lang not in self.places:
+    def order(self, lang: str) -> dict[bytes, int]:
+        if lang not in self.orders:
             own = self.known.get(lang, {})
-            self.places[lang] = {w: i for i, w in enumerate(sorted(own, key=lambda w: (-own[w], w)))} | {b".": -1}
-        return self.places[lang]
-
-    def of(self, lang: str, texts: list[str]) -> list[tuple[int, int, bytes]]:
-        """(words before the pivot, words after it, fragment) of every pivot with a neighbour."""
-        toks: list[bytes] = []
-        for text in texts:
-            toks += tokens(text)
-            toks.append(b".")
-        places, n, reach = self.place(lang), len(toks), self.reach
+            self.orders[lang] = {w: i for i, w in enumerate(sorted(own, key=lambda w: (-own[w], w)))} | {b".": -1}
+        return self.orders[lang]
+
+    def at(self, lang: str, toks: list[bytes]) -> np.ndarray:
+        """The place of each token; -1 where a piece ends and for words that no phrase can hold."""
         missing = -1 if self.least is None else UNKNOWN
-        at = np.full(n + 2 * reach, -1, np.int64)
-        at[reach : n + reach] = np.fromiter(map(places.get, toks, repeat(missing)), np.int64, n)
+        out = np.fromiter(map(self.order(lang).get, toks, repeat(missing)), np.int64, len(toks))
         if missing == UNKNOWN:
-            for i in np.flatnonzero(at == UNKNOWN).tolist():
-                at[i] = BEHIND + zlib.crc32(toks[i - reach])
-        own = at[reach : n + reach]
-        left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
-        open_left = open_right = own >= 0
-        for d in range(1, reach + 1):
-            before, after = at[reach - d : n + reach - d], at[reach + d : n + reach + d]
-            # At the pivot's first occurrence: no equal word may stand before it.
-            open_left = open_left & (before >= 0) & (before < own)
-            open_right = open_right & (after >= 0) & (after <= own)
-            left += open_left
-            right += open_right
-        pivots = np.flatnonzero((left > 0) | (right > 0))
-        ends = np.cumsum(np.fromiter(map(len, toks), np.int64, n) + 1)
-        starts = np.concatenate([[0], ends[:-1]])
-        lefts, rights = left[pivots], right[pivots]
-        text = b" ".join(toks)
-        cuts = zip(lefts.tolist(), rights.tolist(), starts[pivots - lefts].tolist(), (ends[pivots + rights] - 1).tolist(), strict=True)
-        return [(b, a, text[s:e]) for b, a, s, e in cuts]
+            for i in np.flatnonzero(out == UNKNOWN).tolist():
+                out[i] = BEHIND + zlib.crc32(toks[i])
+        return out
 
     def parts(self, lang: str, pivot: bytes) -> int:
         """Partitions that a pivot's fragments are dealt to."""
         return 1 + self.known.get(lang, {}).get(pivot, self.least or 0) // PIVOT_ROWS
 
 
-def fragments(texts: DataFrame, known: Broadcast, longest: int) -> DataFrame:
+def joined_tokens(texts: list[str]) -> list[bytes]:
+    toks: list[bytes] = []
+    for text in texts:
+        toks += tokens(text)
+        toks.append(b".")
+    return toks
+
+
+def pairs(lang: str, at: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each place and the next one."""
+    ids = at.view(np.uint64)
+    out = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:] + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach: int) -> list[tuple[int, int, bytes]]:
+    """(words before the pivot, words after it, fragment) of every pivot with a neighbour. Rare pairs end a fragment as rare words do."""
+    toks = joined_tokens(texts)
+    n = len(toks)
+    own = places.at(lang, toks)
+    slots = pairs(lang, own) >> np.uint64(64 - SLOT_BITS)
+    linked = np.zeros(n + 2 * reach, bool)
+    linked[reach : reach + n - 1] = (own[:-1] >= 0) & (own[1:] >= 0) & ((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+    at = np.full(n + 2 * reach, -1, np.int64)
+    at[reach : n + reach] = own
+    left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    open_left = open_right = own >= 0
+    for d in range(1, reach + 1):
+        # At the pivot's first occurrence: no equal word may stand before it.
+        open_left = open_left & linked[reach - d : n + reach - d] & (at[reach - d : n + reach - d] < own)
+        open_right = open_right & linked[reach + d - 1 : n + reach + d - 1] & (at[reach + d : n + reach + d] <= own)
+        left += open_left
+        right += open_right
+    pivots = np.flatnonzero((left > 0) | (right > 0))
+    ends = np.cumsum(np.fromiter(map(len, toks), np.int64, n) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    lefts, rights = left[pivots], right[pivots]
+    text = b" ".join(toks)
+    cuts = zip(lefts.tolist(), rights.tolist(), starts[pivots - lefts].tolist(), (ends[pivots + rights] - 1).tolist(), strict=True)
+    return [(b, a, text[s:e]) for b, a, s, e in cuts]
+
+
+def frequent_pairs(texts: DataFrame, known: Broadcast, least: int) -> np.ndarray:
+    """A bit for each slot that a pair of neighbouring words occurring `least` times or more has; other pairs that share such a slot
+    merely aren't sorted out yet. 2^SLOT_BITS bits, whatever the data."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("collocations")
+        places, held = Places(*known.value), []
+
+        def sent() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
+
+        for lang, some in language_parts(batches):
+            at = places.at(lang, joined_tokens(some))
+            held.append(pairs(lang, at)[(at[:-1] >= 0) & (at[1:] >= 0)])
+            if sum(map(len, held)) > 4 * HELD:
+                yield sent()
+        if held:
+            yield sent()
+
+    counted = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    slot = F.shiftrightunsigned("pair", 64 - SLOT_BITS) + 1
+    blocks = counted.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    for r in blocks.collect():
+        size = len(r["bits"])
+        out[(r["block"] - 1) * size : r["block"] * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def language_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """(lang, some texts) of batches (lang, text), of a bounded number of characters each."""
+    for batch in batches:
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            for part in text_batches(own):
+                yield lang, own[part]
+
+
+def fragments(texts: DataFrame, known: Broadcast, bits: Broadcast, longest: int) -> DataFrame:
     """(lang, pivot, parts, before, after, fragment, weight) of texts (lang, text); equal fragments of a task are one row mostly."""
 
-    def sent(shared: Fragments, held: dict[str, Counter]) -> pa.RecordBatch:
+    def sent(places: Places, held: dict[str, Counter]) -> pa.RecordBatch:
         rows = [(lang, before, after, piece, n) for lang, own in held.items() for (before, after, piece), n in own.items()]
         held.clear()
         langs, befores, afters, pieces, weights = zip(*rows, strict=True)
         pivots = [p.split(b" ", b + 1)[b] for b, p in zip(befores, pieces, strict=True)]
-        parts = [shared.parts(lang, p) for lang, p in zip(langs, pivots, strict=True)]
+        parts = [places.parts(lang, p) for lang, p in zip(langs, pivots, strict=True)]
         columns = [pa.array(langs, pa.string()), pa.array(pivots, pa.binary()).cast(pa.string()), pa.array(parts, pa.int32()), pa.array(befores, pa.int32()), pa.array(afters, pa.int32()), pa.array(pieces, pa.binary()).cast(pa.string()), pa.array(weights, pa.int64())]
         return pa.record_batch(columns, ["lang", "pivot", "parts", "before", "after", "fragment", "weight"])
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("collocations")
-        shared = Fragments(*known.value, longest)
+        places = Places(*known.value)
         held: dict[str, Counter] = {}
-        for batch in batches:
-            texts_: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts_.setdefault(lang, []).append(text)
-            for lang, own in texts_.items():
-                for part in text_batches(own):
-                    held.setdefault(lang, Counter()).update(shared.of(lang, own[part]))
-                    if sum(map(len, held.values())) > HELD:
-                        yield sent(shared, held)
+        for lang, some in language_parts(batches):
+            held.setdefault(lang, Counter()).update(cut_out(places, bits.value, lang, some, longest - 1))
+            if sum(map(len, held.values())) > HELD:
+                yield sent(places, held)
         if any(held.values()):
-            yield sent(shared, held)
+            yield sent(places, held)
 
     return texts.mapInArrow(route, "lang string, pivot string, parts int, before int, after int, fragment string, weight long")
 
@@ -247,7 +306,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     texts = by_language(docs)
     words = materialise(word_counts(texts).where(F.col("word").isNull() | (F.col("f") >= least)), "words")
     known = spark.sparkContext.broadcast(rarity(words, most_words))
-    found = materialise(phrases(fragments(texts, known, longest), least, longest), "phrases")
+    bits = spark.sparkContext.broadcast(frequent_pairs(texts, known, least))
+    found = materialise(phrases(fragments(texts, known, bits, longest), least, longest), "phrases")
     kept = scored(found, words).join(covered(found), ["lang", "phrase", "a"], "left_anti")
     return best(kept, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
