@@ -1,9 +1,9 @@
 """Phrase collocation mining with pivot partitions.
 
 Every phrase belongs to its rarest word, the pivot. Each occurrence of a word that is frequent enough sends the fragment around it to
-that word's partition: the neighbours that are more frequent, as far as a phrase can reach and no pair of neighbours is rare. Phrases are counted there, locally, and only
-those that the pivot owns: those that hold no rarer word, counted at the pivot's first occurrence in them. The fragments of hot pivots
-are dealt to several partitions, and their counts are added up afterwards.
+that word's partition: the neighbours that are more frequent, as far as a phrase can reach and no pair of neighbours is rare. Phrases are
+counted there, locally, and only those that the pivot owns: those that hold no rarer word, counted at the pivot's first occurrence in
+them. The fragments of hot pivots are dealt to several partitions, and their counts are added up afterwards.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"...
 MOST_WORDS = 200_000
 #: Occurrences of a pivot that one partition gets, about.
 PIVOT_ROWS = 200_000
-#: Pairs of neighbouring words are told by that many bits.
+#: Frequent pairs of neighbouring words are marked in two to that power bits (15 at least).
 SLOT_BITS = 27
 #: Distinct words or fragments that a task holds before it sends them on.
 HELD = 300_000
@@ -99,8 +99,8 @@ class Places:
     """The order of words by rarity that all tasks share. A word beyond the broadcast is rarer than all in it; such words are ordered by
     a checksum, as any order that all tasks share gives the same phrases."""
 
-    def __init__(self, known: dict[str, dict[bytes, int]], least: int | None):
-        self.known, self.least = known, least
+    def __init__(self, known: dict[str, dict[bytes, int]], least: int | None, pivot_rows: int):
+        self.known, self.least, self.pivot_rows = known, least, pivot_rows
         self.orders: dict[str, dict[bytes, int]] = {}
 
     def order(self, lang: str) -> dict[bytes, int]:
@@ -120,7 +120,7 @@ class Places:
 
     def parts(self, lang: str, pivot: bytes) -> int:
         """Partitions that a pivot's fragments are dealt to."""
-        return 1 + self.known.get(lang, {}).get(pivot, self.least or 0) // PIVOT_ROWS
+        return 1 + self.known.get(lang, {}).get(pivot, self.least or 0) // self.pivot_rows
 
 
 def joined_tokens(texts: list[str]) -> list[bytes]:
@@ -143,7 +143,7 @@ def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach
     toks = joined_tokens(texts)
     n = len(toks)
     own = places.at(lang, toks)
-    slots = pairs(lang, own) >> np.uint64(64 - SLOT_BITS)
+    slots = pairs(lang, own) >> np.uint64(64 - (bits.size * 8).bit_length() + 1)
     linked = np.zeros(n + 2 * reach, bool)
     linked[reach : reach + n - 1] = (own[:-1] >= 0) & (own[1:] >= 0) & ((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0)
     at = np.full(n + 2 * reach, -1, np.int64)
@@ -165,9 +165,9 @@ def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach
     return [(b, a, text[s:e]) for b, a, s, e in cuts]
 
 
-def frequent_pairs(texts: DataFrame, known: Broadcast, least: int) -> np.ndarray:
+def frequent_pairs(texts: DataFrame, known: Broadcast, least: int, slot_bits: int) -> np.ndarray:
     """A bit for each slot that a pair of neighbouring words occurring `least` times or more has; other pairs that share such a slot
-    merely aren't sorted out yet. 2^SLOT_BITS bits, whatever the data."""
+    merely aren't sorted out yet. 2^slot_bits bits, whatever the data."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("collocations")
@@ -187,9 +187,9 @@ def frequent_pairs(texts: DataFrame, known: Broadcast, least: int) -> np.ndarray
             yield sent()
 
     counted = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    slot = F.shiftrightunsigned("pair", 64 - SLOT_BITS) + 1
+    slot = F.shiftrightunsigned("pair", 64 - slot_bits) + 1
     blocks = counted.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    out = np.zeros(1 << (slot_bits - 3), np.uint8)
     for r in blocks.collect():
         size = len(r["bits"])
         out[(r["block"] - 1) * size : r["block"] * size] = np.frombuffer(r["bits"], np.uint8)
@@ -295,7 +295,7 @@ def best(candidates: DataFrame, most: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("share")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000, most_words: int = MOST_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 2000, most_words: int = MOST_WORDS, pivot_rows: int = PIVOT_ROWS, slot_bits: int = SLOT_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of docs (lang, text).
 
     Null texts are empty, a null language is `und`; repeated rows count as often as they are there; other columns are ignored; a table
@@ -305,8 +305,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     bounded_batches(spark)
     texts = by_language(docs)
     words = materialise(word_counts(texts).where(F.col("word").isNull() | (F.col("f") >= least)), "words")
-    known = spark.sparkContext.broadcast(rarity(words, most_words))
-    bits = spark.sparkContext.broadcast(frequent_pairs(texts, known, least))
+    known = spark.sparkContext.broadcast((*rarity(words, most_words), pivot_rows))
+    bits = spark.sparkContext.broadcast(frequent_pairs(texts, known, least, slot_bits))
     found = materialise(phrases(fragments(texts, known, bits, longest), least, longest), "phrases")
     kept = scored(found, words).join(covered(found), ["lang", "phrase", "a"], "left_anti")
     return best(kept, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
