@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.streaming.incremental import shared_folder
+
 
 def auc(rows: DataFrame, key: str, y: str = "y", score: str = "score") -> DataFrame:
     """(key, auc) from rank sums; ties share ranks; null where one class is missing.
@@ -30,14 +34,17 @@ def rmse(y: str, p: str) -> Column:
 def capture_and_gini(rows: DataFrame, key: str, tie: str, y: str = "y", score: str = "score") -> DataFrame:
     """(key, amex): half the share of positives in the top 4 % of weight plus half the normalised weighted Gini; negatives weigh 20.
 
-    Rows are dealt to ranges of (key, score, tie), pinned on the executors so that both readings see the same ones. Running sums start
+    Rows are dealt to ranges of (key, score, tie), written to the shared folder so that both readings see the same ones. Running sums start
     anew in each range, and a range is offset by the totals of those before it; no task holds a key whole. The best order, all
     positives first, needs their counts only.
     """
     order = [F.desc("_s"), F.col("_t")]
     weight = F.when(F.col(y) == 1, 1.0).otherwise(20.0)
     ranged = rows.select(F.col(key).alias("_k"), F.col(score).alias("_s"), F.col(tie).alias("_t"), F.col(y).cast("double").alias("_y"), weight.alias("_w"))
-    ranged = ranged.repartitionByRange("_k", *order).withColumn("_r", F.spark_partition_id()).localCheckpoint()
+    ranged = ranged.repartitionByRange("_k", *order).withColumn("_r", F.spark_partition_id())
+    path = f"{shared_folder(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
     sums = ranged.groupBy("_k", "_r").agg(F.sum("_w").alias("_rw"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_ry"), F.count_if(F.col("_y") == 1).alias("_rp"), F.count(F.lit(1)).alias("_rn"))
     before, whole = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_k")
     totals = {"_tw": "_rw", "_ty": "_ry", "_p": "_rp", "_n": "_rn"}

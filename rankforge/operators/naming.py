@@ -39,9 +39,13 @@ def tuning_variant(name: Column) -> tuple[Column, Column]:
     return method, kind
 
 
-def with_hours(name: Column, seconds: Column) -> Column:
-    """A name with its time limit in hours, as in `x (4h)`."""
-    return F.concat(name, F.lit(" ("), F.round(seconds / 3600).cast("int").cast("string"), F.lit("h)"))
+def time_suffix(seconds: Column) -> Column:
+    """A time limit as names end in it, like ` (4h)`, ` (1.50h)` or ` (30m)`: hours from one hour on, else minutes; two decimals unless
+    whole; empty for none or zero."""
+    unit = F.when(seconds >= 3600, 3600).otherwise(60)
+    whole = seconds % unit == 0
+    number = F.when(whole, F.floor(seconds / unit).cast("string")).otherwise(F.replace(F.format_number((seconds / unit).cast("double"), 2), F.lit(","), F.lit("")))
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, F.lit("")).otherwise(F.concat(F.lit(" ("), number, F.when(seconds >= 3600, "h)").otherwise("m)")))
 
 
 def interval(text: Column) -> tuple[Column, Column]:
@@ -51,10 +55,12 @@ def interval(text: Column) -> tuple[Column, Column]:
 
 
 def significant(x: Column, digits: int) -> Column:
-    """x to so many significant digits; null where it isn't finite."""
-    power = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    """x to so many significant digits, but never rounded before the point; null where it isn't finite."""
+    # The largest double has 309 digits before the point; places behind it are as many as are left.
+    places = F.greatest(F.lit(0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    power = F.pow(F.lit(10.0), places)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.when(finite, F.when(x == 0, 0.0).otherwise(F.round(x * power) / power))
+    return F.when(finite, F.when(x == 0, 0.0).otherwise(F.rint(x * power) / power))
 
 
 def group_key(columns: Sequence[Column]) -> Column:
@@ -84,11 +90,21 @@ def family(name: Column, prefixes: Mapping[str, Sequence[str]], systems: Sequenc
     return F.when(name.isin(list(systems)), "system").otherwise(out) if systems else out
 
 
-def default_configs(configs: DataFrame) -> DataFrame:
-    """(type, config) of the default config of each type in configs (type, config): one that ends in _c1, else in _r1, else the shortest name."""
-    rank = F.when(F.endswith("config", F.lit("_c1")), 0).when(F.endswith("config", F.lit("_r1")), 1).otherwise(2)
-    first = F.min(F.struct(rank.alias("rank"), F.length("config").alias("n"), "config")).getField("config")
-    return configs.groupBy("type").agg(first.alias("config"))
+def default_configs(configs: DataFrame, first_if_missing: bool = False) -> DataFrame:
+    """(type, config) of the default config of each type in configs (type, config, place); place gives the order of configs.
+
+    The only config with a part `_c1`, that is one that ends in it or has `_c1_` inside. Of several, those that end in it; without any,
+    those with the shortest rest behind their last `_c1_`; of these the first by name. With no such config the first in order with a
+    part `_r1`. With none of these either no row, or the first config in order if asked for.
+    """
+    def part(tag: str) -> Column:
+        return F.contains("config", F.lit(f"{tag}_")) | F.endswith("config", F.lit(tag))
+
+    rest = F.when(F.endswith("config", F.lit("_c1")), -1).otherwise(F.length(F.substring_index("config", "_c1_", -1)))
+    c1 = F.min(F.when(part("_c1"), F.struct(rest.alias("rest"), "config"))).getField("config")
+    r1 = F.min(F.when(part("_r1"), F.struct("place", "config"))).getField("config")
+    found = [c1, r1] + ([F.min(F.struct("place", "config")).getField("config")] if first_if_missing else [])
+    return configs.groupBy("type").agg(F.coalesce(*found).alias("config")).where("config is not null")
 
 
 def without_prefixes(methods: DataFrame, prefixes: Sequence[str]) -> DataFrame:
@@ -99,10 +115,13 @@ def without_prefixes(methods: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return methods.where(keep)
 
 
-def top_methods(board: DataFrame, score: str, n: int) -> DataFrame:
-    """The rows of the n methods of the highest score in any row; ties by name. The limit is the feature."""
-    best = board.groupBy("method").agg(F.max(score).alias("_best")).orderBy(F.desc("_best"), "method").limit(n)
-    return board.join(best.select("method"), "method", "left_semi")
+def top_methods(board: DataFrame, place: str, n: int | None) -> DataFrame:
+    """The rows of the first n methods of a composite, in the order of their first row by `place`; all rows for no n or one below 1.
+    The limit is the feature."""
+    if not n or n <= 0:
+        return board
+    first = board.groupBy("method").agg(F.min(place).alias("_first")).orderBy("_first").limit(n)
+    return board.join(first.select("method"), "method", "left_semi")
 
 
 def ordered_subsets(present: DataFrame, preferred: Sequence[str]) -> DataFrame:

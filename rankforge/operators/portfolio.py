@@ -2,51 +2,127 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.operators.pertask import per_task
+from rankforge.streaming.incremental import shared_folder
 
 
-def greedy(ranks: np.ndarray, size: int) -> list[int]:
-    """Columns chosen one by one for the lowest mean over rows of the best rank so far; ends when the mean stays the same."""
-    best, chosen, last = np.full(len(ranks), np.inf), [], None
-    for _ in range(min(size, ranks.shape[1])):
-        means = np.minimum(ranks, best[:, None]).mean(axis=0)
-        k = int(means.argmin())
-        if last is not None and means[k] == last:
+def packed_ranks(ranked: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(dataset, fold, ranks): a row a task with its (method, rank) structs, ranks multiplied by the weight of the dataset (1 if unnamed)."""
+    rank = F.col("rank")
+    if weights:
+        rank = rank * F.coalesce(*[F.when(F.col("dataset") == d, F.lit(float(w))) for d, w in sorted(weights.items())], F.lit(1.0))
+    return ranked.groupBy("dataset", "fold").agg(F.sort_array(F.collect_list(F.struct("method", rank.alias("rank")))).alias("ranks"))
+
+
+def chosen_rank(chosen: Column) -> Column:
+    """The best rank of the chosen methods in a row of packed_ranks; null where it has none of them."""
+    return F.array_min(F.transform(F.filter("ranks", lambda x: F.array_contains(chosen, x["method"])), lambda x: x["rank"]))
+
+
+def next_means(packed: DataFrame, chosen: Column, *keys: str) -> DataFrame:
+    """(keys, method, mean): for each method not chosen yet the mean over tasks of the best rank once it is, tasks without it left out."""
+    each = packed.select(*keys, chosen.alias("chosen"), chosen_rank(chosen).alias("so_far"), F.explode("ranks").alias("x")).where(~F.array_contains("chosen", F.col("x.method")))
+    return each.groupBy(*keys, F.col("x.method").alias("method")).agg(F.avg(F.least("x.rank", "so_far")).alias("mean"))
+
+
+def names_array(names: list[str]) -> Column:
+    return F.array(*map(F.lit, names)).cast("array<string>")
+
+
+def forward(packed: DataFrame, size: int) -> list[str]:
+    """Methods chosen one by one for the lowest mean of the best rank so far, the first name among equals; ends when the mean stays
+    the same. Each round is one aggregate over tasks, of which a row reaches the driver."""
+    chosen, last = [], None
+    for _ in range(size):
+        row = next_means(packed, names_array(chosen)).orderBy("mean", "method").first()
+        if row is None or row["mean"] == last:
             break
-        chosen.append(k)
-        best, last = np.minimum(best, ranks[:, k]), means[k]
+        chosen.append(row["method"])
+        last = row["mean"]
     return chosen
 
 
-def greedy_portfolio(results: DataFrame, size: int = 5) -> DataFrame:
-    """(place, method): the matrix of tasks x methods, which the benchmark fixes, reaches the driver; ranks come from Spark."""
-    wide = per_task(results).select("dataset", "fold", "method", "rank").toPandas().pivot(index=["dataset", "fold"], columns="method", values="rank").sort_index().sort_index(axis=1)
-    wide = wide.fillna(wide.max().max())
-    rows = [(i + 1, str(wide.columns[k])) for i, k in enumerate(greedy(wide.to_numpy(float), size))]
-    return results.sparkSession.createDataFrame(rows, "place int, method string")
+def removal_scores(packed: DataFrame, chosen: list[str]) -> tuple[float, dict[str, float]]:
+    """The mean best rank of the chosen methods, and that without each of them: per task the best or, without its owner, the second best."""
+    own = F.sort_array(F.transform(F.filter("ranks", lambda x: F.array_contains(names_array(chosen), x["method"])), lambda x: F.struct(x["rank"].alias("rank"), x["method"].alias("method"))))
+    tasks = packed.select(F.get(own, F.lit(0)).alias("first"), F.get(own, F.lit(1)).alias("second"))
+    means = [F.avg(F.when(F.col("first.method") == m, F.col("second.rank")).otherwise(F.col("first.rank"))) for m in chosen]
+    whole, *without = tasks.agg(F.avg("first.rank"), *means).first()
+    return whole, dict(zip(chosen, without, strict=True))
+
+
+def pruned(packed: DataFrame, chosen: list[str], threshold: float = 0.0) -> list[str]:
+    """Chosen methods without those whose removal costs the mean best rank at most `threshold`, one by one; of several the last of the
+    least cost goes. The last method always stays."""
+    chosen = list(chosen)
+    best = removal_scores(packed, chosen)[0] if chosen else None
+    while len(chosen) > 1:
+        goes = None
+        for m, score in removal_scores(packed, chosen)[1].items():
+            if score is not None and score <= (best if goes else best + threshold):
+                best, goes = score, m
+        if goes is None:
+            break
+        chosen.remove(goes)
+    return chosen
 
 
-def leave_one_dataset_out(results: DataFrame, size: int = 5) -> DataFrame:
-    """(dataset, place, method): for each dataset the portfolio of all others, a task a dataset in Spark."""
-    ranked = per_task(results).select("dataset", "fold", "method", "rank")
-    wide = ranked.toPandas().pivot(index=["dataset", "fold"], columns="method", values="rank").sort_index().sort_index(axis=1)
-    shared = results.sparkSession.sparkContext.broadcast(wide.fillna(wide.max().max()))
+def packed_table(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """packed_ranks of results, written to the shared folder, since every round reads them."""
+    packed = packed_ranks(per_task(results).select("dataset", "fold", "method", "rank"), weights)
+    path = f"{shared_folder(results.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    packed.write.parquet(path)
+    return results.sparkSession.read.schema(packed.schema).parquet(path)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for d in b["dataset"]:
-                others = shared.value[shared.value.index.get_level_values("dataset") != d]
-                picked = greedy(others.to_numpy(float), size)
-                yield pd.DataFrame({"dataset": d, "place": np.arange(1, len(picked) + 1, dtype=np.int32), "method": [str(others.columns[k]) for k in picked]})
 
-    return results.select("dataset").distinct().mapInPandas(each, "dataset string, place int, method string")
+def listed(spark: SparkSession, chosen: list[str]) -> DataFrame:
+    return spark.createDataFrame([(i + 1, m) for i, m in enumerate(chosen)], "place int, method string")
+
+
+def greedy_portfolio(results: DataFrame, size: int = 5, weights: dict[str, float] | None = None) -> DataFrame:
+    """(place, method) of the greedy portfolio by mean best rank, datasets weighted."""
+    return listed(results.sparkSession, forward(packed_table(results, weights), size))
+
+
+def pruned_portfolio(results: DataFrame, size: int = 5, threshold: float = 0.0, weights: dict[str, float] | None = None) -> DataFrame:
+    """(place, method) of the greedy portfolio after methods that cost at most `threshold` have been removed again."""
+    packed = packed_table(results, weights)
+    return listed(results.sparkSession, pruned(packed, forward(packed, size), threshold))
+
+
+def leave_one_dataset_out(results: DataFrame, size: int = 5) -> DataFrame:
+    """(dataset, place, method): for each dataset the portfolio of all others, all datasets in the same rounds.
+
+    A round averages over the tasks of the others, and its choices, a row a dataset, are joined to the next one; none of it leaves Spark
+    but whether any choice was made.
+    """
+    packed = packed_table(results)
+    names = packed.select(F.col("dataset").alias("held")).distinct()
+    # The names of the datasets, one row.
+    sets = packed.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("dataset")).alias("every"))
+    spread = packed.withColumn("one", F.lit(1)).join(F.broadcast(sets), "one").withColumn("held", F.explode(F.array_remove("every", F.col("dataset")))).drop("every", "one")
+    folder = f"{shared_folder(results.sparkSession)}/portfolios-{uuid.uuid4().hex}"
+    state = names.select("held", names_array([]).alias("chosen"), F.lit(None).cast("double").alias("last"), F.lit(True).alias("going"))
+    for r in range(size):
+        going = spread.join(state.where("going"), "held")
+        best = next_means(going, F.col("chosen"), "held").groupBy("held").agg(F.min(F.struct("mean", "method")).alias("b"))
+        more = F.col("going") & F.col("b").isNotNull() & ~F.col("b.mean").eqNullSafe(F.col("last"))
+        state = state.join(best, "held", "left").select(
+            "held", F.when(more, F.concat("chosen", F.array("b.method"))).otherwise(F.col("chosen")).alias("chosen"), F.when(more, F.col("b.mean")).otherwise(F.col("last")).alias("last"), more.alias("going")
+        )
+        state.write.parquet(f"{folder}/{r}")
+        state = results.sparkSession.read.schema(state.schema).parquet(f"{folder}/{r}")
+        if state.where("going").isEmpty():
+            break
+    return state.select(F.col("held").alias("dataset"), F.posexplode("chosen").alias("place", "method")).withColumn("place", F.col("place") + 1)
 
 
 def residual_products(predictions: DataFrame) -> DataFrame:
@@ -54,7 +130,8 @@ def residual_products(predictions: DataFrame) -> DataFrame:
 
     The squared error of any blend whose weights sum to 1 is a quadratic form of these. A row's predictions meet in one task, which sums
     the products of all its rows; a key then has as many rows as it has pairs of configs, whatever its length. Rows without y can't be
-    measured, rows without a config can't be named; both are left out; configs that have no prediction of some row of their key are no candidates; a row with two predictions
+    measured, rows without a config can't be named; both are left out; configs that
+    have no prediction of some row of their key are no candidates; a row with two predictions
     of a config is an error.
     """
     rows = predictions.where(F.col("config").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))

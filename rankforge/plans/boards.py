@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankforge.operators import grid, subset
-from rankforge.plans.registry import query
-from rankforge.sources.derived import TASKS_SQL, WIDE_SQL, results, tasks
+from rankforge.operators import aggregate, arena, curves, elo, grid, pertask, portfolio, subset
+from rankforge.plans.registry import RANKED_SQL, configs, query
+from rankforge.sources.derived import RESULTS_SQL, TASKS_SQL, WIDE_SQL, results, tasks
 
 #: Results with gaps in some methods only, filled with the worst error of the task.
 FILLED_SQL = """gappy AS (SELECT * FROM wide WHERE NOT (method < 'Brand#23' AND n % 11 = 0)),
@@ -50,3 +50,93 @@ GRID_SQL = """pools AS (SELECT * FROM (VALUES ('models', [], false), ('open', []
 def subset_grid_leaderboards(spark, d):
     return grid.grid_leaderboards(filled(spark, d), tasks(spark, d), kinds(spark, d))
 
+
+
+DRAWN = "('0x' || md5({})[1:8])::BIGINT"
+
+TRAJECTORY_SQL = f"""configs AS (SELECT dataset, fold, method AS config, method[1:7] AS family, metric_error, time_infer_s AS metric_error_val FROM results),
+  ordered AS (SELECT *, row_number() OVER w AS n_configs FROM configs, range(20) s(seed) WINDOW w AS (PARTITION BY seed, dataset, fold, family ORDER BY {DRAWN.format("seed || ':' || config")}, config)),
+  steps AS (SELECT a.seed, a.dataset, a.fold, a.family, a.n_configs, arg_min(b.metric_error, (b.metric_error_val, b.config)) AS e
+    FROM ordered a JOIN ordered b ON a.seed = b.seed AND a.dataset = b.dataset AND a.fold = b.fold AND a.family = b.family AND b.n_configs <= a.n_configs GROUP BY ALL),
+  scored AS (SELECT *, CASE WHEN e = 0 THEN 0.0::DOUBLE ELSE 100 * (1 - min(e) OVER (PARTITION BY dataset, fold) / e) END AS i FROM steps),
+  seeds AS (SELECT seed, family, n_configs, avg(e) AS e, avg(i) AS i FROM (SELECT seed, family, n_configs, dataset, avg(e) AS e, avg(i) AS i FROM scored GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("SELECT family, n_configs::INT AS n_configs, round(avg(e), 9) AS metric_error, round(stddev_samp(e), 9) AS metric_error_std, round(avg(i), 9) AS improvability, round(stddev_samp(i), 9) AS improvability_std FROM seeds GROUP BY 1, 2", RESULTS_SQL, TRAJECTORY_SQL)
+def tuning_trajectory_resampled(spark, d):
+    return curves.resampled_trajectories(configs(spark, d))
+
+
+JITTER_SQL = f"""complete AS (SELECT dataset, method FROM ranked GROUP BY 1, 2 HAVING count(DISTINCT fold) = (SELECT count(DISTINCT fold) FROM ranked r WHERE r.dataset = ranked.dataset)),
+  shape AS (SELECT dataset, count(DISTINCT fold) AS f, count(DISTINCT method) AS n FROM ranked SEMI JOIN complete USING (dataset, method) GROUP BY 1),
+  scores AS (SELECT dataset, method, dense_rank() OVER (PARTITION BY dataset ORDER BY fold) - 1 AS slot, 1 - (rank - 1) / (shape.n - 1) AS s FROM ranked SEMI JOIN complete USING (dataset, method) JOIN shape USING (dataset)),
+  draws AS (SELECT dataset, f, k, r, {DRAWN.format("'0:' || f || ':' || k || ':' || r || ':' || j")} % f AS slot FROM shape, range(1, 101) ks(k), range(100) rs(r), range(1, 101) js(j) WHERE k <= f AND j <= k),
+  hats AS (SELECT dataset, k, r, method, avg(s) AS hat FROM draws JOIN scores USING (dataset, slot) GROUP BY ALL),
+  jitters AS (SELECT dataset, k, r, avg(abs(hat - mean)) AS j FROM hats JOIN (SELECT dataset, method, avg(s) AS mean FROM scores GROUP BY 1, 2) USING (dataset, method) GROUP BY ALL)"""
+
+
+@query("SELECT dataset, k::INT AS k, any_value(f) AS n_folds, any_value(n) AS n_methods, round(avg(j), 9) AS jitter_mean, round(quantile_cont(j, 0.5), 9) AS jitter_p50, round(quantile_cont(j, 0.025), 9) AS jitter_p025, round(quantile_cont(j, 0.975), 9) AS jitter_p975 FROM jitters JOIN shape USING (dataset) GROUP BY 1, 2", RESULTS_SQL, RANKED_SQL, JITTER_SQL)
+def jitter_bootstrap_curve(spark, d):
+    return curves.jitter_curve(pertask.per_task(results(spark, d)))
+
+
+def rounds_sql(spread: str, size: int) -> str:
+    """Greedy rounds over `spread` (held, dataset, fold, method, rank), unrolled: m the means, c the choices."""
+    views = [f"spread AS ({spread})", "m1 AS (SELECT held, method, avg(rank) AS mean FROM spread GROUP BY 1, 2)", "c1 AS (SELECT held, arg_min(method, (mean, method)) AS method, min(mean) AS mean FROM m1 GROUP BY 1)"]
+    for k in range(2, size + 1):
+        chosen = " UNION ALL ".join(f"SELECT held, method FROM c{i}" for i in range(1, k))
+        views += [
+            f"p{k} AS ({chosen})",
+            f"h{k} AS (SELECT held, dataset, fold, min(rank) AS h FROM spread SEMI JOIN p{k} USING (held, method) GROUP BY 1, 2, 3)",
+            f"m{k} AS (SELECT held, method, avg(least(rank, h)) AS mean FROM spread LEFT JOIN h{k} USING (held, dataset, fold) ANTI JOIN p{k} USING (held, method) GROUP BY 1, 2)",
+            f"c{k} AS (SELECT x.* FROM (SELECT held, arg_min(method, (mean, method)) AS method, min(mean) AS mean FROM m{k} GROUP BY 1) x JOIN c{k - 1} USING (held) WHERE x.mean <> c{k - 1}.mean)",
+        ]
+    return ", ".join([*views, "picks AS (" + " UNION ALL ".join(f"SELECT held, {k} AS place, method FROM c{k}" for k in range(1, size + 1)) + ")"])
+
+
+@query("SELECT place, method FROM picks", RESULTS_SQL, RANKED_SQL, rounds_sql("SELECT 0 AS held, dataset, fold, method, rank FROM ranked", 5))
+def greedy_portfolio(spark, d):
+    return portfolio.greedy_portfolio(results(spark, d))
+
+
+WEIGHTS = {"AFRICA": 4.0, "ASIA": 0.5}
+
+
+@query("SELECT place, method FROM picks", RESULTS_SQL, RANKED_SQL, rounds_sql("SELECT 0 AS held, dataset, fold, method, rank * CASE dataset WHEN 'AFRICA' THEN 4 WHEN 'ASIA' THEN 0.5::DOUBLE ELSE 1 END AS rank FROM ranked", 5))
+def greedy_portfolio_weighted(spark, d):
+    return portfolio.greedy_portfolio(results(spark, d), weights=WEIGHTS)
+
+
+@query()
+def greedy_portfolio_pruned(spark, d):
+    return portfolio.pruned_portfolio(results(spark, d), size=8, threshold=0.5)
+
+
+@query("SELECT held AS dataset, place, method FROM picks", WIDE_SQL, RANKED_SQL.replace("FROM results", "FROM wide"), rounds_sql("SELECT d.dataset AS held, r.dataset, fold, method, rank FROM ranked r JOIN (SELECT DISTINCT dataset FROM ranked) d ON d.dataset <> r.dataset", 5))
+def portfolio_leave_one_out(spark, d):
+    return portfolio.leave_one_dataset_out(results(spark, d, wide=True))
+
+
+BARS_SQL = """bars AS (SELECT method, round(1000 - 1000 * avg(e), 6) AS rating, round(1000 - 1000 * avg(e) - 400 * stddev_samp(e) / sqrt(count(*)), 6) AS lower, round(1000 - 1000 * avg(e) + 400 * stddev_samp(e) / sqrt(count(*)), 6) AS upper
+    FROM (SELECT method, dataset, avg(metric_error) AS e FROM wide GROUP BY 1, 2) GROUP BY 1),
+  placed AS (SELECT *, row_number() OVER (ORDER BY rating DESC, method) AS i FROM bars)"""
+
+
+@query("SELECT * FROM (WITH RECURSIVE scan AS (SELECT i, method, rating, lower, upper, 1::BIGINT AS arena_rank, lower AS anchor FROM placed WHERE i = 1 UNION ALL SELECT p.i, p.method, p.rating, p.lower, p.upper, CASE WHEN p.upper < s.anchor THEN p.i ELSE s.arena_rank END, CASE WHEN p.upper < s.anchor THEN p.lower ELSE s.anchor END FROM scan s JOIN placed p ON p.i = s.i + 1) SELECT method, rating, lower, upper, arena_rank::INT AS arena_rank FROM scan)", WIDE_SQL, BARS_SQL)
+def rank_confidence(spark, d):
+    inner = results(spark, d, wide=True).groupBy("method", "dataset").agg(F.avg("metric_error").alias("e"))
+    half = 400 * F.stddev_samp("e") / F.sqrt(F.count("e"))
+    rating = 1000 - 1000 * F.avg("e")
+    return arena.rank_confidence(inner.groupBy("method").agg(F.round(rating, 6).alias("rating"), F.round(rating - half, 6).alias("lower"), F.round(rating + half, 6).alias("upper")))
+
+
+@query()
+def arena_board(spark, d):
+    fights = aggregate.battles(results(spark, d, wide=True))
+    bars = elo.elo_bootstrap(fights).select("method", F.col("elo").alias("rating"), F.col("elo_low").alias("lower"), F.col("elo_high").alias("upper"))
+    return arena.arena_board(bars, fights)
+
+
+@query()
+def elo_dataset_contributions(spark, d):
+    return arena.dataset_contributions(aggregate.battles(results(spark, d)))

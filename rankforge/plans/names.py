@@ -34,9 +34,10 @@ def display_names(spark, d):
     return named.select("method", "fold", "name", base.alias("base"), variant.alias("variant"))
 
 
-@query("SELECT o_orderkey, o_orderpriority || ' (' || CAST(round(o_orderkey * 60 / 3600) AS INT) || 'h)' AS name FROM orders")
+@query("SELECT o_orderkey, o_orderpriority || CASE WHEN s = 0 THEN '' WHEN s >= 3600 THEN ' (' || CASE WHEN s % 3600 = 0 THEN (s // 3600)::VARCHAR ELSE printf('%.2f', s / 3600.0::DOUBLE) END || 'h)' ELSE ' (' || CASE WHEN s % 60 = 0 THEN (s // 60)::VARCHAR ELSE printf('%.2f', s / 60.0::DOUBLE) END || 'm)' END AS name FROM (SELECT *, (o_orderkey * 450) % 36000 + CASE WHEN o_orderkey % 7 = 0 THEN 36 ELSE 0 END AS s FROM orders)")
 def names_with_hours(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", naming.with_hours(F.col("o_orderpriority"), F.col("o_orderkey") * 60).alias("name"))
+    seconds = (F.col("o_orderkey") * 450) % 36000 + F.when(F.col("o_orderkey") % 7 == 0, 36).otherwise(0)
+    return table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", naming.time_suffix(seconds)).alias("name"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS up, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 2.0::DOUBLE END AS down FROM part")
@@ -46,9 +47,10 @@ def interval_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", up.alias("up"), down.alias("down"))
 
 
-@query("SELECT event_id, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE round(round(value * pow(10.0::DOUBLE, 2 - floor(log10(abs(value))))) / pow(10.0::DOUBLE, 2 - floor(log10(abs(value)))), 9) END AS shown FROM events")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round(round_even(x * pow(10.0::DOUBLE, p), 0) / pow(10.0::DOUBLE, p), 9) END AS shown FROM (SELECT *, greatest(0, 2 - floor(log10(abs(x)))) AS p FROM (SELECT *, l_extendedprice * l_discount / (1 + l_linenumber * l_linenumber) AS x FROM lineitem))")
 def significant_digits(spark, d):
-    return table(spark, d, "events").select("event_id", naming.significant(F.col("value"), 3).alias("shown"))
+    x = F.col("l_extendedprice") * F.col("l_discount") / (1 + F.col("l_linenumber") * F.col("l_linenumber"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", naming.significant(x, 3).alias("shown"))
 
 
 @query("SELECT doc_id, coalesce(lang, 'nan') || '_' || coalesce(source, 'nan') || '_' || (n_chars % 3) AS key FROM documents")
@@ -77,10 +79,16 @@ def method_families(spark, d):
     return results(spark, d).select("method").distinct().select("method", naming.family(F.col("method"), FAMILIES, ["Brand#55"]).alias("family"))
 
 
-@query("SELECT p_brand AS type, arg_min(c, (CASE WHEN c LIKE '%\\_c1' ESCAPE '\\' THEN 0 WHEN c LIKE '%\\_r1' ESCAPE '\\' THEN 1 ELSE 2 END, length(c), c)) AS config FROM (SELECT p_brand, p_brand || CASE p_size % 3 WHEN 0 THEN '_c' WHEN 1 THEN '_r' ELSE '_x' END || (1 + p_size % 7) AS c FROM part) GROUP BY 1")
+DEFAULTS_SQL = """configs AS (SELECT p_brand || p_type AS type, p_partkey AS place, 'X' || p_partkey % 13 || CASE p_partkey % 4 WHEN 0 THEN '_c' ELSE '_r' END || (1 + p_size % 3) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_BAG_L1' ELSE '_B' END AS config FROM part),
+  marked AS (SELECT *, config LIKE '%\\_c1' ESCAPE '\\' AS c_end, contains(config, '_c1_') AS c_in, config LIKE '%\\_r1' ESCAPE '\\' OR contains(config, '_r1_') AS r FROM configs),
+  picked AS (SELECT type, coalesce(min(config) FILTER (WHERE c_end), arg_min(config, (length(config) - strpos(config, '_c1_'), config)) FILTER (WHERE c_in), arg_min(config, place) FILTER (WHERE r)) AS config FROM marked GROUP BY 1)"""
+
+
+@query("SELECT type, config FROM picked WHERE config IS NOT NULL", DEFAULTS_SQL)
 def default_configs(spark, d):
-    kind = F.when(F.col("p_size") % 3 == 0, "_c").when(F.col("p_size") % 3 == 1, "_r").otherwise("_x")
-    return naming.default_configs(table(spark, d, "part").select(F.col("p_brand").alias("type"), F.concat("p_brand", kind, 1 + F.col("p_size") % 7).alias("config")))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, "_BAG_L1").otherwise("_B")
+    name = F.concat(F.lit("X"), (F.col("p_partkey") % 13).cast("string"), F.when(F.col("p_partkey") % 4 == 0, "_c").otherwise("_r"), (1 + F.col("p_size") % 3).cast("string"), tail)
+    return naming.default_configs(table(spark, d, "part").select(F.concat("p_brand", "p_type").alias("type"), F.col("p_partkey").alias("place"), name.alias("config")))
 
 
 @query("SELECT method, dataset, fold FROM results WHERE NOT starts_with(method, 'Brand#1') AND NOT starts_with(method, 'Brand#32')", RESULTS_SQL)
@@ -88,9 +96,11 @@ def methods_without_prefixes(spark, d):
     return naming.without_prefixes(results(spark, d), ["Brand#1", "Brand#32"]).select("method", "dataset", "fold")
 
 
-@query("SELECT method, dataset, fold FROM results WHERE method IN (SELECT method FROM results GROUP BY 1 ORDER BY max(metric_error) DESC, method LIMIT 5)", RESULTS_SQL)
+@query("SELECT method, dataset, fold FROM results WHERE method IN (SELECT method FROM results GROUP BY 1 ORDER BY min(metric_error * 1000 + fold), method LIMIT 5)", RESULTS_SQL)
 def top_methods(spark, d):
-    return naming.top_methods(results(spark, d), "metric_error", 5).select("method", "dataset", "fold")
+    # The place of a row in the composite: lower errors come first.
+    placed = results(spark, d).withColumn("place", F.struct((F.col("metric_error") * 1000 + F.col("fold")).alias("e"), "method"))
+    return naming.top_methods(placed, "place", 5).select("method", "dataset", "fold")
 
 
 @query("SELECT problem_type AS subset, CASE problem_type WHEN 'regression' THEN 1 WHEN 'binary' THEN 2 ELSE 3 END AS position FROM (SELECT DISTINCT problem_type FROM tasks)", TASKS_SQL)

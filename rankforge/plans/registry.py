@@ -319,7 +319,11 @@ def log_loss_and_rmse(spark, d):
     return scores(spark, d).groupBy("lang").agg(metrics.log_loss("y", "score").alias("log_loss"), metrics.rmse("y", "score").alias("rmse"))
 
 
-@query()
+@query("""SELECT lang, round(0.5 * (g / nullif(b, 0) + top / nullif(ty, 0)), 9) AS amex FROM (
+    SELECT lang, sum((cy / nullif(ty, 0) - cw / tw) * w) AS g, max(ty) AS ty, sum(CASE WHEN y = 1 AND cw <= floor(0.04::DOUBLE * tw) THEN 1.0::DOUBLE ELSE 0 END) AS top FROM weighed GROUP BY 1)
+  JOIN (SELECT lang, sum((by_ / nullif(ty, 0) - bw / tw) * w) AS b FROM weighed GROUP BY 1) USING (lang)""", SCORES_SQL, """weighed AS (SELECT lang, y, w, sum(w) OVER (PARTITION BY lang) AS tw, sum(y) OVER (PARTITION BY lang) AS ty,
+    sum(w) OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS cw, sum(y) OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS cy,
+    sum(w) OVER (PARTITION BY lang ORDER BY y DESC, doc_id) AS bw, sum(y) OVER (PARTITION BY lang ORDER BY y DESC, doc_id) AS by_ FROM (SELECT *, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 20.0::DOUBLE END AS w FROM scores))""")
 def amex(spark, d):
     return metrics.capture_and_gini(scores(spark, d), "lang", "doc_id")
 
@@ -335,16 +339,6 @@ def greedy_ensemble(spark, d):
     return portfolio.greedy_ensemble(portfolio.long_scores(scores(spark, d), "score", "other", "third"))
 
 
-@query()
-def greedy_portfolio(spark, d):
-    return portfolio.greedy_portfolio(results(spark, d))
-
-
-@query()
-def portfolio_leave_one_out(spark, d):
-    return portfolio.leave_one_dataset_out(results(spark, d, wide=True))
-
-
 CONFIGS_SQL = "configs AS (SELECT dataset, fold, method AS config, method[1:7] AS family, metric_error, time_infer_s AS metric_error_val, time_train_s FROM results)"
 
 

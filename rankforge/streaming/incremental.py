@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (known or "file:///tmp/checkpoints/rankforge").rstrip("/")
 
 
@@ -34,6 +37,6 @@ def drained(stream: DataFrame, name: str, checkpoint: str | None = None) -> Data
 
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    versions = spark.read.schema(stream.schema.add("version", "long")).parquet(f"{root}/result")
+    versions = spark.read.schema(StructType(list(stream.schema.fields)).add("version", "long")).parquet(f"{root}/result")
     last = versions.agg(F.max("version")).first()[0]
     return versions.where(F.col("version") == last).drop("version")

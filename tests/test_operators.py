@@ -111,8 +111,11 @@ def test_amex_perfect(spark):
     assert got.amex == pytest.approx(1.0)
 
 
-def test_portfolio():
-    assert portfolio.greedy(np.array([[0.1, 0.2, 0, 1, 0.2], [0, 0.2, 1, 1, 0.2], [0.1, 0.2, 1, 0, 0.2]]), 3) == [0, 2, 3]
+def test_portfolio(spark):
+    table = [[0.1, 0.2, 0, 1, 0.2], [0, 0.2, 1, 1, 0.2], [0.1, 0.2, 1, 0, 0.2]]
+    rows = [(str(c), f"t{t}", 0, float(e)) for t, row in enumerate(table) for c, e in enumerate(row)]
+    packed = portfolio.packed_table(spark.createDataFrame(rows, "method string, dataset string, fold int, metric_error double"))
+    assert portfolio.forward(packed, 3) == ["0", "2", "3"]
 
 
 def test_ensemble(spark):
