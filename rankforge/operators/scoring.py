@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.functions.distributions import chi_squared_tail, t_two_sided
 from rankforge.operators.portfolio import first_least, products_matrix, residual_products
 
+
 def place_among(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     """(method, dataset, fold, place): where an error falls among a task's reference errors, ties half, with partial credit.
 
@@ -130,3 +132,45 @@ def hill_climb(predictions: DataFrame, precision: float = 0.05, rounds: int = 10
         return pd.DataFrame({"key": pdf["key"].iloc[0], "config": [names[i] for i in keep], "weight": weights[keep] / weights[keep].sum()})
 
     return residual_products(predictions).groupBy("key").applyInPandas(fit, "key string, config string, weight double")
+
+
+def significance_by_dataset(results: DataFrame) -> DataFrame:
+    """(dataset, method, p_ttest, p_kruskal, p_ftest, p_tabred): each method against the best of a dataset, over folds.
+
+    The best has the lowest mean error, the first name among equals; its own p is 1. Errors below 0 count as 0. A method whose mean is
+    no worse has p 2. Tests: paired t; Kruskal-Wallis of both samples, ties corrected for; one-way analysis of variance; and 2 where
+    the mean lies within a standard deviation of the best's, else 0. A test that both samples are too short for is null.
+    """
+    rows = results.select("dataset", "fold", "method", F.greatest("metric_error", F.lit(0.0)).alias("e"))
+    means = rows.groupBy("dataset", "method").agg(F.avg("e").alias("m"))
+    best = means.groupBy("dataset").agg(F.min(F.struct("m", "method")).getField("method").alias("best"))
+    marked = rows.join(best, "dataset")
+    lead = marked.where("method = best").select("dataset", "fold", F.col("e").alias("b"))
+    # A row a fold and method with both errors; a fold that one of them lacks has a null.
+    own = marked.where("method <> best").select("dataset", "fold", "method", "e")
+    every = own.select("dataset", "method").distinct().join(lead, "dataset")
+    both = every.join(own, ["dataset", "method", "fold"], "full_outer")
+    d = F.col("e") - F.col("b")
+    sums = both.groupBy("dataset", "method").agg(
+        *[F.count(c).cast("double").alias(f"n_{c}") for c in "eb"], *[F.avg(c).alias(f"m_{c}") for c in "eb"], F.var_samp("e").alias("v_e"), F.var_samp("b").alias("v_b"), F.stddev_pop("b").alias("s_b"),
+        F.count(d).cast("double").alias("n"), F.avg(d).alias("m_d"), F.stddev_samp(d).alias("s_d"), F.min(d).alias("low"), F.max(d).alias("high"),
+    )
+    n_e, n_b, n = F.col("n_e"), F.col("n_b"), F.col("n")
+    t = F.col("m_d") / (F.col("s_d") / F.sqrt(n))
+    p_t = F.when(n > 1, F.when(F.col("low") == F.col("high"), 0.0).otherwise(t_two_sided(t, n - 1)))
+    within = (n_e - 1) * F.coalesce("v_e", F.lit(0.0)) + (n_b - 1) * F.coalesce("v_b", F.lit(0.0))
+    between = n_e * n_b / (n_e + n_b) * (F.col("m_e") - F.col("m_b")) * (F.col("m_e") - F.col("m_b"))
+    df = n_e + n_b - 2
+    p_f = F.when(df > 0, F.when(within == 0, 0.0).otherwise(t_two_sided(F.sqrt(between / (within / df)), df)))
+    # Ranks of both samples together; a sample has as many rows as the dataset has folds.
+    pooled = both.select("dataset", "method", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("e").alias("x")), F.struct(F.lit(1).alias("side"), F.col("b").alias("x")))).alias("y")).select("dataset", "method", "y.*").where("x is not null")
+    pair = Window.partitionBy("dataset", "method")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("dataset", "method", "x")).cast("double")
+    ranked = pooled.select("dataset", "method", "side", (F.rank().over(pair.orderBy("x")) + (ties - 1) / 2).alias("r"), ties.alias("ties"))
+    ranks = ranked.groupBy("dataset", "method").agg(F.sum(F.when(F.col("side") == 0, F.col("r"))).alias("r_e"), F.sum(F.when(F.col("side") == 1, F.col("r"))).alias("r_b"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"))
+    k = n_e + n_b
+    h = (12 / (k * (k + 1)) * (F.col("r_e") * F.col("r_e") / n_e + F.col("r_b") * F.col("r_b") / n_b) - 3 * (k + 1)) / F.when(F.col("tied") < k * k * k - k, 1 - F.col("tied") / (k * k * k - k))
+    tests = {"p_ttest": p_t, "p_kruskal": chi_squared_tail(h, F.lit(1.0)), "p_ftest": p_f, "p_tabred": F.when(F.col("m_e") < F.col("m_b") + F.col("s_b"), 2.0).otherwise(0.0)}
+    no_worse = F.col("m_b") >= F.col("m_e")
+    out = sums.join(ranks, ["dataset", "method"]).select("dataset", "method", *[F.when(no_worse, 2.0).otherwise(p).alias(c) for c, p in tests.items()])
+    return out.unionByName(best.select("dataset", F.col("best").alias("method"), *[F.lit(1.0).alias(c) for c in tests]))

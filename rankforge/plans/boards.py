@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankforge.operators import aggregate, arena, curves, elo, grid, pertask, portfolio, subset
+from rankforge.operators import aggregate, arena, curves, elo, grid, packed, pertask, portfolio, scoring, subset
 from rankforge.plans.registry import RANKED_SQL, configs, query
-from rankforge.sources.derived import RESULTS_SQL, TASKS_SQL, WIDE_SQL, results, tasks
+from rankforge.plans.tables import PREDS_SQL, stored
+from rankforge.sources.derived import RESULTS_SQL, SCORES_SQL, TASKS_SQL, WIDE_SQL, results, tasks
 
 #: Results with gaps in some methods only, filled with the worst error of the task.
 FILLED_SQL = """gappy AS (SELECT * FROM wide WHERE NOT (method < 'Brand#23' AND n % 11 = 0)),
@@ -140,3 +142,61 @@ def arena_board(spark, d):
 @query()
 def elo_dataset_contributions(spark, d):
     return arena.dataset_contributions(aggregate.battles(results(spark, d)))
+
+
+def t_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's distribution in SQL: Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos({angle} * i / 2000.0::DOUBLE), {df} - 1))) * {angle} / 6000.0::DOUBLE"
+    return f"(1 - 2 * gamma(({df} + 1) / 2) / (sqrt(pi()) * gamma({df} / 2)) * {area})"
+
+
+NORMAL_SQL = "(1 - sqrt(2 / pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-z * z * i * i / 8000000.0::DOUBLE))) * z / 6000.0::DOUBLE)"
+SIGNIFICANCE_SQL = f"""complete AS (SELECT * FROM results QUALIFY count(*) OVER (PARTITION BY dataset, method) = 3),
+  lead_ AS (SELECT dataset, arg_min(method, (m, method)) AS best FROM (SELECT dataset, method, avg(metric_error) AS m FROM complete GROUP BY 1, 2) GROUP BY 1),
+  both_ AS (SELECT a.dataset, a.method, a.fold, a.metric_error AS e, b.metric_error AS b FROM complete a JOIN lead_ l ON a.dataset = l.dataset AND a.method <> l.best JOIN complete b ON b.dataset = a.dataset AND b.method = l.best AND b.fold = a.fold),
+  pooled AS (SELECT dataset, method, 0 AS side, e AS x FROM both_ UNION ALL SELECT dataset, method, 1, b FROM both_),
+  ranks AS (SELECT dataset, method, sum(r) FILTER (WHERE side = 0) AS re, sum(r) FILTER (WHERE side = 1) AS rb, sum(c * c - 1)::DOUBLE AS tied FROM (
+    SELECT dataset, method, side, count(*) OVER (PARTITION BY dataset, method, x) AS c, rank() OVER (PARTITION BY dataset, method ORDER BY x) + (count(*) OVER (PARTITION BY dataset, method, x) - 1) / 2.0::DOUBLE AS r FROM pooled) GROUP BY 1, 2),
+  moments AS (SELECT dataset, method, count(*)::DOUBLE AS n, avg(e) AS me, avg(b) AS mb, avg(e - b) AS md, stddev_samp(e - b) AS sd, min(e - b) = max(e - b) AS flat, var_samp(e) AS ve, var_samp(b) AS vb, stddev_pop(b) AS sb FROM both_ GROUP BY 1, 2),
+  stats AS (SELECT *, md / (sd / sqrt(n)) AS t, n - 1 AS df, sqrt((n / 2 * (me - mb) * (me - mb)) / ((ve + vb) / 2)) AS f, 2 * n - 2 AS df2,
+    sqrt((12 / (2 * n * (2 * n + 1)) * (re * re / n + rb * rb / n) - 3 * (2 * n + 1)) / (1 - tied / (8 * n * n * n - 2 * n))) AS z FROM moments JOIN ranks USING (dataset, method)),
+  tested AS (SELECT dataset, method, CASE WHEN mb >= me THEN 2 WHEN flat THEN 0 ELSE {t_sql("t", "df")} END AS p_ttest, CASE WHEN mb >= me THEN 2 ELSE {NORMAL_SQL} END AS p_kruskal,
+    CASE WHEN mb >= me THEN 2 ELSE {t_sql("f", "df2")} END AS p_ftest, CASE WHEN mb >= me OR me < mb + sb THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS p_tabred FROM stats UNION ALL SELECT dataset, best, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM lead_)"""
+
+
+@query("SELECT dataset, method, round(p_ttest, 9) AS p_ttest, round(p_kruskal, 9) AS p_kruskal, round(p_ftest, 9) AS p_ftest, p_tabred FROM tested", RESULTS_SQL, SIGNIFICANCE_SQL)
+def significance_per_dataset(spark, d):
+    # Gaps would shorten the samples of single methods, which the SQL does not follow.
+    folds = F.count("fold").over(Window.partitionBy("dataset", "method"))
+    return scoring.significance_by_dataset(results(spark, d).withColumn("k", folds).where("k = 3"))
+
+
+def blocks(spark, d):
+    """Stored predictions in blocks of 256 rows."""
+    return packed.packed(stored(spark, d).predictions, 256)
+
+
+@query("SELECT dataset, fold, split, \"row\", round(pred, 9) AS pred FROM preds WHERE config = 'other'", SCORES_SQL, PREDS_SQL)
+def packed_model_slice(spark, d):
+    return packed.model_predictions(blocks(spark, d), "other")
+
+
+@query("SELECT dataset, fold, split, config, \"row\", round(pred, 9) AS pred FROM preds WHERE config IN ('score', 'third') AND fold < 2", SCORES_SQL, PREDS_SQL)
+def packed_subset(spark, d):
+    return packed.unpacked(packed.subset_models(blocks(spark, d).where("fold < 2"), ["third", "score"]))
+
+
+@query("SELECT dataset, fold, split, round(sqrt(avg((b - y) * (b - y))), 9) AS rmse FROM (SELECT dataset, fold, split, \"row\", any_value(y) AS y, sum(pred * CASE config WHEN 'score' THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS b FROM preds WHERE config IN ('score', 'other') GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3", SCORES_SQL, PREDS_SQL)
+def packed_blend(spark, d):
+    mixed = packed.blended(blocks(spark, d), {"score": 0.75, "other": 0.25})
+    labelled = mixed.join(stored(spark, d).labels, ["dataset", "fold", "split", "row"])
+    return labelled.groupBy("dataset", "fold", "split").agg(F.sqrt(F.avg((F.col("pred") - F.col("y")) * (F.col("pred") - F.col("y")))).alias("rmse"))
+
+
+@query("SELECT dataset, fold, split, \"row\", round(avg(pred)::FLOAT, 6)::DOUBLE AS pred FROM (SELECT * FROM preds WHERE split = 'test' OR (\"row\" // 2 + CASE config WHEN 'score' THEN 0 WHEN 'other' THEN 1 ELSE 2 END) % 3 > 0) GROUP BY 1, 2, 3, 4", SCORES_SQL, PREDS_SQL)
+def bag_predictions(spark, d):
+    # Configs as the children of a bag: in validation each predicts the rows that it was not trained on.
+    place = F.when(F.col("config") == "score", 0).when(F.col("config") == "other", 1).otherwise(2)
+    children = stored(spark, d).predictions.where((F.col("split") == "test") | ((F.floor(F.col("row") / 2) + place) % 3 > 0)).withColumnRenamed("config", "child")
+    return packed.from_children(children, "dataset", "fold", "split").withColumn("pred", F.round(F.col("pred"), 6).cast("double"))

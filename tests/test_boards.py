@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import arena, curves, elo, grid, naming, portfolio
+from rankforge.functions import distributions
+from rankforge.operators import arena, curves, elo, grid, naming, packed, portfolio, scoring
 from rankforge.operators.aggregate import battles
 
 SCHEMA = "method string, dataset string, fold int, metric_error double"
@@ -151,3 +153,58 @@ def test_names(spark):
     board = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4)], "method string, place int")
     assert sorted(r.method for r in naming.top_methods(board, "place", 2).collect()) == ["a", "a", "b"]
     assert naming.top_methods(board, "place", 0).count() == 4
+
+
+def test_distributions(spark):
+    """Tabulated quantiles, and numeric integrals of the densities."""
+    def one(c):
+        return spark.range(1).select(c.cast("double")).first()[0]
+
+    for t, df, p in ((1.0, 1, 0.5), (2.228138852, 10, 0.05), (12.70620474, 1, 0.05), (-1.959963985, 1e7, 0.05), (0.0, 5, 1.0), (30.0, 4, 7.334e-06)):
+        assert one(distributions.t_two_sided(F.lit(t), F.lit(float(df)))) == pytest.approx(p, rel=1e-3, abs=1e-7)
+    for x, df in ((5.991464547, 2), (36.4150285, 24), (0.1, 6), (80.0, 24), (3.0, 4), (2.5, 24)):
+        # An even number of degrees has a closed form.
+        p = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+        assert one(distributions.chi_squared_tail(F.lit(x), F.lit(float(df)))) == pytest.approx(p, rel=1e-9)
+    assert one(distributions.chi_squared_tail(F.lit(3.841458821), F.lit(1.0))) == pytest.approx(0.05, rel=1e-7)
+    assert one(distributions.chi_squared_tail(F.lit(0.0), F.lit(3.0))) == 1
+    xs = (np.arange(400_000) + 0.5) / 400_000
+    for a, b in ((2.5, 0.5), (0.5, 7.0), (30.0, 20.0)):
+        density = xs ** (a - 1) * (1 - xs) ** (b - 1)
+        for x in (0.1, 0.6, 0.95):
+            assert one(distributions.incomplete_beta(F.lit(x), F.lit(a), F.lit(b))) == pytest.approx(density[xs < x].sum() / density.sum(), abs=2e-3)
+
+
+def test_significance_edges(spark):
+    rows = [("best", "d", f, e) for f, e in enumerate((0.1, 0.2, -0.3))] + [("same", "d", f, e) for f, e in enumerate((0.1, 0.2, 0.0))]
+    rows += [("shifted", "d", f, e) for f, e in enumerate((0.6, 0.7, 0.5))] + [("short", "d", 0, 0.9), ("alone", "e", 0, 0.5)]
+    got = {(r.dataset, r.method): r for r in scoring.significance_by_dataset(spark.createDataFrame([(m, d, f, float(e)) for m, d, f, e in rows], SCHEMA)).collect()}
+    assert set(got) == {(r[1], r[0]) for r in rows}
+    assert got["e", "alone"].p_ttest == got["d", "best"].p_kruskal == 1
+    assert got["d", "same"].p_ttest == got["d", "same"].p_tabred == 2
+    assert got["d", "shifted"].p_ttest == pytest.approx(0, abs=1e-12) and got["d", "shifted"].p_tabred == 0
+    assert got["d", "shifted"].p_kruskal == pytest.approx(0.0495346, abs=1e-6)
+    assert got["d", "short"].p_ttest is None and got["d", "short"].p_kruskal is not None
+
+
+def test_packed(spark):
+    rows = [("d", 0, "val", c, r, float(10 * i + r)) for i, c in enumerate("cab") for r in range(7)] + [("d", 0, "test", "a", 3, 1.5), ("e", 1, "val", "a", 0, 2.5)]
+    schema = "dataset string, fold int, split string, config string, row long, pred double"
+    df = spark.createDataFrame(rows, schema)
+    blocks = packed.packed(df, 3)
+    assert blocks.count() == 5 and {tuple(r.configs) for r in blocks.where("split = 'val' and dataset = 'd'").collect()} == {("a", "b", "c")}
+    assert sorted(packed.unpacked(blocks).collect()) == sorted(df.select(*packed.TASK, "config", "row", "pred").collect())
+    val = blocks.where("dataset = 'd' and split = 'val'")
+    assert sorted((r.row, r.pred) for r in packed.model_predictions(val, "b").collect()) == [(r, 20.0 + r) for r in range(7)]
+    assert sorted((r.row, r.pred) for r in packed.blended(val, {"b": 0.5, "c": 2.0}).collect()) == [(r, 10 + 2.5 * r) for r in range(7)]
+    some = packed.subset_models(val, ["c", "a"])
+    assert {tuple(r.configs) for r in some.collect()} == {("a", "c")} and packed.subset_models(val, []).count() == 0
+    assert sorted((r.row, r.pred) for r in packed.model_predictions(some, "c").collect()) == [(r, float(r)) for r in range(7)]
+    for wrong in (lambda: packed.subset_models(blocks, ["b"]), lambda: packed.packed(df.where("not (config = 'a' and row = 2)")), lambda: packed.packed(df.union(df.limit(1)))):
+        with pytest.raises(Exception, match="no predictions of|configs differ"):
+            wrong().collect()
+    assert packed.packed(df.where("false")).count() == 0
+    many = spark.createDataFrame([("d", 0, "val", c, 0, [p, 1 - p]) for c, p in (("x", 0.25), ("y", 0.5))], schema.replace("pred double", "pred array<double>"))
+    assert packed.model_predictions(packed.packed(many), "y").first().pred == [0.5, 0.5]
+    bag = packed.from_children(many.withColumnRenamed("config", "child"), "dataset", "fold", "split").first()
+    assert bag.pred == [0.375, 0.625]
