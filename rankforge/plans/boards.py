@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankforge.operators import aggregate, arena, curves, elo, grid, packed, pertask, portfolio, scoring, subset
-from rankforge.plans.registry import RANKED_SQL, configs, query
+from rankforge.operators import aggregate, arena, board, curves, elo, grid, packed, pertask, portfolio, scoring, subset
+from rankforge.plans.registry import BASELINE, MATRIX_SQL, PAIRS_SQL, RANKED_SQL, RIVAL_SQL, configs, query
 from rankforge.plans.tables import PREDS_SQL, stored
 from rankforge.sources.derived import RESULTS_SQL, SCORES_SQL, TASKS_SQL, WIDE_SQL, results, tasks
 
@@ -200,3 +200,48 @@ def bag_predictions(spark, d):
     place = F.when(F.col("config") == "score", 0).when(F.col("config") == "other", 1).otherwise(2)
     children = stored(spark, d).predictions.where((F.col("split") == "test") | ((F.floor(F.col("row") / 2) + place) % 3 > 0)).withColumnRenamed("config", "child")
     return packed.from_children(children, "dataset", "fold", "split").withColumn("pred", F.round(F.col("pred"), 6).cast("double"))
+
+
+def close_calls(context):
+    """A metric of one's own: the share of tasks on which a method is within a tenth of the best."""
+    return context.per_task.groupBy("method").agg(F.avg((F.col("improvability") <= 0.1).cast("int")).alias("close"))
+
+
+BOARD_SQL = f"""advantage AS (SELECT method, avg(v) AS ba, exp(avg(ln(r))) AS gm FROM (SELECT r.method, r.dataset, avg(coalesce((b.e - r.metric_error) / nullif(greatest(b.e, r.metric_error), 0), 0.0::DOUBLE)) AS v, avg(r.metric_error / b.e) AS r
+    FROM results r JOIN (SELECT dataset, fold, metric_error AS e FROM results WHERE method = '{BASELINE}') b USING (dataset, fold) GROUP BY 1, 2) GROUP BY 1),
+  means AS (SELECT method, avg(rank) AS rank, avg(improvability) AS improvability, avg(fa) AS frontier_advantage, avg(mrr) AS mrr, avg(e) AS metric_error, avg(t) AS time_train_s, avg(i) AS time_infer_s, median(e) AS median_metric_error, median(t) AS median_time_train_s, median(i) AS median_time_infer_s
+    FROM (SELECT method, dataset, avg(rank) AS rank, avg(improvability) AS improvability, avg(frontier_advantage) AS fa, avg(1 / rank) AS mrr, avg(metric_error) AS e, avg(time_train_s) AS t, avg(time_infer_s) AS i FROM ranked JOIN frontier USING (method, dataset, fold) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("""SELECT method, round(rank, 9) AS rank, round(winrate, 9) AS winrate, round(improvability, 9) AS improvability, round(ba, 9) AS baseline_advantage, round(frontier_advantage, 9) AS frontier_advantage, round(mrr, 9) AS mrr,
+    round(gm, 9) AS relative_error, round(1 - gm, 9) AS skill_score, round(close, 9) AS close, round(time_train_s, 9) AS time_train_s, round(time_infer_s, 9) AS time_infer_s, round(metric_error, 9) AS metric_error,
+    round(median_time_train_s, 9) AS median_time_train_s, round(median_time_infer_s, 9) AS median_time_infer_s, round(median_metric_error, 9) AS median_metric_error
+  FROM means JOIN advantage USING (method) JOIN (SELECT method_1 AS method, avg(winrate) AS winrate FROM matrix GROUP BY 1) USING (method) JOIN (SELECT method, avg((improvability <= 0.1)::INT) AS close FROM ranked GROUP BY 1) USING (method)""", RESULTS_SQL, RANKED_SQL, RIVAL_SQL, PAIRS_SQL, MATRIX_SQL, BOARD_SQL)
+def leaderboard_whole(spark, d):
+    keys = ["winrate", "improvability", "baseline_advantage", "frontier_advantage", "mrr", "relative_error", "skill_score"]
+    return board.leaderboard(results(spark, d), [*keys, board.Metric("close", close_calls)], baseline=BASELINE, include_error=True)
+
+
+@query()
+def leaderboard_with_elo(spark, d):
+    return board.leaderboard(results(spark, d, wide=True), ["elo", "winrate", "improvability", "rank_counts"], elo_anchor=BASELINE)
+
+
+@query(f"""SELECT removed, round(avg(v), 9) AS score FROM (SELECT removed, dataset, avg(i) AS v FROM (SELECT m.removed, r.dataset, r.method, CASE WHEN metric_error = 0 THEN 0.0::DOUBLE ELSE 1 - min(metric_error) OVER (PARTITION BY m.removed, r.dataset, r.fold) / metric_error END AS i
+    FROM results r JOIN (SELECT DISTINCT method AS removed FROM results) m ON m.removed <> r.method) WHERE method = '{BASELINE}' GROUP BY 1, 2) GROUP BY 1 UNION ALL SELECT '{BASELINE}', NULL""", RESULTS_SQL)
+def improvability_if_removed(spark, d):
+    return board.scores_if_removed(results(spark, d), board.SPECS["improvability"], BASELINE)
+
+
+@query(f"""SELECT removed, round(avg(v), 9) AS score FROM (SELECT removed, dataset, avg(w) AS v FROM (SELECT removed, dataset, method, 1 - (rank() OVER w - 1 + (count(*) OVER (PARTITION BY removed, dataset, fold, metric_error) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY removed, dataset, fold) - 1) AS w
+    FROM (SELECT m.removed, r.* FROM results r JOIN (SELECT DISTINCT method AS removed FROM results) m ON m.removed <> r.method) WINDOW w AS (PARTITION BY removed, dataset, fold ORDER BY metric_error)) WHERE method = '{BASELINE}' GROUP BY 1, 2) GROUP BY 1 UNION ALL SELECT '{BASELINE}', NULL""", RESULTS_SQL)
+def winrate_if_removed(spark, d):
+    return board.scores_if_removed(results(spark, d), board.SPECS["winrate"], BASELINE)
+
+
+@query()
+def elo_greedy_removals(spark, d):
+    # The board's last method: removals go on until it has gained twenty points.
+    rows = results(spark, d)
+    rated = elo.elo(aggregate.battles(rows)).orderBy("elo", "method").first()
+    return board.greedy_removals(rows, board.SPECS["elo"], rated["method"], stop_at=rated["elo"] + 20)

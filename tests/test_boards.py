@@ -1,5 +1,6 @@
 """Grids of leaderboards, resampled curves, portfolios and arena boards against brute force."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.functions import distributions
-from rankforge.operators import arena, curves, elo, grid, naming, packed, portfolio, scoring
+from rankforge.operators import arena, board, curves, elo, grid, naming, packed, portfolio, scoring
 from rankforge.operators.aggregate import battles
 
 SCHEMA = "method string, dataset string, fold int, metric_error double"
@@ -208,3 +209,74 @@ def test_packed(spark):
     assert packed.model_predictions(packed.packed(many), "y").first().pred == [0.5, 0.5]
     bag = packed.from_children(many.withColumnRenamed("config", "child"), "dataset", "fold", "split").first()
     assert bag.pred == [0.375, 0.625]
+
+
+def test_leaderboard_metrics(spark):
+    rows = [(m, d, f, e, 1.0 + f, 2.0) for m, d, f, e in random_results(methods=4, datasets=3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", time_train_s double, time_infer_s double")
+    plain = board.leaderboard(df, ["winrate", "skill_score"])
+    assert plain.columns[:3] == ["method", "rank", "winrate"] and "skill_score" not in plain.columns and "metric_error" not in plain.columns
+    assert [r["rank"] for r in plain.collect()] == sorted(r["rank"] for r in plain.collect())
+    full = board.leaderboard(df, list(board.METRICS), baseline="m1", elo_rounds=5, average_folds=True, include_rescaled_loss=True, sort_by="method")
+    got = {r.method: r for r in full.collect()}
+    assert got["m1"].skill_score == pytest.approx(0) and got["m1"].baseline_advantage == 0 and got["m1"].relative_error == pytest.approx(1)
+    assert list(got) == sorted(got) and sum(r.elo for r in got.values()) / 4 == pytest.approx(1000, abs=0.1)
+    anchored = {r.method: r for r in board.leaderboard(df, ["elo"], elo_anchor="m2", elo_rounds=5).collect()}
+    assert anchored["m2"].elo == 1000
+
+    def own(columns):
+        return board.Metric("own", lambda c: c.per_task.groupBy("method").agg(*[F.max("rank").alias(x) for x in columns]))
+
+    assert board.leaderboard(df, ["mrr", own(["worst"])]).columns[:4] == ["method", "rank", "mrr", "worst"]
+    foreign = board.Metric("own", lambda c: c.per_task.select(F.lit("zz").alias("method"), F.lit(1).alias("x")).limit(1))
+    twice = board.Metric("own", lambda c: c.per_task.select("method", F.lit(1).alias("x")))
+    bare = board.Metric("own", lambda c: c.per_task.select("dataset", F.lit(1).alias("x")))
+    for wrong in ([own(["mrr"]), "mrr"], [own(["a", "a"])], [foreign], [twice], [bare], ["nope"], [own(["a"]), own(["b"])], [board.Metric("elo", lambda c: c.per_task)]):
+        with pytest.raises(ValueError):
+            board.leaderboard(df, wrong).collect()
+    needs = board.Metric("own", lambda c: c.per_task.select("method").distinct().withColumn("b", F.lit(c.baseline)), requires_baseline=True)
+    assert "b" not in board.leaderboard(df, [needs]).columns and {r.b for r in board.leaderboard(df, [needs], baseline="m0").collect()} == {"m0"}
+
+
+def brute_score(rows, name, method):
+    """Mean rank, win rate or improvability of a method over rows as they are."""
+    out = {}
+    for d in {r[1] for r in rows}:
+        per_fold = []
+        for f in {r[2] for r in rows if r[1] == d}:
+            task = {r[0]: r[3] for r in rows if r[1] == d and r[2] == f}
+            e = task[method]
+            rank = 1 + sum(x < e for x in task.values()) + (sum(x == e for x in task.values()) - 1) / 2
+            per_fold.append({"rank": rank, "winrate": 1 - (rank - 1) / (len(task) - 1) if len(task) > 1 else 0.5, "improvability": 0.0 if e == 0 else 1 - min(task.values()) / e}[name])
+        out[d] = np.mean(per_fold)
+    return float(np.mean(list(out.values())))
+
+
+@pytest.mark.parametrize("name", ["rank", "winrate", "improvability"])
+def test_what_if(spark, name):
+    rows = random_results(methods=5, datasets=3, folds=2, seed=5)
+    df, spec = spark.createDataFrame(rows, SCHEMA), board.SPECS[name]
+    got = {r.removed: r.score for r in board.scores_if_removed(df, spec, "m3").collect()}
+    assert got.pop("m3") is None
+    assert got == pytest.approx({m: brute_score([r for r in rows if r[0] != m], name, "m3") for m in ("m0", "m1", "m2", "m4")})
+    left, want, sign = rows, [], 1 if spec.direction == "min" else -1
+    while len({r[0] for r in left}) > 1:
+        scores = {m: brute_score([r for r in left if r[0] != m], name, "m3") for m in sorted({r[0] for r in left} - {"m3"})}
+        m = min(scores, key=lambda m: (round(sign * scores[m], 9), m))
+        want.append((m, scores[m]))
+        left = [r for r in left if r[0] != m]
+    removed = board.greedy_removals(df, spec, "m3").orderBy("place").collect()
+    assert [r.score for r in removed] == pytest.approx([s for _, s in want])
+    assert [r.removed for r in removed][:2] == [m for m, _ in want][:2]
+    assert board.greedy_removals(df, spec, "m3", stop_at=brute_score(rows, name, "m3")).count() == 0
+
+
+def test_what_if_elo(spark):
+    df = spark.createDataFrame(random_results(methods=4, datasets=3, seed=8), SCHEMA)
+    spec = board.SPECS["elo"]
+    got = {r.removed: r.score for r in board.scores_if_removed(df, spec, "m0").collect()}
+    for m in ("m1", "m2", "m3"):
+        want = {r.method: r.elo for r in elo.elo(battles(df.where(F.col("method") != m))).collect()}
+        assert got[m] == pytest.approx(want["m0"], abs=1e-4)
+    kept = dataclasses.replace(spec, required=frozenset({"m1", "m2"}))
+    assert [r.removed for r in board.greedy_removals(df, kept, "m0").collect()] == ["m3"]
