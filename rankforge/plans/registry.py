@@ -556,4 +556,4 @@ def repository_roundtrip(spark, d):
 
 
 # Further queries register themselves here.
-from rankforge.plans import boards, names, tables  # noqa: E402, F401
+from rankforge.plans import boards, fitted, names, tables  # noqa: E402, F401
