@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from rankforge.streaming.incremental import shared_folder
+from rankforge.sources.stored import stored
 
 #: The aggregates of numeric columns and of others.
 NUMERIC, OTHER = ("mean", "std", "min", "max", "last"), ("count", "last", "nunique")
@@ -18,12 +17,6 @@ NUMERIC, OTHER = ("mean", "std", "min", "max", "last"), ("count", "last", "nuniq
 MOST_GROUPS = 100_000
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def codes(values: DataFrame, value: str) -> DataFrame:
     """(value, code): the place of each distinct value in order, from 0. Values are dealt to ranges and numbered behind the ranges before."""
     distinct = values.select(value).where(F.col(value).isNotNull()).distinct()

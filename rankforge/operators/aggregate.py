@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.operators import pertask
+from rankforge.sources.stored import stored
 
 
 def equal_task_mean(rows: DataFrame, *values: str, by: str = "method") -> DataFrame:
@@ -58,6 +59,7 @@ def dense(results: DataFrame) -> bool:
 
 def winrate_from_ranks(ranked: DataFrame) -> DataFrame:
     """The same without any pair, 1 - (mean rank - 1) / (methods - 1), which holds on dense results; others go by pairs."""
+    ranked = stored(ranked.select("method", "dataset", "fold", "metric_error", "rank"), "ranked")
     if not dense(ranked):
         return winrate(ranked)
     sizes = ranked.groupBy("dataset", "fold").agg(F.count(F.lit(1)).alias("m"))
@@ -92,6 +94,7 @@ def pair_statistics(fights: DataFrame, *keys: str) -> DataFrame:
 
 def leaderboard(results: DataFrame) -> DataFrame:
     """One row a method: mean rank, win rate, improvability, MRR, rescaled loss, frontier advantage and the places it takes."""
+    results = stored(results, "results")
     ranked = pertask.per_task(results).withColumn("mrr", F.lit(1.0) / F.col("rank"))
     means = equal_task_mean(ranked, "rank", "improvability", "loss_rescaled", "frontier_advantage", "mrr", "metric_error")
     return means.join(winrate(results), "method").join(pertask.rank_counts(ranked), "method")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankforge.operators.aggregate import pair_statistics
 from rankforge.operators.elo import matrix, ratings
+from rankforge.sources.stored import stored
 
 
 def rank_confidence(bars: DataFrame) -> DataFrame:
@@ -16,6 +17,7 @@ def rank_confidence(bars: DataFrame) -> DataFrame:
     A new rank, the place itself, opens only where an interval ends below the lower bound of the method that opened the rank before. The
     scan carries that bound along a sorted array of the methods, which the benchmark fixes.
     """
+    bars = stored(bars, "bars")
     order = F.sort_array(F.collect_list(F.struct((-F.col("rating")).alias("at"), "method", "lower", "upper")))
     start = F.struct(F.lit(0).alias("place"), F.lit(0).alias("rank"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<method:string,arena_rank:int>>").alias("out"))
 
@@ -55,7 +57,7 @@ def dataset_contributions(fights: DataFrame) -> DataFrame:
     Sums of a pair over all datasets less those of one give the battles without it, so a fit needs methods^2 rows and all fits run side
     by side, a task each. A method that only fights in the one dataset has no rating without it.
     """
-    pairs = pair_statistics(fights, "dataset")
+    pairs = stored(pair_statistics(fights, "dataset"), "pairs")
     total = pairs.groupBy("method_1", "method_2").agg(F.sum("s1").alias("t1"), F.sum("s2").alias("t2"), F.count(F.lit(1)).alias("sets"), F.collect_list(F.struct("dataset", "s1", "s2")).alias("own"))
     names = pairs.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("dataset")).alias("names"))
     spread = total.withColumn("one", F.lit(1)).join(F.broadcast(names), "one").withColumn("dataset", F.explode(F.concat("names", F.array(F.lit(None).cast("string")))))

@@ -5,7 +5,6 @@ The per-task view is written once; every metric reads it and gives its columns b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.operators import aggregate, elo, pertask, removal
-from rankforge.streaming.incremental import shared_folder
+from rankforge.sources.stored import stored
 
 
 @dataclass(frozen=True)
@@ -98,12 +97,6 @@ def validated(metric: Metric, produced: DataFrame, taken: set[str], methods: Dat
     return produced
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def leaderboard(
     results: DataFrame, metrics: Sequence[str | Metric] = DEFAULT, baseline: str | None = None, average_folds: bool = False, include_error: bool = False, include_rescaled_loss: bool = False,
     sort_by: str | None = "rank", elo_rounds: int = 100, elo_anchor: str | None = None,
@@ -196,6 +189,7 @@ def names(results: DataFrame) -> list[str]:
 
 def scores_if_removed(results: DataFrame, spec: Spec, method: str) -> DataFrame:
     """(removed, score): the method's score if each other one were removed; null where it is removed itself or has none."""
+    results = stored(results, "results")
     candidates = [m for m in names(results) if m not in spec.required]
     scores = spec.scores(without_each(results, candidates)).where(F.col("method") == method).select("removed", "score")
     # A row a method.
@@ -208,9 +202,9 @@ def greedy_removals(results: DataFrame, spec: Spec, method: str, stop_at: float
 
     A round is one plan over all removals, of which a row reaches the driver; of equal scores the first name goes.
     """
-    left, out = results, []
+    left, out = stored(results, "results"), []
     sign = 1 if spec.direction == "min" else -1
-    rest = [m for m in names(results) if m != method and m not in spec.required]
+    rest = [m for m in names(left) if m != method and m not in spec.required]
     while rest:
         rows = spec.scores(without_each(left, rest)).where((F.col("method") == method) & F.col("score").isNotNull() & ~F.isnan("score"))
         best = rows.where(F.col("removed") != NOBODY).orderBy(sign * F.col("score"), "removed").select(F.lit(1).alias("k"), "removed", "score").limit(1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.sources.stored import stored
+
 
 def drawn(*parts: Column) -> Column:
     """A whole number below 2^32 for these parts."""
@@ -40,6 +42,7 @@ def jitter_curve(ranked: DataFrame, rounds: int = 100, seed: int = 0, metric: st
     """
     if metric not in ("winrate", "rank"):
         raise ValueError(f"metric must be 'winrate' or 'rank', not {metric!r}")
+    ranked = stored(ranked.select("dataset", "fold", "method", "rank"), "ranked")
     folds = ranked.groupBy("dataset").agg(F.sort_array(F.collect_set("fold")).alias("folds"))
     by_method = ranked.groupBy("dataset", "method").agg(F.sort_array(F.collect_list(F.struct("fold", "rank"))).alias("r"), F.count_distinct("fold").alias("own"))
     whole = by_method.join(folds, "dataset").where(F.col("own") == F.size("folds"))

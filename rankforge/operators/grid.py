@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.operators import pertask
+from rankforge.sources.stored import stored
 
 #: The axes of the grid, and the tag that a category of systems stands for (none for systems without tags).
 CATEGORIES = {"open": None, "llm": "with_llm", "api": "closed_source_api"}
@@ -82,7 +83,8 @@ def grid_leaderboards(results: DataFrame, tasks: DataFrame, methods: DataFrame)
     results (method, dataset, fold, metric_error, imputed) holds a row for every method and task; tasks (dataset, problem_type,
     n_train); methods (method, method_class, tags). Cells without methods have no rows. Folds are averaged within a dataset.
     """
-    members = fields(results, tasks, methods)
+    results = stored(results.select("method", "dataset", "fold", "metric_error", "imputed"), "results")
+    members = stored(fields(results, tasks, methods), "fields")
     # Cells whose fields have the same members share an id: their number and two independent sums of hashes.
     ids = members.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n_methods"), F.bit_xor(F.xxhash64("method")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("field"), "method")).alias("h2"))
     ids = ids.withColumn("field", F.concat_ws(":", "n_methods", "h1", "h2"))
@@ -93,7 +95,7 @@ def grid_leaderboards(results: DataFrame, tasks: DataFrame, methods: DataFrame)
     means = ranked.groupBy("field", "method", "dataset").agg(
         F.struct(*[F.avg(v).alias(k) for k, v in values.items()]).alias("all"), F.struct(*[F.avg(F.when(F.col("fold") == 0, v)).alias(k) for k, v in values.items()]).alias("lite")
     )
-    whole = means.select("field", "method", "dataset", F.explode(F.array(*[F.struct(F.lit(s).alias("splits"), F.col(s).alias("x")) for s in SPLITS])).alias("y"))
+    whole = stored(means, "means").select("field", "method", "dataset", F.explode(F.array(*[F.struct(F.lit(s).alias("splits"), F.col(s).alias("x")) for s in SPLITS])).alias("y"))
     whole = whole.select("field", "method", "dataset", "y.splits", "y.x.*").where("rank is not null")
     per_cell = whole.join(dataset_cells(tasks), "dataset").join(ids.select(*AXES, "field", "n_methods"), ["field", "splits", "tasks", "datasets"])
     board = per_cell.groupBy(*AXES, "method").agg(F.first("n_methods").alias("n_methods"), F.count(F.lit(1)).alias("n_datasets"), *[F.avg(k).alias(k) for k in values])

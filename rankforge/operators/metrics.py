@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.streaming.incremental import shared_folder
+from rankforge.sources.stored import stored
 
 
 def auc(rows: DataFrame, key: str, y: str = "y", score: str = "score") -> DataFrame:
@@ -42,9 +40,7 @@ def capture_and_gini(rows: DataFrame, key: str, tie: str, y: str = "y", score: s
     weight = F.when(F.col(y) == 1, 1.0).otherwise(20.0)
     ranged = rows.select(F.col(key).alias("_k"), F.col(score).alias("_s"), F.col(tie).alias("_t"), F.col(y).cast("double").alias("_y"), weight.alias("_w"))
     ranged = ranged.repartitionByRange("_k", *order).withColumn("_r", F.spark_partition_id())
-    path = f"{shared_folder(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
-    ranged.write.parquet(path)
-    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    ranged = stored(ranged, "ranges")
     sums = ranged.groupBy("_k", "_r").agg(F.sum("_w").alias("_rw"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_ry"), F.count_if(F.col("_y") == 1).alias("_rp"), F.count(F.lit(1)).alias("_rn"))
     before, whole = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_k")
     totals = {"_tw": "_rw", "_ty": "_ry", "_p": "_rp", "_n": "_rn"}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.operators.pertask import per_task
-from rankforge.streaming.incremental import shared_folder
+from rankforge.sources.stored import stored
 
 
 def packed_ranks(ranked: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -77,10 +76,7 @@ def pruned(packed: DataFrame, chosen: list[str], threshold: float = 0.0) -> list
 
 def packed_table(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """packed_ranks of results, written to the shared folder, since every round reads them."""
-    packed = packed_ranks(per_task(results).select("dataset", "fold", "method", "rank"), weights)
-    path = f"{shared_folder(results.sparkSession)}/ranks-{uuid.uuid4().hex}"
-    packed.write.parquet(path)
-    return results.sparkSession.read.schema(packed.schema).parquet(path)
+    return stored(packed_ranks(per_task(results).select("dataset", "fold", "method", "rank"), weights), "ranks")
 
 
 def listed(spark: SparkSession, chosen: list[str]) -> DataFrame:
@@ -109,17 +105,15 @@ def leave_one_dataset_out(results: DataFrame, size: int = 5) -> DataFrame:
     # The names of the datasets, one row.
     sets = packed.groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("dataset")).alias("every"))
     spread = packed.withColumn("one", F.lit(1)).join(F.broadcast(sets), "one").withColumn("held", F.explode(F.array_remove("every", F.col("dataset")))).drop("every", "one")
-    folder = f"{shared_folder(results.sparkSession)}/portfolios-{uuid.uuid4().hex}"
     state = names.select("held", names_array([]).alias("chosen"), F.lit(None).cast("double").alias("last"), F.lit(True).alias("going"))
-    for r in range(size):
+    for _ in range(size):
         going = spread.join(state.where("going"), "held")
         best = next_means(going, F.col("chosen"), "held").groupBy("held").agg(F.min(F.struct("mean", "method")).alias("b"))
         more = F.col("going") & F.col("b").isNotNull() & ~F.col("b.mean").eqNullSafe(F.col("last"))
         state = state.join(best, "held", "left").select(
             "held", F.when(more, F.concat("chosen", F.array("b.method"))).otherwise(F.col("chosen")).alias("chosen"), F.when(more, F.col("b.mean")).otherwise(F.col("last")).alias("last"), more.alias("going")
         )
-        state.write.parquet(f"{folder}/{r}")
-        state = results.sparkSession.read.schema(state.schema).parquet(f"{folder}/{r}")
+        state = stored(state, "portfolios")
         if state.where("going").isEmpty():
             break
     return state.select(F.col("held").alias("dataset"), F.posexplode("chosen").alias("place", "method")).withColumn("place", F.col("place") + 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.distributions import chi_squared_tail, t_two_sided
 from rankforge.operators.portfolio import first_least, products_matrix, residual_products
+from rankforge.sources.stored import stored
 
 
 def place_among(candidates: DataFrame, reference: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def significance_by_dataset(results: DataFrame) -> DataFrame:
     no worse has p 2. Tests: paired t; Kruskal-Wallis of both samples, ties corrected for; one-way analysis of variance; and 2 where
     the mean lies within a standard deviation of the best's, else 0. A test that both samples are too short for is null.
     """
-    rows = results.select("dataset", "fold", "method", F.greatest("metric_error", F.lit(0.0)).alias("e"))
+    rows = stored(results.select("dataset", "fold", "method", F.greatest("metric_error", F.lit(0.0)).alias("e")), "errors")
     means = rows.groupBy("dataset", "method").agg(F.avg("e").alias("m"))
     best = means.groupBy("dataset").agg(F.min(F.struct("m", "method")).getField("method").alias("best"))
     marked = rows.join(best, "dataset")
@@ -149,7 +150,7 @@ def significance_by_dataset(results: DataFrame) -> DataFrame:
     # A row a fold and method with both errors; a fold that one of them lacks has a null.
     own = marked.where("method <> best").select("dataset", "fold", "method", "e")
     every = own.select("dataset", "method").distinct().join(lead, "dataset")
-    both = every.join(own, ["dataset", "method", "fold"], "full_outer")
+    both = stored(every.join(own, ["dataset", "method", "fold"], "full_outer"), "samples")
     d = F.col("e") - F.col("b")
     sums = both.groupBy("dataset", "method").agg(
         *[F.count(c).cast("double").alias(f"n_{c}") for c in "eb"], *[F.avg(c).alias(f"m_{c}") for c in "eb"], F.var_samp("e").alias("v_e"), F.var_samp("b").alias("v_b"), F.stddev_pop("b").alias("s_b"),
