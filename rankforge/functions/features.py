@@ -29,12 +29,6 @@ def calendar(rows: DataFrame, ts: str, key: str) -> DataFrame:
     return rows.select(key, *[f(t).cast("int").alias(n) for f, n in ((F.year, "year"), (F.month, "month"), (F.dayofmonth, "day"))], F.weekday(t).cast("int").alias("weekday"), F.hour(t).cast("int").alias("hour"), F.minute(t).cast("int").alias("minute"))
 
 
-def ascii_text(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, clean): printable ASCII only, runs of white space as one space, trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), "[ \\t\\n\\x0B\\f\\r]+", " "), "[^ -~]", "")
-    return rows.select(key, F.trim(F.regexp_replace(plain, " +", " ")).alias("clean"))
-
-
 @F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Unicode normal form KC, which no built-in function gives."""

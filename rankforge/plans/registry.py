@@ -387,11 +387,6 @@ def datetime_features(spark, d):
     return features.calendar(table(spark, d, "events"), "ts", "event_id")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '[^ -~]', '', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
-def text_sanitize_ascii(spark, d):
-    return features.ascii_text(table(spark, d, "documents"), "text", "doc_id")
-
-
 @query("SELECT floor(coalesce(c, 0) * 5 / t)::INT AS interval, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, sum(n)::BIGINT AS rows FROM (SELECT day, n, sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c, sum(n) OVER () AS t FROM (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)) GROUP BY 1")
 def temporal_intervals(spark, d):
     out = features.time_intervals(table(spark, d, "events"), "ts", 5)

@@ -78,6 +78,32 @@ def split_shortcuts(spark, d):
     return metadata.select_splits(described(spark, d), expressions="hc_nolarge_lite").select("dataset", "split_index")
 
 
+#: What each predicate says of a described split, in terms of the numbers that the view is made from.
+EVERY_PREDICATE = {
+    "all": "true", "binary": "problem_type = 'binary'", "multiclass": "problem_type = 'multiclass'", "classification": "problem_type <> 'regression'", "regression": "problem_type = 'regression'",
+    "large": "max_train_rows > 100000 AND max_train_rows <= 1000350", "medium": "max_train_rows > 10000 AND max_train_rows <= 100000", "small": "max_train_rows > 1000 AND max_train_rows <= 10000", "tiny": "max_train_rows > 100 AND max_train_rows <= 1000",
+    "iid": "n_features % 5 > 1", "random": "n_features % 5 > 1", "temporal": "n_features % 5 = 0", "grouped": "n_features % 5 = 1", "grouped_lpg": "n_features % 5 = 1 AND n_features % 2 = 0", "grouped_lps": "n_features % 5 = 1 AND n_features % 2 = 1",
+    "low-dim": "8 * n_features <= 100", "high-dim": "8 * n_features > 100", "dim_above_500": "8 * n_features > 500", "text": "n_features % 3 = 0", "high-cardinality": "n_features % 4 > 0",
+    "numerical": "n_features % 2 = 1 AND n_features % 7 > 0 AND n_features % 3 > 0", "lite": "split = 0", "core": "split < 1 + n_features % 6",
+}
+EVERY_SHORTCUT = {
+    "large": ["core", "large"], "high_dim": ["core", "high-dim"], "low_dim": ["core", "low-dim"], "high_cardinality": ["core", "high-cardinality"], "grouped": ["core", "grouped"], "temporal": ["core", "temporal"], "iid": ["core", "iid"],
+    "random": ["core", "random"], "text": ["core", "text"], "numerical": ["core", "numerical"], "hc_nolarge": ["core", "high-cardinality", "small_or_less"], "hc_nolarge_lite": ["core", "lite", "high-cardinality", "small_or_less"],
+}
+
+
+def shortcut_sql(names: list[str]) -> str:
+    return " AND ".join("NOT (max_train_rows > 100000 AND max_train_rows <= 1000350)" if n == "small_or_less" else f"({EVERY_PREDICATE[n]})" for n in names)
+
+
+@query(" UNION ALL ".join([f"SELECT 'predicate' AS kind, '{n}' AS name, dataset, split_index FROM described WHERE {c}" for n, c in EVERY_PREDICATE.items()] + [f"SELECT 'shortcut', '{n}', dataset, split_index FROM described WHERE {shortcut_sql(c)}" for n, c in EVERY_SHORTCUT.items()]), TASKS_SQL, SPLITS_SQL, DESCRIBED_SQL)
+def splits_of_every_predicate(spark, d):
+    """All predicates and shortcuts in one pass: a row for each that a split meets."""
+    marks = [(kind, name, metadata.holds(expressions)) for kind, table_ in (("predicate", {n: [n] for n in metadata.SPLIT_PREDICATES}), ("shortcut", metadata.SHORTCUTS)) for name, expressions in table_.items()]
+    met = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"))) for k, n, c in marks]))
+    return described(spark, d).select("dataset", "split_index", F.inline(met)).select("kind", "name", "dataset", "split_index")
+
+
 @query("SELECT count(*) AS num_instances, 8::BIGINT AS num_features, count(DISTINCT l_returnflag) AS num_classes, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem)) AS num_instance_groups FROM lineitem")
 def dataset_stats(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
