@@ -3,9 +3,9 @@
 Every block of a page has the path of tags from the root to it. Text length and punctuation are summed over the blocks of a path,
 the two ratios per block are smoothed over neighbouring paths and fused; what the tags, roles and names of a path say against it is one
 more factor. Paths above a threshold hold content. The article is the outermost <article> or <main> around nearly all of that content; in
-pages without one, the smallest element with all of it, widened to its ancestors up to the menus, headers and footers of the page. A second,
-low threshold decides which other blocks of the article, such as headings and lists, are its text. A name in doubt is decided by the paths
-below it.
+pages without one, the smallest element with all of it, widened to its ancestors up to the menus, headers and footers of the page. Other
+blocks of the article, such as headings and lists, are its text unless tags or names mark them, however short they are beside its longest
+paragraphs. A name in doubt is decided by the paths below it. A form around the article is no form of the page.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from rankforge.llm.common import text_batches
 
 # Names of HTML elements, and of the parts of pages that aren't their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title xmp object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style noscript template iframe svg textarea title xmp object canvas audio video annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mfenced".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"div", "td", "th", "li", "article", "section", "body", "main", "blockquote", "aside", "footer", "header", "nav", "form", "figure", "button"}}
@@ -47,16 +47,21 @@ FURNITURE = frozenset("nav navbar sidenav navigation menu menubar header footer
 #: Whether an element is article text: it may be, it may only if the paths of its text hold content, it isn't.
 NO, PERHAPS, YES = 0, 1, 2
 WHOLE = frozenset("html body article main".split())
+#: Elements that hold running text.
+RUNNING = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A class that shows an element again on some screens.
+SHOWN = re.compile(r":(block|flex|grid|table|contents|inline\b)")
+#: A button without markup that its sentence goes on after.
+IN_SENTENCE = re.compile(r"[^<]*+</button\s*+>\s*+[^<\s]", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Smoothing over neighbouring paths, share of the best path that content has at least, content outside the
-#: article, and other text of the article; share of content
+#: Smoothing over neighbouring paths, share of the best path that content has at least, and content outside the article; share of content
 #: that the article holds; factor of paths that their tags or names mark as something else.
-KERNEL, THRESHOLD, OUTSIDE, LOW, HELD, MARKED = np.array([0.1, 0.8, 0.1]), 0.15, 0.5, 0.0005, 0.8, 1e-6
+KERNEL, THRESHOLD, OUTSIDE, HELD, MARKED = np.array([0.1, 0.8, 0.1]), 0.15, 0.5, 0.8, 1e-6
 
 
 @dataclass
@@ -66,6 +71,7 @@ class Element:
     parent: int
     other: int
     inner: bool
+    attributes: str = ""
     furniture: bool = False
 
 
@@ -97,6 +103,8 @@ def names_other(tag: str, attributes: str, inner: bool) -> int:
         sure = SURE_OUTSIDE if not inner and not anchored else SURE_CLASSES if kind == "class" else SURE_NAMES
         for name in known.get(kind, "").split():
             parts = {p.lower() for p in NAME_PARTS.findall(name)}
+            if kind == "class" and parts == {"hidden"} and SHOWN.search(known["class"]):
+                continue
             if parts & sure and parts <= NOT_NAMES | NEUTRAL:
                 return YES
             if inner or anchored or parts & {"with", "has", "no"}:
@@ -183,7 +191,11 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if tag in VOID:
             block = None
             continue
-        if tag not in INLINE:
+        if tag == "button" and block is not None and not closing and elements[block.element].tag in RUNNING and IN_SENTENCE.match(page, at):
+            continue
+        if tag == "button" and closing and not open_["button"]:
+            continue
+        if tag not in INLINE and (tag not in RAW or tag == "xmp"):
             block = None
         if closing:
             for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
@@ -209,14 +221,37 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             cut(stack, next(k for k, e in enumerate(stack) if elements[e].tag == "head"), elements, open_)
         parent = elements[stack[-1]]
         inner = parent.inner or tag in ("article", "main")
-        other = YES if parent.other == YES else max(parent.other, names_other(tag, attributes, parent.inner))
-        elements.append(Element(tag, tag, stack[-1], other, inner, other > parent.other and names_furniture(tag, attributes)))
+        elements.append(Element(tag, tag, stack[-1], names_other(tag, attributes, parent.inner), inner, attributes))
         if not attributes.endswith("/") or tag not in INLINE:
             stack.append(len(elements) - 1)
             open_[tag] += 1
+    settle(elements, blocks)
     return elements, blocks
 
 
+def settle(elements: list[Element], blocks: list[Block]) -> None:
+    """What each element is by itself becomes what it is within its page: parts of what isn't the article aren't either.
+
+    A form that holds an article or main element, or else most running text of the page, stands around the page; its names alone count.
+    """
+    if any(e.tag == "form" for e in elements):
+        running, articles = np.zeros(len(elements)), np.zeros(len(elements))
+        marked = inherited(elements, lambda k, above: int(above or (elements[k].tag != "form" and elements[k].other == YES)))
+        for b in blocks:
+            if elements[b.element].tag in RUNNING and not marked[b.element]:
+                running[b.element] += sum(len(x.strip()) for x in b.parts)
+        for k, e in enumerate(elements):
+            articles[k] = e.tag in ("article", "main")
+        running, articles = gathered(elements, running), gathered(elements, articles)
+        for k, e in enumerate(elements):
+            if e.tag == "form" and (articles[k] or (not articles[0] and 2 * running[k] > running[0])):
+                e.other = names_other("div", e.attributes, e.inner)
+    for e in elements[1:]:
+        above = elements[e.parent].other
+        own, e.other = e.other, YES if above == YES else max(above, e.other)
+        e.furniture = own > above and names_furniture(e.tag, e.attributes)
+
+
 def cut(stack: list[int], k: int, elements: list[Element], open_: Counter) -> None:
     """Closes the open elements from the k-th on."""
     for e in stack[k:]:
@@ -345,7 +380,7 @@ def main_text(page: str | None) -> tuple[str, int]:
         around = max((k for k in np.nonzero(weight >= total)[0].tolist()), key=lambda k: (depth[k], k))
         held, menus = widened(elements, blocks, around)
     inside = inherited(elements, lambda k, above: int(above or k == held))
-    return "\n".join(t for (e, t), x in zip(found, score, strict=True) if x >= OUTSIDE or (inside[e] and x >= (THRESHOLD if menus[e] else LOW))), count
+    return "\n".join(t for (e, t), x in zip(found, score, strict=True) if x >= OUTSIDE or (inside[e] and (x >= THRESHOLD if menus[e] else elements[e].other != YES))), count
 
 
 def extract(pages: DataFrame) -> DataFrame:

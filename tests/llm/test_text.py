@@ -202,3 +202,21 @@ def test_imatch_edges(spark):
     assert imatch.imatch(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = imatch.imatch(spark.createDataFrame([(3, "only one here")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>My title of words</h1><div>By Ann</div><p>{long}</p></article>", "My title of words\nBy Ann\n{long}"),
+        ("<article><h2>One</h2><ul><li>First</li></ul><h2>Two</h2><blockquote>Said so.</blockquote><p>{long}</p></article>", "One\nFirst\nTwo\nSaid so.\n{long}"),
+        ("<body><form id='form1'><main><p>Words of a page, in a form.</p></main><button>Go</button></form></body>", "Words of a page, in a form."),
+        ("<body><form><h1>Title</h1><p>Words of a page, in a form without main.</p><input></form></body>", "Title\nWords of a page, in a form without main."),
+        ("<article><p>Words of the article, whole.</p></article><form><p>Leave a comment, please do so.</p></form>", "Words of the article, whole."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <svg><text>no</text></svg>always.</p></article>", "So x=2 holds, always."),
+        ("<article><p>Press <button>Save</button> to go on, please.</p><button>Share</button></article>", "Press Save to go on, please."),
+        ("<article><p class='hidden md:block'>Shown on wide screens.</p><p class=hidden>Never.</p><p>More.</p></article>", "Shown on wide screens.\nMore."),
+    ],
+)
+def test_pages_stay_whole(page, text):
+    long = "A sentence of words, and some more of them. " * 150
+    assert html_extract.main_text(page.replace("{long}", long))[0] == text.replace("{long}", long.strip())
