@@ -476,13 +476,15 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     alone; of those that have one doc_id (or none) and one text, one stays.
     """
     bounded_batches(docs.sparkSession)
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
-    parts = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).withColumnRenamed("doc_id", "_row")
+    # A name that no column of the caller has, in any spelling.
+    row = "_row" + "_" * max(map(len, docs.columns))
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-rows")
+    parts = jaccard_components(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).withColumnRenamed("doc_id", row)
     blank = F.when(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text"))
-    named = keyed.select("_row", F.col("doc_id").alias("_id"), blank.alias("_blank")).join(parts, "_row")
+    named = keyed.select(row, F.col("doc_id").alias("_id"), blank.alias("_blank")).join(parts, row)
     group = [F.when(F.col("n_shingles") > 0, F.col("component_id")), *[F.when(F.col("n_shingles") == 0, F.col(c)) for c in ("_id", "_blank")]]
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row")
-    keep = materialise(named.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(first.alias("_row")).select("_row"), "kept-rows")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", row)).getField(row)
+    keep = materialise(named.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(first.alias(row)).select(row), "kept-rows")
     # What goes is less than what stays, as a rule.
-    gone = materialise(keyed.select("_row").join(keep, "_row", "left_anti"), "gone-rows")
-    return keyed.join(few(gone), "_row", "left_anti").select(*docs.columns)
+    gone = materialise(keyed.select(row).join(keep, row, "left_anti"), "gone-rows")
+    return keyed.join(few(gone), row, "left_anti").select(*docs.columns)

@@ -122,3 +122,10 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == got[90] == 90
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c", "r1", "i1"), (2, "a b c", "r2", "i2"), (3, "x y", "r3", None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _row string, _id string"))
+    assert kept.columns == ["doc_id", "text", "_row", "_id"]
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rankforge.llm import jaccard_join, language_id, media, toxicity
 from rankforge.llm.common import materialise
@@ -115,3 +117,27 @@ def test_stages_keep_columns(spark, corpus):
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), corpus).count() == 0
     assert language_id.recognised(docs.limit(0)).count() == 0
+
+
+def test_each_stage_rejects_what_is_planted(spark, corpus):
+    """A toxic document, texts without a letter, and copies go, one stage each; what they were made of stays unless it goes itself."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.where("length(text) > 400").collect()}
+    toxic = {r.doc_id for r in spark.read.parquet(f"{corpus}/labels.parquet").where("toxic = 1").collect()}
+    bad = next(t for i, t in sorted(texts.items()) if i in toxic)
+    marker = " ".join(f"{w}" for w in texts[min(set(texts) - toxic)].split()[:60])
+    planted = [(10**6, marker), (10**6 + 1, marker), (10**6 + 2, " ".join([*marker.split()[:-1], "changed"])), (10**6 + 3, bad), (10**6 + 4, "12 345 . 6"), (10**6 + 5, None)]
+    rows = spark.createDataFrame(planted, "doc_id long, text string")
+    lacking = [c for c in docs.columns if c not in rows.columns]
+    for c in lacking:
+        rows = rows.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    now = docs.unionByName(rows)
+    gone = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in now.select("doc_id").collect()}
+        now = materialise(stage(spark, now, corpus), f"planted-{name.split()[0]}")
+        gone[name] = before - {r.doc_id for r in now.select("doc_id").collect()}
+    assert 10**6 + 3 in gone["toxicity"]
+    assert {10**6 + 4, 10**6 + 5} <= gone["language ID"]
+    assert {10**6 + 1, 10**6 + 2} <= gone["n-gram Jaccard join"]
+    assert 10**6 not in gone["toxicity"] | gone["language ID"]
