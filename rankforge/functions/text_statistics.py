@@ -19,7 +19,7 @@ from rankforge.sources.stored import stored
 #: Lengths of n-grams, and dimensions of an embedding.
 GRAMS, DIMENSIONS = (3, 4), 32
 #: Vectors beside the wanted ones, and rounds of the iteration.
-SPARE, ROUNDS = 8, 6
+SPARE, ROUNDS = 8, 5
 
 
 def term_counts(rows: DataFrame, key: list[str], text: str, missing: str = "NA") -> DataFrame:

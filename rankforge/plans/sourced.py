@@ -9,6 +9,7 @@ from rankforge.functions.features import clean_text
 from rankforge.plans.registry import query
 from rankforge.sources import task_sources
 from rankforge.sources.derived import RESULTS_SQL, TASKS_SQL, WIDE_SQL, results, table, tasks
+from rankforge.sources.stored import stored
 
 LEGACY_SQL = """legacy AS (SELECT *, CASE problem_type WHEN 'binary' THEN 2 WHEN 'multiclass' THEN 5 ELSE 0 END AS n_classes, 3 AS n_folds, 1 + n_features % 3 AS n_repeats FROM tasks)"""
 SPLITS_SQL = """splits AS (SELECT dataset, n_train::VARCHAR AS task_id_str, problem_type, CASE problem_type WHEN 'binary' THEN 'roc_auc' WHEN 'multiclass' THEN 'log_loss' ELSE 'rmse' END AS eval_metric, problem_type <> 'regression' AS is_classification,
@@ -37,7 +38,7 @@ def legacy_tasks_of_splits(spark, d):
     return out.select("dataset", "n_folds", "n_repeats", *[F.round(c, 6).alias(c) for c in ("n_samples_train_per_fold", "n_samples_test_per_fold")], "n_features", "n_classes", "eval_metric")
 
 
-@query("SELECT method, dataset, fold, metric_error FROM wide WHERE dataset IN (SELECT dataset FROM tasks WHERE problem_type <> 'regression')", WIDE_SQL, TASKS_SQL)
+@query("SELECT method, dataset, fold, round(metric_error, 9) AS metric_error FROM wide WHERE dataset IN (SELECT dataset FROM tasks WHERE problem_type <> 'regression')", WIDE_SQL, TASKS_SQL)
 def results_with_metadata(spark, d):
     return task_sources.with_metadata(results(spark, d, wide=True), tasks(spark, d).where("problem_type <> 'regression'")).select("method", "dataset", "fold", "metric_error")
 
@@ -66,5 +67,5 @@ def text_term_weights(spark, d):
 @query()
 def text_embeddings(spark, d):
     rows = table(spark, d, "conversations").select(F.concat_ws("-", *TURN).alias("id"), "text")
-    clean = clean_text(rows, "text", "id", "NA")
+    clean = stored(clean_text(rows, "text", "id", "NA"), "clean-texts")
     return text_statistics.fit_text_statistics(clean, ["id"], "clean").transform(clean, ["id"], "clean")
