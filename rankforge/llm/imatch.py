@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.llm.common import materialise
+
 #: Share of documents that a term of the lexicon occurs in, at least and at most: idf between ln(1/MOST) and ln(1/LEAST).
 LEAST, MOST = 0.0005, 0.02
 #: One in how many terms each randomised subset takes.
 SUBSETS = [4] * 4 + [16] * 6 + [64] * 10 + [256] * 20
 #: What a subset without terms of the text has: the hash of nothing.
 NONE = "d41d8cd9"
-#: Rows of a bucket of ascending ids, about; broadcast limits, in rows.
-BUCKET, MOST_HEADS, MOST_TERMS = 4000, 200_000, 4_000_000
+#: Rows of a bucket of ascending ids, about; broadcast limits, in rows. A bucket of over CROWDED times as many rows is divided by PARTS.
+BUCKET, MOST_HEADS, MOST_TERMS, CROWDED, PARTS = 4000, 200_000, 4_000_000, 4, 1024
 
 
 def terms(text: Column) -> Column:
@@ -69,6 +71,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(used == 0, F.lit(0.0)).otherwise(same / used)
 
 
+def with_buckets(rows: DataFrame, width: int, divided: list[tuple[DataFrame, int]]) -> DataFrame:
+    """rows with `bucket`: the first id of the range that doc_id lies in, of `width` ids or, in divided ranges, fewer. Widths are powers of two."""
+
+    def first(ids: int) -> Column:
+        return F.col("doc_id") - F.pmod(F.col("doc_id"), F.lit(ids))
+
+    rows = rows.withColumn("bucket", first(width))
+    for crowded, parts in divided:
+        # At most MOST_HEADS rows.
+        rows = rows.join(F.broadcast(crowded), "bucket", "left").withColumn("bucket", F.when(F.col("_crowded"), first(parts)).otherwise(F.col("bucket"))).drop("_crowded")
+    return rows
+
+
+def divisions(ids: DataFrame, total: int, width: int) -> list[tuple[DataFrame, int]]:
+    """[(crowded buckets, width of their parts)] from coarse to fine: however ids are spread, buckets hold about equally few rows.
+
+    Only rows that repeat one id are never divided. Usually no bucket is crowded, and ids are counted once.
+    """
+    out: list[tuple[DataFrame, int]] = []
+    parts = width
+    while parts > 1:
+        sizes = with_buckets(ids, width, out).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+        crowded = sizes.where(F.col("rows") > max(CROWDED * BUCKET, total // MOST_HEADS)).select("bucket", F.lit(True).alias("_crowded"))
+        crowded = materialise(crowded, "crowded-ids")
+        if crowded.isEmpty():
+            break
+        parts = max(1, parts // PARTS)
+        out.append((crowded, parts))
+    return out
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, rn, ghost, doc_id, text, next_text) of every row, in buckets of ascending ids.
 
@@ -76,20 +109,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     a task that sees all rows. Rows with a null id have no next row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total, low, high = rows.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    ids = rows.select("doc_id").where("doc_id is not null")
+    total, low, high = ids.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     heads_most = max(1, -(-total // BUCKET))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // heads_most))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), -1 - F.pmod(F.xxhash64("text"), F.lit(heads_most)))
-    rows = rows.withColumn("bucket", bucket)
-    heads = rows.where("bucket >= 0").groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    width = 1 << min(62, (((high or 0) - (low or 0)) // heads_most).bit_length())
+    divided = divisions(ids, total, width)
+    rows = with_buckets(rows, width, divided).withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("text"), F.lit(heads_most))))
+    heads = materialise(with_buckets(ids, width, divided).groupBy("bucket").agg(F.min("doc_id").alias("doc_id")), "bucket-heads")
+    few = heads.count() <= MOST_HEADS
     # A row a bucket, BUCKET times fewer than documents.
     before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy(F.lit(0))))
     heads = heads.select("doc_id", before.alias("bucket"))
-    heads = F.broadcast(heads) if heads_most <= MOST_HEADS else heads
+    heads = F.broadcast(heads) if few else heads
     ghosts = rows.drop("bucket").join(heads, "doc_id").select("doc_id", "text", "bucket", F.lit(1).alias("ghost"))
     every = rows.select("doc_id", "text", "bucket", F.lit(0).alias("ghost")).union(ghosts)
     order = Window.partitionBy("bucket").orderBy("ghost", "doc_id", F.xxhash64("text"))
-    return every.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.when(F.col("bucket") >= 0, F.lead("text").over(order)))
+    return every.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order)))
 
 
 def imatch(docs: DataFrame) -> DataFrame:
@@ -117,7 +152,7 @@ def imatch(docs: DataFrame) -> DataFrame:
     hits = each.join(words, "term").groupBy("bucket", "rn", "side").agg(*[F.first(c).alias(c) for c in [*about[2:], "edited_sha256", "whole"]], F.sort_array(F.filter(F.collect_list(F.struct("term", "mask")), lambda t: t["term"] != "")).alias("kept"))
     prints = hits.withColumn("print", fingerprint(F.col("kept"), F.col("whole")))
     pairs = prints.groupBy("bucket", "rn").agg(*[F.first(c).alias(c) for c in [*about[2:], "edited_sha256"]], F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"))
-    following = F.when(F.col("bucket") >= 0, F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn")))
+    following = F.when(F.col("doc_id").isNotNull(), F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn")))
     done = pairs.withColumn("following", following).where("ghost = 0")
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), F.coalesce(likeness(F.col("fingerprint"), F.col("following")), F.lit(0.0)).alias("near_next"))
 

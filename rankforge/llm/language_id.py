@@ -76,7 +76,11 @@ def positions(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> Filters:
-    """Filters from rows (doc_id, text, lang) with a known language: a bounded sample of each language, drawn by a hash of the id."""
+    """Filters from rows (doc_id, text, lang) with a known language: a bounded sample of each language, drawn by a hash of the id.
+
+    Rows with a null text or lang teach nothing, repeated rows are drawn together, and texts of any length are taken whole, a few million
+    characters at a time; without rows there are no languages.
+    """
     known = docs.where("lang is not null and text is not null")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).withColumn("langs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     # A row a language: as many as the model has bits a slot. Rare languages are drawn whole, frequent ones up to their share of the bound.
@@ -87,12 +91,14 @@ def fit(docs: DataFrame) -> Filters:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams(t))
-            for lang, parts in by.items():
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
+            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for part in text_batches(texts):
+                by: dict[str, list[np.ndarray]] = {}
+                for t, lang in zip(texts[part], langs[part], strict=True):
+                    by.setdefault(lang, []).append(grams(t))
+                for lang, parts in by.items():
+                    h, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
     counts = some.select("text", "lang").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     # A language's n-grams in a bounded sample are a bounded group.

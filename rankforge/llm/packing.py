@@ -4,7 +4,8 @@ Documents are cut at multiples of the sequence length; what remains of each has
 Only this histogram, of a fixed number of classes, reaches the driver. There a linear program over patterns (how many pieces of
 each class fill a sequence) is solved by column generation: knapsack dynamic programming prices new patterns with the dual values.
 Patterns are rounded down, the few pieces left over are packed best fit first, and documents, ranked within their class, are dealt
-to the patterns by ranges of ranks, all of it in Spark.
+to the patterns by ranges of ranks, all of it in Spark. Short pieces, which would suffer from the rounding of lengths, are strung into
+bundles first, and a bundle is one item of the program.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from rankforge.llm.common import materialise, piece_encoder, text_batches
 END_ID, UNIT = 1, 8
 #: Rows that one task ranks at once, roughly.
 RANK_ROWS = 4000
+#: Shares of a sequence: pieces up to 1/SHORT are bundled, a bundle is closed at 1/BUNDLE.
+SHORT, BUNDLE = 32, 4
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,13 +133,20 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...), so that no sequence holds more than `length` tokens.
 
     Sequences are numbered from 0 without gaps, pieces stand in them without gaps from 0. Pieces of equal length are
-    interchangeable, so a hot length is split over buckets of rows and needs no task of its own. An empty table gives no rows.
+    interchangeable, so a hot length is split over buckets of rows and needs no task of its own. Rows with null ids and repeated rows
+    are pieces as all others are. An empty table gives no rows.
     """
-    capacity = length // UNIT
-    items = pieces.withColumn("_class", F.ceil(F.col("length") / UNIT).cast("int"))
+    capacity, spark = length // UNIT, pieces.sparkSession
+    buckets = max(1, -(-pieces.count() // RANK_ROWS))
+    ties = [F.col(c) for c in pieces.columns if c not in ("doc_id", "start", "ids")]
+    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    strung = Window.partitionBy("_bucket").orderBy("doc_id", "start", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    short = rows.where(F.col("length") <= length // SHORT).withColumn("_upto", F.sum("length").over(strung))
+    short = short.withColumn("_bundle", F.floor((F.col("_upto") - F.col("length")) / (length // BUNDLE)))
+    bundles = short.groupBy("_bucket", "_bundle").agg(F.sum("length").alias("length"))
+    items = rows.where(F.col("length") > length // SHORT).unionByName(bundles, allowMissingColumns=True)
+    items = items.withColumn("_class", F.ceil(F.col("length") / UNIT).cast("int"))
     demand = {r["_class"]: r["count"] for r in items.groupBy("_class").count().collect()}
-    spark, total = pieces.sparkSession, sum(demand.values())
-    buckets = max(1, -(-total // RANK_ROWS))
     deal, ranks, sequence = [], dict.fromkeys(demand, 0), 0
     for pattern, times in solve(demand, capacity):
         for slot, (c, n) in enumerate(sorted(pattern.items(), reverse=True)):
@@ -146,26 +156,35 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     assert ranks == demand, "every piece has a place"
     # At most one row a class and pattern, however many documents there are.
     table = spark.createDataFrame(deal, "_class int, _from long, _to long, _first long, _times long, _slot int")
-    items = items.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = items.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ties = [F.col(c) for c in pieces.columns if c not in ("doc_id", "start", "ids")]
-    within = Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", *ties)
+    within = Window.partitionBy("_class", "_bucket").orderBy("_bundle", "doc_id", "start", *ties)
     ranked = items.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["_class", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     dealt = ranked.join(F.broadcast(table), "_class").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     dealt = dealt.withColumn("sequence_id", F.col("_first") + (F.col("_rank") - F.col("_from")) % F.col("_times"))
-    earlier = Window.partitionBy("sequence_id").orderBy("_slot", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    about = ["sequence_id", "_slot", "_rank"]
+    alone = dealt.where("_bundle is null").select(*pieces.columns, *about, F.lit(0).cast("long").alias("_upto"))
+    places = dealt.where("_bundle is not null").select("_bucket", "_bundle", *about)
+    dealt = alone.unionByName(short.join(places, ["_bucket", "_bundle"]).select(*pieces.columns, *about, "_upto"))
+    earlier = Window.partitionBy("sequence_id").orderBy("_slot", "_rank", "_upto").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(pieces with their ids, placements without them) of all documents; ids are written once, to the shared folder."""
-    pieces = materialise(cut_pieces(docs, tokenizer, length), "pieces")
-    return pieces, pack(pieces.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32")), length)
+    """(pieces with their ids, placements without them) of all documents; ids are written once, to the shared folder.
+
+    Null texts are empty documents of the end id alone; rows with null ids and repeated rows are packed each, told apart by piece_id;
+    other columns are ignored; an empty table gives no rows.
+    """
+    pieces = materialise(cut_pieces(docs, tokenizer, length).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
+    return pieces, pack(pieces.select("piece_id", "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32")), length)
 
 
 def fill_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """(sequence_id, n_tokens, ids binary) of whole sequences, joined from pieces and their placements."""
-    rows = placed.select("doc_id", "start", "sequence_id", "offset").join(pieces.select("doc_id", "start", "ids"), ["doc_id", "start"])
+    """(sequence_id, n_tokens, ids binary) of whole sequences, joined from pieces and their placements by piece_id.
+
+    Pieces of null and repeated ids each keep their place; no pieces, no rows.
+    """
+    rows = placed.select("piece_id", "sequence_id", "offset").join(pieces.select("piece_id", "ids"), "piece_id")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return rows.groupBy("sequence_id").agg(parts.alias("_p")).select("sequence_id", F.aggregate("_p", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["ids"])).alias("ids")).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import fresh_path, piece_encoder, text_batches
+from rankforge.llm.common import fresh_path, materialise, piece_encoder, text_batches
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
+#: A content is hot if more than one in HOT rows have it; so at most HOT contents are, and their counts may be broadcast.
+HOT = 1000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -57,7 +59,26 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, drops_space: bool,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.start, len(counts)), pa.array([version] * len(counts)), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return keyed.join(read_cache(spark, cache, version), "content_digest").select(id_col, "n_bytes", "n_tokens")
+    known = read_cache(spark, cache, version)
+    return spread_join(keyed, known, hot_contents(keyed.select("content_digest"), HOT), id_col).select(id_col, "n_bytes", "n_tokens")
+
+
+def hot_contents(keyed: DataFrame, hot: int) -> DataFrame:
+    """(content_digest): what more than one in `hot` rows have, at most `hot` contents."""
+    sizes = materialise(keyed.groupBy("content_digest").agg(F.count(F.lit(1)).alias("rows")), "content-sizes")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    return sizes.where(F.col("rows") > max(1, total // hot)).select("content_digest")
+
+
+def spread_join(keyed: DataFrame, known: DataFrame, hot: DataFrame, id_col: str) -> DataFrame:
+    """keyed with n_tokens of known (content_digest, n_tokens): hot contents take it from a broadcast, and their rows are dealt by id."""
+    # At most HOT rows.
+    counts = F.broadcast(known.join(F.broadcast(hot), "content_digest").withColumnRenamed("n_tokens", "_hot"))
+    rows = keyed.join(counts, "content_digest", "left")
+    # Longer than any digest, so it meets none.
+    apart = F.concat("content_digest", F.unhex(F.hex(F.xxhash64(id_col, "n_bytes"))))
+    rows = rows.withColumn("content_digest", F.when(F.col("_hot").isNull(), F.col("content_digest")).otherwise(apart))
+    return rows.join(known, "content_digest", "left").withColumn("n_tokens", F.coalesce("_hot", "n_tokens"))
 
 
 def fresh_cache(spark: SparkSession) -> str:

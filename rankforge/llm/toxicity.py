@@ -265,13 +265,17 @@ def fold(doc_id: Column, folds: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), from folds 1 to 4 of 5 and a bounded sample of them.
 
-    Terms are learned from folds 1 and 2, the weights of what clauses emit from folds 3 and 4, so neither flatters the other.
+    Terms are learned from folds 1 and 2, the weights of what clauses emit from folds 3 and 4, so neither flatters the other. Null ids
+    and null labels teach nothing; of repeated ids the highest label and the last text in order count; without labels of both kinds the
+    weights are fixed ones.
     """
     marks = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, SAMPLE_DOCS / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     # At most SAMPLE_DOCS labels, about: a bounded broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    # One row an id, so that the bound on labels is one on rows.
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))
     lexicon = learned_terms(rows.where(fold(F.col("doc_id"), 5).isin(1, 2)))
     seen = measured(rows.where(fold(F.col("doc_id"), 5).isin(3, 4)), lexicon, None, "toxic").toPandas()
     x = np.array(seen["features"].tolist(), float).reshape(len(seen), FEATURES)

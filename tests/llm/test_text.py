@@ -193,6 +193,23 @@ def test_imatch(spark):
     assert near > 0.85
 
 
+def test_imatch_ids_far_apart(spark, monkeypatch):
+    """One far id puts all others into one range of ids; it is divided until buckets are small, and nothing else changes."""
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [(i, " ".join(words[(i * k) % 10] for k in range(1, 2 + i % 9))) for i in range(600)] + [(2**62 + 5, "far away"), (-(2**63), "far below")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, imatch.imatch(docs).collect()))
+    monkeypatch.setattr(imatch, "BUCKET", 20)
+    ids, span = docs.select("doc_id"), 1 << 60
+    divided = imatch.divisions(ids, len(rows), span)
+    assert [w for _, w in divided] == [1 << 50, 1 << 40, 1 << 30, 1 << 20, 1 << 10, 1]
+    assert imatch.with_buckets(ids, span, divided).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 80
+    assert sorted(map(tuple, imatch.imatch(docs).collect())) == want and len(want) == 602
+    nexts = {r.doc_id: r.next_text for r in imatch.with_next(docs).where("ghost = 0").collect()}
+    ordered = sorted(rows)
+    assert nexts == {a[0]: b[1] for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+
+
 def test_imatch_edges(spark):
     rows = [(5, None, 1), (9, "a b c", 2), (1, "a b c", 3), (9, "z", 4), (None, "q r s t", 5), (10**15, "é" * 7, 6)]
     got = imatch.imatch(spark.createDataFrame(rows, "doc_id long, text string, fingerprint int")).collect()

@@ -109,8 +109,10 @@ def test_packing(spark, docs, none):
         assert at <= 64
     assert sum(r.length for r in rows if r.doc_id is not None) == sum(len(w) + 1 for w in want) + len(want[3]) + 1
     assert packing.pack_documents(none, tokenizer_path("byte_bpe_50k.json"), 64)[1].count() == 0
-    whole = {r.sequence_id: r for r in packing.fill_sequences(pieces.where("doc_id in (0, 7)"), placed.where("doc_id in (0, 7)")).collect()}
-    assert all(len(r.ids) == 4 * r.n_tokens for r in whole.values())
+    whole = {r.sequence_id: r.ids for r in packing.fill_sequences(pieces, placed).collect()}
+    assert {s: len(ids) for s, ids in whole.items()} == {s: 4 * sum(p.length for p in parts) for s, parts in by_sequence.items()}
+    for r in rows:
+        assert zlib.crc32(whole[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32
 
 
 def test_patterns_are_near_the_bound():
@@ -126,6 +128,36 @@ def test_patterns_are_near_the_bound():
     assert sum(t for _, t in patterns) <= 1.02 * least + 2
 
 
+def test_short_documents(spark, none):
+    """Pieces of one token fill sequences to the last place, and stand in whole ones beside long pieces."""
+    rows = spark.range(5000).selectExpr("id as doc_id", "0L as start", "1L as length", "1L as doc_tokens", "1L as ids_crc32")
+    placed = packing.pack(rows).collect()
+    assert len(placed) == 5000 and len({(r.sequence_id, r.offset) for r in placed}) == 5000
+    assert {r.sequence_id for r in placed} == {0, 1, 2}
+    mixed = spark.range(3000).selectExpr("id as doc_id", "0L as start", "1 + pmod(id * 37, 500) as length", "1L as doc_tokens", "1L as ids_crc32").cache()
+    got = packing.pack(mixed).collect()
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    total = mixed.agg({"length": "sum"}).first()[0]
+    assert len(got) == 3000 and max(filled.values()) <= 2048 and sum(filled.values()) == total
+    assert len(filled) <= 1.02 * total / 2048 + 1
+
+
+def test_hot_content(spark):
+    """A text that a third of the rows have is counted once and reaches every row, also those with null ids."""
+    rows = [(i if i % 5 else None, "the same words" if i % 3 == 0 else f"text {i}", "clash") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content_digest string")
+    tokenizer = tokenizer_path("word_bpe_49k.json")
+    got = token_counts.count_tokens(docs, tokenizer, token_counts.fresh_cache(spark), drops_space=True).collect()
+    tok = Tokenizer.from_file(tokenizer)
+    want = sorted((-1 if i is None else i, len(t), len(tok.encode(t, add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+    digests = docs.selectExpr("unhex(sha2(text, 256)) as content_digest")
+    assert token_counts.hot_contents(digests, 1000).count() == 1
+
+
 def test_hot_length(spark):
     pieces = spark.range(9000).selectExpr("id as doc_id", "0L as start", "40L as length", "40L as doc_tokens", "1L as ids_crc32")
     placed = packing.pack(pieces, 128)
