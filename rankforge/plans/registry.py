@@ -551,4 +551,4 @@ def repository_roundtrip(spark, d):
 
 
 # Further queries register themselves here.
-from rankforge.plans import boards, fitted, names, sourced, tables  # noqa: E402, F401
+from rankforge.plans import boards, fitted, names, repositories, sourced, tables  # noqa: E402, F401
