@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     strung = Window.partitionBy("_bucket").orderBy("doc_id", "start", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     short = rows.where(F.col("length") <= length // SHORT).withColumn("_upto", F.sum("length").over(strung))
-    short = short.withColumn("_bundle", F.floor((F.col("_upto") - F.col("length")) / (length // BUNDLE)))
+    short = materialise(short.withColumn("_bundle", F.floor((F.col("_upto") - F.col("length")) / (length // BUNDLE))), "short-pieces")
     bundles = short.groupBy("_bucket", "_bundle").agg(F.sum("length").alias("length"))
     items = rows.where(F.col("length") > length // SHORT).unionByName(bundles, allowMissingColumns=True)
     items = items.withColumn("_class", F.ceil(F.col("length") / UNIT).cast("int"))
