@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.sources.stored import BATCH_ROWS, bounded_batches  # noqa: F401
+
 
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizers package keeps a vocabulary file."""
@@ -173,17 +175,6 @@ def own_worker(name: str) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows of an Arrow batch that hold whole texts.
-BATCH_ROWS = 500
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on the session sends Python at most BATCH_ROWS rows at a time, so a worker holds little of its partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:
     """Slices of a batch that hold a bounded number of characters each (a longer text is a slice of its own)."""
     start, held = 0, 0
