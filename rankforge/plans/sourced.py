@@ -59,9 +59,9 @@ TURN = ["conv_id", "turn"]
   idfs AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations))) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY 1)""")
 def text_term_weights(spark, d):
     rows = table(spark, d, "conversations")
-    counts = text_statistics.term_counts(rows, TURN, "text")
-    texts = rows.select(*TURN).distinct().count()
-    return text_statistics.term_weights(counts, text_statistics.inverse_frequencies(counts, TURN, texts), TURN)
+    bags, texts = text_statistics.tallies(rows, TURN, "text")
+    frequencies = text_statistics.inverse_frequencies(text_statistics.counts_of(bags, TURN), TURN, texts)
+    return text_statistics.bag_weights(bags, stored(frequencies, "inverse-frequencies"), TURN)
 
 
 @query()

@@ -4,12 +4,39 @@ import numpy as np
 import pytest
 
 from rankforge.functions import text_statistics
+from rankforge.plans import sourced
+
+ROWS = [(1, 0, "spark Joins spark"), (1, 1, None), (2, 0, "a skewed key"), (2, 0, "a b"), (2, 0, "a b"), (None, 3, "no key"), (None, 3, "key"), (4, None, "naïve"), (5, 5, " "), (6, 6, "spark")]
 
 
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
 
+def conversations(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_weights_of_repeated_and_null_keys(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from rankforge.plans import registry
+
+    d = conversations(spark, tmp_path, ROWS)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet/*.parquet'")
+    want = {r[:3]: r[3] for r in duck.execute("SELECT conv_id, turn, term, weight FROM (" + registry.ORACLE_SQL["text_term_weights"] + ")").fetchall()}
+    for most in (text_statistics.MOST_TERMS, 0):
+        monkeypatch.setattr(text_statistics, "MOST_TERMS", most)
+        got = sourced.text_term_weights(spark, d).collect()
+        assert len(got) == len(want) and {tuple(r[:3]): r.weight for r in got} == pytest.approx(want)
+
+
+def test_weights_are_not_shuffled(spark, tmp_path):
+    d = conversations(spark, tmp_path, [(i, 0, f"text {i} of some words") for i in range(50)])
+    assert exchanges(sourced.text_term_weights(spark, d)) == 0
+
+
 def test_rounds_send_a_term_once_a_task(spark):
     rows = spark.createDataFrame([(i, "the same few words") for i in range(400)], "id int, text string").repartition(4)
     bags, texts = text_statistics.tallies(rows, ["id"], "text")
