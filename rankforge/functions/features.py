@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rankforge.sources.stored import bounded_batches
+
 
 def group_features(rows: DataFrame, key: str, value: str, category: str, order: str) -> DataFrame:
     """(key, value_mean, value_std, value_min, value_max, value_last, category_count, category_nunique): one row a group.
@@ -29,19 +31,21 @@ def calendar(rows: DataFrame, ts: str, key: str) -> DataFrame:
     return rows.select(key, *[f(t).cast("int").alias(n) for f, n in ((F.year, "year"), (F.month, "month"), (F.dayofmonth, "day"))], F.weekday(t).cast("int").alias("weekday"), F.hour(t).cast("int").alias("hour"), F.minute(t).cast("int").alias("minute"))
 
 
-@F.pandas_udf(StringType())
-def compatible(text: pd.Series) -> pd.Series:
-    """Unicode normal form KC, which no built-in function gives."""
-    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@F.arrow_udf(StringType())
+def compatible(text: pa.Array) -> pa.Array:
+    """Unicode normal form KC, which no built-in function gives; texts are taken one by one."""
+    return pa.array((unicodedata.normalize("NFKC", x.as_py()) if x.is_valid else None for x in text), pa.string(), size=len(text))
 
 
 def clean_text(rows: DataFrame, text: str, key: str, missing: str = "Missing Data") -> DataFrame:
     """(key, clean): form KC, no control characters, trimmed, runs of white space as one space, lower case; nulls are `missing`.
 
-    Texts of printable ASCII are in form KC as they are; only others go to Python.
+    Texts of ASCII are in form KC as they are; only others go to Python, a few hundred at a time.
     """
+    bounded_batches(rows.sparkSession)
     t = F.coalesce(F.col(text), F.lit(missing))
-    whole = F.when(t.rlike(r"[^\x00-\x7F]"), compatible(t)).otherwise(t)
+    # A function of Python sees all rows whatever stands around it, so what needn't go there is null to it.
+    whole = F.coalesce(compatible(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
     plain = F.regexp_replace(whole, r"[\x00-\x08\x0e-\x1f\x7f]", "")
     spaced = F.regexp_replace(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
     return rows.select(key, F.lower(spaced).alias("clean"))
