@@ -135,17 +135,31 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
         parts = [self.pieces(t) if t else [] for t in texts]
         odd = [i for i, p in enumerate(parts) if p is None]
-        table, seen = self.table, set().union(*(p for p in parts if p))
+        parts = [self.pieces(t) if t else [] for t in texts]
+        odd = [i for i, p in enumerate(parts) if p is None]
+        table = self.table
         if len(table) > self.most:
             # What occurs just now are mostly the frequent pieces; they stay.
+            seen = set().union(*(p for p in parts if p))
             table = self.table = {p: table[p] for p in seen if p in table}
-        new = list(seen.difference(table))
-        if new:
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                table.update(zip(some, self.fresh([s.decode("utf-8", "surrogatepass") if self.drops_space else s for s in some]), strict=True))
-        get = table.__getitem__
-        out = [b"".join(map(get, p)) if p else b"" for p in parts]
+        get, out, gaps, new = table.get, [], [], set()
+        for i, p in enumerate(parts):
+            try:
+                out.append(b"".join(map(get, p)) if p else b"")
+            except TypeError:  # a piece isn't in the table yet
+                found = list(map(get, p))
+                holes = [j for j, x in enumerate(found) if x is None]
+                new.update([p[j] for j in holes])
+                gaps.append((i, found, holes))
+                out.append(b"")
+        fresh = list(new)
+        for k in range(0, len(fresh), 20_000):
+            some = fresh[k : k + 20_000]
+            table.update(zip(some, self.fresh([s.decode("utf-8", "surrogatepass") if self.drops_space else s for s in some]), strict=True))
+        for i, found, holes in gaps:
+            for j in holes:
+                found[j] = table[parts[i][j]]
+            out[i] = b"".join(found)
         if odd:
             for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
                 out[i] = ids

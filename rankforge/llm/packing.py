@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import materialise, piece_encoder, text_batches
+from rankforge.llm.common import bounded_batches, materialise, own_worker, piece_encoder, text_batches
 
 END_ID, UNIT = 1, 8
 #: Rows that one task ranks at once, roughly.
@@ -34,6 +34,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("packing")
         encoder, end, step = piece_encoder(tokenizer), END_ID.to_bytes(4, "little"), 4 * length
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -48,21 +49,23 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str
                         total.append(len(x) // 4)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The pattern of the highest value, by dynamic programming over the filled capacity; pieces may repeat."""
+    """The pattern of the highest value, by dynamic programming over the filled capacity; pieces may repeat. sizes ascend."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for w in range(1, capacity + 1):
-        fits = sizes <= w
-        gain = np.where(fits, best[np.where(fits, w - sizes, 0)] + value, -1.0)
-        k = int(gain.argmax())
-        if gain[k] > best[w - 1] + 1e-12:
-            best[w], took[w] = gain[k], k
-        else:
-            best[w] = best[w - 1]
+        n = fitting[w]
+        best[w] = best[w - 1]
+        if n:
+            gain = best[w - sizes[:n]] + value[:n]
+            k = int(gain.argmax())
+            if gain[k] > best[w] + 1e-12:
+                best[w], took[w] = gain[k], k
     pattern, w = Counter(), capacity
     while w > 0:
         if took[w] < 0:
