@@ -5,11 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import re
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
+from operator import attrgetter
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +60,14 @@ PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
 
 #: Pieces whose parts the pre-tokenizers are sure to cut here: letters of Latin-1, then a run of plain punctuation.
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: The same for keys of tables, with any ASCII punctuation but the apostrophe and the <.
+PLAIN_KEY = re.compile(r"([ \0]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
+MORE_THAN_LINES = re.compile(r"\n\n(?:\s|$)")
+#: Before a word that no blank stands before, in keys of a byte-level table.
+BARE = "\0"
 
 
+ID = attrgetter("id")
 FORMATS = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
@@ -69,100 +78,112 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class OddPieceError(Exception):
+    """A key whose text cannot be cut at its blanks."""
+
+
+class PieceTable(dict):
+    """Ids by piece, made when a piece is first looked up, or taken over from an earlier table."""
+
+    def __init__(self, make: Callable[[Any], bytes], earlier: dict):
+        super().__init__()
+        self.make, self.earlier = make, earlier
+
+    def __missing__(self, piece: Any) -> bytes:
+        ids = self.earlier.pop(piece, None)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
-    """Token ids of whole texts by the tokenizers library, which sees each distinct piece once per worker.
+    """Token ids of whole texts by the tokenizers library, which sees each distinct piece about once per worker.
 
     The two pre-tokenizers never match across the piece boundaries used here, so the ids of a text are those of its pieces
-    in order. Texts with special strings, or rare white space that matters, go to the library whole. The memory is bounded: when the
-    table of pieces has more than `most` entries, only those of the texts at hand stay.
+    in order. Texts with special strings, or rare white space that matters, go to the library whole. The memory is bounded: a table of
+    half of `most` pieces (and those of one text) gives way to a new one, which takes over what is met again before it is full itself.
+
+    Byte-level texts are cut at blanks and line feeds. A key is a word after a blank, BARE and a word after none, or a line feed. Where
+    a key is empty or holds other white space, runs of white space have to be looked at, which `PIECES` does.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
+        # The library's threads would only compete with Spark's tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most = most
-        self.table: dict = {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         assert all("<" in a for a in added), "special strings are looked for behind a <"
         #: With a white-space-dropping normaliser the pieces are plain runs between ASCII white space.
         self.drops_space = "Replace" in str(self.tok.normalizer or "")
-        self.bytes = byte_alphabet()
-        self.tails: dict[str, bytes] = {"": b""}
+        shown = byte_alphabet()
+        self.blank = {" ": shown[32]}
+        #: Letters beyond ASCII that PLAIN_KEY has, as byte-level vocabularies write them.
+        self.letters = {i: "".join(shown[b] for b in chr(i).encode()) for i in range(192, 256)}
+        self.tails: dict[str, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
+        self.half, self.table = max(1, most // 2), PieceTable(self.of_bytes if self.drops_space else self.of_key, {})
 
     def model_ids(self, symbols: str) -> bytes:
-        if not symbols.isascii():
-            symbols = symbols.encode().decode("latin-1").translate(self.bytes)
-        elif symbols[:1] == " ":
-            symbols = self.bytes[32] + symbols[1:]
-        ids = [t.id for t in self.tok.model.tokenize(symbols)]
+        ids = self.tokenize(symbols if symbols.isascii() else symbols.translate(self.letters))
         n = len(ids)
-        return (FORMATS[n] if n < len(FORMATS) else struct.Struct(f"<{n}I")).pack(*ids)
-
-    def fresh(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are not in the table. Plain ones go straight to the library's model, which is faster."""
-        out: list = [None] * len(pieces)
-        odd = []
-        for i, p in enumerate(pieces):
-            m = PLAIN.fullmatch(p)
-            if m is None:
-                odd.append(i)
-                continue
-            word, tail = m.groups()
-            if tail not in self.tails:
-                self.tails[tail] = self.model_ids(tail)
-                if len(self.tails) > 10_000:
-                    self.tails = {"": b"", tail: self.tails[tail]}
-            out[i] = self.model_ids(word.lower() if self.drops_space else word) + self.tails[tail]
-        for i, ids in zip(odd, self.whole([pieces[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        return (FORMATS[n] if n < len(FORMATS) else struct.Struct(f"<{n}I")).pack(*map(ID, ids))
+
+    def of_plain(self, blank: str, word: str, tail: str) -> bytes:
+        """Plain pieces go straight to the library's model, which is faster."""
+        ids = self.model_ids(self.blank.get(blank, "") + (word.lower() if self.drops_space else word))
+        if not tail:
+            return ids
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.model_ids(tail)
+        return ids + self.tails[tail]
+
+    def of_piece(self, piece: str) -> bytes:
+        m = PLAIN_KEY.fullmatch(piece)
+        return self.of_plain(*m.groups()) if m and piece[:1] != BARE else self.whole([piece])[0]
+
+    def of_bytes(self, piece: bytes) -> bytes:
+        return self.of_piece(piece.decode("utf-8", "surrogatepass"))
+
+    def of_key(self, key: str) -> bytes:
+        if m := PLAIN_KEY.fullmatch(key):
+            return self.of_plain(m[1] or " ", m[2], m[3])
+        if key == BARE:
+            return b""
+        word = key[1:] if key[:1] == BARE else key
+        if key != "\n" and (word.split() != [word] or ODD_SPACE.search(word)):
+            raise OddPieceError
+        return self.whole([word if word != key or key == "\n" else f" {key}"])[0]
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list | None:
+    def text_ids(self, text: str) -> bytes:
         if self.special and "<" in text and self.special.search(text):
-            return None
+            return self.whole([text])[0]
         if self.drops_space:
-            return text.encode("utf-8", "surrogatepass").split()
-        return None if ODD_SPACE.search(text) else PIECES.findall(text)
+            return b"".join(map(self.table.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+        # Of two line feeds before a word each is a piece; in longer white space, and at the end, the two are one.
+        if BARE not in text and ("\n\n" not in text or not MORE_THAN_LINES.search(text)):
+            with contextlib.suppress(OddPieceError):
+                return b"".join(map(self.table.__getitem__, (BARE + text.replace("\n", f" \n {BARE}")).split(" ")))
+        return self.whole([text])[0] if ODD_SPACE.search(text) else b"".join(map(self.of_piece, PIECES.findall(text)))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
-        parts = [self.pieces(t) if t else [] for t in texts]
-        odd = [i for i, p in enumerate(parts) if p is None]
-        parts = [self.pieces(t) if t else [] for t in texts]
-        odd = [i for i, p in enumerate(parts) if p is None]
-        table = self.table
-        if len(table) > self.most:
-            # What occurs just now are mostly the frequent pieces; they stay.
-            seen = set().union(*(p for p in parts if p))
-            table = self.table = {p: table[p] for p in seen if p in table}
-        get, out, gaps, new = table.get, [], [], set()
-        for i, p in enumerate(parts):
-            try:
-                out.append(b"".join(map(get, p)) if p else b"")
-            except TypeError:  # a piece isn't in the table yet
-                found = list(map(get, p))
-                holes = [j for j, x in enumerate(found) if x is None]
-                new.update([p[j] for j in holes])
-                gaps.append((i, found, holes))
-                out.append(b"")
-        fresh = list(new)
-        for k in range(0, len(fresh), 20_000):
-            some = fresh[k : k + 20_000]
-            table.update(zip(some, self.fresh([s.decode("utf-8", "surrogatepass") if self.drops_space else s for s in some]), strict=True))
-        for i, found, holes in gaps:
-            for j in holes:
-                found[j] = table[parts[i][j]]
-            out[i] = b"".join(found)
-        if odd:
-            for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-                out[i] = ids
+        out = []
+        for t in texts:
+            if len(self.table) >= self.half:
+                self.table.earlier = {}
+                self.table = PieceTable(self.table.make, self.table)
+            out.append(self.text_ids(t) if t else b"")
         return out
 
 

@@ -1,8 +1,10 @@
 """Packing: what a worker is sent at once, and patterns against brute force."""
 
+import random
 from itertools import product
 
 import numpy as np
+import pytest
 
 from rankforge.llm import packing
 from rankforge.llm.common import PieceEncoder, tokenizer_path
@@ -32,3 +34,22 @@ def test_encoder_meets_new_pieces_between_known_ones():
     encoder.encode(["known words"])
     texts = ["known newly words newly", None, "", "words <|endoftext|> é x"]
     assert encoder.encode(texts) == [encoder.whole([t])[0] if t else b"" for t in texts]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("most", [2, 40, 1_000_000])
+def test_encoder_cuts_at_blanks_and_line_feeds_like_the_library(name, most):
+    encoder, rng = PieceEncoder(tokenizer_path(name), most), random.Random(5)
+    parts = [" ", " ", " ", "\n", "\n", "  ", "\t", "\r", "\x0b", "\x00", "\x1c", "\x85", "\xa0", "\u200b", "\u180e", "a", "Word", "naïve", "ÿÀ", "'s", "it's", "x***", "&&&", "%'ll", "12", "<", "<|endoftext|>", "漢", "ª", "e\u0301", "-_-", "~", "/b"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(20000)]
+    assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_encoder_splits_a_text_once_and_keeps_a_bounded_table():
+    encoder, found = PieceEncoder(tokenizer_path("byte_bpe_50k.json"), 200), []
+    make = encoder.table.make
+    encoder.table.make = lambda key: found.append(key) or make(key)
+    texts = [f"often {i:b}".translate({48: "o", 49: "i"}) + " word" for i in range(2000)]
+    encoder.encode(texts)
+    assert len(encoder.table) + len(encoder.table.earlier) <= 220
+    assert len(found) == len(set(found)) == 2000 + 2, "what is met again stays while the table turns over"
