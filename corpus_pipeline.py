@@ -29,8 +29,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows in sequences. Null texts are empty documents of one token; null ids and repeated rows are packed each; an
-    empty table gives no rows."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))[1]
+    empty table gives no rows. Executors are full from the join before, so workers keep nothing between tasks."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), lasting=False)[1]
 
 
 STAGES = [("toxicity", without_toxic), ("language ID", recognised), ("n-gram Jaccard join", without_copies), ("packing", packed)]

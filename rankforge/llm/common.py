@@ -176,6 +176,9 @@ class PieceEncoder:
                 return b"".join(map(self.table.__getitem__, (BARE + text.replace("\n", f" \n {BARE}")).split(" ")))
         return self.whole([text])[0] if ODD_SPACE.search(text) else b"".join(map(self.of_piece, PIECES.findall(text)))
 
+    def forget(self) -> None:
+        self.table = PieceTable(self.table.make, {})
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text counts as empty."""
         out = []
@@ -188,9 +191,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, most: int = 1_000_000) -> PieceEncoder:
     """One encoder a Python worker; it lives as long as the worker does."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, most)
 
 
 OWNER = [""]
@@ -204,10 +207,15 @@ def own_worker(name: str) -> None:
         OWNER[0] = name
         for clear in CACHES:
             clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns what this Python worker has freed to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_batches(texts: Sequence[str | None], most_chars: int = 4_000_000) -> Iterable[slice]:

@@ -18,24 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import bounded_batches, materialise, own_worker, piece_encoder, text_batches
+from rankforge.llm.common import bounded_batches, give_back, materialise, own_worker, piece_encoder, text_batches
 
 END_ID, UNIT = 1, 8
 #: Rows that one task ranks at once, roughly.
 RANK_ROWS = 4000
 #: Shares of a sequence: pieces up to 1/SHORT are bundled, a bundle is closed at 1/BUNDLE.
 SHORT, BUNDLE = 32, 4
+#: Encoded words that a worker holds where its table isn't lasting.
+FEW_WORDS = 200_000
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", lasting: bool = True) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids binary) of every piece: a document's ids and the end id, cut at multiples of `length`.
 
     Null texts are empty: one piece of the end id alone. Null ids and repeated rows stay as they are; other columns are ignored.
+    A worker's table of encoded words is lasting, or it is smaller and goes as a task ends: that takes more time, but idle workers then
+    leave their memory to the steps that follow. The rows are the same.
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("packing")
-        encoder, end, step = piece_encoder(tokenizer), END_ID.to_bytes(4, "little"), 4 * length
+        encoder = piece_encoder(tokenizer) if lasting else piece_encoder(tokenizer, FEW_WORDS)
+        end, step = END_ID.to_bytes(4, "little"), 4 * length
         for b in batches:
             texts = b.column(1).to_pylist()
             for part in text_batches(texts, 2_000_000):
@@ -48,6 +53,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str
                         ids.append(x[k : k + step])
                         total.append(len(x) // 4)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+        if not lasting:
+            encoder.forget()
+            give_back()
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -173,13 +181,13 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048) -> tuple[DataFrame, DataFrame]:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, lasting: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pieces with their ids, placements without them) of all documents; ids are written once, to the shared folder.
 
     Null texts are empty documents of the end id alone; rows with null ids and repeated rows are packed each, told apart by piece_id;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows. lasting is that of cut_pieces.
     """
-    pieces = materialise(cut_pieces(docs, tokenizer, length).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
+    pieces = materialise(cut_pieces(docs, tokenizer, length, lasting=lasting).withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
     return pieces, pack(pieces.select("piece_id", "doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32")), length)
 
 

@@ -4,10 +4,11 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankforge.llm import packing
-from rankforge.llm.common import PieceEncoder, tokenizer_path
+from rankforge.llm.common import PieceEncoder, own_worker, tokenizer_path
 
 
 def test_small_batches(spark):
@@ -53,3 +54,27 @@ def test_encoder_splits_a_text_once_and_keeps_a_bounded_table():
     encoder.encode(texts)
     assert len(encoder.table) + len(encoder.table.earlier) <= 220
     assert len(found) == len(set(found)) == 2000 + 2, "what is met again stays while the table turns over"
+
+
+def held_words(spark):
+    """The most words that a Python worker's encoders hold, as far as idle workers take up the tasks."""
+
+    def count(batches):
+        import gc
+
+        for b in batches:
+            n = sum(len(o.table) + len(o.table.earlier) for o in gc.get_objects() if type(o).__name__ == "PieceEncoder")
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    return spark.range(0, 64, 1, 16).mapInArrow(count, "n long").agg({"n": "max"}).first()[0]
+
+
+def test_words_go_as_a_task_ends(spark):
+    docs = spark.createDataFrame([(i, f"some word{chr(97 + i % 26)} of {i}\n\nand more") for i in range(200)], "doc_id long, text string").repartition(4)
+    path = tokenizer_path("byte_bpe_50k.json")
+    kept = sorted(packing.cut_pieces(docs, path).collect())
+    assert held_words(spark) > 0
+    spark.range(0, 64, 1, 16).mapInArrow(lambda batches: (own_worker("another") or b for b in batches), "id long").count()
+    assert held_words(spark) == 0
+    assert sorted(packing.cut_pieces(docs, path, lasting=False).collect()) == kept
+    assert held_words(spark) == 0
