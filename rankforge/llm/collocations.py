@@ -1,9 +1,11 @@
-"""Phrase collocation mining with pivot partitions.
-
-Every phrase belongs to its rarest word, the pivot. Each occurrence of a word that is frequent enough sends the fragment around it to
-that word's partition: the neighbours that are more frequent, as far as a phrase can reach and no pair of neighbours is rare. Phrases are
-counted there, locally, and only those that the pivot owns: those that hold no rarer word, counted at the pivot's first occurrence in
-them. The fragments of hot pivots are dealt to several partitions, and their counts are added up afterwards.
+"""Phrase collocation mining with pivot partitions, in two rounds.
+
+Every phrase belongs to its rarest word, the pivot. In the first round each pair of neighbours goes to the partition of its rarer word and
+is counted there. Hashed counters of runs of three words, of those that hold no rare pair, then tell which of these may be frequent. In the
+second round each occurrence of a word that is frequent enough sends the fragment around it to that word's partition: the neighbours that
+are more frequent, as far as a phrase can reach and no pair or run of three is rare. Phrases are counted there, locally, and only those
+that the pivot owns: those that hold no rarer word, counted at the pivot's first occurrence in them. The fragments of hot pivots are dealt
+to several partitions, and their counts are added up afterwards.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"...
 MOST_WORDS = 200_000
 #: Occurrences of a pivot that one partition gets, about.
 PIVOT_ROWS = 200_000
-#: Frequent pairs of neighbouring words are marked in two to that power bits (15 at least).
+#: Frequent pairs of neighbouring words are marked in two to that power bits (15 at least), frequent runs of three in as many.
 SLOT_BITS = 27
+#: Blocks that the counters of runs of three are added up in.
+BLOCK_BITS = 10
 #: Distinct words or fragments that a task holds before it sends them on.
 HELD = 300_000
 #: The mark of a word that the broadcast order lacks, and the first place behind all that it has.
@@ -102,6 +106,10 @@ class Places:
     def __init__(self, known: dict[str, dict[bytes, int]], least: int | None, pivot_rows: int):
         self.known, self.least, self.pivot_rows = known, least, pivot_rows
         self.orders: dict[str, dict[bytes, int]] = {}
+        #: Words that languages before this one have, and words of all; one at least.
+        sizes = [len(known[lang]) for lang in sorted(known)]
+        self.before = dict(zip(sorted(known), np.cumsum([0, *sizes]).tolist(), strict=False))
+        self.size = max(1, sum(sizes))
 
     def order(self, lang: str) -> dict[bytes, int]:
         if lang not in self.orders:
@@ -131,21 +139,51 @@ def joined_tokens(texts: list[str]) -> list[bytes]:
     return toks
 
 
-def pairs(lang: str, at: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each place and the next one."""
+def pairs(places: Places, lang: str, at: np.ndarray) -> np.ndarray:
+    """A number for each place and the next one. Where the order has both words it tells the pivot, the other word and which comes first;
+    else it is negative, and a checksum."""
     ids = at.view(np.uint64)
     out = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:] + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    hashed = ((out ^ (out >> np.uint64(29))) | np.uint64(1 << 63)).view(np.int64)
+    first, second = at[:-1], at[1:]
+    pivot, other = (np.maximum(first, second) + places.before.get(lang, 0), np.minimum(first, second) + places.before.get(lang, 0))
+    return np.where((first < BEHIND) & (second < BEHIND), (pivot * places.size + other) * 2 + (first > second), hashed)
+
+
+def slots(numbers: np.ndarray, bits: int) -> np.ndarray:
+    """The slot, of two to the power of bits, of each number."""
+    out = numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+
+
+def marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the slot of each number has its bit."""
+    at = slots(numbers, (bits.size * 8).bit_length() - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
 
+def links(places: Places, bits: np.ndarray, lang: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a place and the next one are a pair that may be frequent; whether it and the next two hold only such pairs; a number for these)."""
+    numbers = pairs(places, lang, at)
+    linked = (at[:-1] >= 0) & (at[1:] >= 0) & marked(bits, numbers)
+    ids = numbers.view(np.uint64)
+    return linked, linked[:-1] & linked[1:], (ids[:-1] * np.uint64(0xD6E8FEB86659FD93) + ids[1:]).view(np.int64)
 
-def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach: int) -> list[tuple[int, int, bytes]]:
-    """(words before the pivot, words after it, fragment) of every pivot with a neighbour. Rare pairs end a fragment as rare words do."""
+
+def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach: int, threes: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """(words before the pivot, words after it, fragment) of every pivot with a neighbour. Rare pairs end a fragment as rare words do.
+
+    With the bits of runs of three, rare ones end a fragment too, also between the words before the pivot and those after it, and
+    fragments of two words are left out where the order has the pivot: their pairs are counted already.
+    """
     toks = joined_tokens(texts)
     n = len(toks)
     own = places.at(lang, toks)
-    slots = pairs(lang, own) >> np.uint64(64 - (bits.size * 8).bit_length() + 1)
-    linked = np.zeros(n + 2 * reach, bool)
-    linked[reach : reach + n - 1] = (own[:-1] >= 0) & (own[1:] >= 0) & ((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+    two, three, numbers = links(places, bits, lang, own)
+    linked, run = np.zeros(n + 2 * reach, bool), np.ones(n + 2 * reach, bool)
+    linked[reach : reach + n - 1] = two
+    if threes is not None:
+        run[reach : reach + n - 2] = three & marked(threes, numbers)
     at = np.full(n + 2 * reach, -1, np.int64)
     at[reach : n + reach] = own
     left, right = np.zeros(n, np.int8), np.zeros(n, np.int8)
@@ -154,20 +192,29 @@ def cut_out(places: Places, bits: np.ndarray, lang: str, texts: list[str], reach
         # At the pivot's first occurrence: no equal word may stand before it.
         open_left = open_left & linked[reach - d : n + reach - d] & (at[reach - d : n + reach - d] < own)
         open_right = open_right & linked[reach + d - 1 : n + reach + d - 1] & (at[reach + d : n + reach + d] <= own)
+        if d > 1:
+            open_left, open_right = open_left & run[reach - d : n + reach - d], open_right & run[reach + d - 2 : n + reach + d - 2]
         left += open_left
         right += open_right
-    pivots = np.flatnonzero((left > 0) | (right > 0))
     ends = np.cumsum(np.fromiter(map(len, toks), np.int64, n) + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    lefts, rights = left[pivots], right[pivots]
     text = b" ".join(toks)
-    cuts = zip(lefts.tolist(), rights.tolist(), starts[pivots - lefts].tolist(), (ends[pivots + rights] - 1).tolist(), strict=True)
-    return [(b, a, text[s:e]) for b, a, s, e in cuts]
+    nothing, fewest = np.zeros(n, np.int8), np.where((own < BEHIND) & (threes is not None), 2, 1)
+    parted = (left > 0) & (right > 0) & ~run[reach - 1 : n + reach - 1]
+    out: list[tuple[int, int, bytes]] = []
+    for some, before, after in ((~parted, left, right), (parted, left, nothing), (parted, nothing, right)):
+        pivots = np.flatnonzero(some & (before + after >= fewest))
+        lefts, rights = before[pivots], after[pivots]
+        cuts = zip(lefts.tolist(), rights.tolist(), starts[pivots - lefts].tolist(), (ends[pivots + rights] - 1).tolist(), strict=True)
+        out += [(b, a, text[s:e]) for b, a, s, e in cuts]
+    return out
+
 
+def counted_pairs(texts: DataFrame, known: Broadcast, least: int) -> DataFrame:
+    """(pivot, other, n) of pairs of neighbours that occur `least` times or more, counted in the partitions of their rarer words.
 
-def frequent_pairs(texts: DataFrame, known: Broadcast, least: int, slot_bits: int) -> np.ndarray:
-    """A bit for each slot that a pair of neighbouring words occurring `least` times or more has; other pairs that share such a slot
-    merely aren't sorted out yet. 2^slot_bits bits, whatever the data."""
+    A pivot's pairs hold more frequent words only, so there are few for frequent pivots and few occurrences for rare ones: no pivot is hot.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("collocations")
@@ -176,19 +223,36 @@ def frequent_pairs(texts: DataFrame, known: Broadcast, least: int, slot_bits: in
         def sent() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
+            told = found >= 0
+            return pa.record_batch([pa.array(np.where(told, found // (2 * places.size), found)), pa.array(np.where(told, found % (2 * places.size), -1)), pa.array(n)], ["pivot", "other", "n"])
 
         for lang, some in language_parts(batches):
             at = places.at(lang, joined_tokens(some))
-            held.append(pairs(lang, at)[(at[:-1] >= 0) & (at[1:] >= 0)])
-            if sum(map(len, held)) > 4 * HELD:
+            held.append(pairs(places, lang, at)[(at[:-1] >= 0) & (at[1:] >= 0)])
+            if sum(map(len, held)) > 8 * HELD:
                 yield sent()
         if held:
             yield sent()
 
-    counted = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    slot = F.shiftrightunsigned("pair", 64 - slot_bits) + 1
-    blocks = counted.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(count, "pivot long, other long, n long").repartition(parts, "pivot")
+    return dealt.groupBy("pivot", "other").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def frequent_pairs(counted: DataFrame, known: Broadcast, slot_bits: int) -> np.ndarray:
+    """A bit for each slot that a pair of counted (pivot, other, n) has; other pairs that share such a slot merely aren't sorted out yet.
+    2^slot_bits bits, whatever the data."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = Places(*known.value).size
+        for batch in batches:
+            pivot, other = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            numbers = np.where(pivot >= 0, pivot * (2 * size) + other, pivot)
+            yield pa.record_batch([pa.array(slots(numbers, slot_bits).view(np.int64))], ["slot"])
+
+    slot = F.col("slot") + 1
+    placed = counted.select("pivot", "other").mapInArrow(place, "slot long")
+    blocks = placed.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros(1 << (slot_bits - 3), np.uint8)
     for r in blocks.collect():
         size = len(r["bits"])
@@ -196,6 +260,75 @@ def frequent_pairs(texts: DataFrame, known: Broadcast, least: int, slot_bits: in
     return out
 
 
+def frequent_threes(texts: DataFrame, known: Broadcast, bits: Broadcast, least: int, slot_bits: int) -> np.ndarray:
+    """A bit for each slot that runs of three words without a rare pair have `least` times or more together, so for every frequent run.
+
+    Tasks send their counters by blocks of slots. Where many runs share slots fewer are sorted out, and nothing else changes.
+    """
+    inner = slot_bits - BLOCK_BITS
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("collocations")
+        places, held = Places(*known.value), []
+
+        def sent() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            blocks, starts = np.unique(found >> np.uint64(inner), return_index=True)
+            inside, n = (found & np.uint64((1 << inner) - 1)).astype("<u4"), np.minimum(n, least).astype("<u4")
+            parts = [slice(s, e) for s, e in zip(starts, [*starts[1:], len(found)], strict=True)]
+            return pa.record_batch([pa.array(blocks.astype(np.int32)), pa.array([inside[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())], ["block", "inside", "n"])
+
+        for lang, some in language_parts(batches):
+            _, three, numbers = links(places, bits.value, lang, places.at(lang, joined_tokens(some)))
+            held.append(slots(numbers[three], slot_bits))
+            if sum(map(len, held)) > 4 * HELD:
+                yield sent()
+        if any(map(len, held)):
+            yield sent()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, np.zeros(1 << inner, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for k, inside, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != block:
+                    if block is not None and (sums >= least).any():
+                        yield told()
+                    block = k
+                    sums[:] = 0
+                sums[np.frombuffer(inside, "<u4")] += np.frombuffer(n, "<u4")
+        if block is not None and (sums >= least).any():
+            yield told()
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(count, "block int, inside binary, n binary").repartition(parts, "block").sortWithinPartitions("block")
+    out = np.zeros(1 << (slot_bits - 3), np.uint8)
+    for r in dealt.mapInArrow(add, "block int, bits binary").collect():
+        size = len(r["bits"])
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def named_pairs(counted: DataFrame, known: Broadcast) -> DataFrame:
+    """(lang, phrase, f) of the pairs of counted (pivot, other, n) of which the order has both words."""
+
+    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(*known.value)
+        langs = sorted(places.known)
+        words = [w for lang in langs for w in list(places.order(lang))[: len(places.known[lang])]]
+        of = [lang for lang in langs for _ in places.known[lang]]
+        for batch in batches:
+            pivots, others, ns = (c.to_pylist() for c in batch.columns)
+            phrases = [words[p] + b" " + words[o >> 1] if o & 1 else words[o >> 1] + b" " + words[p] for p, o in zip(pivots, others, strict=True)]
+            yield pa.record_batch([pa.array([of[p] for p in pivots], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["lang", "phrase", "f"])
+
+    return counted.where("pivot >= 0").select("pivot", "other", "n").mapInArrow(name, "lang string, phrase string, f long")
+
+
 def language_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
     """(lang, some texts) of batches (lang, text), of a bounded number of characters each."""
     for batch in batches:
@@ -207,8 +340,9 @@ def language_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, lis
                 yield lang, own[part]
 
 
-def fragments(texts: DataFrame, known: Broadcast, bits: Broadcast, longest: int) -> DataFrame:
-    """(lang, pivot, parts, before, after, fragment, weight) of texts (lang, text); equal fragments of a task are one row mostly."""
+def fragments(texts: DataFrame, known: Broadcast, bits: Broadcast, threes: Broadcast, longest: int) -> DataFrame:
+    """(lang, pivot, parts, paired, before, after, fragment, weight) of texts (lang, text); equal fragments of a task are one row mostly.
+    paired: the order has the pivot, so all words, and phrases of two words are counted already."""
 
     def sent(places: Places, held: dict[str, Counter]) -> pa.RecordBatch:
         rows = [(lang, before, after, piece, n) for lang, own in held.items() for (before, after, piece), n in own.items()]
@@ -216,21 +350,22 @@ def fragments(texts: DataFrame, known: Broadcast, bits: Broadcast, longest: int)
         langs, befores, afters, pieces, weights = zip(*rows, strict=True)
         pivots = [p.split(b" ", b + 1)[b] for b, p in zip(befores, pieces, strict=True)]
         parts = [places.parts(lang, p) for lang, p in zip(langs, pivots, strict=True)]
-        columns = [pa.array(langs, pa.string()), pa.array(pivots, pa.binary()).cast(pa.string()), pa.array(parts, pa.int32()), pa.array(befores, pa.int32()), pa.array(afters, pa.int32()), pa.array(pieces, pa.binary()).cast(pa.string()), pa.array(weights, pa.int64())]
-        return pa.record_batch(columns, ["lang", "pivot", "parts", "before", "after", "fragment", "weight"])
+        paired = [p in places.known.get(lang, {}) for lang, p in zip(langs, pivots, strict=True)]
+        columns = [pa.array(langs, pa.string()), pa.array(pivots, pa.binary()).cast(pa.string()), pa.array(parts, pa.int32()), pa.array(paired, pa.bool_()), pa.array(befores, pa.int32()), pa.array(afters, pa.int32()), pa.array(pieces, pa.binary()).cast(pa.string()), pa.array(weights, pa.int64())]
+        return pa.record_batch(columns, ["lang", "pivot", "parts", "paired", "before", "after", "fragment", "weight"])
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("collocations")
         places = Places(*known.value)
         held: dict[str, Counter] = {}
         for lang, some in language_parts(batches):
-            held.setdefault(lang, Counter()).update(cut_out(places, bits.value, lang, some, longest - 1))
+            held.setdefault(lang, Counter()).update(cut_out(places, bits.value, lang, some, longest - 1, threes.value))
             if sum(map(len, held.values())) > HELD:
                 yield sent(places, held)
         if any(held.values()):
             yield sent(places, held)
 
-    return texts.mapInArrow(route, "lang string, pivot string, parts int, before int, after int, fragment string, weight long")
+    return texts.mapInArrow(route, "lang string, pivot string, parts int, paired boolean, before int, after int, fragment string, weight long")
 
 
 def words_of(phrase: Column) -> Column:
@@ -238,20 +373,21 @@ def words_of(phrase: Column) -> Column:
 
 
 def phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, phrase, f) of phrases of two words to longest, found least times or more.
+    """(lang, phrase, f) of phrases of two words (three where paired) to longest, found least times or more.
 
-    Counting stays in the partitions of the pivots. What an undivided pivot counts is final, so rare phrases end there; the counts of
-    divided pivots are added up in a second, small exchange.
+    Counting stays in the partitions of the pivots, where equal fragments of all tasks become one before their phrases are cut out. What
+    an undivided pivot counts is final, so rare phrases end there; the counts of divided pivots are added up in a second, small exchange.
     """
     n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = routed.withColumn("share", F.pmod(F.xxhash64("fragment"), F.col("parts"))).repartition(n, "lang", "pivot", "share")
+    once = dealt.groupBy("lang", "pivot", "share", "parts", "paired", "before", "after", "fragment").agg(F.sum("weight").alias("weight"))
     own = [
-        F.when((F.col("before") >= i) & (F.col("after") >= j), F.expr(f"substring_index(substring_index(fragment, ' ', before + {j + 1}), ' ', {-(i + j + 1)})"))
+        F.when((F.col("before") >= i) & (F.col("after") >= j) & (F.lit(i + j > 1) | ~F.col("paired")), F.expr(f"substring_index(substring_index(fragment, ' ', before + {j + 1}), ' ', {-(i + j + 1)})"))
         for i in range(longest)
         for j in range(longest - i)
         if i + j
     ]
-    each = dealt.select("lang", "pivot", "share", "parts", "weight", F.explode(F.array(*own)).alias("phrase")).where("phrase is not null")
+    each = once.select("lang", "pivot", "share", "parts", "weight", F.explode(F.array_compact(F.array(*own))).alias("phrase"))
     local = each.groupBy("lang", "pivot", "share", "parts", "phrase").agg(F.sum("weight").alias("f")).where((F.col("parts") > 1) | (F.col("f") >= least))
     return local.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -306,8 +442,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     texts = by_language(docs)
     words = materialise(word_counts(texts).where(F.col("word").isNull() | (F.col("f") >= least)), "words")
     known = spark.sparkContext.broadcast((*rarity(words, most_words), pivot_rows))
-    bits = spark.sparkContext.broadcast(frequent_pairs(texts, known, least, slot_bits))
-    found = materialise(phrases(fragments(texts, known, bits, longest), least, longest), "phrases")
+    counted = materialise(counted_pairs(texts, known, least), "pairs")
+    bits = spark.sparkContext.broadcast(frequent_pairs(counted, known, slot_bits))
+    threes = spark.sparkContext.broadcast(frequent_threes(texts, known, bits, least, slot_bits))
+    longer = phrases(fragments(texts, known, bits, threes, longest), least, longest)
+    found = materialise(longer.union(named_pairs(counted, known)) if longest > 1 else longer, "phrases")
     kept = scored(found, words).join(covered(found), ["lang", "phrase", "a"], "left_anti")
     return best(kept, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
